@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from packetloom.functions import values as V
 from packetloom.plans.numbering import number_rows
@@ -116,24 +116,31 @@ def new_alerts_only(alerts: DataFrame, known: DataFrame, key: str = "alert_id")
     return alerts.dropDuplicates([key]).join(known.select(key), key, "left_anti")
 
 
-def append_alerts(alerts: DataFrame, path: str) -> DataFrame:
-    """Appends unseen alerts to the table at `path`; stored ones keep their status."""
+def append_alerts(alerts: DataFrame, path: str, only_count: bool = False):
+    """Appends unseen alerts to the table at `path`; stored ones keep their status.
+
+    The table is partitioned by event date and an id implies its date, so only the dates of the
+    new alerts are read back. Returns the table, or the number of inserted alerts.
+    """
     spark = alerts.sparkSession
+    day = F.coalesce(F.to_date("event_time"), F.lit("1970-01-01").cast("date"))
+    alerts = alerts.withColumn("event_date", day).dropDuplicates(["event_date", "alert_id"])
     if table_exists(spark, path):
-        alerts = new_alerts_only(alerts, spark.read.parquet(path))
-    else:
-        alerts = alerts.dropDuplicates(["alert_id"])
-    alerts.write.mode("append").parquet(path)
-    return spark.read.parquet(path)
+        known = spark.read.parquet(path).select("event_date", "alert_id")
+        days = [r[0] for r in alerts.select("event_date").distinct().limit(1000).collect()]
+        if len(days) < 1000:  # otherwise the join itself has to cover all dates
+            known = known.where(F.col("event_date").isin(days))
+        alerts = alerts.join(known, ["event_date", "alert_id"], "left_anti")
+    seen = Observation()
+    alerts.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").partitionBy("event_date").parquet(path)
+    return seen.get["n"] if only_count else spark.read.parquet(path)
 
 
 def table_exists(spark, path: str) -> bool:
     """Whether a table was committed at `path`, on any file system Spark can reach."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-    return fs.exists(hadoop) and any(
-        s.getPath().getName().endswith(".parquet") for s in fs.listStatus(hadoop)
-    )
+    return fs.exists(spark._jvm.org.apache.hadoop.fs.Path(hadoop, "_SUCCESS"))
 
 
 def _limited(limit: int, most: int = MAX_LIMIT) -> int:

@@ -12,7 +12,7 @@ from packetloom.functions.scoring import risk_score, severity_from_rank, severit
 from packetloom.operators.intel import map_techniques
 from packetloom.plans.folding import OpenIncidents
 from packetloom.plans.numbering import number_rows
-from packetloom.plans.sessions import assign_sessions, slice_of
+from packetloom.plans.sessions import assign_sessions
 from packetloom.session import materialise
 
 # Correlation window, and the states a workflow change may ask for.
@@ -67,18 +67,17 @@ def _folded(bursts: DataFrame, window_us: int, carry: bool = False) -> DataFrame
     return rows.mapInPandas(_fold(window_us, carry), "_key string, _aid string, incident_id string, _note string")
 
 
-def _fold_all(bursts: DataFrame, window_us: int, max_group: int) -> DataFrame:
-    """(burst, incident) for every burst.
+def _fold_all(bursts: DataFrame, most: int, window_us: int, max_group: int) -> DataFrame:
+    """(burst, incident) for every burst; `most` is the largest number of bursts of one key.
 
     Keys with more than `max_group` bursts are folded in rounds: round c takes the c-th chunk of
     each such key together with the incidents left open by round c-1, which are kept as a
     written table. No task ever gets more than one chunk of a key.
     """
-    sizes = bursts.groupBy("_key").agg(F.count("*").alias("_n"))
-    large = sizes.where(F.col("_n") > max_group).select("_key")
-    most = sizes.agg(F.max("_n")).first()[0] or 0
     if most <= max_group:
         return _folded(bursts, window_us).select("_aid", "incident_id")
+    sizes = bursts.groupBy("_key").agg(F.count("*").alias("_n"))
+    large = sizes.where(F.col("_n") > max_group).select("_key")
     done = _folded(bursts.join(large, "_key", "left_anti"), window_us).select("_aid", "incident_id")
     hot = number_rows(bursts.join(large, "_key", "left_semi"), ["_key"], "_t0", "_nth", ("_what", "_aid"))
     hot = materialise(hot.withColumn("_round", F.floor((F.col("_nth") - 1) / max_group)), "correlate-hot")
@@ -94,50 +93,52 @@ def _fold_all(bursts: DataFrame, window_us: int, max_group: int) -> DataFrame:
     return done
 
 
-def _bursts(rows: DataFrame, keys: list[str], window_us: int, width: int) -> DataFrame:
-    """Marks runs of consecutive alerts with the same source, type, destination and port.
+def _mark_bursts(rows: DataFrame, key: str, window_us: int) -> DataFrame:
+    """Adds `_aid`, the first alert of the run of equal alerts each alert belongs to.
 
+    Equal means same source, type, destination and port, within the window of the one before.
     Such a run always lands in one incident: the previous alert's incident was touched last and
     its entity sets contain everything the next alert needs. A source-less alert needs a
     destination or a port for that.
     """
-    order = W.partitionBy(*keys, "_slice").orderBy("_us", "alert_id")
+    order = W.partitionBy(key, "_slice").orderBy("_us", "alert_id")
     sig = F.struct("source_ip", "attack_type", "destination_ip", "destination_port")
     linked = F.col("source_ip").isNotNull() | F.col("destination_ip").isNotNull() | (
         F.coalesce("destination_port", F.lit(0)) != 0)
-    rows = rows.withColumn("_slice", slice_of("_us", width))
     same = F.lag(sig).over(order).eqNullSafe(sig) & (F.col("_us") - F.lag("_us").over(order) <= window_us) & linked
     rows = rows.withColumn("_new", ~F.coalesce(same, F.lit(False)))
     upto = order.rowsBetween(W.unboundedPreceding, 0)
     return rows.withColumn("_aid", F.last(F.when(F.col("_new"), F.col("alert_id")), True).over(upto)).drop("_new")
 
 
-def _correlate_by_fold(rows: DataFrame, keys: list[str], window_us: int, changes: DataFrame | None,
-                       max_group: int) -> DataFrame:
-    """Exact sequential correlation inside (key, island); islands are separated by more than
+def _correlate_by_fold(rows: DataFrame, window_us: int, changes: DataFrame | None, max_group: int) -> DataFrame:
+    """Exact sequential correlation inside (`_pop`, island); islands are separated by more than
     the window, so no incident crosses them."""
-    width = 6 * window_us
-    rows = assign_sessions(rows, keys, "_us", "alert_id", window_us, width)
-    text = [F.coalesce(F.col(k), F.lit("")) for k in keys]
-    rows = rows.withColumn("_key", F.concat_ws("|", *text, F.col("session_ts").cast("string"), F.col("session_seq")))
+    rows = assign_sessions(rows, ["_pop"], "_us", "alert_id", window_us, keep_slice=True)
     if changes is None:
-        rows = _bursts(rows, keys, window_us, width)
+        rows = _mark_bursts(rows, "_pop", window_us)
     else:
-        rows = rows.withColumns({"_aid": F.col("alert_id"), "_slice": F.lit(0)})
+        rows = rows.withColumn("_aid", F.col("alert_id"))
+    rows = rows.withColumn("_key", F.concat_ws("|", "_pop", "session_ts", "session_seq"))
+    # one write instead of running the windows again for the sizes, the fold and the final join
+    rows = materialise(rows.drop("_pop", "session_ts", "session_seq"), "correlate-alerts")
     bursts = rows.groupBy("_key", "_slice", "_aid").agg(
         F.min("_us").alias("_t0"), F.max("_us").alias("_t1"),
         *[F.first(c).alias(c) for c in ("attack_type", "source_ip", "destination_ip", "destination_port")],
     ).withColumns({"_what": F.lit(1), "_note": F.lit(None).cast("string")})
-    if changes is not None:
+    if changes is None:
+        counted = rows.where(F.col("alert_id") == F.col("_aid"))
+    else:
         # a change names an incident, and an incident is named after its first alert
         would_be = rows.select("_key", incident_id(F.timestamp_micros("_us"), F.col("alert_id")).alias("incident_id"))
         marks = changes.join(would_be, "incident_id").select(
             "_key", F.lit(2).alias("_what"), V.micros("changed_at").alias("_t0"), F.col("incident_id").alias("_aid"),
             F.upper("status").alias("_note"))
         bursts = bursts.unionByName(marks, allowMissingColumns=True)
-    found = _fold_all(bursts, window_us, max_group)
-    extra = ["_key", "_aid", "_slice", "session_ts", "session_seq"]
-    return rows.join(found, "_aid").drop(*extra)
+        counted = bursts
+    most = counted.groupBy("_key").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    found = _fold_all(bursts, most, window_us, max_group)
+    return rows.join(found, "_aid").drop("_key", "_aid", "_slice")
 
 
 def _correlate_by_port(rows: DataFrame, window_us: int) -> DataFrame:
@@ -168,15 +169,15 @@ def correlate(alerts: DataFrame, window_seconds: int = WINDOW_SECONDS, strict: b
         "destination_ip": F.nullif("destination_ip", blank),
         "destination_port": F.col("destination_port").cast("int"),
     })
-    if strict:
-        return _correlate_by_fold(rows, [], window_us, changes, max_group).drop("_us")
-    sourced = _correlate_by_fold(rows.where("source_ip IS NOT NULL"), ["source_ip"], window_us, changes, max_group)
-    other = rows.where("source_ip IS NULL")
-    if changes is None and other.where("destination_ip IS NOT NULL").isEmpty():
-        rest = _correlate_by_port(other, window_us)
-    else:
-        rest = _correlate_by_fold(other, [], window_us, changes, max_group)
-    return sourced.unionByName(rest.select(*sourced.columns)).drop("_us")
+    pop = F.lit("") if strict else F.coalesce("source_ip", blank)
+    if not strict and changes is None:
+        other = rows.where("source_ip IS NULL")
+        if other.where("destination_ip IS NOT NULL").isEmpty():
+            known = _correlate_by_fold(rows.where("source_ip IS NOT NULL").withColumn("_pop", pop), window_us, None,
+                                       max_group)
+            rest = _correlate_by_port(other, window_us)
+            return known.unionByName(rest.select(*known.columns)).drop("_us")
+    return _correlate_by_fold(rows.withColumn("_pop", pop), window_us, changes, max_group).drop("_us")
 
 
 def incident_links(correlated: DataFrame, ts: str = "event_time") -> DataFrame:

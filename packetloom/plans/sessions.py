@@ -86,10 +86,11 @@ def chain_runs(runs: DataFrame, keys: list[str], gap_us: int) -> DataFrame:
 
 
 def assign_sessions(df: DataFrame, keys: list[str], ts: str, seq: str, gap_us: int, slice_us: int | None = None,
-                    cut: str | None = None) -> DataFrame:
+                    cut: str | None = None, keep_slice: bool = False) -> DataFrame:
     """Adds `session_ts`, `session_seq`: time and sequence of the first row of the session.
 
-    `keys` must not be null; an empty list sessionises the whole input.
+    `keys` must not be null; an empty list sessionises the whole input. With `keep_slice` the
+    result keeps `_slice`, by which (with the keys) it is partitioned.
     """
     slice_us = int(slice_us or 6 * gap_us)
     rows = local_runs(df, keys, ts, seq, gap_us, slice_us, cut)
@@ -105,4 +106,5 @@ def assign_sessions(df: DataFrame, keys: list[str], ts: str, seq: str, gap_us: i
     return joined.withColumns({
         "session_ts": F.when(same, F.col("_start_ts")).otherwise(F.col("_run_ts")),
         "session_seq": F.when(same, F.col("_start_seq")).otherwise(F.col("_run_seq")),
-    }).drop("_slice", "_prev", "_head", "_tail", "_run_ts", "_run_seq", "_m_ts", "_m_seq", "_start_ts", "_start_seq")
+    }).drop("_prev", "_head", "_tail", "_run_ts", "_run_seq", "_m_ts", "_m_seq", "_start_ts", "_start_seq",
+            *([] if keep_slice else ["_slice"]))
