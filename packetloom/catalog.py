@@ -271,11 +271,11 @@ def sanitise_numeric(t):
     return C.sanitise_numeric(raw_rows(t).select("l_orderkey", "l_linenumber", "rate"), ["rate"])
 
 
-@query("flows", """SELECT flow_id, CASE WHEN isinf(Flow_Byts_per_s) THEN NULL ELSE round(Flow_Byts_per_s, 4) END AS byts,
+@query("flows", """SELECT flow_id, CASE WHEN isinf(Flow_Byts_per_s) THEN NULL ELSE Flow_Byts_per_s END AS byts,
  CASE WHEN isinf(Flow_Pkts_per_s) THEN NULL ELSE Flow_Pkts_per_s END AS pkts FROM flows""")
 def inf_to_null(t):
     rows = C.inf_to_null(t.flows)
-    return rows.select("flow_id", F.round("Flow_Byts_per_s", 4).alias("byts"), F.col("Flow_Pkts_per_s").alias("pkts"))
+    return rows.select("flow_id", F.col("Flow_Byts_per_s").alias("byts"), F.col("Flow_Pkts_per_s").alias("pkts"))
 
 
 @query("", _raw("""SELECT l_linenumber, CASE WHEN l_linenumber = 5 THEN NULL ELSE l_linenumber END AS "Hour",
@@ -915,20 +915,21 @@ def assign_flows(t):
  CAST(max(us) - min(us) AS DOUBLE) AS Flow_Duration, CAST(count(*) FILTER (fwd) AS DOUBLE) AS Tot_Fwd_Pkts, CAST(count(*) FILTER (NOT fwd) AS DOUBLE) AS Tot_Bwd_Pkts,
  CAST(sum(pkt_len) FILTER (fwd) AS DOUBLE) AS TotLen_Fwd_Pkts, round(coalesce(avg(pkt_len) FILTER (NOT fwd), 0), 3) AS Bwd_Pkt_Len_Mean, round(stddev_pop(pkt_len), 3) AS Pkt_Len_Std,
  round(coalesce(stddev_pop(pkt_len) FILTER (fwd), 0), 3) AS Fwd_Pkt_Len_Std,
- round(sum(gap) / count(*), 3) AS Flow_IAT_Mean, round(stddev_pop(coalesce(gap, 0)), 0) AS Flow_IAT_Std, CAST(max(coalesce(gap, 0)) AS DOUBLE) AS Flow_IAT_Max,
- round(stddev_pop(CASE WHEN fwd THEN coalesce(sgap, 0) END), 0) AS Fwd_IAT_Std, CAST(coalesce(sum(sgap) FILTER (NOT fwd), 0) AS DOUBLE) AS Bwd_IAT_Tot,
- round(coalesce(stddev_pop(CASE WHEN NOT fwd THEN sgap END), 0), 0) AS Bwd_IAT_Std, CAST(coalesce(min(sgap) FILTER (NOT fwd), 0) AS DOUBLE) AS Bwd_IAT_Min,
+ round(sum(gap) / count(*), 3) AS Flow_IAT_Mean, round(stddev_pop(coalesce(gap, 0)) / 1000000, 3) AS Flow_IAT_Std, CAST(max(coalesce(gap, 0)) AS DOUBLE) AS Flow_IAT_Max,
+ round(stddev_pop(CASE WHEN fwd THEN coalesce(sgap, 0) END) / 1000000, 3) AS Fwd_IAT_Std, CAST(coalesce(sum(sgap) FILTER (NOT fwd), 0) AS DOUBLE) AS Bwd_IAT_Tot,
+ round(coalesce(stddev_pop(CASE WHEN NOT fwd THEN sgap END), 0) / 1000000, 3) AS Bwd_IAT_Std, CAST(coalesce(min(sgap) FILTER (NOT fwd), 0) AS DOUBLE) AS Bwd_IAT_Min,
  CAST(count(*) FILTER (psh AND fwd) AS DOUBLE) AS Fwd_PSH_Flags, CAST(count(*) FILTER (syn) AS DOUBLE) AS SYN_Flag_Cnt, CAST(count(*) FILTER (fin) AS DOUBLE) AS FIN_Flag_Cnt,
  CAST(max(CASE WHEN fwd AND sn = 1 THEN win_bytes END) AS DOUBLE) AS Init_Fwd_Win_Byts, CAST(coalesce(max(CASE WHEN NOT fwd AND sn = 1 THEN win_bytes END), 0) AS DOUBLE) AS Init_Bwd_Win_Byts,
- CAST(count(*) FILTER (fwd AND payload_len > 0) AS DOUBLE) AS Fwd_Act_Data_Pkts, round(coalesce(avg(gap) FILTER (gap > 1000000), 0), 0) AS Idle_Mean,
+ CAST(count(*) FILTER (fwd AND payload_len > 0) AS DOUBLE) AS Fwd_Act_Data_Pkts, round(coalesce(avg(gap) FILTER (gap > 1000000), 0) / 1000000, 3) AS Idle_Mean,
  CAST(hour(min(packet_time)) AS DOUBLE) AS "Hour", CAST(dayofweek(min(packet_time)) + 1 AS DOUBLE) AS "DayOfWeek" FROM f GROUP BY host, k, fseq""".replace("round(sum(gap) / count(*), 3)", "round(coalesce(sum(gap), 0) / count(*), 3)"))
 def flow_features(t):
     out = FL.flow_features(t.packets, _TIMEOUT)
-    digits = {"Bwd_Pkt_Len_Mean": 3, "Pkt_Len_Std": 3, "Fwd_Pkt_Len_Std": 3, "Flow_IAT_Mean": 3, "Flow_IAT_Std": 0, "Fwd_IAT_Std": 0, "Bwd_IAT_Std": 0,
-              "Idle_Mean": 0, "Bwd_IAT_Tot": 0, "TotLen_Fwd_Pkts": 0}
+    # compared in seconds: the engines' deviations differ in the last digits of the microseconds
+    seconds = ["Flow_IAT_Std", "Fwd_IAT_Std", "Bwd_IAT_Std", "Idle_Mean"]
+    digits = {"Bwd_Pkt_Len_Mean": 3, "Pkt_Len_Std": 3, "Fwd_Pkt_Len_Std": 3, "Flow_IAT_Mean": 3, "Bwd_IAT_Tot": 0, "TotLen_Fwd_Pkts": 0}
     keep = ["flow_seq", "terminated", "packet_count", "Src_IP", "Flow_Duration", "Tot_Fwd_Pkts", "Tot_Bwd_Pkts", "Flow_IAT_Max", "Bwd_IAT_Min", "Fwd_PSH_Flags", "SYN_Flag_Cnt",
             "FIN_Flag_Cnt", "Init_Fwd_Win_Byts", "Init_Bwd_Win_Byts", "Fwd_Act_Data_Pkts", "Hour", "DayOfWeek"]
-    return out.select(*keep, *[F.round(c, d).alias(c) for c, d in digits.items()])
+    return out.select(*keep, *[F.round(c, d).alias(c) for c, d in digits.items()], *[F.round(F.col(c) / 1000000, 3).alias(c) for c in seconds])
 
 
 @query("packets", f"""WITH {_FLOW}, g AS (SELECT count(*) AS n, bool_or(ended) AS e, max(us) AS l FROM f GROUP BY host, k), x AS (SELECT *, e OR (SELECT max(l) FROM g) - l > 10800000000 AS done FROM g)

@@ -86,7 +86,7 @@ def temporal(ts: str | Column, default: int | None = None) -> dict[str, Column]:
     parts = {
         "Hour": F.hour(ts),
         "DayOfWeek": day,
-        "IsWeekend": F.when(ts.isNotNull(), F.when(day.isin(1, 7), 1).otherwise(0)),
+        "IsWeekend": F.when(day.isin(1, 7), 1).otherwise(0),
     }
     if default is not None:
         parts = {k: F.coalesce(v, F.lit(default)) for k, v in parts.items()}

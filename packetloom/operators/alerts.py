@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from packetloom.functions import values as V
 from packetloom.plans.numbering import number_rows
@@ -119,21 +119,25 @@ def new_alerts_only(alerts: DataFrame, known: DataFrame, key: str = "alert_id")
 def append_alerts(alerts: DataFrame, path: str, only_count: bool = False):
     """Appends unseen alerts to the table at `path`; stored ones keep their status.
 
-    The table is partitioned by event date and an id implies its date, so only the dates of the
-    new alerts are read back. Returns the table, or the number of inserted alerts.
+    The table is partitioned by event month and an id implies its time, so only the months of
+    the new alerts are read back. Returns the table, or the number of inserted alerts.
     """
     spark = alerts.sparkSession
-    day = F.coalesce(F.to_date("event_time"), F.lit("1970-01-01").cast("date"))
-    alerts = alerts.withColumn("event_date", day).dropDuplicates(["event_date", "alert_id"])
+    month = F.coalesce(F.date_format("event_time", "yyyy-MM"), F.lit("none"))
+    alerts = alerts.withColumn("event_month", month).dropDuplicates(["event_month", "alert_id"])
+    months = [r[0] for r in alerts.select("event_month").distinct().limit(1000).collect()]
+    touched = F.col("event_month").isin(months) if len(months) < 1000 else F.lit(True)
+
+    def stored() -> DataFrame:
+        return spark.read.parquet(path).where(touched)
+
+    before = 0
     if table_exists(spark, path):
-        known = spark.read.parquet(path).select("event_date", "alert_id")
-        days = [r[0] for r in alerts.select("event_date").distinct().limit(1000).collect()]
-        if len(days) < 1000:  # otherwise the join itself has to cover all dates
-            known = known.where(F.col("event_date").isin(days))
-        alerts = alerts.join(known, ["event_date", "alert_id"], "left_anti")
-    seen = Observation()
-    alerts.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").partitionBy("event_date").parquet(path)
-    return seen.get["n"] if only_count else spark.read.parquet(path)
+        before = stored().count() if only_count else 0  # counts come from file footers
+        alerts = alerts.join(stored().select("event_month", "alert_id"), ["event_month", "alert_id"], "left_anti")
+    # few files per month; AQE splits a month that is too large for one task
+    alerts.hint("rebalance", "event_month").write.mode("append").partitionBy("event_month").parquet(path)
+    return stored().count() - before if only_count else spark.read.parquet(path)
 
 
 def table_exists(spark, path: str) -> bool:

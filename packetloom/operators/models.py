@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from packetloom.functions.scoring import severity, severity_by_probability
 from packetloom.operators.evaluate import averaged_metrics, class_weights, feature_importance, per_class_metrics
 from packetloom.schemas import DETECTOR_FEATURES, NETWORK_FEATURES, TEMPORAL_FEATURES
+from packetloom.session import new_path
+from packetloom.sources.tables import load_model, save_model
 
 # Forest settings per model, and the alerting threshold of the one-stage detector.
 DETECTOR = dict(numTrees=30, maxDepth=10, maxBins=32, featureSubsetStrategy="sqrt", subsamplingRate=0.7,
@@ -38,6 +40,14 @@ def _forest(stage: str, label: str, settings: dict, weight: str | None = None) -
     return RandomForestClassifier(**named, **settings)
 
 
+def _detached(model: PipelineModel, train: DataFrame) -> PipelineModel:
+    """The fitted model without its training summary: a summary holds the session and the
+    training plan, which would travel with every task that scores."""
+    path = new_path(train.sparkSession, "model")
+    save_model(model, path)
+    return load_model(path)
+
+
 def train_detector(train: DataFrame, features: list[str] | None = None, label: str = "stage1_label",
                    weighted: bool = False, **override) -> PipelineModel:
     """Binary forest; with `weighted`, classes count equally and the forest is larger."""
@@ -46,7 +56,7 @@ def train_detector(train: DataFrame, features: list[str] | None = None, label: s
         train = class_weights(train, label)
     stages = [assemble(features or DETECTOR_FEATURES, "stage1_features"),
               _forest("stage1", label, settings, "classWeight" if weighted else None)]
-    return Pipeline(stages=stages).fit(train)
+    return _detached(Pipeline(stages=stages).fit(train), train)
 
 
 def train_classifier(train: DataFrame, features: list[str] | None = None, label: str = "attack_label",
@@ -61,7 +71,7 @@ def train_classifier(train: DataFrame, features: list[str] | None = None, label:
     features = features or (NETWORK_FEATURES + (TEMPORAL_FEATURES if temporal else []))
     stages = [assemble(features, "stage2_features"), index_labels(label, "stage2_label", invalid),
               _forest("stage2", "stage2_label", settings, "classWeight" if weighted else None)]
-    return Pipeline(stages=stages).fit(train)
+    return _detached(Pipeline(stages=stages).fit(train), train)
 
 
 def class_labels(classifier: PipelineModel) -> list[str]:
