@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from packetloom.functions import values as V
 from packetloom.plans.sessions import assign_sessions, chain_runs, chain_spec, local_runs, run_bounds
-from packetloom.schemas import NETWORK_FEATURES, TCP_FLAGS
+from packetloom.schemas import NETWORK_FEATURES, TCP_FLAGS, TEMPORAL_FEATURES
 
 # Default idle timeout, shortest allowed timeout, pause that ends an active span.
 FLOW_TIMEOUT_SECONDS = 10.0
@@ -67,152 +67,175 @@ def assign_flows(packets: DataFrame, timeout: float = FLOW_TIMEOUT_SECONDS, ts:
 
 
 # ---------------------------------------------------------------- mergeable statistics
+# The wide, repetitive part is written as SQL text: one call per column instead of dozens.
 
-_PARTS = ("n", "s", "q", "lo", "hi")  # count, sum, squared deviations, minimum, maximum
+_LISTS = ("len", "a_len", "b_len", "iat", "a_iat", "b_iat", "idle", "act")
 
 
-def _collect(name: str, x: Column) -> list[Column]:
-    """Statistics of a list of values within a run."""
-    x = x.cast("double")
+def _collect(name: str, x: str) -> list[str]:
+    """Statistics of a list of values within a run: count, sum, squared deviations, min, max."""
+    x = f"CAST({x} AS DOUBLE)"
     return [
-        F.count(x).alias(f"{name}_n"),
-        F.coalesce(F.sum(x), F.lit(0.0)).alias(f"{name}_s"),
-        F.coalesce(F.var_pop(x) * F.count(x), F.lit(0.0)).alias(f"{name}_q"),
-        F.min(x).alias(f"{name}_lo"),
-        F.max(x).alias(f"{name}_hi"),
+        f"count({x}) AS {name}_n",
+        f"coalesce(sum({x}), 0D) AS {name}_s",
+        f"coalesce(var_pop({x}) * count({x}), 0D) AS {name}_q",
+        f"min({x}) AS {name}_lo",
+        f"max({x}) AS {name}_hi",
     ]
 
 
-def _absorb(df: DataFrame, name: str, x: Column) -> DataFrame:
-    """Adds one value (if not null) to the statistics in each row."""
-    n, s, q, lo, hi = (F.col(f"{name}_{p}") for p in _PARTS)
-    df = df.withColumn("_x", x.cast("double"))
-    x = F.col("_x")
-    some = x.isNotNull()
-    step = F.when(n > 0, F.pow(x - s / n, 2) * n / (n + 1)).otherwise(0.0)
-    return df.withColumns({
-        f"{name}_n": n + some.cast("long"),
-        f"{name}_s": s + F.coalesce(x, F.lit(0.0)),
-        f"{name}_q": F.when(some, q + step).otherwise(q),
-        f"{name}_lo": F.least(lo, x),
-        f"{name}_hi": F.greatest(hi, x),
-    }).drop("_x")
+def _absorb(name: str, x: str) -> list[str]:
+    """The statistics in a row with one more value (none if it is null)."""
+    n, s = f"{name}_n", f"{name}_s"
+    return [
+        f"{n} + CAST({x} IS NOT NULL AS LONG) AS {n}",
+        f"{s} + coalesce({x}, 0D) AS {s}",
+        f"{name}_q + coalesce(CASE WHEN {n} > 0 THEN pow({x} - {s} / {n}, 2) * {n} / ({n} + 1) END, 0D) AS {name}_q",
+        f"least({name}_lo, {x}) AS {name}_lo",
+        f"greatest({name}_hi, {x}) AS {name}_hi",
+    ]
 
 
-def _merge(name: str) -> list[Column]:
+def _merge(name: str) -> list[str]:
     """Statistics of the united lists of all runs of a flow."""
-    n, s, q, lo, hi = (F.col(f"{name}_{p}") for p in _PARTS)
-    total, count = F.sum(s), F.sum(n)
-    between = F.coalesce(F.sum(F.when(n > 0, s * s / n)), F.lit(0.0)) - F.coalesce(
-        F.try_divide(total * total, count.cast("double")), F.lit(0.0))
+    n, s = f"{name}_n", f"{name}_s"
+    between = (f"coalesce(sum(CASE WHEN {n} > 0 THEN {s} * {s} / {n} END), 0D) "
+               f"- coalesce(try_divide(sum({s}) * sum({s}), CAST(sum({n}) AS DOUBLE)), 0D)")
     return [
-        count.alias(f"{name}_n"), total.alias(f"{name}_s"),
-        F.greatest(F.lit(0.0), F.sum(q) + between).alias(f"{name}_q"),
-        F.min(lo).alias(f"{name}_lo"), F.max(hi).alias(f"{name}_hi"),
+        f"sum({n}) AS {n}", f"sum({s}) AS {s}", f"greatest(0D, sum({name}_q) + {between}) AS {name}_q",
+        f"min({name}_lo) AS {name}_lo", f"max({name}_hi) AS {name}_hi",
     ]
 
 
-def _view(name: str | Column, other: str | None = None, swap: Column | None = None) -> dict[str, Column]:
-    """min, max, mean, std and sum; `swap` picks the list `other` instead."""
-    def part(p: str) -> Column:
-        c = F.col(f"{name}_{p}")
-        return c if other is None else F.when(swap, F.col(f"{other}_{p}")).otherwise(c)
-
-    n, s, q = part("n"), part("s"), part("q")
-    zero = F.lit(0.0)
+def _view(out: str, name: str) -> dict[str, str]:
+    """Min, max, mean, std and sum of a merged list; `a_`/`b_` lists are picked by direction."""
+    n, s, q, lo, hi = (_side(name[4:], p, name[:3]) if name[:4] in ("fwd_", "bwd_") else f"{name}_{p}"
+                       for p in ("n", "s", "q", "lo", "hi"))
     return {
-        "Min": F.coalesce(part("lo"), zero), "Max": F.coalesce(part("hi"), zero),
-        "Mean": F.coalesce(F.try_divide(s, n.cast("double")), zero),
-        "Std": F.when(n > 1, F.sqrt(q / n)).otherwise(zero), "Tot": s,
+        f"{out}_Min": lo, f"{out}_Max": hi, f"{out}_Mean": f"try_divide({s}, CAST({n} AS DOUBLE))",
+        f"{out}_Std": f"CASE WHEN {n} > 1 THEN sqrt({q} / {n}) ELSE 0D END", f"{out}_Tot": s,
     }
 
 
+def _side(name: str, part: str, direction: str) -> str:
+    """A column of the forward or backward direction: forward is that of the first packet."""
+    column = f"{name}_{part}" if part else name
+    a, b = (f"a_{column}", f"b_{column}") if direction == "fwd" else (f"b_{column}", f"a_{column}")
+    return f"CASE WHEN _fwd_a THEN {a} ELSE {b} END"
+
+
 # ---------------------------------------------------------------- flow features
 
+def _exprs(texts: list[str]) -> list[Column]:
+    return [F.expr(t) for t in texts]
+
+
 def _runs(packets: DataFrame, gap: int, width: int, ts: str, seq: str) -> DataFrame:
     """One row of statistics per run of packets inside a slice."""
-    rows = local_runs(_prepared(packets, ts), KEY, "_us", seq, gap, width, cut="_end")
+    rows = _prepared(packets, ts)
+    rows = rows.withColumns({f"_{f}": _flag(packets, f) for f in TCP_FLAGS})
+    rows = local_runs(rows, KEY, "_us", seq, gap, width, cut="_end")
     order = W.partitionBy(*KEY, "_slice").orderBy("_us", seq)
     side = W.partitionBy(*KEY, "_slice", "_run_ts", "_run_seq", "from_a").orderBy("_us", seq)
-    rows = rows.withColumn("_gap", F.col("_us") - F.col("_prev"))
-    rows = rows.withColumn("_idle", F.coalesce(F.col("_gap") > IDLE_US, F.lit(False)))
-    rows = rows.withColumn("_span", F.last(F.when(F.col("_gap").isNull() | F.col("_idle"), F.col("_us")), True).over(
-        order.rowsBetween(W.unboundedPreceding, 0)))
+    rows = rows.withColumn("_gap", F.expr("_us - _prev"))
+    span = F.expr(f"CASE WHEN _gap IS NULL OR _gap > {IDLE_US} THEN _us END")
+    rows = rows.withColumn("_span", F.last(span, True).over(order.rowsBetween(W.unboundedPreceding, 0)))
     rows = rows.withColumns({
         "_span_before": F.lag("_span").over(order),
         "_side_prev": F.lag("_us").over(side),
     })
-    a, b = F.col("from_a"), ~F.col("from_a")
-    first_of_side = F.col("_side_prev").isNull()
-    first_idle = F.col("_idle") & (F.col("_span_before") == F.col("_run_ts"))
-    later_idle = F.col("_idle") & (F.col("_span_before") != F.col("_run_ts"))
-    active = F.col("_prev") - F.col("_span_before")
-    side_gap = F.col("_us") - F.col("_side_prev")
-    length = F.col("pkt_len")
-
-    def by_side(name: str, of) -> list[Column]:
-        return [of(a).alias(f"a_{name}"), of(b).alias(f"b_{name}")]
-
-    def first_value(c: str):
-        return lambda d: F.max(F.when(d & first_of_side, F.col(c)))
-
-    return rows.groupBy(*KEY, "_slice", "_run_ts", "_run_seq").agg(
-        *run_bounds("_us", "_end"),
-        F.max(F.when(F.col("_prev").isNull(), F.col("from_a"))).alias("_opens_a"),
-        *_collect("len", length), *_collect("a_len", F.when(a, length)), *_collect("b_len", F.when(b, length)),
-        *_collect("iat", F.col("_gap")), *_collect("a_iat", F.when(a, side_gap)),
-        *_collect("b_iat", F.when(b, side_gap)),
-        *_collect("idle", F.when(F.col("_idle"), F.col("_gap"))),
-        *_collect("act", F.when(later_idle & (active > 0), active)),
-        F.max(F.when(first_idle, F.col("_prev"))).alias("_first_span_end"),
-        F.max(F.when(F.col("_idle"), F.col("_us"))).alias("_last_span"),
-        *by_side("first", lambda d: F.min(F.when(d, F.col("_us")))),
-        *by_side("last", lambda d: F.max(F.when(d, F.col("_us")))),
-        *by_side("win", first_value("win_bytes")),
-        *by_side("seg", first_value("header_len")),
-        *by_side("header", lambda d: F.sum(F.when(d, F.col("header_len")).otherwise(0))),
-        *by_side("psh", lambda d: F.count_if(d & _flag(packets, "psh"))),
-        *by_side("urg", lambda d: F.count_if(d & _flag(packets, "urg"))),
-        *by_side("data", lambda d: F.count_if(d & (F.col("payload_len") > 0))),
-        *[F.count_if(_flag(packets, f)).alias(f"{f}_cnt") for f in TCP_FLAGS],
-    )
+    # pauses: the first one of a run closes an active span that may have begun in an earlier slice
+    later = "_gap > {0} AND _span_before <> _run_ts AND _prev > _span_before".format(IDLE_US)
+    texts = [
+        *_collect("len", "pkt_len"), *_collect("iat", "_gap"),
+        *_collect("idle", f"CASE WHEN _gap > {IDLE_US} THEN _gap END"),
+        *_collect("act", f"CASE WHEN {later} THEN _prev - _span_before END"),
+        f"max(CASE WHEN _gap > {IDLE_US} AND _span_before = _run_ts THEN _prev END) AS _first_span_end",
+        f"max(CASE WHEN _gap > {IDLE_US} THEN _us END) AS _last_span",
+        "max(CASE WHEN _prev IS NULL THEN from_a END) AS _opens_a",
+        *[f"count_if(_{f}) AS {f}_cnt" for f in TCP_FLAGS],
+    ]
+    for d, mine in (("a", "from_a"), ("b", "NOT from_a")):
+        texts += [
+            *_collect(f"{d}_len", f"CASE WHEN {mine} THEN pkt_len END"),
+            *_collect(f"{d}_iat", f"CASE WHEN {mine} THEN _us - _side_prev END"),
+            f"min(CASE WHEN {mine} THEN _us END) AS {d}_first",
+            f"max(CASE WHEN {mine} THEN _us END) AS {d}_last",
+            f"max(CASE WHEN {mine} AND _side_prev IS NULL THEN win_bytes END) AS {d}_win",
+            f"max(CASE WHEN {mine} AND _side_prev IS NULL THEN header_len END) AS {d}_seg",
+            f"sum(CASE WHEN {mine} THEN header_len ELSE 0 END) AS {d}_header",
+            f"count_if({mine} AND _psh) AS {d}_psh",
+            f"count_if({mine} AND _urg) AS {d}_urg",
+            f"count_if({mine} AND payload_len > 0) AS {d}_data",
+        ]
+    return rows.groupBy(*KEY, "_slice", "_run_ts", "_run_seq").agg(*run_bounds("_us", "_end"), *_exprs(texts))
 
 
 def _linked(runs: DataFrame, gap: int) -> DataFrame:
     """Chains runs to flows and adds what happens at slice borders to the statistics."""
     rows = chain_runs(runs, KEY, gap)
     order = chain_spec(KEY)
-    upto = order.rowsBetween(W.unboundedPreceding, 0)
-    starts = F.col("_starts")
-    rows = rows.withColumn("_join_gap", F.when(~starts, F.col("_run_ts") - F.col("_prev_last")))
-    rest = F.coalesce(F.col("_join_gap") > IDLE_US, F.lit(False))
-    rows = rows.withColumn("_rest", rest)
-    fresh = starts | F.col("_rest")
-    rows = rows.withColumn("_span_out", F.last(
-        F.coalesce("_last_span", F.when(fresh, F.col("_run_ts"))), True).over(upto))
-    rows = rows.withColumn("_span_carry", F.lag("_span_out").over(order))
+    rows = rows.selectExpr(
+        "*", "CASE WHEN NOT _starts THEN _run_ts - _prev_last END AS _join_gap",
+        f"coalesce(NOT _starts AND _run_ts - _prev_last > {IDLE_US}, false) AS _rest",
+    )
+    mark = F.expr("coalesce(_last_span, CASE WHEN _starts OR _rest THEN _run_ts END)")
+    rows = rows.withColumn("_span_out", F.last(mark, True).over(order.rowsBetween(W.unboundedPreceding, 0)))
     flow = W.partitionBy(*KEY, "_chain", "_start_ts", "_start_seq").orderBy("_run_ts", "_run_seq")
     earlier = flow.rowsBetween(W.unboundedPreceding, -1)
     rows = rows.withColumns({
-        "_span_in": F.when(fresh, F.col("_run_ts")).otherwise(F.col("_span_carry")),
-        "_a_gap": F.col("a_first") - F.last("a_last", True).over(earlier),
-        "_b_gap": F.col("b_first") - F.last("b_last", True).over(earlier),
+        "_span_carry": F.lag("_span_out").over(order),
+        "_a_before": F.last("a_last", True).over(earlier),
+        "_b_before": F.last("b_last", True).over(earlier),
     })
-
-    def positive(x: Column) -> Column:
-        return F.when(x > 0, x)
-
-    rows = _absorb(rows, "idle", F.when(F.col("_rest"), F.col("_join_gap")))
-    rows = _absorb(rows, "act", F.when(F.col("_rest"), positive(F.col("_prev_last") - F.col("_span_carry"))))
-    rows = _absorb(rows, "act", positive(F.col("_first_span_end") - F.col("_span_in")))
     # the first packet of a flow counts as a gap of 0 in the whole list and in its own direction
-    zero = F.lit(0.0)
-    rows = _absorb(rows, "iat", F.when(starts, zero).otherwise(F.col("_join_gap")))
-    rows = _absorb(rows, "a_iat", F.when(starts & F.col("_opens_a"), zero).otherwise(F.col("_a_gap")))
-    return _absorb(rows, "b_iat", F.when(starts & ~F.col("_opens_a"), zero).otherwise(F.col("_b_gap")))
-
-
-_LISTS = ("len", "a_len", "b_len", "iat", "a_iat", "b_iat", "idle", "act")
+    extra = {
+        "idle": "CASE WHEN _rest THEN _join_gap END",
+        "act": "CASE WHEN _rest AND _prev_last > _span_carry THEN _prev_last - _span_carry END",
+        "iat": "CASE WHEN _starts THEN 0 ELSE _join_gap END",
+        "a_iat": "CASE WHEN _starts AND _opens_a THEN 0 ELSE a_first - _a_before END",
+        "b_iat": "CASE WHEN _starts AND NOT _opens_a THEN 0 ELSE b_first - _b_before END",
+        "span": "_first_span_end - CASE WHEN _starts OR _rest THEN _run_ts ELSE _span_carry END",
+    }
+    rows = rows.selectExpr("*", *[f"CAST({x} AS DOUBLE) AS _x_{k}" for k, x in extra.items()])
+    changed = {"idle", "act", "iat", "a_iat", "b_iat"}
+
+    def others(df: DataFrame, names: set[str]) -> list[str]:
+        return [c for c in df.columns if not any(c in (f"{k}_{p}" for p in ("n", "s", "q", "lo", "hi")) for k in names)]
+
+    rows = rows.selectExpr(*others(rows, changed), *[t for k in sorted(changed) for t in _absorb(k, f"_x_{k}")])
+    return rows.selectExpr(*others(rows, {"act"}), *_absorb("act", "CASE WHEN _x_span > 0 THEN _x_span END"))
+
+
+def _feature_texts() -> dict[str, str]:
+    """Every network feature as SQL over the merged statistics of a flow."""
+    lists = {"Fwd_Pkt_Len": "fwd_len", "Bwd_Pkt_Len": "bwd_len", "Pkt_Len": "len", "Flow_IAT": "iat",
+             "Fwd_IAT": "fwd_iat", "Bwd_IAT": "bwd_iat", "Active": "act", "Idle": "idle"}
+    f = {k: t for out, name in lists.items() for k, t in _view(out, name).items()}
+    seconds = "((_stop - _start_ts) / 1e6D)"
+
+    def per_second(x: str) -> str:
+        return f"CASE WHEN _stop > _start_ts THEN ({x}) / {seconds} ELSE 0D END"
+
+    for direction, name in (("fwd", "Fwd"), ("bwd", "Bwd")):
+        count, size = _side("len", "n", direction), _side("len", "s", direction)
+        f |= {
+            f"Tot_{name}_Pkts": count, f"TotLen_{name}_Pkts": size,
+            f"Subflow_{name}_Pkts": count, f"Subflow_{name}_Byts": size,
+            f"{name}_Pkts_per_s": per_second(count), f"{name}_Seg_Size_Avg": f[f"{name}_Pkt_Len_Mean"],
+            f"{name}_PSH_Flags": _side("psh", "", direction), f"{name}_URG_Flags": _side("urg", "", direction),
+            f"{name}_Header_Len": _side("header", "", direction), f"Init_{name}_Win_Byts": _side("win", "", direction),
+            **{f"{name}_{m}": "0D" for m in ("Byts_per_b_Avg", "Pkts_per_b_Avg", "Blk_Rate_Avg")},
+        }
+    return f | {
+        **{f"{x.upper()}_Flag_Cnt": f"{x}_cnt" for x in TCP_FLAGS}, "CWE_Flag_Count": "cwe_cnt",
+        "Dst_Port": "CASE WHEN _fwd_a THEN port_b ELSE port_a END", "Protocol": "protocol",
+        "Flow_Duration": "_stop - _start_ts",
+        "Flow_Byts_per_s": per_second("len_s"), "Flow_Pkts_per_s": per_second("len_n"),
+        "Pkt_Len_Var": "CASE WHEN len_n > 1 THEN len_q / len_n ELSE 0D END", "Pkt_Size_Avg": f["Pkt_Len_Mean"],
+        "Down_per_Up_Ratio": f"try_divide(CAST({_side('len', 'n', 'bwd')} AS DOUBLE), {_side('len', 'n', 'fwd')})",
+        "Fwd_Act_Data_Pkts": _side("data", "", "fwd"), "Fwd_Seg_Size_Min": _side("seg", "", "fwd"),
+    }
 
 
 def flow_features(packets: DataFrame, timeout: float = FLOW_TIMEOUT_SECONDS, ts: str = "packet_time",
@@ -222,75 +245,24 @@ def flow_features(packets: DataFrame, timeout: float = FLOW_TIMEOUT_SECONDS, ts:
     gap = _timeout_us(timeout)
     width = round(slice_seconds * 1_000_000) if slice_seconds else 6 * gap
     runs = _linked(_runs(packets, gap, width, ts, seq), gap)
-    sides = ["header", "psh", "urg", "data"]
-    merged = runs.groupBy(*FLOW).agg(
-        F.max("_last").alias("_stop"),
-        F.max("_cut").alias("terminated"),
-        F.max(F.when(F.col("_starts"), F.col("_opens_a"))).alias("_fwd_a"),
-        *[c for name in _LISTS for c in _merge(name)],
-        *[F.sum(f"{d}_{c}").alias(f"{d}_{c}") for d in "ab" for c in sides],
-        *[F.min_by(f"{d}_{c}", f"{d}_first").alias(f"{d}_{c}") for d in "ab" for c in ("win", "seg")],
-        *[F.sum(f"{f}_cnt").alias(f"{f}_cnt") for f in TCP_FLAGS],
-    )
-    swap = ~F.col("_fwd_a")
-
-    def fwd(c: str) -> Column:
-        return F.when(swap, F.col(f"b_{c}")).otherwise(F.col(f"a_{c}"))
-
-    def bwd(c: str) -> Column:
-        return F.when(swap, F.col(f"a_{c}")).otherwise(F.col(f"b_{c}"))
-
-    us = (F.col("_stop") - F.col("_start_ts")).cast("double")
-    seconds = us / 1e6
-    n_fwd, n_bwd = fwd("len_n"), bwd("len_n")
-
-    def per_second(x: Column) -> Column:
-        return F.when(seconds > 0, x / seconds).otherwise(0.0)
-
-    stats = {
-        "Fwd_Pkt_Len": _view("a_len", "b_len", swap), "Bwd_Pkt_Len": _view("b_len", "a_len", swap),
-        "Pkt_Len": _view("len"), "Flow_IAT": _view("iat"),
-        "Fwd_IAT": _view("a_iat", "b_iat", swap), "Bwd_IAT": _view("b_iat", "a_iat", swap),
-        "Active": _view("act"), "Idle": _view("idle"),
-    }
-    f: dict[str, Column] = {f"{k}_{m}": c for k, v in stats.items() for m, c in v.items()}
-    f |= {
-        "Dst_Port": F.when(swap, F.col("port_a")).otherwise(F.col("port_b")),
-        "Protocol": F.col("protocol"),
-        "Flow_Duration": us,
-        "Tot_Fwd_Pkts": n_fwd, "Tot_Bwd_Pkts": n_bwd,
-        "TotLen_Fwd_Pkts": fwd("len_s"), "TotLen_Bwd_Pkts": bwd("len_s"),
-        "Flow_Byts_per_s": per_second(F.col("len_s")), "Flow_Pkts_per_s": per_second(F.col("len_n")),
-        "Fwd_PSH_Flags": fwd("psh"), "Bwd_PSH_Flags": bwd("psh"),
-        "Fwd_URG_Flags": fwd("urg"), "Bwd_URG_Flags": bwd("urg"),
-        "Fwd_Header_Len": fwd("header"), "Bwd_Header_Len": bwd("header"),
-        "Fwd_Pkts_per_s": per_second(n_fwd), "Bwd_Pkts_per_s": per_second(n_bwd),
-        "Pkt_Len_Var": F.when(F.col("len_n") > 1, F.col("len_q") / F.col("len_n")).otherwise(0.0),
-        **{f"{x.upper()}_Flag_Cnt": F.col(f"{x}_cnt") for x in TCP_FLAGS if x != "cwe"},
-        "CWE_Flag_Count": F.col("cwe_cnt"),
-        "Down_per_Up_Ratio": V.ratio(n_bwd, n_fwd),
-        "Pkt_Size_Avg": f["Pkt_Len_Mean"],
-        "Fwd_Seg_Size_Avg": f["Fwd_Pkt_Len_Mean"], "Bwd_Seg_Size_Avg": f["Bwd_Pkt_Len_Mean"],
-        **{f"{d}_{m}": F.lit(0.0) for d in ("Fwd", "Bwd") for m in ("Byts_per_b_Avg", "Pkts_per_b_Avg", "Blk_Rate_Avg")},
-        "Subflow_Fwd_Pkts": n_fwd, "Subflow_Fwd_Byts": fwd("len_s"),
-        "Subflow_Bwd_Pkts": n_bwd, "Subflow_Bwd_Byts": bwd("len_s"),
-        "Init_Fwd_Win_Byts": fwd("win"), "Init_Bwd_Win_Byts": bwd("win"),
-        "Fwd_Act_Data_Pkts": fwd("data"), "Fwd_Seg_Size_Min": fwd("seg"),
-    }
-    start = F.timestamp_micros("_start_ts")
-    return merged.select(
-        *[F.coalesce(f[c].cast("double"), F.lit(0.0)).alias(c) for c in NETWORK_FEATURES],
-        *[c.cast("double").alias(k) for k, c in V.temporal(start).items()],
-        start.alias("Timestamp"),
-        F.when(swap, F.col("ip_b")).otherwise(F.col("ip_a")).alias("Src_IP"),
-        F.when(swap, F.col("ip_a")).otherwise(F.col("ip_b")).alias("Dst_IP"),
-        F.when(swap, F.col("port_b")).otherwise(F.col("port_a")).cast("double").alias("Src_Port"),
-        start.alias("flow_start"),
-        F.timestamp_micros("_stop").alias("flow_end"),
-        F.col("_start_seq").alias("flow_seq"),
-        "terminated",
-        F.col("len_n").alias("packet_count"),
+    merged = runs.groupBy(*FLOW).agg(*_exprs([
+        "max(_last) AS _stop", "max(_cut) AS terminated", "max(CASE WHEN _starts THEN _opens_a END) AS _fwd_a",
+        *[t for name in _LISTS for t in _merge(name)],
+        *[f"sum({d}_{c}) AS {d}_{c}" for d in "ab" for c in ("header", "psh", "urg", "data")],
+        *[f"min_by({d}_{c}, {d}_first) AS {d}_{c}" for d in "ab" for c in ("win", "seg")],
+        *[f"sum({f}_cnt) AS {f}_cnt" for f in TCP_FLAGS],
+    ]))
+    text = _feature_texts()
+    flows = merged.selectExpr(
+        *[f"coalesce(CAST({text[c]} AS DOUBLE), 0D) AS {c}" for c in NETWORK_FEATURES],
+        "timestamp_micros(_start_ts) AS Timestamp",
+        "CASE WHEN _fwd_a THEN ip_a ELSE ip_b END AS Src_IP", "CASE WHEN _fwd_a THEN ip_b ELSE ip_a END AS Dst_IP",
+        "CAST(CASE WHEN _fwd_a THEN port_a ELSE port_b END AS DOUBLE) AS Src_Port",
+        "timestamp_micros(_start_ts) AS flow_start", "timestamp_micros(_stop) AS flow_end", "_start_seq AS flow_seq",
+        "terminated", "len_n AS packet_count",
     )
+    rest = [c for c in flows.columns if c not in NETWORK_FEATURES]
+    return flow_temporal(flows).select(*NETWORK_FEATURES, *TEMPORAL_FEATURES, *rest)
 
 
 def flow_temporal(flows: DataFrame, ts: str = "flow_start") -> DataFrame:

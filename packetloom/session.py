@@ -11,17 +11,26 @@ from pyspark.sql import SparkSession
 _STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+# The JVM does not compile methods above 8000 bytecodes; Spark's default limit would still run
+# such generated methods interpreted. Session windows are merged before the shuffle.
+_RUNTIME = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+    "spark.sql.streaming.stateStore.providerClass": _STATE_STORE,
+    "spark.sql.sessionWindow.merge.sessions.in.local.partition": "true",
+}
+
+
 def build_session(app: str = "packetloom", master: str | None = None, **conf: str) -> SparkSession:
     """One builder for every job: UTC, AQE with skew-join splitting, RocksDB state."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
     settings = {
-        "spark.sql.session.timeZone": "UTC",
+        **_RUNTIME,
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
-        "spark.sql.streaming.stateStore.providerClass": _STATE_STORE,
         **conf,
     }
     for key, value in settings.items():
@@ -31,8 +40,8 @@ def build_session(app: str = "packetloom", master: str | None = None, **conf: st
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Runtime settings the operators rely on, for sessions built elsewhere."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _STATE_STORE)
+    for key, value in _RUNTIME.items():
+        spark.conf.set(key, value)
     return spark
 
 
