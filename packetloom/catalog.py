@@ -593,6 +593,24 @@ def record_run(t):
     return T.record_run(again, first, force=True).withColumn("start_time", time_text("start_time"))
 
 
+@query("", """SELECT concat('r', CAST(o_orderkey AS STRING)) AS replay_id, o_custkey AS flows_processed FROM orders ORDER BY o_orderdate DESC, replay_id LIMIT 25""")
+def recent_runs(t):
+    runs = t.orders.select(F.concat(F.lit("r"), F.col("o_orderkey").cast("string")).alias("replay_id"), F.col("o_orderdate").alias("start_time"),
+                           F.col("o_custkey").alias("flows_processed"))
+    return T.recent_runs(runs, 25).drop("start_time")
+
+
+@query("alerts", "SELECT alert_id, round(confidence, 6) AS attack_probability FROM alerts ORDER BY confidence DESC, alert_id LIMIT 10")
+def top_alerts(t):
+    rows = t.alerts.withColumn("attack_probability", F.col("confidence"))
+    return rounded(M.top_alerts(rows, 10).select("alert_id", "attack_probability"))
+
+
+@query("", """SELECT count(*) AS n, CAST(sum(o_custkey) AS BIGINT) AS keys FROM orders WHERE o_orderkey = 7""")
+def lookup(t):
+    return A.lookup(t.orders, "o_orderkey", 7).agg(F.count("*").alias("n"), F.sum("o_custkey").alias("keys"))
+
+
 # ================================================================ SOC analytics
 
 _WIN = "(SELECT max(created_at) FROM alerts) - INTERVAL 7 DAY"
@@ -772,6 +790,12 @@ def remove_indicators(t):
     return N.remove_indicators(t.indicators, gone).select("indicator_id")
 
 
+@query("indicators", "SELECT indicator_id, indicator_value FROM indicators ORDER BY threat_name DESC, indicator_id LIMIT 10")
+def list_indicators(t):
+    rows = t.indicators.withColumn("created_at", F.col("threat_name"))
+    return N.list_indicators(rows, "ip", 10).select("indicator_id", "indicator_value")
+
+
 _COUNTS = f"""c AS (SELECT *, upper(attack_type) AS u FROM alerts),
  n AS (SELECT alert_id, source_ip, severity, u,
  CASE WHEN u LIKE '%SSH%' THEN CASE WHEN source_ip IS NULL THEN count(*) FILTER (u LIKE '%SSH%') OVER g ELSE count(*) FILTER (u LIKE '%SSH%') OVER s END ELSE 0 END AS ssh_count,
@@ -998,7 +1022,7 @@ _MODEL_FEATURES = ["Dst_Port", "Protocol", "Hour", "Tot_Fwd_Pkts", "Tot_Bwd_Pkts
 def model_rows(t) -> DataFrame:
     """Flow rows with clean features and both targets; durations and bytes depend on the class so
     that there is something to learn."""
-    rows = C.sanitise_numeric(t.flows, _MODEL_FEATURES)
+    rows = C.sanitise_numeric(T.spread(t.flows), _MODEL_FEATURES)
     kind = F.pmod(F.xxhash64("Label"), F.lit(13)).cast("double")
     return rows.withColumns({
         "TotLen_Bwd_Pkts": F.col("TotLen_Bwd_Pkts") + F.col("IsAttack") * 20000 * (1 + kind),

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from packetloom.functions.values import ratio
 from packetloom.operators.reports import share
+from packetloom.session import materialise
 
 # The swept decision thresholds and the recall a threshold should keep.
 THRESHOLDS = (0.10, 0.20, 0.30, 0.40, 0.50, 0.60, 0.70, 0.80, 0.90)
@@ -244,7 +245,8 @@ def class_weights(df: DataFrame, label: str = "label", out: str = "classWeight")
     weights = counts.select(
         label, (facts.getField("total").cast("double") / (facts.getField("classes") * F.col("_n"))).alias(out)
     )
-    return df.join(weights, label)
+    # as a table of known size it is broadcast exactly when it is small; `df` is then not shuffled
+    return df.join(materialise(weights, "class-weights"), label)
 
 
 def compare_predictions(a: DataFrame, b: DataFrame, key: str,

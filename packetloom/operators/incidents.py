@@ -63,7 +63,9 @@ _FOLD_IN = ["_key", "_what", "_t0", "_t1", "_aid", "attack_type", "source_ip", "
 
 
 def _folded(bursts: DataFrame, window_us: int, carry: bool = False) -> DataFrame:
-    rows = bursts.select(*_FOLD_IN).repartition("_key").sortWithinPartitions("_key", "_t0", "_what", "_aid")
+    # an explicit number: AQE would merge partitions by bytes, but the cost here is per row
+    tasks = int(bursts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = bursts.select(*_FOLD_IN).repartition(tasks, "_key").sortWithinPartitions("_key", "_t0", "_what", "_aid")
     return rows.mapInPandas(_fold(window_us, carry), "_key string, _aid string, incident_id string, _note string")
 
 
@@ -198,7 +200,7 @@ def build_incidents(correlated: DataFrame, ts: str = "event_time") -> DataFrame:
         F.min_by(F.struct(F.col("attack_type").alias("kind"), F.upper("severity").alias("level"),
                           F.col("destination_port").alias("port")), at).alias("_first"),
         F.max_by("confidence", at).alias("_confidence"),
-        F.count_distinct("attack_type").alias("_types"),
+        F.size(F.collect_set("attack_type")).alias("_types"),  # a set merges map-side, unlike a distinct count
         *[F.array_sort(F.collect_set(c)).alias(n) for n, c in sets.items()],
     )
     seconds = (F.unix_micros("last_seen") - F.unix_micros("first_seen")) / 1e6
@@ -301,6 +303,11 @@ def _event(kind: str, actor: Column, text: Column, details: dict[str, Column], m
             F.create_map(*pairs).alias("details")]
 
 
+def timeline_of(timeline: DataFrame, incident: str) -> DataFrame:
+    """History of one incident, oldest event first."""
+    return timeline.where(F.col("incident_id") == incident).orderBy("timestamp", "event_id")
+
+
 def incident_timeline(correlated: DataFrame, status_changes: DataFrame | None = None,
                       assignments: DataFrame | None = None, ts: str = "event_time") -> DataFrame:
     """Event log of all incidents; `orderBy("timestamp")` within an incident is its history."""

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from packetloom.functions.values import hash_32, hash_unit
 from packetloom.plans.numbering import number_rows
+from packetloom.session import materialise
 
 _HASH_RANGE = (0, 4294967295)
 
@@ -39,8 +40,12 @@ def class_fractions(df: DataFrame, label: str, target: int, floor: int = 0, trun
 
 def stratified_sample(df: DataFrame, label: str, key: list[str], target: int, floor: int = 0,
                       truncate: bool = False, seed: int = 42) -> DataFrame:
-    """Rows kept at their class's fraction; the fractions stay in the plan (one row per class)."""
-    fractions = class_fractions(df, label, target, floor, truncate).select(label, "fraction")
+    """Rows kept at their class's fraction.
+
+    The fractions (one row per class) are written first: as a table of known size they are
+    broadcast when small, so the rows are filtered where they are scanned.
+    """
+    fractions = materialise(class_fractions(df, label, target, floor, truncate).select(label, "fraction"), "fractions")
     return df.join(fractions, label).where(hash_unit(*key, seed=seed) < F.col("fraction")).drop("fraction")
 
 

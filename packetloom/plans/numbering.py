@@ -26,8 +26,9 @@ def number_rows(df: DataFrame, keys: list[str], order: str, out: str = "row_numb
     rows = df.withColumn("_chunk", part)
     sizes = rows.groupBy(*keys, "_chunk").agg(F.count("*").alias("_n"))
     earlier = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.select(*keys, "_chunk", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
-    rows = rows.join(offsets, [*keys, "_chunk"])
+    # only groups that reach beyond one chunk have an offset, which keeps this table small
+    offsets = sizes.select(*keys, "_chunk", F.sum("_n").over(earlier).alias("_offset")).where("_offset > 0")
+    rows = rows.join(offsets, [*keys, "_chunk"], "left").withColumn("_offset", F.coalesce("_offset", F.lit(0)))
     if keep_upto:
         rows = rows.where(F.col("_offset") < F.col(keep_upto))
     inside = W.partitionBy(*keys, "_chunk").orderBy(order, *ties)

@@ -1,8 +1,9 @@
 """Exact interpolated percentiles without holding all values in one task.
 
-The built-in exact percentile keeps every distinct value in one buffer. Here values are
-first counted per distinct value, then two rounds of equal-width histograms narrow the
-search to the few bins that contain the wanted ranks; only those bins are ordered.
+The built-in exact percentile keeps every distinct value in one buffer. Here two rounds of
+equal-width histograms, which combine map-side, narrow the search to the few bins that contain
+the wanted ranks; only the values of those bins are shuffled and ordered. The input column is
+read once per round.
 """
 
 from __future__ import annotations
@@ -43,9 +44,7 @@ def _narrow(values: DataFrame, group: list[str], ranks: Column | None) -> tuple[
 def exact_percentiles(df: DataFrame, value: str | Column, probs: dict[str, float]) -> DataFrame:
     """One row with a column per entry of `probs`, linear interpolation, nulls ignored."""
     value = F.col(value) if isinstance(value, str) else value
-    values = df.select(value.cast("double").alias("x")).where("x IS NOT NULL").groupBy("x").agg(
-        F.count("*").alias("n")
-    )
+    values = df.select(value.cast("double").alias("x"), F.lit(1).cast("long").alias("n")).where("x IS NOT NULL")
     whole = values.agg(
         F.struct(F.sum("n").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).alias("w")
     ).scalar()
@@ -65,9 +64,11 @@ def exact_percentiles(df: DataFrame, value: str | Column, probs: dict[str, float
                 "_ranks", F.col("_skip").alias("_s1"))
     )
     binned2, hits2 = _narrow(inner, ["_b1"], None)
-    chosen = binned2.select("_b1", "_bin", "x", "n", "_s1").join(
-        F.broadcast(hits2.select("_b1", "_bin", "_skip", "_in")), ["_b1", "_bin"]
-    )
+    # equal values collapse before the shuffle, so a bin full of copies stays small
+    wanted = F.broadcast(hits2.select("_b1", "_bin"))
+    chosen = binned2.join(wanted, ["_b1", "_bin"], "left_semi").groupBy("_b1", "_bin", "_s1", "x").agg(
+        F.sum("n").alias("n")
+    ).join(F.broadcast(hits2.select("_b1", "_bin", "_skip", "_in")), ["_b1", "_bin"])
     order = W.partitionBy("_b1", "_bin").orderBy("x")
     before = F.coalesce(F.sum("n").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     found = (

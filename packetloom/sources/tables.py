@@ -47,6 +47,16 @@ def discover(spark: SparkSession, paths: list[str], expected: int | None = None,
     return files.orderBy("path")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores when the input is too small to be split that far by the scan itself
+    (a single row group, say). Inputs of that many full splits or more pass through unshuffled.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * 128 * 1024 * 1024 else df
+
+
 def with_source_file(df: DataFrame, column: str = "source_file") -> DataFrame:
     return df.withColumn(column, F.col("_metadata.file_name"))
 
@@ -144,6 +154,11 @@ def record_run(runs: DataFrame, known: DataFrame | None = None, force: bool = Fa
     return merged.select("replay_id", "start_time", "_s.*").select(*runs.columns)
 
 
+def recent_runs(runs: DataFrame, limit: int = 100) -> DataFrame:
+    """Run summaries, newest first."""
+    return runs.orderBy(F.desc("start_time"), "replay_id").limit(limit)
+
+
 def save_model(model, path: str) -> None:
     model.write().overwrite().save(path)
 
