@@ -53,11 +53,12 @@ def rule_counters(alerts: DataFrame, window_seconds: int = 300, ts: str = "event
     rows = rows.withColumns({"_us": V.micros(ts), "_src": F.coalesce("source_ip", F.lit(""))})
     busy = (F.col("_ssh") + F.col("_ftp") + F.col("_dos") + F.col("_crit") > 0) & F.col("_us").isNotNull()
     span = int(window_seconds) * 1_000_000
-    own = trailing_sums(rows.where(busy), ["_src"], "_us", span,
+    active = rows.where(busy)
+    own = trailing_sums(active, ["_src"], "_us", span,
                         {"_own_ssh": "_ssh", "_own_ftp": "_ftp", "_own_crit": "_crit"}, slices)
     everyone = trailing_sums(own, [], "_us", span,
                              {"_all_ssh": "_ssh", "_all_ftp": "_ftp", "_all_crit": "_crit", "_all_dos": "_dos"},
-                             slices)
+                             slices, counts_from=active)
     local = F.col("_src") != ""
 
     def pick(name: str) -> Column:

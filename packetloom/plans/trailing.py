@@ -16,11 +16,13 @@ _BLOCK = 64  # slices of the count table per window group, in units of the inter
 
 
 def trailing_sums(df: DataFrame, scope: list[str], ts: str, span_us: int, flags: dict[str, str],
-                  slices: int = 32) -> DataFrame:
+                  slices: int = 32, counts_from: DataFrame | None = None) -> DataFrame:
     """Adds, for each `out: flag` in `flags`, the sum of the numeric column `flag` over rows of
     the same scope with `ts - span_us <= time <= ts` (peers at the same time included).
 
     `ts` is in microseconds, `scope` columns must not be null; empty scope means all rows.
+    `counts_from` names a cheaper frame with the same rows to take the slice counts from, where
+    `df` is itself the result of heavy work.
     """
     slices = max(1, min(slices, span_us))
     while span_us % slices:
@@ -28,7 +30,8 @@ def trailing_sums(df: DataFrame, scope: list[str], ts: str, span_us: int, flags:
     width = span_us // slices
     rows = df.withColumn("_slice", slice_of(ts, width))
 
-    counts = rows.groupBy(*scope, "_slice").agg(*[F.sum(f).alias(o) for o, f in flags.items()])
+    counted = rows if counts_from is None else counts_from.withColumn("_slice", slice_of(ts, width))
+    counts = counted.groupBy(*scope, "_slice").agg(*[F.sum(f).alias(o) for o, f in flags.items()])
     block = _BLOCK * slices
     blocks = F.expr(
         f"CASE WHEN pmod(_slice, {block}) >= {block - slices} "
