@@ -19,6 +19,14 @@ from packetloom.session import materialise
 WINDOW_SECONDS = 300
 INCIDENT_STATES = ("NEW", "INVESTIGATING", "ESCALATED", "RESOLVED", "REOPEN")
 
+# Texts of incident records and timeline events.
+FIRST_SUMMARY = "Security Incident created for %s alert on interface/port %s."
+MORE_SUMMARY = "Incident correlated %d alerts covering %d attack types."
+CREATED_TEXT = "Incident created from alert %s (%s)."
+CORRELATED_TEXT = "Correlated alert %s (%s) to incident %s."
+STATUS_TEXT = "Analyst %s changed status from %s to %s."
+ASSIGNED_TEXT = "Incident assigned to %s."
+
 MAX_GROUP = 2_000_000  # bursts of one key folded by one task in one round
 
 
@@ -207,9 +215,9 @@ def build_incidents(correlated: DataFrame, ts: str = "event_time") -> DataFrame:
     risk = risk_score("severity", "alert_count", "_confidence", "_types", seconds)
     kind, port = F.col("_first.kind"), F.col("_first.port")
     named = F.coalesce(port, F.lit(0)) != 0
-    first_text = F.format_string("Security Incident created for %s alert on interface/port %s.", kind,
+    first_text = F.format_string(FIRST_SUMMARY, kind,
                                  F.when(named, port.cast("string")).otherwise("N/A"))
-    more_text = F.format_string("Incident correlated %d alerts covering %d attack types.", "alert_count", "_types")
+    more_text = F.format_string(MORE_SUMMARY, "alert_count", "_types")
     return out.withColumn("risk_factors", risk).select(
         "incident_id",
         F.concat(F.col("_first.level"), F.lit(" Incident: "), kind,
@@ -317,11 +325,11 @@ def incident_timeline(correlated: DataFrame, status_changes: DataFrame | None =
     facts = {"alert_id": F.col("alert_id"), "attack_type": F.col("attack_type"), "severity": F.col("severity")}
     created = correlated.where(first).select(*_event(
         "INCIDENT_CREATED", system,
-        F.format_string("Incident created from alert %s (%s).", "alert_id", "attack_type"),
+        F.format_string(CREATED_TEXT, "alert_id", "attack_type"),
         facts, F.lit("CREATED"), at))
     joined = correlated.where(~first).select(*_event(
         "ALERT_CORRELATED", system,
-        F.format_string("Correlated alert %s (%s) to incident %s.", "alert_id", "attack_type", "incident_id"),
+        F.format_string(CORRELATED_TEXT, "alert_id", "attack_type", "incident_id"),
         facts, F.col("alert_id"), at))
     out = created.unionByName(joined)
     when = F.col("changed_at").cast("timestamp")
@@ -331,11 +339,11 @@ def incident_timeline(correlated: DataFrame, status_changes: DataFrame | None =
         log = _checked(status_changes).withColumn("_old", F.coalesce(F.lag("status").over(order), F.lit("NEW")))
         out = out.unionByName(log.select(*_event(
             "STATUS_CHANGED", actor,
-            F.format_string("Analyst %s changed status from %s to %s.", actor, F.col("_old"), F.col("status")),
+            F.format_string(STATUS_TEXT, actor, F.col("_old"), F.col("status")),
             {"old_status": F.col("_old"), "new_status": F.col("status")}, F.col("status"), when)))
     if assignments is not None:
         actor = F.col("actor") if "actor" in assignments.columns else F.lit("ANALYST")
         out = out.unionByName(assignments.select(*_event(
-            "ASSIGNED", actor, F.format_string("Incident assigned to %s.", "assigned_to"),
+            "ASSIGNED", actor, F.format_string(ASSIGNED_TEXT, "assigned_to"),
             {"assigned_to": F.col("assigned_to")}, F.col("assigned_to"), when)))
     return out

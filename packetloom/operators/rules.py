@@ -28,6 +28,14 @@ RULES = [
     ("RULE-005", "Known Malicious Indicator Match", "CRITICAL", "intel_match", 1,
      "Triggers when network traffic entities match a known malicious indicator in local threat intelligence."),
 ]
+# Reason text of each rule.
+REASONS = {
+    "RULE-001": "Detected %d SSH brute-force alerts from source '%s' (Threshold: %d).",
+    "RULE-002": "Detected %d FTP brute-force alerts from source '%s' (Threshold: %d).",
+    "RULE-003": "Detected high-volume DoS/DDoS stream (%d flows) exceeding threshold (%d).",
+    "RULE-004": "Accumulated %d CRITICAL severity alerts for source '%s' (Threshold: %d).",
+    "RULE-005": "Entity '%s' matched threat intelligence indicator '%s' (%s).",
+}
 _NAME = {r[0]: r[1] for r in RULES}
 
 
@@ -88,33 +96,22 @@ def match_rules(counted: DataFrame, config: dict | None = None, out: str = "rule
     """Adds the array of matched rules to alerts that carry counters and, optionally, an
     indicator struct."""
     conf = DEFAULT_CONFIG | (config or {})
-    who = F.coalesce("source_ip", F.lit("Local"))
+    counters = (
+        ("RULE-001", "HIGH", "ssh_count", "ssh_alert_threshold", True),
+        ("RULE-002", "HIGH", "ftp_count", "ftp_alert_threshold", True),
+        ("RULE-003", "CRITICAL", "dos_count", "dos_alert_threshold", False),
+        ("RULE-004", "CRITICAL", "critical_count", "critical_alert_threshold", True),
+    )
     hits = []
-    for rule, count, limit, sev, text, key in (
-        ("RULE-001", "ssh_count", conf["ssh_alert_threshold"], "HIGH", "SSH brute-force", "ssh_count"),
-        ("RULE-002", "ftp_count", conf["ftp_alert_threshold"], "HIGH", "FTP brute-force", "ftp_count"),
-    ):
-        reason = F.format_string(f"Detected %d {text} alerts from source '%s' (Threshold: {limit}).", F.col(count), who)
-        ev = {key: F.col(count), "threshold": F.lit(limit), "source_ip": F.col("source_ip")}
-        hits.append(F.when((F.col(count) > 0) & (F.col(count) >= limit), _match(rule, F.lit(sev), reason, ev)))
-    limit = conf["dos_alert_threshold"]
-    reason = F.format_string(
-        f"Detected high-volume DoS/DDoS stream (%d flows) exceeding threshold ({limit}).", F.col("dos_count"))
-    hits.append(F.when(
-        (F.col("dos_count") > 0) & (F.col("dos_count") >= limit),
-        _match("RULE-003", F.lit("CRITICAL"), reason, {"dos_count": F.col("dos_count"), "threshold": F.lit(limit)})))
-    limit = conf["critical_alert_threshold"]
-    reason = F.format_string(
-        f"Accumulated %d CRITICAL severity alerts for source '%s' (Threshold: {limit}).", F.col("critical_count"), who)
-    hits.append(F.when(
-        (F.col("critical_count") > 0) & (F.col("critical_count") >= limit),
-        _match("RULE-004", F.lit("CRITICAL"), reason,
-               {"critical_count": F.col("critical_count"), "threshold": F.lit(limit), "source_ip": F.col("source_ip")})))
+    for rule, level, count, setting, by_source in counters:
+        seen, limit = F.col(count), F.lit(conf[setting])
+        who = [F.coalesce("source_ip", F.lit("Local"))] if by_source else []
+        evidence = {count: seen, "threshold": limit} | ({"source_ip": F.col("source_ip")} if by_source else {})
+        reason = F.format_string(REASONS[rule], seen, *who, limit)
+        hits.append(F.when((seen > 0) & (seen >= limit), _match(rule, F.lit(level), reason, evidence)))
     if intel in counted.columns:
         i = F.col(intel)
-        reason = F.format_string(
-            "Entity '%s' matched threat intelligence indicator '%s' (%s).",
-            i["indicator_value"], i["threat_name"], i["source"])
+        reason = F.format_string(REASONS["RULE-005"], i["indicator_value"], i["threat_name"], i["source"])
         hits.append(F.when(i.isNotNull(), _match(
             "RULE-005", F.coalesce(i["severity"], F.lit("CRITICAL")), reason,
             {"indicator_value": i["indicator_value"], "threat_name": i["threat_name"],
