@@ -16,7 +16,7 @@ from packetloom.plans.numbering import number_rows
 from packetloom.plans.quantiles import exact_percentiles
 from packetloom.plans.views import oracle, table, view
 from packetloom.schemas import RAW_COLUMNS, feature_name
-from packetloom.session import materialise, new_path
+from packetloom.session import materialise, new_path, ship
 from packetloom.sources import tables as T
 from packetloom.streaming import streams as ST
 
@@ -40,7 +40,7 @@ class Inputs:
 
 def query(views: str = "", sql: str | None = None):
     def add(fn):
-        QUERIES[fn.__name__] = lambda spark, sf_dir: fn(Inputs(spark, sf_dir))
+        QUERIES[fn.__name__] = lambda spark, sf_dir: fn(Inputs(ship(spark), sf_dir))
         if sql is not None:
             ORACLES[fn.__name__] = oracle(views, sql) if views else sql.strip()
         return fn

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -35,14 +37,32 @@ def build_session(app: str = "packetloom", master: str | None = None, **conf: st
     }
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship(builder.getOrCreate())
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Makes this package importable in the Python workers, wherever the job was started; once per application."""
+    sc = spark.sparkContext
+    if getattr(sc, "_packetloom_shipped", False):
+        return spark
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="packetloom-"), "packetloom.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, os.path.dirname(package)))
+    sc.addPyFile(archive)  # the driver serves a copy of it
+    sc._packetloom_shipped = True
+    return spark
 
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Runtime settings the operators rely on, for sessions built elsewhere."""
     for key, value in _RUNTIME.items():
         spark.conf.set(key, value)
-    return spark
+    return ship(spark)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -52,6 +72,8 @@ def shared_dir(spark: SparkSession) -> str:
     )
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     named = tempfile.mkdtemp(prefix="packetloom-")
     spark.conf.set("spark.checkpoint.dir", named)
     return named
