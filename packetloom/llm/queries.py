@@ -4,18 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from packetloom.llm import boosted_rules, resampling
-from packetloom.llm.shared import table
-from packetloom.session import ship
+from packetloom.llm import boosted_rules, byte_bpe, packing, resampling
+from packetloom.llm.shared import ready, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
 def query(fn):
-    QUERIES[fn.__name__] = lambda spark, sf_dir: fn(ship(spark), sf_dir)
+    QUERIES[fn.__name__] = lambda spark, sf_dir: fn(ready(spark), sf_dir)
     return fn
 
 
@@ -24,6 +24,21 @@ def op1_resampling(spark, sf_dir):
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op5_packing(spark, sf_dir):
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op6_byte_bpe(spark, sf_dir):
+    vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    tokens = byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents"), vocabulary), vocabulary)
+    return tokens.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 @query
 def op10_quality_rules(spark, sf_dir):
     found = boosted_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

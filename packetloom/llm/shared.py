@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from packetloom.session import materialise
+from packetloom.session import materialise, ship
 
 TRAIN_ROWS = 20_000
 
 
+def ready(spark: SparkSession) -> SparkSession:
+    """Long texts: Arrow batches of fewer rows than Spark's default keep a worker's memory small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    return ship(spark)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
