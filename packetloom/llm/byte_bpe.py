@@ -22,6 +22,7 @@ import tiktoken
 from pyspark.sql import DataFrame, functions as F
 
 from packetloom.llm import words as X
+from packetloom.llm.shared import plus
 
 # Classes: the letters that can stand in a contraction have classes of their own.
 LETTER, NUMBER, BLANK, SPACE, OTHER, QUOTE, S, T, R, E, V, M, L, D, EDGE = range(15)
@@ -264,4 +265,4 @@ def decode(tokens: DataFrame, vocabulary: str, rows: int = 64) -> DataFrame:
                 texts = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(base.astype(np.int32)), pa.py_buffer(out)])
                 yield pa.RecordBatch.from_arrays([*part.columns, texts], names=names)
 
-    return tokens.mapInArrow(run, tokens.schema.add("decoded", "binary"))
+    return tokens.mapInArrow(run, plus(tokens.schema, decoded="binary"))

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from packetloom.llm import words as X
+from packetloom.llm.shared import plus
 from packetloom.session import materialise
 
 CAPACITY = 2048
@@ -224,7 +225,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [*b.columns, pa.array(sequence[k] + step // each[k]), pa.array(offset[k] + step % each[k] * length)], names=names)
 
-    return numbered.mapInArrow(place, numbered.schema.add("sequence_id", "long").add("offset", "long")).drop("number")
+    return numbered.mapInArrow(place, plus(numbered.schema, sequence_id="long", offset="long")).drop("number")
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFrame:

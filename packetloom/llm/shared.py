@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from packetloom.session import materialise, ship
 
@@ -19,6 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def plus(schema: StructType, **columns: str) -> StructType:
+    """A schema with more columns; `schema` itself stays as it is."""
+    more = StructType(list(schema.fields))
+    for name, kind in columns.items():
+        more = more.add(name, kind)
+    return more
+
+
 def labelled(labels: DataFrame, label: str, rows: int = TRAIN_ROWS) -> list[tuple[int, int]]:
     """At most `rows` pairs (doc_id, label), the same ones on every run: those with the least hash of the id.
 
