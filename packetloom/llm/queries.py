@@ -7,8 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from packetloom.llm import boosted_rules, byte_bpe, packing, resampling
+from packetloom.llm import boosted_rules, byte_bpe, packing, resampling, slots
 from packetloom.llm.shared import ready, table
+from packetloom.session import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -39,6 +40,13 @@ def op6_byte_bpe(spark, sf_dir):
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query
+def op8_virtual_slots(spark, sf_dir):
+    placed = slots.shard_documents(table(spark, sf_dir, "documents"), 16, new_path(spark, "slot-maps"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
+
+
 @query
 def op10_quality_rules(spark, sf_dir):
     found = boosted_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
