@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from packetloom.llm import boosted_rules, byte_bpe, packing, resampling, slots
+from packetloom.llm import boosted_rules, byte_bpe, minhash, packing, resampling, slots
 from packetloom.llm.shared import ready, table
 from packetloom.session import new_path
 
@@ -25,6 +25,11 @@ def op1_resampling(spark, sf_dir):
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op2_minhash(spark, sf_dir):
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 @query
 def op5_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))

@@ -20,8 +20,6 @@ LOWER[65:91] += 32
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_GRAM = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], _U)
-
 
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit."""
@@ -33,6 +31,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 _BYTES = mix(np.arange(1, 257, dtype=_U))
+GRAM = mix(np.arange(257, 257 + 32, dtype=_U)) | _U(1)
 _powers: list[np.ndarray] = [np.ones(1, _U), np.ones(1, _U)]
 
 
@@ -118,7 +117,7 @@ def grams(h: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray, np.nda
     room = len(h) - n + 1
     g = np.zeros(room, _U)
     for k in range(n):
-        g += h[k:k + room] * _GRAM[k]
+        g += h[k:k + room] * GRAM[k]
     last = np.repeat(bounds[1:], np.diff(bounds))[:room]
     return mix(g), np.arange(room) + n <= last
 
