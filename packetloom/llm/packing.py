@@ -31,29 +31,79 @@ CAPACITY = 2048
 Pattern = tuple[int, list[tuple[int, int]]]  # how many sequences hold these (length, pieces)
 
 
+class Remembered:
+    """A dictionary of bounded size that keeps what was used lately: full, it becomes the older half and starts anew."""
+
+    def __init__(self, size: int):
+        self.size, self.now, self.old = size, {}, {}
+
+    def lacking(self, keys: set[str]) -> list[str]:
+        """The keys that are not held, after those of the older half have been taken over."""
+        if len(self.now) > self.size:
+            self.now, self.old = {}, self.now
+        gone = keys.difference(self.now)
+        self.now.update((k, self.old[k]) for k in gone if k in self.old)
+        return list(gone.difference(self.now))
+
+
 class ChunkTokenizer:
-    """Ids of whole texts by a tokenizer that drops white space: chunks between blanks are encoded once and remembered."""
+    """Ids of whole texts by a tokenizer that drops white space and lowers case, one chunk between blanks at a time.
 
-    CACHED = 600_000
+    Chunks are remembered. Of a new chunk, letters followed by punctuation are two words to the tokenizer, so each part is
+    looked up by itself. What is new is encoded by the library in long rows, parted by a sign whose id shows the ends."""
+
+    SIGN, ROW, HELD, LONG = "|", 200, 400_000, 64
+    POINTS = ".,;:!?%#*$&()[]{}<>=+-"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache = Tokenizer.from_file(path), {"": b""}
+        self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.chunks, self.parts = Remembered(self.HELD), Remembered(self.HELD)
+        (self.mark,) = self._library([self.SIGN])[0]
+
+    def _library(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode(self, parts: list[str]) -> list[bytes]:
+        """Ids of parts without blanks. A row whose count of signs is not as written is encoded part by part."""
+        rows = [parts[k:k + self.ROW] for k in range(0, len(parts), self.ROW)]
+        out: list[bytes] = []
+        for row, ids in zip(rows, self._library([f" {self.SIGN} ".join(row) for row in rows])):
+            ids = np.array(ids, "<u4")
+            ends = np.flatnonzero(ids == self.mark)
+            if len(ends) == len(row) - 1 and not any(self.SIGN in p for p in row):
+                flat = ids.tobytes()
+                begins = [0, *(4 * (ends + 1)).tolist()]
+                out += [flat[a:b] for a, b in zip(begins, [*(4 * ends).tolist(), len(flat)])]
+            else:
+                out += [np.array(x, "<u4").tobytes() for x in self._library(row)]
+        return out
+
+    def _split(self, chunk: str) -> tuple[str, str]:
+        core = chunk.rstrip(self.POINTS)
+        if core.isalpha() and max(core) < "\u0130":  # below it, case is the same to every library
+            return core.lower(), chunk[len(core):]
+        return chunk, ""
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        if len(self.cache) > self.CACHED:
-            self.cache = {"": b""}
-        chunks = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        new = list({c for text in chunks for c in text if c not in self.cache})
-        extra = {}
-        for c, found in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            (self.cache if len(c) <= 64 else extra)[c] = np.array(found.ids, "<u4").tobytes()
-        get = {**self.cache, **extra}.get if extra else self.cache.get
-        return [b"".join(map(get, text)) for text in chunks]
+        split = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        new = self.chunks.lacking(set().union(*split))
+        pairs = [self._split(c) for c in new]
+        unknown = self.parts.lacking({p for pair in pairs for p in pair})
+        self.parts.now.update(zip(unknown, self._encode(unknown)))
+        get = self.parts.now.__getitem__
+        self.chunks.now.update((c, get(a) + get(b)) for c, (a, b) in zip(new, pairs))
+        get = self.chunks.now.__getitem__
+        ids = [b"".join(map(get, text)) for text in split]
+        for c in (c for c in new if len(c) > self.LONG):  # the bound on entries is one on bytes, too
+            del self.chunks.now[c]
+        for p in (p for p in unknown if len(p) > self.LONG):
+            del self.parts.now[p]
+        return ids
 
 
 _tokenizers: dict[str, ChunkTokenizer] = {}
