@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from packetloom.llm import boosted_rules, byte_bpe, minhash, packing, resampling, slots
+from packetloom.llm import boosted_rules, byte_bpe, minhash, packing, resampling, slots, surrogates
 from packetloom.llm.shared import ready, table
 from packetloom.session import new_path
 
@@ -52,6 +52,12 @@ def op8_virtual_slots(spark, sf_dir):
                          F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
 
 
+@query
+def op9_surrogates(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return surrogates.surrogates(docs, key="packetloom")
+
+
 @query
 def op10_quality_rules(spark, sf_dir):
     found = boosted_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
