@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from packetloom.llm import boosted_rules, byte_bpe, minhash, packing, resampling, secrets, slots, surrogates
+from packetloom.llm import boosted_rules, byte_bpe, lattice, minhash, packing, resampling, secrets, slots, surrogates
 from packetloom.llm.shared import ready, table
 from packetloom.session import new_path
 
@@ -35,6 +35,11 @@ def op3_secret_scan(spark, sf_dir):
     return secrets.secret_scan(table(spark, sf_dir, "documents"))
 
 
+@query
+def op4_lattice(spark, sf_dir):
+    return lattice.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op5_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
