@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from packetloom.llm import boosted_rules, byte_bpe, lattice, minhash, packing, resampling, secrets, slots, surrogates
+from packetloom.llm import boosted_rules, byte_bpe, lattice, minhash, packing, pages, resampling, secrets, slots, surrogates
 from packetloom.llm.shared import ready, table
 from packetloom.session import new_path
 
@@ -55,6 +55,11 @@ def op6_byte_bpe(spark, sf_dir):
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query
+def op7_host_suffixes(spark, sf_dir):
+    return pages.main_text(table(spark, sf_dir, "pages"))
+
+
 @query
 def op8_virtual_slots(spark, sf_dir):
     placed = slots.shard_documents(table(spark, sf_dir, "documents"), 16, new_path(spark, "slot-maps"))
