@@ -13,7 +13,7 @@
 
 ROWS and BANDS miss a pair at the wanted similarity with probability 2e-7. Shingles are compared by 64-bit hashes. Texts
 without words have an empty set and link with nothing. A row without id links with nothing, has no component and is kept.
-Rows that repeat an id are copies of one document. Only the id and the text are read.
+Rows that repeat an id are copies of one document. Only the id and the text are read; keep_one() keeps all columns.
 """
 
 from __future__ import annotations
@@ -296,3 +296,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id"),
                          F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of `docs` whose document is the least of its class, with all their columns; of rows that repeat an id one
+    stays. Rows without id stay."""
+    found = materialise(near_duplicates(docs, width, percent), "classes")
+    left = docs.join(found.filter(~F.col("kept")).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    twice = materialise(found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "twice")
+    if twice.isEmpty():
+        return left
+    single = left.join(twice, "doc_id", "left_anti").select(*docs.columns)
+    return single.union(left.join(twice, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
