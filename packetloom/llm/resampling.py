@@ -108,7 +108,7 @@ def weigh(docs: DataFrame, ratio: np.ndarray, seed: int = 1) -> DataFrame:
 def _perturbed(ids: pa.Array, texts: pa.Array, ratio: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
     data, offsets = X.text_bytes(texts)
     owner, bucket = features(data, offsets, len(ratio))
-    w = np.bincount(owner, ratio[bucket], len(offsets) - 1)
+    w = np.bincount(owner, ratio[bucket], len(offsets) - 1).astype(np.float64)  # without words numpy counts in whole numbers
     whole = X.run_hashes(data, offsets[:-1], offsets[1:])
     bits = (w + gumbel(ids.fill_null(-1).to_numpy(), whole, seed)).view(np.int64)
     return w, bits ^ ((bits >> 63) & np.int64(2**63 - 1))
@@ -116,7 +116,9 @@ def _perturbed(ids: pa.Array, texts: pa.Array, ratio: np.ndarray, seed: int) ->
 
 def kth_largest(df: DataFrame, column: str, k: int) -> int | None:
     """The exact k-th largest of a column of longs: four rounds, each counting 16 more bits of the values that agree with
-    the bits found so far (at most 65,536 counts reach the driver). None if there are fewer than k values."""
+    the bits found so far (at most 65,536 counts reach the driver). None if there are fewer than k values, or k is below 1."""
+    if k < 1:
+        return None
     found, rest = None, df.select(F.col(column).alias("v")).dropna()
     for shift in (48, 32, 16, 0):
         part = F.shiftright("v", shift)
