@@ -24,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from packetloom.llm import words as X
-from packetloom.llm.shared import TRAIN_ROWS
+from packetloom.llm.shared import TRAIN_ROWS, least
+from packetloom.session import materialise
 
 MIN_LENGTH = 8
 BUCKETS = 1 << 15
@@ -286,9 +287,8 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, rows: int = TRAIN_ROWS
     found = candidates(docs, own, path)
     if labels is not None:
         found = found.drop("label").join(labels.select("doc_id", "begin", "end", "label"), ["doc_id", "begin", "end"])
-    order = F.xxhash64("doc_id", "begin", "end")
-    known = found.filter("label >= 0").withColumn("h", order).select("h", "label", "features")
-    got = known.orderBy("h", "label").limit(2 * rows).toPandas()
+    known = materialise(found.filter("label >= 0").select("doc_id", "begin", "end", "label", "features"), "findings")
+    got = least(known, ["doc_id", "begin", "end"], 2 * rows).toPandas()
     if got.label.nunique() < 2:
         return Scanner(own, None), {"findings": len(got)}
     x, y = np.array(got.features.tolist()), got.label.to_numpy(float)
