@@ -771,7 +771,7 @@ def validate_indicators(t):
 
 
 @query("", f"""WITH s AS (SELECT *, upper(k) AS t FROM ({_SUBMITTED.format(events='events')}) x WHERE {_VALID})
- SELECT concat('IND-', upper(substr(md5(concat(t, ':', v)), 1, 12))) AS indicator_id, t AS indicator_type, v AS indicator_value, arg_max(event_type, ts) AS threat_name,
+ SELECT concat('IND-', upper(md5(concat(t, ':', v)))) AS indicator_id, t AS indicator_type, v AS indicator_value, arg_max(event_type, ts) AS threat_name,
  strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS first_seen, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS last_seen FROM s GROUP BY t, v""")
 def upsert_indicators(t):
     """Submissions in two deliveries; repeats refresh the stored indicator."""
@@ -861,8 +861,8 @@ def build_incidents(t):
  g AS (SELECT *, CASE WHEN us - lag(us) OVER w <= 21600000000 THEN 0 ELSE 1 END AS n FROM a WHERE destination_port IS NOT NULL WINDOW w AS (PARTITION BY attack_type, destination_port ORDER BY us, alert_id)),
  s AS (SELECT *, sum(n) OVER (PARTITION BY attack_type, destination_port ORDER BY us, alert_id) AS k FROM g),
  f AS (SELECT *, first_value(alert_id) OVER w AS fa, first_value(event_time) OVER w AS ft FROM s WINDOW w AS (PARTITION BY attack_type, destination_port, k ORDER BY us, alert_id))
- SELECT alert_id, concat('INC-', strftime(ft, '%Y%m%d'), '-', upper(substr(md5(fa), 1, 12))) AS incident_id FROM f
- UNION ALL SELECT alert_id, concat('INC-', strftime(event_time, '%Y%m%d'), '-', upper(substr(md5(alert_id), 1, 12))) FROM a WHERE destination_port IS NULL""")
+ SELECT alert_id, concat('INC-', strftime(ft, '%Y%m%d'), '-', upper(md5(fa))) AS incident_id FROM f
+ UNION ALL SELECT alert_id, concat('INC-', strftime(event_time, '%Y%m%d'), '-', upper(md5(alert_id))) FROM a WHERE destination_port IS NULL""")
 def correlate_without_addresses(t):
     """Alerts as the scoring path makes them, without addresses: sessions per type and port."""
     none = F.lit(None).cast("string")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from packetloom.functions import values as V
 from packetloom.plans.numbering import number_rows
+from packetloom.session import materialise
 
 # Workflow states of an alert.
 ALERT_STATES = ("NEW", "INVESTIGATING", "ESCALATED", "RESOLVED")
@@ -32,8 +33,8 @@ def _text(c: Column) -> Column:
     return F.nullif(F.trim(c.cast("string")), F.lit(""))
 
 
-def normalise_alert(df: DataFrame) -> DataFrame:
-    """One spelling per field, with the defaults used for correlation."""
+def normalise_alert(df: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    """One spelling per field, with the defaults used for correlation; columns in `also` are kept as they are."""
     def pick(name: str) -> Column:
         # Spark resolves names case-insensitively: use each existing column once
         seen, names = set(), []
@@ -54,7 +55,7 @@ def normalise_alert(df: DataFrame) -> DataFrame:
         F.coalesce(_text(pick("protocol")), F.lit("TCP")).alias("protocol"),
         F.upper(F.coalesce(_text(pick("status")), F.lit("NEW"))).alias("status"),
         _text(pick("source_ip")).alias("source_ip"),
-        _text(pick("destination_ip")).alias("destination_ip"),
+        _text(pick("destination_ip")).alias("destination_ip"), *also,
     )
 
 
@@ -80,32 +81,31 @@ def alert_key(time: str = "Timestamp", attack_type: str = "attack_type", severit
     )
 
 
-def alert_id(key: Column, occurrence: Column) -> Column:
-    return F.substring(F.sha2(F.concat_ws("|", key, occurrence.cast("string")), 256), 1, 16)
-
-
 def with_alert_ids(df: DataFrame, order: str, ties: tuple[str, ...] = (), supplied: str | None = None,
                    key: Column | None = None) -> DataFrame:
     """Adds `occurrence` (0-based, among equal keys, in `order`) and `alert_id`.
 
     Equal alerts may be any share of the input: they are numbered in chunks of `order`.
-    A supplied non-blank id wins.
+    A supplied non-blank id wins. The printed id has 16 digits; `alert_digest` has the whole digest (of a supplied id,
+    the id itself) and is what alerts are compared by.
     """
     rows = df.withColumn("_key", alert_key() if key is None else key)
     rows = number_rows(rows, ["_key"], order, "_nth", ties)
-    made = alert_id(F.col("_key"), F.col("_nth") - 1)
+    whole = F.sha2(F.concat_ws("|", F.col("_key"), (F.col("_nth") - 1).cast("string")), 256)
+    made = F.substring(whole, 1, 16)
     if supplied:
-        made = F.coalesce(F.nullif(F.trim(F.col(supplied).cast("string")), F.lit("")), made)
-    return rows.withColumns({"occurrence": F.col("_nth") - 1, "alert_id": made}).drop("_key", "_nth")
+        given = F.nullif(F.trim(F.col(supplied).cast("string")), F.lit(""))
+        made, whole = F.coalesce(given, made), F.coalesce(given, whole)
+    return rows.withColumns({"occurrence": F.col("_nth") - 1, "alert_id": made, "alert_digest": whole}).drop("_key", "_nth")
 
 
 def stored_alerts(scored: DataFrame, order: str, now, ties: tuple[str, ...] = ()) -> DataFrame:
     """Scored rows as alert records with status NEW, in the stored schema."""
     stamp = F.lit(now).cast("timestamp")
     ids = with_alert_ids(scored, order, ties, supplied="alert_id" if "alert_id" in scored.columns else None)
-    text = normalise_alert(ids)
+    text = normalise_alert(ids, ("alert_digest",))
     return text.select(
-        "alert_id", "event_time", "attack_type", "severity", "confidence", "destination_port",
+        "alert_id", "alert_digest", "event_time", "attack_type", "severity", "confidence", "destination_port",
         V.protocol_name("protocol").alias("protocol"), F.lit("NEW").alias("status"), "source_ip", "destination_ip",
         stamp.alias("created_at"), stamp.alias("updated_at"),
     )
@@ -116,28 +116,31 @@ def new_alerts_only(alerts: DataFrame, known: DataFrame, key: str = "alert_id")
     return alerts.dropDuplicates([key]).join(known.select(key), key, "left_anti")
 
 
-def append_alerts(alerts: DataFrame, path: str, only_count: bool = False):
+def append_alerts(alerts: DataFrame, path: str, only_count: bool = False, derived: bool = False):
     """Appends unseen alerts to the table at `path`; stored ones keep their status.
 
-    The table is partitioned by event month and an id implies its time, so only the months of
-    the new alerts are read back. Returns the table, or the number of inserted alerts.
+    Alerts are compared by `alert_digest` where both sides have it, else by `alert_id`, whatever their time: a supplied id
+    delivered again in another month is the same alert. With `derived` ids, which imply their time, only the months of the
+    new alerts are read. The batch is written once to the shared folder; counting reads that copy. Returns the table, or
+    the number of inserted alerts.
     """
     spark = alerts.sparkSession
+    exists = table_exists(spark, path)
+    key = "alert_digest" if "alert_digest" in alerts.columns else "alert_id"
+    if exists and key not in spark.read.parquet(path).columns:
+        key = "alert_id"
     month = F.coalesce(F.date_format("event_time", "yyyy-MM"), F.lit("none"))
-    alerts = alerts.withColumn("event_month", month).dropDuplicates(["event_month", "alert_id"])
-    months = [r[0] for r in alerts.select("event_month").distinct().limit(1000).collect()]
-    touched = F.col("event_month").isin(months) if len(months) < 1000 else F.lit(True)
-
-    def stored() -> DataFrame:
-        return spark.read.parquet(path).where(touched)
-
-    before = 0
-    if table_exists(spark, path):
-        before = stored().count() if only_count else 0  # counts come from file footers
-        alerts = alerts.join(stored().select("event_month", "alert_id"), ["event_month", "alert_id"], "left_anti")
+    fresh = alerts.withColumn("event_month", month).dropDuplicates([key])
+    if exists:
+        fresh = materialise(fresh, "batch")
+        stored = spark.read.parquet(path)
+        if derived:  # the months prune the stored table's folders
+            stored = stored.join(F.broadcast(fresh.select("event_month").distinct()), "event_month", "left_semi")
+        fresh = fresh.join(stored.select(key), key, "left_anti")
+    fresh = materialise(fresh, "inserted")
     # few files per month; AQE splits a month that is too large for one task
-    alerts.hint("rebalance", "event_month").write.mode("append").partitionBy("event_month").parquet(path)
-    return stored().count() - before if only_count else spark.read.parquet(path)
+    fresh.hint("rebalance", "event_month").write.mode("append").partitionBy("event_month").parquet(path)
+    return fresh.count() if only_count else spark.read.parquet(path)
 
 
 def table_exists(spark, path: str) -> bool:

@@ -31,8 +31,13 @@ MAX_GROUP = 2_000_000  # bursts of one key folded by one task in one round
 
 
 def incident_id(first: Column, alert_id: Column) -> Column:
-    return F.concat(F.lit("INC-"), F.date_format(first, "yyyyMMdd"), F.lit("-"),
-                    F.upper(F.substring(F.md5(alert_id), 1, 12)))
+    """Day and whole digest of the first alert: records are grouped and joined by it, so it is not cut."""
+    return F.concat(F.lit("INC-"), F.date_format(first, "yyyyMMdd"), F.lit("-"), F.upper(F.md5(alert_id)))
+
+
+def incident_label(incident: Column) -> Column:
+    """Short form for display: never a key."""
+    return F.substring(incident, 1, len("INC-yyyymmdd-") + 12)
 
 
 def _fold(window_us: int, carry: bool):
@@ -139,11 +144,12 @@ def _correlate_by_fold(rows: DataFrame, window_us: int, changes: DataFrame | Non
     if changes is None:
         counted = rows.where(F.col("alert_id") == F.col("_aid"))
     else:
-        # a change names an incident, and an incident is named after its first alert
+        # a change names an incident, and an incident is named after its first alert; unknown states change nothing
+        changes = _checked(changes)
         would_be = rows.select("_key", incident_id(F.timestamp_micros("_us"), F.col("alert_id")).alias("incident_id"))
         marks = changes.join(would_be, "incident_id").select(
             "_key", F.lit(2).alias("_what"), V.micros("changed_at").alias("_t0"), F.col("incident_id").alias("_aid"),
-            F.upper("status").alias("_note"))
+            F.col("status").alias("_note"))
         bursts = bursts.unionByName(marks, allowMissingColumns=True)
         counted = bursts
     most = counted.groupBy("_key").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
@@ -285,19 +291,21 @@ def _checked(changes: DataFrame) -> DataFrame:
     return valid.withColumn("status", F.when(status == "REOPEN", "NEW").otherwise(status))
 
 
-def apply_status(incidents: DataFrame, changes: DataFrame) -> DataFrame:
-    """Incidents with the last valid change (`incident_id, status, changed_at`); REOPEN means NEW."""
+def apply_status(incidents: DataFrame, changes: DataFrame, order: str | None = None) -> DataFrame:
+    """Incidents with the last valid change (`incident_id, status, changed_at`); REOPEN means NEW.
+
+    Of changes at one time the one last in `order` wins, without it the last in the alphabet."""
     last = _checked(changes).groupBy("incident_id").agg(
-        F.max_by("status", "changed_at").alias("_status"), F.max("changed_at").cast("timestamp").alias("_at"))
+        F.max_by("status", F.struct("changed_at", order or "status")).alias("_status"), F.max("changed_at").cast("timestamp").alias("_at"))
     return incidents.join(last, "incident_id", "left").withColumns({
         "status": F.coalesce("_status", "status"), "updated_at": F.greatest("updated_at", "_at"),
     }).select(*incidents.columns)
 
 
-def apply_assignment(incidents: DataFrame, changes: DataFrame) -> DataFrame:
-    """Incidents with their last assignee (`incident_id, assigned_to, changed_at`)."""
+def apply_assignment(incidents: DataFrame, changes: DataFrame, order: str | None = None) -> DataFrame:
+    """Incidents with their last assignee (`incident_id, assigned_to, changed_at`); ties as in `apply_status`."""
     last = changes.groupBy("incident_id").agg(
-        F.max_by("assigned_to", "changed_at").alias("_who"), F.max("changed_at").cast("timestamp").alias("_at"))
+        F.max_by("assigned_to", F.struct("changed_at", order or "assigned_to")).alias("_who"), F.max("changed_at").cast("timestamp").alias("_at"))
     return incidents.join(last, "incident_id", "left").withColumns({
         "assigned_to": F.coalesce("_who", "assigned_to"), "updated_at": F.greatest("updated_at", "_at"),
     }).select(*incidents.columns)
@@ -305,7 +313,7 @@ def apply_assignment(incidents: DataFrame, changes: DataFrame) -> DataFrame:
 
 def _event(kind: str, actor: Column, text: Column, details: dict[str, Column], mark: Column, at: Column) -> list[Column]:
     pairs = [x for k, c in details.items() for x in (F.lit(k), c.cast("string"))]
-    tag = F.substring(F.md5(F.concat_ws("|", F.col("incident_id"), mark, at.cast("string"))), 1, 10)
+    tag = F.md5(F.concat_ws("|", F.col("incident_id"), F.lit(kind), mark, at.cast("string")))
     return [F.concat(F.lit("EVT-"), tag).alias("event_id"), F.col("incident_id"), at.alias("timestamp"),
             F.lit(kind).alias("event_type"), actor.alias("actor"), text.alias("description"),
             F.create_map(*pairs).alias("details")]

@@ -126,7 +126,8 @@ def validate_indicators(df: DataFrame, kind: str = "indicator_type", value: str
 
 
 def indicator_id(kind: Column, value: Column) -> Column:
-    return F.concat(F.lit("IND-"), F.upper(F.substring(F.md5(F.concat_ws(":", kind, value)), 1, 12)))
+    """Whole digest: indicators are merged and removed by it."""
+    return F.concat(F.lit("IND-"), F.upper(F.md5(F.concat_ws(":", kind, value))))
 
 
 def prepare_indicators(raw: DataFrame, at: str = "observed_at") -> DataFrame:

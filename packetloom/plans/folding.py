@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections import deque
 from datetime import datetime, timezone
 
 EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
@@ -12,62 +13,99 @@ EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 def incident_id(first_us: int, alert_id: str) -> str:
     """Deterministic id from the incident's first alert (see `incidents.incident_id`)."""
     day = datetime.fromtimestamp(first_us // 1_000_000, tz=timezone.utc).strftime("%Y%m%d")
-    return f"INC-{day}-{hashlib.md5(alert_id.encode()).hexdigest()[:12].upper()}"
+    return f"INC-{day}-{hashlib.md5(alert_id.encode()).hexdigest().upper()}"
+
+
+class Incident:
+    """An incident that can still take an alert. `turn` grows with each alert it takes."""
+
+    __slots__ = ("id", "kind", "last", "sources", "targets", "ports", "active", "turn")
+
+    def __init__(self, id, kind, last, sources=(), targets=(), ports=(), active=True, turn=0):
+        self.id, self.kind, self.last, self.active, self.turn = id, kind, last, active, turn
+        self.sources, self.targets, self.ports = set(sources), set(targets), set(ports)
 
 
 class OpenIncidents:
-    """Incidents that can still take an alert, most recently touched last.
+    """Incidents that can still take an alert, found by pairs of what an alert must share with them.
 
-    Each is a list [id, primary type, last seen, sources, destinations, ports, active].
+    An alert joins an incident with which it shares its source and one of type, destination and port, or its destination
+    and type or port, or its type and port. So every incident is filed under such pairs, and an alert looks up at most six.
     """
 
     def __init__(self, window_us: int, saved: str | None = None):
-        self.window = window_us
-        self.open: list[list] = []
-        if saved:
-            self.open = [[i, p, t, set(s), set(d), set(q), a] for i, p, t, s, d, q, a in json.loads(saved)]
+        self.window, self.turn = window_us, 0
+        self.pairs: dict[tuple, dict[str, Incident]] = {}
+        self.by_id: dict[str, Incident] = {}
+        self.touched: deque[tuple[int, Incident]] = deque()  # time and incident of each alert, oldest first
+        for record in json.loads(saved) if saved else ():
+            self._file(Incident(*record))
 
     def dump(self) -> str:
-        return json.dumps([[i, p, t, sorted(s), sorted(d), sorted(q), a] for i, p, t, s, d, q, a in self.open])
+        rows = sorted(self.by_id.values(), key=lambda x: (x.last, x.turn))
+        return json.dumps([[x.id, x.kind, x.last, sorted(x.sources), sorted(x.targets), sorted(x.ports), x.active] for x in rows])
+
+    def _file(self, one: Incident) -> None:
+        self.turn += 1
+        one.turn = self.turn
+        self.by_id[one.id] = one
+        self.touched.append((one.last, one))
+        for pair in self._pairs_of(one):
+            self.pairs.setdefault(pair, {})[one.id] = one
+
+    @staticmethod
+    def _pairs_of(one: Incident):
+        yield from (("sk", s, one.kind) for s in one.sources)
+        yield from (("sd", s, d) for s in one.sources for d in one.targets)
+        yield from (("sp", s, p) for s in one.sources for p in one.ports if p)
+        yield from (("dk", d, one.kind) for d in one.targets)
+        yield from (("dp", d, p) for d in one.targets for p in one.ports if p)
+        yield from (("kp", one.kind, p) for p in one.ports if p)
 
     def forget(self, before: int) -> None:
         """Drops incidents last seen before a time from which no alert can reach them."""
-        self.open = [x for x in self.open if x[2] >= before]
+        while self.touched and self.touched[0][0] < before:
+            _, one = self.touched.popleft()
+            if one.last < before and self.by_id.pop(one.id, None):
+                for pair in self._pairs_of(one):
+                    held = self.pairs.get(pair)
+                    if held and held.pop(one.id, None) and not held:
+                        del self.pairs[pair]
 
     def take(self, first: int, last: int, alert_id: str, kind: str, src, dst, port) -> str:
         """Incident of an alert, or of a burst of equal alerts from `first` to `last`."""
-        for at in range(len(self.open) - 1, -1, -1):
-            one = self.open[at]
-            if not one[6] or abs(first - one[2]) > self.window:
-                continue
-            if src and one[3] and src not in one[3]:
-                continue
-            same_kind = kind == one[1]
-            same_dst = bool(dst) and dst in one[4]
-            same_port = bool(port) and port in one[5]
-            same_src = bool(src) and src in one[3]
-            if (same_src and (same_kind or same_dst or same_port)) or (same_dst and (same_kind or same_port)) or (
-                same_kind and same_port
-            ):
-                del self.open[at]
-                break
-        else:
-            one = [incident_id(first, alert_id), kind, last, set(), set(), set(), True]
-        one[2] = last
+        wanted = []
         if src:
-            one[3].add(src)
+            wanted += [("sk", src, kind), ("sd", src, dst), ("sp", src, port)]
         if dst:
-            one[4].add(dst)
+            wanted += [("dk", dst, kind), ("dp", dst, port)]
+        if port:
+            wanted.append(("kp", kind, port))
+        best = None
+        for pair in wanted:
+            for one in self.pairs.get(pair, {}).values():
+                if not one.active or abs(first - one.last) > self.window or (src and one.sources and src not in one.sources):
+                    continue
+                if best is None or (one.last, one.turn) > (best.last, best.turn):
+                    best = one
+        one = best or Incident(incident_id(first, alert_id), kind, last)
+        one.last = last
+        known = best is not None and (not src or src in one.sources) and (not dst or dst in one.targets) and (
+            port is None or port in one.ports)
+        if src:
+            one.sources.add(src)
+        if dst:
+            one.targets.add(dst)
         if port is not None:
-            one[5].add(port)
-        # newest last_seen is tried first; among equals the one touched last
-        place = len(self.open)
-        while place and self.open[place - 1][2] > last:
-            place -= 1
-        self.open.insert(place, one)
-        return one[0]
+            one.ports.add(port)
+        if known:  # filed under all its pairs already
+            self.turn += 1
+            one.turn = self.turn
+            self.touched.append((last, one))
+        else:
+            self._file(one)
+        return one.id
 
     def set_active(self, incident: str, active: bool) -> None:
-        for one in self.open:
-            if one[0] == incident:
-                one[6] = active
+        if incident in self.by_id:
+            self.by_id[incident].active = active

@@ -47,7 +47,7 @@ SELECT event_id, CASE WHEN event_type = 'error' THEN CAST(1 AS DOUBLE) ELSE CAST
  CASE WHEN value >= 60 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS prediction, LEAST(CAST(1 AS DOUBLE), value / 100) AS attack_probability,
  event_type AS attack_label, CASE (event_id * 7) % 5 WHEN 0 THEN 'error' WHEN 1 THEN 'click' WHEN 2 THEN 'purchase' WHEN 3 THEN 'signup' ELSE 'view' END AS predicted_label FROM {table}"""),
     "indicators": ("nation", """
-SELECT concat('IND-', upper(substr(md5(concat('IP:10.0.0.', CAST(n_nationkey * 6 + 1 AS STRING))), 1, 12))) AS indicator_id, 'IP' AS indicator_type,
+SELECT concat('IND-', upper(md5(concat('IP:10.0.0.', CAST(n_nationkey * 6 + 1 AS STRING))))) AS indicator_id, 'IP' AS indicator_type,
  concat('10.0.0.', CAST(n_nationkey * 6 + 1 AS STRING)) AS indicator_value, n_name AS threat_name, CAST(50 + n_nationkey AS DOUBLE) / 100 AS confidence,
  CASE WHEN n_regionkey = 0 THEN 'CRITICAL' ELSE 'HIGH' END AS severity, 'LOCAL_SOC' AS source FROM {table}"""),
     "cases": ("events", """

@@ -194,8 +194,8 @@ class _Correlator(StatefulProcessor):
             state.forget(seen - self.window_us)
         if old:
             self.handle.deleteTimer(old[1])
-        if state.open:
-            due = (max(x[2] for x in state.open) + self.window_us) // 1000 + 1
+        if state.by_id:
+            due = (max(x.last for x in state.by_id.values()) + self.window_us) // 1000 + 1
             self.handle.registerTimer(due)
             self.saved.update((state.dump(), due))
         else:
@@ -211,11 +211,17 @@ class _Correlator(StatefulProcessor):
 
 
 def stream_correlate(alerts: DataFrame, window_seconds: int = 300, ts: str = "event_time",
-                     delay: str = "10 minutes") -> DataFrame:
-    """Stream of (alert_id, incident_id); alerts with and without a source are kept apart."""
+                     delay: str = "10 minutes", addresses: bool = True) -> DataFrame:
+    """Stream of (alert_id, incident_id); alerts with and without a source are kept apart.
+
+    With `addresses=False` no alert has an address, as the scoring path makes them. Then only equal type and port can join,
+    and every type and port is a state key of its own, without a port every alert."""
     rows = with_event_time(alerts, ts, delay).where(F.upper("attack_type") != "BENIGN")
+    port = F.coalesce(F.col("destination_port").cast("int"), F.lit(0))
+    population = F.coalesce("source_ip", F.lit("")) if addresses else F.when(
+        port != 0, F.concat_ws("|", "attack_type", port)).otherwise(F.concat(F.lit("alert "), "alert_id"))
     rows = rows.select(
-        F.coalesce("source_ip", F.lit("")).alias("pop"), ts, F.unix_micros(ts).alias("us"), "alert_id", "attack_type",
+        population.alias("pop"), ts, F.unix_micros(ts).alias("us"), "alert_id", "attack_type",
         F.nullif("source_ip", F.lit("")).alias("source_ip"),
         F.nullif("destination_ip", F.lit("")).alias("destination_ip"),
         F.col("destination_port").cast("int").alias("destination_port"),
