@@ -446,11 +446,16 @@ def ml_evaluators(t):
     return rounded(E.ml_evaluators(t.scored, "attack_label", "predicted_label"))
 
 
-@query()
+# Points of the curves by falling score; trapezoids between them. Fourteen distinct scores, so the evaluator bins nothing.
+@query("scored", """WITH s AS (SELECT label, event_id % 7 / 7.0 + label / 3 AS x FROM scored),
+ g AS (SELECT round(x, 12) AS x, sum(label) AS p, count(*) - sum(label) AS n FROM s GROUP BY 1),
+ c AS (SELECT x, sum(p) OVER w AS tp, sum(n) OVER w AS fp, (SELECT sum(p) FROM g) AS ap, (SELECT sum(n) FROM g) AS an FROM g WINDOW w AS (ORDER BY x DESC)),
+ q AS (SELECT x, tp / ap AS r, fp / an AS f, tp / (tp + fp) AS pr FROM c),
+ d AS (SELECT r, f, pr, lag(r, 1, 0.0) OVER w AS r0, lag(f, 1, 0.0) OVER w AS f0, coalesce(lag(pr) OVER w, pr) AS p0 FROM q WINDOW w AS (ORDER BY x DESC))
+ SELECT 'areaUnderROC' AS metric, round(sum((f - f0) * (r + r0) / 2), 6) AS value FROM d UNION ALL SELECT 'areaUnderPR', round(sum((r - r0) * (pr + p0) / 2), 6) FROM d""")
 def area_metrics(t):
-    """Area under the curves: the evaluator bins the ranking, which plain SQL does not repeat."""
     rows = t.scored.withColumn("shifted", F.pmod(F.col("event_id"), F.lit(7)) / 7 + F.col("label") / 3)
-    return E.ml_evaluators(rows, "label", "prediction", raw="shifted")
+    return rounded(E.ml_evaluators(rows, "label", "prediction", raw="shifted")).where("metric LIKE 'area%'")
 
 
 _SWEEP = f"""c AS (SELECT t AS threshold, {_CELLS.format(p='attack_probability >= t')} FROM scored,
@@ -845,16 +850,60 @@ def _correlated(t, hours: int = 6) -> DataFrame:
     return I.correlate(t.alerts, hours * 3600)
 
 
-@query()
+# Sequential correlation in SQL: the i-th alert of every population meets the incidents left open by the one before, a list
+# ordered by last alert. Alerts with and without a source are populations of their own.
+_FOLD = """e AS (SELECT *, coalesce(source_ip, '') AS pop, epoch_us(event_time) AS us, CASE WHEN source_ip IS NULL THEN [] ELSE [source_ip] END AS src, [destination_ip] AS dst,
+ CASE WHEN destination_port IS NULL THEN [] ELSE [CAST(destination_port AS INT)] END AS port,
+ row_number() OVER (PARTITION BY coalesce(source_ip, '') ORDER BY event_time, alert_id) AS rn FROM alerts WHERE attack_type <> 'BENIGN'),
+ fold(pop, rn, alert_id, incident_id, opened) AS (
+ SELECT DISTINCT pop, CAST(0 AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST([] AS STRUCT(id VARCHAR, kind VARCHAR, last BIGINT, src VARCHAR[], dst VARCHAR[], port INTEGER[])[]) FROM e
+ UNION ALL SELECT pop, rn, alert_id, one.id, list_append(list_filter(opened, lambda x: x.id <> one.id AND x.last >= us - 21600000000), one) FROM (
+  SELECT pop, rn, alert_id, us, opened, CASE WHEN m IS NULL THEN {'id': concat('INC-', strftime(event_time, '%Y%m%d'), '-', upper(md5(alert_id))), 'kind': attack_type, 'last': us, 'src': src, 'dst': dst, 'port': port}
+   ELSE {'id': m.id, 'kind': m.kind, 'last': us, 'src': list_distinct(list_concat(m.src, src)), 'dst': list_distinct(list_concat(m.dst, dst)), 'port': list_distinct(list_concat(m.port, port))} END AS one FROM (
+   SELECT e.*, f.opened, list_filter(f.opened, lambda x: e.us - x.last <= 21600000000 AND (len(e.src) = 0 OR len(x.src) = 0 OR list_has_any(x.src, e.src)) AND (
+    (list_has_any(x.src, e.src) AND (x.kind = e.attack_type OR list_has_any(x.dst, e.dst) OR list_has_any(x.port, e.port))) OR
+    (list_has_any(x.dst, e.dst) AND (x.kind = e.attack_type OR list_has_any(x.port, e.port))) OR (x.kind = e.attack_type AND list_has_any(x.port, e.port))))[-1] AS m
+   FROM fold f JOIN e ON e.pop = f.pop AND e.rn = f.rn + 1) y) z),
+ linked AS (SELECT f.incident_id, a.*, epoch_us(a.event_time) AS us FROM fold f JOIN alerts a ON a.alert_id = f.alert_id)"""
+
+
+def _folded(sql: str, views: str = "alerts", more: str = "") -> str:
+    return oracle(views, f"WITH {_FOLD}{more} {sql}").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def query_on_fold(sql: str, views: str = "alerts", more: str = ""):
+    def add(fn):
+        fn = query()(fn)
+        ORACLES[fn.__name__] = _folded(sql, views, more)
+        return fn
+
+    return add
+
+
+_STAMP = "strftime({}, '%Y-%m-%d %H:%M:%S.%f')"
+
+
+@query_on_fold(f"SELECT incident_id, alert_id, {_STAMP.format('event_time')} AS added_at FROM linked")
 def correlate(t):
-    """Order-dependent grouping of every attack alert; checked against a sequential fold in the tests."""
+    """Order-dependent grouping of every attack alert."""
     return I.incident_links(_correlated(t)).withColumn("added_at", time_text("added_at"))
 
 
-@query()
+@query_on_fold(f"""SELECT incident_id, concat(fl, ' Incident: ', fk, CASE WHEN coalesce(fp, 0) <> 0 THEN concat(' on Port ', CAST(fp AS VARCHAR)) ELSE '' END) AS title, 'NEW' AS status, severity,
+ round(least(100.0, CASE severity WHEN 'CRITICAL' THEN 80 WHEN 'HIGH' THEN 60 WHEN 'MEDIUM' THEN 40 ELSE 20 END + least(20.0, (n - 1) * 3.0) + least(15.0, (kinds - 1) * 5.0) + round(conf * 10, 2)
+ + CASE WHEN lu - fu >= 60000000 THEN 5 ELSE 0 END), 1) AS risk_score, {_STAMP.format('ft')} AS first_seen, {_STAMP.format('lt')} AS last_seen, n AS alert_count, fk AS primary_attack_type,
+ src AS source_entities, dst AS destination_entities, ports AS destination_ports, protocols, 'Unassigned' AS assigned_to,
+ CASE WHEN n > 1 THEN concat('Incident correlated ', CAST(n AS VARCHAR), ' alerts covering ', CAST(kinds AS VARCHAR), ' attack types.')
+ ELSE concat('Security Incident created for ', fk, ' alert on interface/port ', CASE WHEN coalesce(fp, 0) <> 0 THEN CAST(fp AS VARCHAR) ELSE 'N/A' END, '.') END AS summary FROM g""", more=""",
+ g AS (SELECT incident_id, count(*) AS n, count(DISTINCT attack_type) AS kinds, min(us) AS fu, max(us) AS lu, min(event_time) AS ft, max(event_time) AS lt,
+ CASE max(CASE severity WHEN 'CRITICAL' THEN 4 WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 ELSE 1 END) WHEN 4 THEN 'CRITICAL' WHEN 3 THEN 'HIGH' WHEN 2 THEN 'MEDIUM' ELSE 'LOW' END AS severity,
+ first(severity ORDER BY us, alert_id) AS fl, first(attack_type ORDER BY us, alert_id) AS fk, first(destination_port ORDER BY us, alert_id) AS fp, last(confidence ORDER BY us, alert_id) AS conf,
+ coalesce(string_agg(DISTINCT source_ip, ',' ORDER BY source_ip), '') AS src, string_agg(DISTINCT destination_ip, ',' ORDER BY destination_ip) AS dst, string_agg(DISTINCT protocol, ',' ORDER BY protocol) AS protocols,
+ coalesce(array_to_string(list_sort(list_distinct(list(destination_port) FILTER (destination_port IS NOT NULL))), ','), '') AS ports FROM linked GROUP BY incident_id)""")
 def build_incidents(t):
-    out = I.build_incidents(_correlated(t))
-    return A.json_columns(out.withColumns({c: time_text(c) for c in ("created_at", "updated_at", "first_seen", "last_seen")}))
+    out = I.build_incidents(_correlated(t)).drop("risk_factors", "created_at", "updated_at")
+    sets = ("source_entities", "destination_entities", "destination_ports", "protocols")
+    return out.withColumns({c: time_text(c) for c in ("first_seen", "last_seen")} | {c: joined(c) for c in sets})
 
 
 @query("alerts", """WITH a AS (SELECT *, epoch_us(event_time) AS us FROM alerts WHERE attack_type <> 'BENIGN'),
@@ -881,23 +930,33 @@ def source_islands(t):
     return out.groupBy("source_ip").agg(F.count_distinct("session_ts", "session_seq").alias("islands"), F.count("*").alias("alerts"))
 
 
-@query()
+@query_on_fold(f"""SELECT upper(md5(concat(incident_id, '|', k, '|', CASE k WHEN 'INCIDENT_CREATED' THEN 'CREATED' ELSE alert_id END, '|', CAST(us AS VARCHAR)))) AS event_key, incident_id,
+ {_STAMP.format('event_time')} AS timestamp, k AS event_type, 'SYSTEM' AS actor, CASE k WHEN 'INCIDENT_CREATED' THEN concat('Incident created from alert ', alert_id, ' (', attack_type, ').')
+ ELSE concat('Correlated alert ', alert_id, ' (', attack_type, ') to incident ', incident_id, '.') END AS description, concat(alert_id, ',', attack_type, ',', severity) AS details FROM h""", more=""",
+ h AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY incident_id ORDER BY us, alert_id) = 1 THEN 'INCIDENT_CREATED' ELSE 'ALERT_CORRELATED' END AS k FROM linked)""")
 def incident_timeline(t):
     out = I.incident_timeline(_correlated(t))
-    return A.json_columns(out.withColumn("timestamp", time_text("timestamp")))
+    facts = F.concat_ws(",", *[F.col("details")[k] for k in ("alert_id", "attack_type", "severity")])
+    return out.withColumns({"timestamp": time_text("timestamp"), "details": facts,
+                            "event_key": F.upper(F.substring("event_id", 5, 32))}).drop("event_id")
 
 
-@query()
+@query_on_fold("""SELECT incident_id, intel_match_count, threat_names, intel_sources, intel_confidence, rules_triggered_count, CASE WHEN intel_match_count > 0 THEN 'HIGH' ELSE 'NONE' END AS intel_severity FROM (
+ SELECT l.incident_id, count(i.indicator_id) AS intel_match_count, coalesce(string_agg(DISTINCT i.threat_name, ',' ORDER BY i.threat_name), '') AS threat_names,
+ coalesce(string_agg(DISTINCT i.source, ',' ORDER BY i.source), '') AS intel_sources, coalesce(max(i.confidence), 0.0) AS intel_confidence, CAST(sum(coalesce(k.m, 0)) AS BIGINT) AS rules_triggered_count
+ FROM linked l LEFT JOIN indicators i ON l.source_ip = i.indicator_value LEFT JOIN k ON k.alert_id = l.alert_id GROUP BY 1) y""", "alerts indicators", f""", {_COUNTS.replace("FROM alerts", "FROM linked")}, {_MATCHES},
+ k AS (SELECT alert_id, count(*) AS m FROM r GROUP BY alert_id)""")
 def incident_intel(t):
     enriched = D.enrich_alerts(_correlated(t), t.indicators, _CONFIG)
-    return A.json_columns(I.incident_intel(enriched))
+    out = I.incident_intel(enriched)
+    return out.withColumns({c: joined(c) for c in ("threat_names", "intel_sources")})
 
 
 _CHANGES = """SELECT concat('INC-', CAST(user_id AS STRING), '-', event_type) AS incident_id, ts AS changed_at,
  CASE event_id % 6 WHEN 0 THEN 'RESOLVED' WHEN 1 THEN 'REOPEN' WHEN 2 THEN 'ESCALATED' WHEN 3 THEN 'LOST' ELSE 'INVESTIGATING' END AS status, concat('analyst-', CAST(event_id % 9 AS STRING)) AS assigned_to FROM {events}"""
 
 
-@query("cases", f"""WITH c AS (SELECT incident_id, arg_max(status, changed_at) AS s FROM ({_CHANGES.format(events='events')}) x WHERE status <> 'LOST' GROUP BY 1)
+@query("cases", f"""WITH c AS (SELECT incident_id, arg_max(status, (changed_at, status)) AS s FROM ({_CHANGES.format(events='events')}) x WHERE status <> 'LOST' GROUP BY 1)
  SELECT incident_id, CASE WHEN s = 'REOPEN' THEN 'NEW' ELSE coalesce(s, status) END AS status FROM cases LEFT JOIN c USING (incident_id)""")
 def apply_status(t):
     changes = t.spark.sql(_CHANGES, events=t.events)
@@ -1016,70 +1075,103 @@ def number_rows_in_large_groups(t):
 
 # ================================================================ models
 
-_MODEL_FEATURES = ["Dst_Port", "Protocol", "Hour", "Tot_Fwd_Pkts", "Tot_Bwd_Pkts", "TotLen_Fwd_Pkts", "TotLen_Bwd_Pkts", "Flow_Byts_per_s", "Flow_Pkts_per_s"]
+# What the flow table has, and the calendar of its time; no feature is derived from a label.
+_MODEL_FEATURES = ["Dst_Port", "Protocol", "Hour", "Flow_Duration", "Tot_Fwd_Pkts", "Tot_Bwd_Pkts", "TotLen_Fwd_Pkts", "TotLen_Bwd_Pkts", "Flow_Byts_per_s", "Flow_Pkts_per_s",
+                   "Year", "Month", "DayOfWeek"]
+TRAIN_ROWS, TRAIN_FLOOR = 20_000, 500  # bound on labelled rows a forest is trained on, and the least of a class
+_TRAINED: dict[tuple[str, str], tuple] = {}
 
 
 def model_rows(t) -> DataFrame:
-    """Flow rows with clean features and both targets; durations and bytes depend on the class so
-    that there is something to learn."""
-    rows = C.sanitise_numeric(T.spread(t.flows), _MODEL_FEATURES)
-    kind = F.pmod(F.xxhash64("Label"), F.lit(13)).cast("double")
-    return rows.withColumns({
-        "TotLen_Bwd_Pkts": F.col("TotLen_Bwd_Pkts") + F.col("IsAttack") * 20000 * (1 + kind),
-        "stage1_label": F.col("IsAttack").cast("double"), "attack_label": F.col("Label"),
-    })
+    """Flow rows with clean features and both targets."""
+    at = F.col("Timestamp")
+    rows = t.flows.withColumns({"Year": F.year(at).cast("double"), "Month": F.month(at).cast("double"), "DayOfWeek": F.dayofweek(at).cast("double")})
+    return C.sanitise_numeric(rows, _MODEL_FEATURES).withColumns({
+        "stage1_label": F.col("IsAttack").cast("double"), "attack_label": F.col("Label")})
+
+
+def held_out(t) -> DataFrame:
+    return S.split_by_hash(model_rows(t), ["flow_id"])[1]
 
 
 def trained(t):
-    train, _ = S.split_by_hash(model_rows(t), ["flow_id"])
-    sample = S.stratified_sample(train, "attack_label", ["flow_id"], target=20_000, floor=500)
-    sample = materialise(sample, "training-sample")
-    return (M.train_detector(sample, _MODEL_FEATURES, numTrees=10, maxDepth=6),
-            M.train_classifier(sample, _MODEL_FEATURES, numTrees=10, maxDepth=6))
+    """Detector and classifier at their full settings, trained once for each application and folder."""
+    key = (t.spark.sparkContext.applicationId, t.dir)
+    if key not in _TRAINED:
+        train, _ = S.split_by_hash(model_rows(t), ["flow_id"])
+        sample = S.stratified_sample(train, "attack_label", ["flow_id"], target=TRAIN_ROWS, floor=TRAIN_FLOOR)
+        sample = materialise(sample, "training-sample")
+        _TRAINED[key] = M.train_detector(sample, _MODEL_FEATURES), M.train_classifier(sample, _MODEL_FEATURES)
+    return _TRAINED[key]
 
 
-@query()
+_TEST = f"{_UNIT.format(seed=42, key='flow_id')} / 4294967296.0 >= 0.8"
+
+
+@query("flows", f"""SELECT flow_id, Label, true AS consistent FROM flows WHERE {_TEST}""")
 def score_two_stage(t):
-    """Train on a sample of the flow table, then score all of it in one plan."""
+    """Flows that neither forest has seen. What SQL cannot know is checked by the rules that bind a verdict: a benign one has
+    no class and no second confidence, an attack a known class and the product of both confidences; severity follows."""
     detector, classifier = trained(t)
-    out = M.score_two_stage(model_rows(t), detector, classifier)
-    return out.select("flow_id", "Label", "is_attack", "attack_type", "severity", "confidence", "stage1_confidence", "stage2_confidence")
+    out = M.score_two_stage(held_out(t), detector, classifier)
+    known = F.col("attack_type").isin(*M.class_labels(classifier), "Unknown") & (F.col("attack_type") != "Benign")
+    attack = known & (F.abs(F.col("confidence") - F.col("stage1_confidence") * F.col("stage2_confidence")) < 1e-9) & F.col("severity").isin(*scoring.LEVELS)
+    benign = (F.col("attack_type") == "Benign") & (F.col("stage2_confidence") == 0) & (F.col("confidence") == F.col("stage1_confidence")) & (F.col("severity") == "NONE")
+    likely = F.col("stage1_confidence").between(0.5, 1)
+    return out.select("flow_id", "Label", (likely & F.when(F.col("is_attack"), attack).otherwise(benign)).alias("consistent"))
 
 
-@query()
+@query("flows", """SELECT section, true AS agrees FROM (VALUES ('attack_type'), ('severity'), ('port')) v(section)""")
 def detection_alerts(t):
-    """One-stage alerting at a probability threshold, summarised by type, severity and port."""
+    """One-stage alerting at a probability threshold: by type and by severity the counts are those of the alerts, and no more
+    than ten ports are listed."""
     detector, _ = trained(t)
-    scored = M.detect(model_rows(t), detector).withColumn("attack_type", F.col("Label"))
-    return M.alert_summary(M.make_alerts(scored))
+    alerts = M.make_alerts(M.detect(held_out(t), detector, 0.5).withColumn("attack_type", F.col("Label")))
+    counts = M.alert_summary(alerts).groupBy("section").agg(F.sum("count").alias("n"), F.count("*").alias("names"))
+    total = alerts.agg(F.count("*")).scalar()
+    return counts.select("section", F.when(F.col("section") == "port", (F.col("names") <= 10) & (F.col("n") <= total)).otherwise(F.col("n") == total).alias("agrees"))
 
 
-@query()
+@query("flows", f"SELECT {len(_MODEL_FEATURES)} AS features, 1.0 AS total, true AS ordered FROM flows LIMIT 1")
 def feature_importance(t):
     detector, _ = trained(t)
-    return E.feature_importance(detector.stages[-1], _MODEL_FEATURES, t.spark)
+    out = E.feature_importance(detector.stages[-1], _MODEL_FEATURES, t.spark)
+    values = F.sort_array(F.collect_list("importance"), False)
+    return out.agg(F.count_distinct("feature").cast("int").alias("features"), F.round(F.sum("importance"), 6).alias("total"),
+                   (F.collect_list("importance") == values).alias("ordered"))
 
 
-@query()
+@query("", f"""SELECT CAST(label AS VARCHAR) AS class_name, count(*) AS support, true AS better_than_chance FROM embeddings
+ WHERE {_UNIT.format(seed=42, key='vec_id')} / 4294967296.0 >= 0.8 GROUP BY label""")
 def vector_classifier(t):
-    """Weighted multi-class forest over the embedding table with its quality per class."""
-    from pyspark.ml.functions import array_to_vector
-
+    """Weighted multi-class forest over the embedding table, judged on vectors it has not seen."""
     names = [f"v{i}" for i in range(64)]
     rows = t.embeddings.select("vec_id", F.col("label").cast("string").alias("attack_label"), *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(names)])
-    model = M.train_classifier(rows, names, attack_flag=None, weighted=True, numTrees=10, maxDepth=5)
-    scored = M._scoring_part(model).transform(rows)
-    scored = scored.withColumn("predicted_label", M.decode_class(F.col("stage2_prediction"), M.class_labels(model)))
-    return E.per_class_metrics(scored, "attack_label", "predicted_label")
+    train, test = S.split_by_hash(rows, ["vec_id"])
+    model = M.train_classifier(train, names, attack_flag=None, weighted=True)
+    scored = M._scoring_part(model).transform(test)
+    scored = materialise(scored.withColumn("predicted_label", M.decode_class(F.col("stage2_prediction"), M.class_labels(model))).select(
+        "vec_id", "attack_label", "predicted_label"), "scored")
+    right = scored.agg(F.avg((F.col("attack_label") == F.col("predicted_label")).cast("double"))).scalar()
+    chance = scored.agg(F.lit(1.0) / F.count_distinct("attack_label")).scalar()
+    classes = E.per_class_metrics(scored, "attack_label", "predicted_label").where("support > 0")
+    return classes.select("class_name", "support", (right > chance).alias("better_than_chance"))
 
 
 # ================================================================ streams
 
-def events_stream(t, name: str) -> DataFrame:
-    """The events file as a stream in the shape of a view."""
+def events_stream(t, name: str, close: bool = False) -> DataFrame:
+    """The events file as a stream in the shape of a view. With `close`, one more event far after all others moves the
+    watermark past them, so that everything open at the end of the input is emitted; its own group stays open."""
     from packetloom.plans.views import VIEWS
 
     raw = T.flow_stream(t.spark, t.dir, t.events.schema, glob="events.parquet")
+    if close:
+        path = new_path(t.spark, "marker")
+        last = t.events.orderBy(F.desc("ts")).limit(1)
+        marker = {"ts": F.col("ts") + F.expr("INTERVAL 60 DAYS"), "event_id": F.lit(0), "event_type": F.lit("click")}  # passes every filter
+        last.withColumns(marker).select(*[F.col(c).cast(k) for c, k in t.events.dtypes]).write.parquet(path)
+        raw = raw.unionByName(T.flow_stream(t.spark, path, t.events.schema))
     return t.spark.sql(VIEWS[name][1], table=raw)
 
 
@@ -1098,31 +1190,49 @@ def stream_dedupe(t):
     return ST.run_available(ST.stream_dedupe(twice, delay="40 days"), "dedupe").select("alert_id", "attack_type")
 
 
-@query()
+_SESSIONS = """a AS (SELECT *, epoch_us(event_time) AS us FROM alerts WHERE attack_type <> 'BENIGN' AND destination_port IS NOT NULL),
+ g AS (SELECT *, CASE WHEN us - lag(us) OVER w <= 21600000000 THEN 0 ELSE 1 END AS n FROM a WINDOW w AS (PARTITION BY attack_type, destination_port ORDER BY us, alert_id)),
+ s AS (SELECT *, sum(n) OVER (PARTITION BY attack_type, destination_port ORDER BY us, alert_id) AS k FROM g)"""
+
+
+@query("alerts", f"""WITH {_SESSIONS} SELECT concat('INC-', strftime(min(event_time), '%Y%m%d'), '-', upper(md5(first(alert_id ORDER BY us, alert_id)))) AS incident_id, attack_type, destination_port,
+ count(*) AS alert_count, {_STAMP.format('min(event_time)')} AS first_seen, {_STAMP.format('max(event_time)')} AS last_seen FROM s GROUP BY attack_type, destination_port, k""")
 def stream_sessions(t):
-    """Sessions the watermark has closed by the end of the input."""
-    out = ST.run_available(ST.stream_sessions(events_stream(t, "alerts"), 21_600), "sessions")
+    out = ST.run_available(ST.stream_sessions(events_stream(t, "alerts", close=True), 21_600), "sessions")
     return out.withColumns({"first_seen": time_text("first_seen"), "last_seen": time_text("last_seen")})
 
 
-@query()
+@query_on_fold("SELECT alert_id, incident_id FROM linked")
 def stream_correlate(t):
     return ST.run_available(ST.stream_correlate(events_stream(t, "alerts"), 21_600), "correlated")
 
 
 @query()
+def stream_correlate_without_addresses(t):
+    none = F.lit(None).cast("string")
+    rows = events_stream(t, "alerts").withColumns({"source_ip": none, "destination_ip": none})
+    return ST.run_available(ST.stream_correlate(rows, 21_600, addresses=False), "correlated")
+
+
+ORACLES["stream_correlate_without_addresses"] = ORACLES["correlate_without_addresses"]
+
+
+@query("packets", f"""WITH {_FLOW} SELECT fseq AS flow_seq, count(*) AS packet_count, bool_or(ended) AS terminated, CAST(max(us) - min(us) AS DOUBLE) AS Flow_Duration,
+ CAST(count(*) FILTER (fwd) AS DOUBLE) AS Tot_Fwd_Pkts, CAST(count(*) FILTER (NOT fwd) AS DOUBLE) AS Tot_Bwd_Pkts FROM f GROUP BY host, k, fseq""")
 def stream_flows(t):
-    """Flows closed by a terminator, a gap or the watermark; flows still open are not emitted."""
-    out = ST.run_available(ST.stream_flows(events_stream(t, "packets"), _TIMEOUT), "flows")
+    out = ST.run_available(ST.stream_flows(events_stream(t, "packets", close=True), _TIMEOUT), "flows")
     return out.select("flow_seq", "packet_count", "terminated", "Flow_Duration", "Tot_Fwd_Pkts", "Tot_Bwd_Pkts")
 
 
-@query()
+@query("flows", f"""SELECT count(*) AS flows_processed, count(*) FILTER (IsAttack = 1) AS ground_truth_attacks, round(count(*) FILTER (IsAttack = 1) * 100.0 / count(*), 2) AS ground_truth_attack_rate_percent,
+ true AS adds_up FROM flows WHERE {_TEST}""")
 def stream_score(t):
-    """Score the flow table as a stream: alerts appended, one scorecard per batch, totals."""
+    """Score unseen flows as a stream: alerts appended, one scorecard per batch, totals. Verdicts and stored alerts add up."""
     detector, classifier = trained(t)
     root = new_path(t.spark, "scoring")
-    model_rows(t).write.parquet(f"{root}/incoming")
-    feed = T.flow_stream(t.spark, f"{root}/incoming", model_rows(t).schema, files_per_trigger=4)
-    _, cards = ST.stream_score(feed.withColumn("source_file", F.lit("s")), detector, classifier, root)
-    return ST.telemetry(t.spark, cards)
+    held_out(t).write.parquet(f"{root}/incoming")
+    feed = T.flow_stream(t.spark, f"{root}/incoming", held_out(t).schema, files_per_trigger=4)
+    alerts, cards = ST.stream_score(feed.withColumn("source_file", F.lit("s")), detector, classifier, root)
+    stored = t.spark.read.parquet(alerts).agg(F.count("*"), F.count_distinct("alert_digest")).first()
+    adds = (F.col("predicted_attacks") + F.col("predicted_benign") == F.col("flows_processed")) & (F.col("alerts_generated") == stored[0]) & F.lit(stored[0] == stored[1])
+    return ST.telemetry(t.spark, cards).select("flows_processed", "ground_truth_attacks", "ground_truth_attack_rate_percent", adds.alias("adds_up"))

@@ -313,7 +313,7 @@ def apply_assignment(incidents: DataFrame, changes: DataFrame, order: str | None
 
 def _event(kind: str, actor: Column, text: Column, details: dict[str, Column], mark: Column, at: Column) -> list[Column]:
     pairs = [x for k, c in details.items() for x in (F.lit(k), c.cast("string"))]
-    tag = F.md5(F.concat_ws("|", F.col("incident_id"), F.lit(kind), mark, at.cast("string")))
+    tag = F.md5(F.concat_ws("|", F.col("incident_id"), F.lit(kind), mark, F.unix_micros(at).cast("string")))
     return [F.concat(F.lit("EVT-"), tag).alias("event_id"), F.col("incident_id"), at.alias("timestamp"),
             F.lit(kind).alias("event_type"), actor.alias("actor"), text.alias("description"),
             F.create_map(*pairs).alias("details")]

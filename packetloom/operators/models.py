@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from packetloom.functions.scoring import severity, severity_by_probability
 from packetloom.operators.evaluate import averaged_metrics, class_weights, feature_importance, per_class_metrics
 from packetloom.schemas import DETECTOR_FEATURES, NETWORK_FEATURES, TEMPORAL_FEATURES
-from packetloom.session import new_path
+from packetloom.session import materialise, new_path
 from packetloom.sources.tables import load_model, save_model
 
 # Forest settings per model, and the alerting threshold of the one-stage detector.
@@ -106,14 +106,16 @@ def score_two_stage(df: DataFrame, detector: PipelineModel, classifier: Pipeline
                     policy: str = "family_confidence") -> DataFrame:
     """Adds the verdict of both stages; every input column, truth included, rides along.
 
-    One plan, one scan: both forests are evaluated on the same rows, nothing is collected or
-    joined back by position.
+    The first forest's verdicts are stored, so that the second one sees the detected rows only: with mostly benign traffic
+    that is a small part. Nothing is collected or joined back by position.
     """
     labels = class_labels(classifier)
-    scored = _scoring_part(classifier).transform(detector.transform(df))
-    scored = scored.withColumns({
-        "_p1": vector_to_array("stage1_probability"), "_p2": vector_to_array("stage2_probability"),
-    })
+    first = materialise(detector.transform(df).withColumn("_p1", vector_to_array("stage1_probability")).drop(
+        "stage1_features", "stage1_raw", "stage1_probability"), "stage1")
+    second = _scoring_part(classifier).transform(first.where("stage1_prediction = 1")).withColumn(
+        "_p2", vector_to_array("stage2_probability")).drop("stage2_features", "stage2_raw", "stage2_probability")
+    none = {"_p2": F.lit(None).cast("array<double>"), "stage2_prediction": F.lit(None).cast("double")}
+    scored = second.unionByName(first.where("stage1_prediction <> 1").withColumns(none))
     attack = F.col("stage1_prediction") == 1.0
     one = F.when(attack, F.col("_p1")[1]).otherwise(F.col("_p1")[0])
     two = F.when(attack, F.element_at("_p2", F.col("stage2_prediction").cast("int") + 1)).otherwise(0.0)
@@ -123,8 +125,7 @@ def score_two_stage(df: DataFrame, detector: PipelineModel, classifier: Pipeline
     })
     scored = scored.withColumn("confidence", F.when(attack, one * two).otherwise(one))
     level = severity("attack_type", "confidence", policy)
-    made = [f"{s}_{c}" for s in ("stage1", "stage2") for c in ("features", "raw", "probability", "prediction")]
-    return scored.withColumn("severity", level).drop("_p1", "_p2", *made)
+    return scored.withColumn("severity", level).drop("_p1", "_p2", "stage1_prediction", "stage2_prediction")
 
 
 def detected_only(scored: DataFrame) -> DataFrame:
