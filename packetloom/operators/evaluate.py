@@ -227,15 +227,13 @@ def replay_scorecard(df: DataFrame, run: str = "replay_id", truth: str = "gt_lab
 
 def latency_summary(timings: DataFrame, value: str = "latency_ms") -> DataFrame:
     """Mean, min, max and interpolated percentiles of measured durations."""
-    from packetloom.plans.quantiles import exact_percentiles
+    from packetloom.plans.quantiles import percentile_array
 
-    facts = timings.agg(
-        F.struct(F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max")).alias("f")
-    ).scalar()
     probs = {"median": 0.5, "p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
-    return exact_percentiles(timings, value, probs).withColumn("_f", facts).select(
-        F.col("_f.mean").alias("mean"), *probs, F.col("_f.min").alias("min"), F.col("_f.max").alias("max")
-    )
+    n = timings.agg(F.count(F.col(value).cast("double"))).first()[0]
+    out = timings.agg(F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"),
+                      percentile_array(timings, value, list(probs.values()), n).alias("p"))
+    return out.select("mean", *[F.col("p")[k].alias(name) for k, name in enumerate(probs)], "min", "max")
 
 
 def class_weights(df: DataFrame, label: str = "label", out: str = "classWeight") -> DataFrame:

@@ -11,7 +11,7 @@ from packetloom.functions import values as V
 from packetloom.functions.scoring import LEVELS
 from packetloom.operators.alerts import ALERT_STATES
 from packetloom.operators.reports import share
-from packetloom.plans.quantiles import exact_percentiles
+from packetloom.plans.quantiles import LIMIT, percentile_array
 
 # Window names in minutes, bucket of each window, monitor baseline and limits.
 WINDOW_MINUTES = {"15m": 15, "1h": 60, "24h": 1440, "7d": 10080}
@@ -204,6 +204,9 @@ def count_by(alerts: DataFrame, column: str) -> DataFrame:
 def model_monitor(alerts: DataFrame, window: str = "24h", as_of=None) -> DataFrame:
     """Volume, rates, confidence percentiles and shift against the validation baseline, one row."""
     conf = F.coalesce(V.to_double("confidence"), F.lit(0.0))
+    # once, instead of in every part of the plan
+    newest, total = alerts.agg(F.max(F.col("created_at").cast("timestamp")), F.count("*")).first()
+    as_of = newest if as_of is None else as_of
     rows = in_window(alerts, window, as_of).select("attack_type", conf.alias("c"))
     attack = _is_attack()
     probs = {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9, "p99": 0.99}
@@ -211,11 +214,11 @@ def model_monitor(alerts: DataFrame, window: str = "24h", as_of=None) -> DataFra
     facts = rows.agg(
         F.count("*").alias("n"), F.count_if(attack).alias("attacks"), F.avg("c").alias("mean"),
         F.count_if(F.col("c") < LOW_CONFIDENCE).alias("low"), F.avg(F.when(attack, F.col("c"))).alias("mean2"),
+        percentile_array(rows, "c", list(probs.values()), total if total <= LIMIT else rows.count()).alias("p"),
     )
-    pct = exact_percentiles(rows, "c", probs).select(F.struct(*probs).alias("p")).scalar()
     dist = kinds.agg(F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("o"), "attack_type", "count")))
                      .alias("d")).scalar()
-    facts = facts.withColumns({"p": pct, "d": dist, "minutes": _minutes(alerts, window, as_of)})
+    facts = facts.withColumns({"d": dist, "minutes": _minutes(alerts, window, as_of)})
     n = F.col("n")
     out = facts.select(
         F.lit(window).alias("window"),
@@ -225,7 +228,7 @@ def model_monitor(alerts: DataFrame, window: str = "24h", as_of=None) -> DataFra
         F.round(V.ratio(n - F.col("attacks"), n), 4).alias("benign_rate"),
         F.round("mean", 4).alias("mean_confidence"),
         F.col("low").alias("low_confidence_count"),
-        *[F.round(F.col("p")[k], 4).alias(k) for k in probs],
+        *[F.round(F.col("p")[k], 4).alias(name) for k, name in enumerate(probs)],
         F.col("attacks").alias("classification_volume"),
         F.round("mean2", 4).alias("classification_mean_confidence"),
         F.transform(F.coalesce("d", F.array()), lambda x: x.dropFields("o")).alias("attack_type_distribution"),

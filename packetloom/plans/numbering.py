@@ -4,26 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from packetloom.session import materialise
+
+
+def ranged(df: DataFrame, keys: list[str], order: str, ties: tuple[str, ...] = ()) -> DataFrame:
+    """`df` with `_chunk`, the number of a range of (keys, order, ties). The ranges' edges are sampled, so they hold about as
+    many rows each, whatever bursts or strays the order has. Stored, as a second sample could have other edges."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return materialise(df.repartitionByRange(parts, *keys, order, *ties).withColumn("_chunk", F.spark_partition_id()), "ranged")
+
 
 def number_rows(df: DataFrame, keys: list[str], order: str, out: str = "row_number", ties: tuple[str, ...] = (),
                 chunks: int = 4096, bounds: tuple[int, int] | None = None, keep_upto: str | None = None) -> DataFrame:
-    """1-based position of each row in its group by a whole-number column `order`, then `ties`.
+    """1-based position of each row in its group by the column `order`, then `ties`.
 
-    The order range is cut into `chunks` equal parts; rows are ranked inside (group, chunk)
-    and the counts of earlier chunks are added, so a group is spread over many tasks and the
-    only per-group window runs over at most `chunks` rows. With `keep_upto` (a column), rows
-    that cannot be within that position are dropped before ranking. Keys must not be null.
+    Rows are ranked inside (group, chunk of the order) and the counts of earlier chunks are added, so a group is spread over
+    many tasks. Chunks are sampled ranges. With `bounds`, for a whole-number order known to be spread evenly over them (a
+    hash), they are `chunks` equal parts. With `keep_upto` (a column), rows that cannot be within that position are dropped
+    before ranking. Keys must not be null.
     """
-    value = F.col(order).cast("long")
     if bounds is None:
-        edges = df.agg(F.struct(F.min(value).alias("lo"), F.max(value).alias("hi")).alias("e")).scalar()
-        lo, hi = edges.getField("lo"), edges.getField("hi")
+        rows = ranged(df, keys, order, ties)
     else:
         lo, hi = F.lit(int(bounds[0])).cast("long"), F.lit(int(bounds[1])).cast("long")
-    # double arithmetic is monotone, so chunk order always agrees with value order
-    span = (hi - lo).cast("double") + F.lit(1.0)
-    part = F.floor((value - lo).cast("double") / span * F.lit(float(chunks))).cast("int")
-    rows = df.withColumn("_chunk", part)
+        # double arithmetic is monotone, so chunk order always agrees with value order
+        span = (hi - lo).cast("double") + F.lit(1.0)
+        rows = df.withColumn("_chunk", F.floor((F.col(order).cast("long") - lo).cast("double") / span * F.lit(float(chunks))).cast("int"))
     sizes = rows.groupBy(*keys, "_chunk").agg(F.count("*").alias("_n"))
     earlier = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
     # only groups that reach beyond one chunk have an offset, which keeps this table small

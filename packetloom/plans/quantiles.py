@@ -1,86 +1,77 @@
 """Exact interpolated percentiles without holding all values in one task.
 
-The built-in exact percentile keeps every distinct value in one buffer. Here two rounds of
-equal-width histograms, which combine map-side, narrow the search to the few bins that contain
-the wanted ranks; only the values of those bins are shuffled and ordered. The input column is
-read once per round.
+The built-in exact percentile keeps every distinct value in one buffer, which is right for up to LIMIT values. Above that,
+mergeable sketches bracket the wanted ranks; the rows of a bracket are counted exactly, and brackets are narrowed until they
+hold at most LIMIT rows or one value. Only those rows are ordered. Values are compared, never divided into widths, so
+infinite values and any spread of magnitudes are ranks like others.
 """
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-_BINS = 4096
+LIMIT = 1_000_000
+_ACCURACY = 10_000
+
+
+def _within(x: Column, span: tuple) -> Column:
+    low, high = span[:2]
+    return x.isNotNull() if low is None else x.between(F.lit(low), F.lit(high))
+
+
+def _values_at(values: DataFrame, n: int, ranks: list[int], limit: int) -> dict[int, float]:
+    """Value of column x at each 0-based rank of its order. Two passes narrow every bracket about 2,500-fold."""
+    x = F.col("x")
+    spans = {r: (None, None, 0, n) for r in ranks}  # bounds, rows below, rows within
+    margin = dict.fromkeys(ranks, 2 / _ACCURACY)
+    while wide := [r for r, (low, high, _, inside) in spans.items() if inside > limit and (low is None or low != high)]:
+        tries = []
+        for r in wide:
+            p = (r - spans[r][2] + 0.5) / spans[r][3]
+            tries.append(F.percentile_approx(F.when(_within(x, spans[r]), x), [max(0.0, p - margin[r]), min(1.0, p + margin[r])], _ACCURACY))
+        bounds = values.agg(*tries).first()
+        counts = values.agg(*[c for low, high in bounds for c in (
+            F.count_if(x < low), F.count_if(x.between(F.lit(low), F.lit(high))))]).first()
+        for k, r in enumerate(wide):
+            below, inside = counts[2 * k], counts[2 * k + 1]
+            if below <= r < below + inside:
+                spans[r] = (*bounds[k], below, inside)
+            else:  # the sketch promised better
+                margin[r] *= 2
+    distinct = sorted(set(spans.values()), key=str)
+    tagged = values.where(reduce(or_, [_within(x, s) for s in distinct])).select("x", F.explode(F.array(*[
+        F.when(_within(x, s), F.lit(k)) for k, s in enumerate(distinct)])).alias("k")).where("k IS NOT NULL")
+    order = W.partitionBy("k").orderBy("x").rowsBetween(W.unboundedPreceding, -1)
+    counted = tagged.groupBy("k", "x").agg(F.count("*").alias("m")).withColumn("before", F.coalesce(F.sum("m").over(order), F.lit(0)))
+    wanted = [(F.col("k") == distinct.index(s)) & (F.col("before") <= r - s[2]) & (F.col("before") + F.col("m") > r - s[2])
+              for r, s in spans.items()]
+    found = counted.where(reduce(or_, wanted)).collect()
+    return {r: next(f.x for f in found if f.k == distinct.index(s) and f.before <= r - s[2] < f.before + f.m) for r, s in spans.items()}
+
 
+def percentile_array(df: DataFrame, value: str | Column, probs: list[float], n: int, limit: int = LIMIT) -> Column:
+    """An aggregate over `df` giving the percentiles of its `n` values that are not null."""
+    value = (F.col(value) if isinstance(value, str) else value).cast("double")
+    if n <= limit:
+        return F.percentile(value, F.array(*[F.lit(float(p)) for p in probs]))
+    places = [p * (n - 1) for p in probs]
+    ranks = sorted({f(x) for x in places for f in (math.floor, math.ceil)})
+    at = _values_at(df.select(value.alias("x")).where("x IS NOT NULL"), n, ranks, limit)
 
-def _narrow(values: DataFrame, group: list[str], ranks: Column | None) -> tuple[DataFrame, DataFrame]:
-    """Splits each group's range into bins and finds the bins holding the wanted ranks.
+    def between(place: float) -> float:
+        low, high = at[math.floor(place)], at[math.ceil(place)]
+        return low if low == high else (math.ceil(place) - place) * low + (place - math.floor(place)) * high
 
-    `values`: group columns, `x`, `n`, `_lo`, `_hi` (range of the group); for inner rounds also
-    `_ranks` (array of ranks relative to the group). Returns the binned values and the hits.
-    """
-    width = F.col("_hi") - F.col("_lo")
-    raw = F.floor((F.col("x") - F.col("_lo")) / width * F.lit(float(_BINS)))
-    binned = values.withColumn(
-        "_bin", F.when(width > 0, F.least(raw, F.lit(_BINS - 1))).otherwise(F.lit(0)).cast("int")
-    )
-    keep = [F.first("_ranks").alias("_ranks")] if ranks is None else []
-    bins = binned.groupBy(*group, "_bin").agg(
-        F.sum("n").alias("_n"), F.min("x").alias("_blo"), F.max("x").alias("_bhi"), *keep
-    )
-    before = W.partitionBy(*group).orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)
-    bins = bins.withColumn("_skip", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    if ranks is not None:
-        bins = bins.withColumn("_ranks", ranks)
-    inside = F.filter(F.col("_ranks"), lambda r: (r >= F.col("_skip")) & (r < F.col("_skip") + F.col("_n")))
-    hits = (
-        bins.withColumn("_in", F.transform(inside, lambda r: r - F.col("_skip")))
-        .where(F.size("_in") > 0)
-        .select(*group, "_bin", "_skip", F.col("_blo"), F.col("_bhi"), "_in")
-    )
-    return binned, hits
+    return F.array(*[F.lit(between(x)) for x in places])
 
 
-def exact_percentiles(df: DataFrame, value: str | Column, probs: dict[str, float]) -> DataFrame:
+def exact_percentiles(df: DataFrame, value: str | Column, probs: dict[str, float], limit: int = LIMIT) -> DataFrame:
     """One row with a column per entry of `probs`, linear interpolation, nulls ignored."""
-    value = F.col(value) if isinstance(value, str) else value
-    values = df.select(value.cast("double").alias("x"), F.lit(1).cast("long").alias("n")).where("x IS NOT NULL")
-    whole = values.agg(
-        F.struct(F.sum("n").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).alias("w")
-    ).scalar()
-    total = whole.getField("n")
-    names = list(probs)
-    position = {k: (total - 1).cast("double") * F.lit(float(probs[k])) for k in names}
-    ranks = F.array_distinct(
-        F.array(*[f(position[k]).cast("long") for k in names for f in (F.floor, F.ceil)])
-    )
-    top = values.withColumns({"_lo": whole.getField("lo"), "_hi": whole.getField("hi"), "_g": F.lit(0)})
-    binned, hits = _narrow(top, ["_g"], ranks)
-    # at most two hits per requested percentile: safe to broadcast
-    inner = (
-        binned.drop("_lo", "_hi")
-        .join(F.broadcast(hits.withColumnRenamed("_in", "_ranks")), ["_g", "_bin"])
-        .select(F.col("_bin").alias("_b1"), "x", "n", F.col("_blo").alias("_lo"), F.col("_bhi").alias("_hi"),
-                "_ranks", F.col("_skip").alias("_s1"))
-    )
-    binned2, hits2 = _narrow(inner, ["_b1"], None)
-    # equal values collapse before the shuffle, so a bin full of copies stays small
-    wanted = F.broadcast(hits2.select("_b1", "_bin"))
-    chosen = binned2.join(wanted, ["_b1", "_bin"], "left_semi").groupBy("_b1", "_bin", "_s1", "x").agg(
-        F.sum("n").alias("n")
-    ).join(F.broadcast(hits2.select("_b1", "_bin", "_skip", "_in")), ["_b1", "_bin"])
-    order = W.partitionBy("_b1", "_bin").orderBy("x")
-    before = F.coalesce(F.sum("n").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    found = (
-        chosen.withColumn("_before", before)
-        .withColumn("_r", F.explode(F.filter("_in", lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("n")))))
-        .select((F.col("_r") + F.col("_skip") + F.col("_s1")).alias("rank"), "x")
-    )
-    at = found.agg(F.map_from_entries(F.collect_list(F.struct("rank", "x"))).alias("at"), F.first(total).alias("_n"))
-    out = []
-    for k in names:
-        pos = (F.col("_n") - 1).cast("double") * F.lit(float(probs[k]))
-        low = F.try_element_at("at", F.floor(pos).cast("long"))
-        high = F.try_element_at("at", F.ceil(pos).cast("long"))
-        out.append((low + (high - low) * (pos - F.floor(pos))).alias(k))
-    return at.select(*out)
+    column = F.col(value) if isinstance(value, str) else value
+    n = df.agg(F.count(column.cast("double"))).first()[0]
+    found = df.agg(percentile_array(df, column, list(probs.values()), n, limit).alias("p"))
+    return found.select(*[F.col("p")[k].alias(name) for k, name in enumerate(probs)])

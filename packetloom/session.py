@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import re
 import tempfile
@@ -79,9 +80,26 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+_paths: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path no other run uses, below the shared folder."""
-    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+    path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    _paths.append(path)
+    return path
+
+
+@contextlib.contextmanager
+def released(spark: SparkSession):
+    """Deletes the tables stored inside the block at its end: for blocks whose result does not read them any more."""
+    begin = len(_paths)
+    yield
+    hadoop = spark._jsc.hadoopConfiguration()
+    for path in _paths[begin:]:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(hadoop).delete(place, True)
+    del _paths[begin:]
 
 
 def materialise(df, name: str):

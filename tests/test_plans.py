@@ -38,6 +38,39 @@ def test_exact_percentiles(spark, values):
         assert got[k] == pytest.approx(np.percentile(values, p * 100), rel=1e-12)
 
 
+@pytest.mark.parametrize("values", [
+    [10.0 ** (12 * k / 3000) for k in range(3000)], [float("inf")] * 40 + [float("-inf")] * 30 + [float(k % 97) for k in range(3000)],
+    [5.0] * 2000 + [6.0, 7.0], [float("inf")] * 500, [-1e300, 1e300] * 400,
+])
+def test_percentiles_of_many_values(spark, values):
+    """Brackets instead of one buffer: magnitudes over twelve decades, infinite values, copies."""
+    random.Random(1).shuffle(values)
+    probs = {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.9, "e": 0.99, "f": 1.0}
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "x double").repartition(3)
+    got, plain = exact_percentiles(df, "x", probs, limit=50).first(), exact_percentiles(df, "x", probs).first()
+    assert [got[k] for k in probs] == pytest.approx([plain[k] for k in probs], rel=1e-12)
+
+
+def test_model_monitor_jobs(spark, sf_dir):
+    from packetloom.operators import soc as O
+    from packetloom.plans.views import view
+
+    alerts = view(spark, sf_dir, "alerts")
+    spark.sparkContext.setJobGroup("monitor", "monitor")
+    O.model_monitor(alerts, "7d").collect()
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("monitor")
+    spark.sparkContext.setJobGroup("", "")
+    assert 0 < len(jobs) <= 8
+
+
+def test_ranges_are_even_in_spite_of_a_stray(spark):
+    from packetloom.plans.numbering import ranged
+
+    df = spark.range(4000).select(F.lit("k").alias("k"), F.when(F.col("id") == 0, -(2**60)).otherwise(F.lit(2**40) + F.col("id") % 50).alias("v"), "id")
+    sizes = [r["count"] for r in ranged(df, ["k"], "v", ("id",)).groupBy("_chunk").count().collect()]
+    assert len(sizes) > 1 and max(sizes) < 2 * 4000 / len(sizes)
+
+
 def test_number_rows(spark):
     rnd = random.Random(3)
     rows = [("hot" if rnd.random() < 0.6 else "cold", rnd.choice([rnd.randrange(10), rnd.randrange(2**40)]), i)
