@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from packetloom.llm import words as X
 from packetloom.llm.shared import TRAIN_ROWS, labelled
-from packetloom.session import materialise
+from packetloom.session import materialise, released
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -208,8 +208,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) ->
 
 def keep_good(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     """The rows of `docs` that the rules keep, with all their columns."""
-    counted = materialise(statistics(docs), "statistics")
-    trees, schema = fit(counted, labels, rows), docs.schema
+    with released(docs.sparkSession):
+        trees, schema = fit(materialise(statistics(docs), "statistics"), labels, rows), docs.schema
 
     def keep(batches):
         for part in X.pieces(batches, "text"):

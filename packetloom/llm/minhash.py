@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from packetloom.llm import words as X
 from packetloom.llm.shared import classes
-from packetloom.session import materialise
+from packetloom.session import materialise, new_path, released
 
 ROWS, BANDS, BITS = 7, 40, 4
 LARGE = 256
@@ -200,7 +200,7 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
                 [part.column("id"), pa.array([np.unique(g[a:b]).tobytes() for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())],
                 names=["id", "hashes"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("t")).join(ids.select("id"), "id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("t")).join(ids.select("id").hint("merge"), "id")
     return rows.mapInArrow(run, "id long, hashes binary")
 
 
@@ -301,8 +301,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of `docs` whose document is the least of its class, with all their columns; of rows that repeat an id one
     stays. Rows without id stay."""
-    found = materialise(near_duplicates(docs, width, percent), "classes")
-    left = docs.join(found.filter(~F.col("kept")).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    spark, path = docs.sparkSession, new_path(docs.sparkSession, "classes")
+    with released(spark):
+        near_duplicates(docs, width, percent).select("doc_id", "kept").write.parquet(path)
+    found = spark.read.parquet(path)
+    # The ids grow with the texts: the same plan at every size.
+    left = docs.join(found.filter(~F.col("kept")).select("doc_id").distinct().hint("merge"), "doc_id", "left_anti").select(*docs.columns)
     twice = materialise(found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "twice")
     if twice.isEmpty():
         return left

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from packetloom.llm import words as X
 from packetloom.llm.shared import TRAIN_ROWS, labelled
-from packetloom.session import materialise
+from packetloom.session import materialise, released
 
 BUCKETS = 1 << 16
 SMOOTH = 1.0
@@ -174,11 +174,12 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, rows: int
 
 def keep_sampled(docs: DataFrame, labels: DataFrame, k: int | None = None, rows: int = TRAIN_ROWS, seed: int = 1) -> DataFrame:
     """The sampled rows of `docs` with all their columns."""
-    model = fit(docs, labels, rows, seed)
-    if model is None:
-        return docs
-    ratio, cut, weights = model
-    least = kth_largest(weights, "sort_key", weights.filter(F.col("log_weight") >= cut).count() if k is None else k)
+    with released(docs.sparkSession):
+        model = fit(docs, labels, rows, seed)
+        if model is None:
+            return docs
+        ratio, cut, weights = model
+        least = kth_largest(weights, "sort_key", weights.filter(F.col("log_weight") >= cut).count() if k is None else k)
     if least is None:
         return docs if k is None or k > 0 else docs.limit(0)
     shared = docs.sparkSession.sparkContext.broadcast(ratio)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from packetloom.llm import words as X
 from packetloom.llm.shared import TRAIN_ROWS, least
-from packetloom.session import materialise
+from packetloom.session import materialise, released
 
 MIN_LENGTH = 8
 BUCKETS = 1 << 15
@@ -283,6 +283,11 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, rows: int = TRAIN_ROWS
     """A scanner and its held-out accuracy. labels: doc_id, begin, end (bytes), label; by default the strict rules' labels.
 
     At most `rows` findings train the forest and as many others test it."""
+    with released(docs.sparkSession):
+        return _fit(docs, labels, rows, path)
+
+
+def _fit(docs, labels, rows, path):
     own = corpus(docs)
     found = candidates(docs, own, path)
     if labels is not None:
