@@ -145,23 +145,27 @@ def distinct_labels(t):
     return R.distinct_labels(t.flows)
 
 
-@query("flows", """SELECT 'Flow_Byts_per_s' AS column, count(*) FILTER (Flow_Byts_per_s IS NULL) AS null_count FROM flows
- UNION ALL SELECT 'Flow_Pkts_per_s', count(*) FILTER (Flow_Pkts_per_s IS NULL) FROM flows
- UNION ALL SELECT 'Label', count(*) FILTER (Label IS NULL) FROM flows""".replace("AS column", 'AS "column"'))
+_FLOW_COLUMNS = ("flow_id Timestamp Hour Dst_Port Protocol Flow_Duration Tot_Fwd_Pkts Tot_Bwd_Pkts TotLen_Fwd_Pkts TotLen_Bwd_Pkts Flow_Byts_per_s "
+                 "Flow_Pkts_per_s Label IsAttack").split()
+_FLOW_DOUBLES = [c for c in _FLOW_COLUMNS[5:12] if c != "Tot_Bwd_Pkts"]
+
+
+@query("flows", " UNION ALL ".join(f"""SELECT '{c}' AS "column", count(*) FILTER ({c} IS NULL) AS null_count FROM flows""" for c in _FLOW_COLUMNS))
 def null_counts(t):
-    return R.null_counts(t.flows.select("Flow_Byts_per_s", "Flow_Pkts_per_s", "Label"))
+    return R.null_counts(t.flows)
 
 
-@query("flows", """SELECT 'Flow_Byts_per_s' AS "column", count(*) FILTER (isinf(Flow_Byts_per_s)) AS inf_count FROM flows
- UNION ALL SELECT 'Flow_Pkts_per_s', count(*) FILTER (isinf(Flow_Pkts_per_s)) FROM flows""")
+@query("flows", " UNION ALL ".join(f"""SELECT '{c}' AS "column", count(*) FILTER (isinf({c})) AS inf_count FROM flows""" for c in _FLOW_DOUBLES))
 def inf_counts(t):
-    return R.inf_counts(t.flows.select("Flow_Byts_per_s", "Flow_Pkts_per_s", "Label"))
+    return R.inf_counts(t.flows)
 
 
-@query("flows", """SELECT (SELECT count(*) FROM flows) AS "rows", 3 AS "columns", p AS position, c AS "column", k AS type
- FROM (VALUES (0, 'Label', 'string'), (1, 'IsAttack', 'int'), (2, 'Flow_Duration', 'double')) v(p, c, k)""")
+@query("flows", f"""SELECT (SELECT count(*) FROM flows) AS "rows", {len(_FLOW_COLUMNS)} AS "columns", p AS position, c AS "column", k AS type FROM (VALUES """ + ", ".join(
+    f"({i}, '{c}', '{'bigint' if c in ('flow_id', 'Tot_Bwd_Pkts') else 'string' if c == 'Label' else 'double' if c in _FLOW_DOUBLES else 'TIME' if c == 'Timestamp' else 'int'}')"
+    for i, c in enumerate(_FLOW_COLUMNS)) + ") v(p, c, k)")
 def schema_profile(t):
-    return R.schema_profile(t.flows.select("Label", "IsAttack", "Flow_Duration"))
+    kind = F.when(F.col("type").startswith("timestamp") | (F.col("type") == "date"), "TIME").otherwise(F.col("type"))
+    return R.schema_profile(t.flows).withColumn("type", kind)
 
 
 @query("flows", """WITH s AS (SELECT Label, flow_id % 5 < 4 AS train FROM flows),
@@ -521,16 +525,20 @@ def class_distribution(t):
 
 # ================================================================ alerts
 
-@query("alerts", """WITH k AS (SELECT seq, sha256(concat_ws('|', strftime(CAST(event_time AS DATE), '%Y-%m-%d 00:00:00.000000'), attack_type, severity,
- coalesce(CAST(destination_port AS STRING), ''), protocol, '0.000000')) AS key FROM alerts),
- o AS (SELECT seq, key, row_number() OVER (PARTITION BY key ORDER BY seq) - 1 AS occurrence FROM k)
- SELECT seq, occurrence, substr(sha256(concat(key, '|', CAST(occurrence AS STRING))), 1, 16) AS alert_id FROM o""")
+@query("alerts", """WITH d AS (SELECT *, 0 AS delivery FROM alerts UNION ALL SELECT *, 1 FROM alerts),
+ k AS (SELECT seq, delivery, sha256(concat_ws('|', strftime(event_time, '%Y-%m-%d %H:%M:%S.%f'), attack_type, severity,
+ coalesce(CAST(destination_port AS STRING), ''), protocol, printf('%.6f', confidence))) AS key FROM d),
+ o AS (SELECT seq, delivery, sha256(concat(key, '|', CAST(row_number() OVER (PARTITION BY key ORDER BY seq, delivery) - 1 AS STRING))) AS whole,
+ row_number() OVER (PARTITION BY key ORDER BY seq, delivery) - 1 AS occurrence FROM k)
+ SELECT seq, delivery, occurrence, CASE WHEN seq % 50 = 0 THEN concat('S-', CAST(seq AS STRING)) ELSE substr(whole, 1, 16) END AS alert_id,
+ CASE WHEN seq % 50 = 0 THEN concat('S-', CAST(seq AS STRING)) ELSE whole END AS alert_digest FROM o""")
 def alert_ids(t):
-    """Identity of alerts reduced to their day, so that many copies share a key."""
-    rows = t.alerts.drop("alert_id").withColumns({
-        "Timestamp": F.to_date("event_time").cast("timestamp"), "Dst_Port": F.col("destination_port"),
-        "attack_probability": F.lit(0.0)})
-    return A.with_alert_ids(rows, "seq").select("seq", "occurrence", "alert_id")
+    """Identity over the six fields of alerts, every alert delivered twice, every fiftieth with an id of its own."""
+    twice = t.alerts.drop("alert_id").withColumn("delivery", F.explode(F.array(F.lit(0), F.lit(1))))
+    rows = twice.withColumns({
+        "Timestamp": F.col("event_time").cast("timestamp"), "Dst_Port": F.col("destination_port"), "attack_probability": F.col("confidence"),
+        "given": F.when(F.col("seq") % 50 == 0, F.concat(F.lit(" S-"), "seq"))})
+    return A.with_alert_ids(rows, "seq", ("delivery",), supplied="given").select("seq", "delivery", "occurrence", "alert_id", "alert_digest")
 
 
 @query("alerts", """SELECT alert_id, attack_type FROM alerts WHERE seq % 3 <> 0""")
@@ -559,16 +567,16 @@ def lookup_many(t):
     return A.lookup_many(t.alerts, keys, "alert_id").select("alert_id", "severity")
 
 
-@query("alerts", """WITH c AS (SELECT CAST(event_id * 7 % (SELECT count(*) FROM events) AS STRING) AS alert_id, ts, CASE event_id % 5 WHEN 0 THEN 'RESOLVED' WHEN 1 THEN 'ESCALATED' WHEN 2 THEN 'BOGUS' ELSE 'INVESTIGATING' END AS s FROM events WHERE event_type = 'click'),
- l AS (SELECT alert_id, arg_max(s, ts) AS s FROM c WHERE s <> 'BOGUS' GROUP BY alert_id)
+@query("alerts", """WITH c AS (SELECT CAST(event_id * 7 % (SELECT count(*) FROM events) AS STRING) AS alert_id, ts, CASE event_id % 5 WHEN 0 THEN 'RESOLVED' WHEN 1 THEN 'ESCALATED' WHEN 2 THEN 'BOGUS' ELSE 'INVESTIGATING' END AS s FROM events),
+ l AS (SELECT alert_id, arg_max(s, (ts, s)) AS s FROM c WHERE s <> 'BOGUS' GROUP BY alert_id)
  SELECT alert_id, coalesce(l.s, status) AS status FROM alerts LEFT JOIN l USING (alert_id)""")
 def apply_alert_status(t):
     total = t.events.agg(F.count("*")).scalar()
     k = F.pmod("event_id", F.lit(5))
-    changes = t.events.where("event_type = 'click'").select(
+    changes = t.events.select(
         F.pmod(F.col("event_id") * 7, total).cast("string").alias("alert_id"), F.col("ts").alias("changed_at"),
         F.when(k == 0, "resolved").when(k == 1, "Escalated").when(k == 2, "BOGUS").otherwise("INVESTIGATING").alias("status"))
-    return A.apply_alert_status(t.alerts, changes).select("alert_id", "status")
+    return A.apply_alert_status(t.alerts, changes.withColumn("n", F.upper("status")), order="n").select("alert_id", "status")
 
 
 @query("alerts", """SELECT status, count(*) AS before, count(*) FILTER (NOT starts_with(alert_id, '1')) AS after FROM alerts GROUP BY status""")
@@ -890,8 +898,8 @@ def correlate(t):
 
 
 @query_on_fold(f"""SELECT incident_id, concat(fl, ' Incident: ', fk, CASE WHEN coalesce(fp, 0) <> 0 THEN concat(' on Port ', CAST(fp AS VARCHAR)) ELSE '' END) AS title, 'NEW' AS status, severity,
- round(least(100.0, CASE severity WHEN 'CRITICAL' THEN 80 WHEN 'HIGH' THEN 60 WHEN 'MEDIUM' THEN 40 ELSE 20 END + least(20.0, (n - 1) * 3.0) + least(15.0, (kinds - 1) * 5.0) + round(conf * 10, 2)
- + CASE WHEN lu - fu >= 60000000 THEN 5 ELSE 0 END), 1) AS risk_score, {_STAMP.format('ft')} AS first_seen, {_STAMP.format('lt')} AS last_seen, n AS alert_count, fk AS primary_attack_type,
+ CAST(round(CAST(least(100.0, CASE severity WHEN 'CRITICAL' THEN 80 WHEN 'HIGH' THEN 60 WHEN 'MEDIUM' THEN 40 ELSE 20 END + least(20.0, (n - 1) * 3.0) + least(15.0, (kinds - 1) * 5.0) + round(CAST(conf * 10 AS DECIMAL(12, 6)), 2)
+ + CASE WHEN lu - fu >= 60000000 THEN 5 ELSE 0 END) AS DECIMAL(12, 4)), 1) AS DOUBLE) AS risk_score, {_STAMP.format('ft')} AS first_seen, {_STAMP.format('lt')} AS last_seen, n AS alert_count, fk AS primary_attack_type,
  src AS source_entities, dst AS destination_entities, ports AS destination_ports, protocols, 'Unassigned' AS assigned_to,
  CASE WHEN n > 1 THEN concat('Incident correlated ', CAST(n AS VARCHAR), ' alerts covering ', CAST(kinds AS VARCHAR), ' attack types.')
  ELSE concat('Security Incident created for ', fk, ' alert on interface/port ', CASE WHEN coalesce(fp, 0) <> 0 THEN CAST(fp AS VARCHAR) ELSE 'N/A' END, '.') END AS summary FROM g""", more=""",
@@ -1236,3 +1244,175 @@ def stream_score(t):
     stored = t.spark.read.parquet(alerts).agg(F.count("*"), F.count_distinct("alert_digest")).first()
     adds = (F.col("predicted_attacks") + F.col("predicted_benign") == F.col("flows_processed")) & (F.col("alerts_generated") == stored[0]) & F.lit(stored[0] == stored[1])
     return ST.telemetry(t.spark, cards).select("flows_processed", "ground_truth_attacks", "ground_truth_attack_rate_percent", adds.alias("adds_up"))
+
+
+# ================================================================ sources, sinks and small parts
+
+_LABELS = "CASE WHEN l_returnflag = 'N' THEN 'Benign' ELSE 'Bot' END"
+
+
+def _four_files(t) -> str:
+    path = new_path(t.spark, "daily")
+    raw_file(t).repartition(4).write.option("header", True).csv(path)
+    return path
+
+
+@query("", f"""SELECT {_LABELS} AS "Label", count(*) AS n, CAST(sum(l_quantity + 3) AS BIGINT) AS duration, 'double' AS kind FROM lineitem GROUP BY 1""")
+def read_flow_csv_inferred(t):
+    raw = T.read_flow_csv(t.spark, _four_files(t), infer=True)
+    return raw.groupBy("Label").agg(F.count("*").alias("n"), F.sum("`Flow Duration`").cast("long").alias("duration"),
+                                    F.first(F.typeof("`Flow Duration`")).alias("kind"))
+
+
+@query("", "SELECT count(*) AS n, CAST(sum(l_quantity) AS BIGINT) AS packets FROM lineitem")
+def read_flows(t):
+    return T.read_flows(t.spark, f"{t.dir}/lineitem.parquet", ["l_quantity"]).agg(F.count("*").alias("n"), F.sum("l_quantity").cast("long").alias("packets"))
+
+
+@query("", """SELECT 4 AS files, true AS filled""")
+def discover(t):
+    return T.discover(t.spark, [_four_files(t)], expected=4).agg(F.count("*").cast("int").alias("files"), F.bool_and(F.col("length") > 0).alias("filled"))
+
+
+@query("", f"""SELECT {_LABELS} AS "Label", count(*) AS n, 4 AS files FROM lineitem GROUP BY 1""")
+def read_flow_files(t):
+    """Files with two header layouts, united by name; each row keeps the name of its file."""
+    path = _four_files(t)
+    other = new_path(t.spark, "daily")
+    raw = raw_file(t)
+    raw.where("Label = 'Bot'").select(F.lit("x").alias("extra"), *[F.col(f"`{c}`") for c in reversed(raw.columns)]).repartition(2).write.option("header", True).csv(other)
+    first = [r.path for r in T.discover(t.spark, [path]).collect()]
+    second = [r.path for r in T.discover(t.spark, [other]).collect()]
+    rows = T.read_flow_files(t.spark, [*first, *second])
+    names = rows.where(~F.col("source_file").isin([p.rsplit("/", 1)[1] for p in second]))
+    return names.groupBy("Label").agg(F.count("*").alias("n"), F.count_distinct("source_file").cast("int").alias("files"))
+
+
+@query("flows", """SELECT f AS fmt, Label, count(*) AS n FROM flows, (VALUES ('json'), ('csv')) v(f) GROUP BY ALL""")
+def write_metrics(t):
+    counts = R.label_distribution(t.flows).withColumnRenamed("count", "n")
+    out = None
+    for fmt in ("json", "csv"):
+        path = new_path(t.spark, "metrics")
+        T.write_metrics(counts, path, fmt)
+        part = t.spark.read.schema(counts.schema).option("header", True).format(fmt).load(path).select(F.lit(fmt).alias("fmt"), "Label", "n")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("packets", "SELECT count(*) AS n, CAST(sum(pkt_len) AS BIGINT) AS bytes, count(DISTINCT src_ip) AS sources FROM packets")
+def read_packets(t):
+    from packetloom.schemas import PACKET_SCHEMA
+
+    path, have = new_path(t.spark, "packets"), set(t.packets.columns)
+    t.packets.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in PACKET_SCHEMA]).write.parquet(path)
+    return T.read_packets(t.spark, path).agg(F.count("*").alias("n"), F.sum("pkt_len").alias("bytes"), F.count_distinct("src_ip").alias("sources"))
+
+
+@query("", f"""SELECT {_LABELS} AS label, count(*) AS "rows", round(count(*) * 100.0 / sum(count(*)) OVER (), 4) AS percentage FROM lineitem GROUP BY 1""")
+def label_shares(t):
+    path = new_path(t.spark, "labelled")
+    T.write_table(T.canonicalise(raw_file(t)), path)
+    return T.label_shares(t.spark, path)
+
+
+@query("", f"""SELECT {len(RAW_COLUMNS)} AS "columns", true AS clean, count(*) AS "rows" FROM lineitem""")
+def clean_names(t):
+    out = C.clean_names(raw_file(t))
+    good = [c.isidentifier() for c in out.columns]
+    return out.agg(F.lit(len(set(out.columns))).alias("columns"), F.lit(all(good)).alias("clean"), F.count("*").alias("rows"))
+
+
+@query("flows", "SELECT Label, count(*) AS n, 0 AS truth_columns FROM flows GROUP BY Label")
+def strip_ground_truth(t):
+    rows = C.strip_ground_truth(t.flows.select("flow_id", "Hour", F.col("Label").alias("attack_label")), keep_as="truth")
+    left = int("attack_label" in rows.columns)
+    return rows.groupBy(F.col("truth.attack_label").alias("Label")).agg(F.count("*").alias("n"), F.lit(left).alias("truth_columns"))
+
+
+@query("flows", """SELECT count(*) FILTER (isfinite(Flow_Byts_per_s)) AS valid, count(*) FILTER (Flow_Byts_per_s IS NULL OR isinf(Flow_Byts_per_s)) AS invalid,
+ count(*) FILTER (Flow_Byts_per_s IS NULL OR isinf(Flow_Byts_per_s)) AS spoiled_by_bytes FROM flows""")
+def route_invalid(t):
+    good, bad, counts = C.route_invalid(t.flows, ["Tot_Fwd_Pkts", "Flow_Byts_per_s"])
+    spoiled = counts.where("feature = 'Flow_Byts_per_s'").agg(F.coalesce(F.sum("rows"), F.lit(0))).scalar()
+    return good.agg(F.count("*").alias("valid")).withColumns({"invalid": bad.agg(F.count("*")).scalar(), "spoiled_by_bytes": spoiled})
+
+
+@query("flows", "SELECT count(*) AS n, true AS two_parts FROM flows")
+def random_split(t):
+    a, b = (materialise(x, "part") for x in S.random_split(t.flows.select("flow_id")))
+    sizes = a.agg(F.count("*")).scalar(), b.agg(F.count("*")).scalar()
+    return a.union(b).agg(F.count("*").alias("n"), ((sizes[0] > sizes[1]) & (sizes[1] > 0)).alias("two_parts"))
+
+
+@query("flows", f"""WITH c AS (SELECT Label, count(*) AS n FROM flows GROUP BY Label), r AS (SELECT Label, least(1.0, least(CAST(n AS DOUBLE), n * 5000.0 / (SELECT sum(n) FROM c)) / n) AS q FROM c)
+ SELECT Label, count(*) AS n, CAST(sum(flow_id) AS BIGINT) AS ids FROM flows JOIN r USING (Label) WHERE {_UNIT.format(seed=42, key='flow_id')} / 4294967296.0 < q GROUP BY Label""")
+def proportional_sample(t):
+    out = S.stratified_sample(t.flows, "Label", ["flow_id"], target=5000)
+    return out.groupBy("Label").agg(F.count("*").alias("n"), F.sum("flow_id").alias("ids"))
+
+
+@query("flows", "SELECT IsAttack, count(*) AS n FROM flows GROUP BY IsAttack")
+def union_samples(t):
+    return S.union_samples(t.flows.where("IsAttack = 0"), t.flows.where("IsAttack = 1")).groupBy("IsAttack").agg(F.count("*").alias("n"))
+
+
+@query("alerts", f"""SELECT te AS technique_id, ta AS tactic_id, string_agg(DISTINCT attack_type, ',' ORDER BY attack_type) AS associated_attacks, max(CAST(c AS DOUBLE)) AS confidence
+ FROM alerts JOIN {_TECH} ON attack_type = l GROUP BY 1, 2""")
+def labels_by_technique(t):
+    seen = N.techniques(t.spark).join(t.alerts.select("attack_type").distinct(), "attack_type")
+    return N.labels_by_technique(seen).select("technique_id", "tactic_id", joined("associated_attacks").alias("associated_attacks"), "confidence")
+
+
+@query("alerts", f"""SELECT ta AS tactic_id, count(DISTINCT attack_type) AS techniques_count FROM alerts JOIN {_TECH} ON attack_type = l GROUP BY 1""")
+def labels_by_tactic(t):
+    seen = N.techniques(t.spark).join(t.alerts.select("attack_type").distinct(), "attack_type")
+    return N.labels_by_tactic(seen).select("tactic_id", "techniques_count")
+
+
+@query_on_fold(f"""SELECT {_STAMP.format('event_time')} AS timestamp, CASE WHEN row_number() OVER (ORDER BY us, alert_id) = 1 THEN 'INCIDENT_CREATED' ELSE 'ALERT_CORRELATED' END AS event_type,
+ row_number() OVER (ORDER BY us, alert_id) AS place FROM linked WHERE incident_id = (SELECT incident_id FROM linked GROUP BY 1 ORDER BY count(*) DESC, incident_id LIMIT 1)""")
+def timeline_of(t):
+    """History of the largest incident, oldest first."""
+    correlated = materialise(_correlated(t), "correlated")
+    largest = correlated.groupBy("incident_id").count().orderBy(F.desc("count"), "incident_id").first().incident_id
+    rows = I.timeline_of(I.incident_timeline(correlated), largest)
+    place = F.row_number().over(W.orderBy("timestamp", F.col("event_type") != "INCIDENT_CREATED", "event_id")).cast("long")
+    return rows.select(time_text("timestamp").alias("timestamp"), "event_type", place.alias("place"))
+
+
+@query("alerts", """WITH d AS (SELECT date_trunc('day', event_time) AS day, count(*) AS n FROM alerts GROUP BY 1)
+ SELECT strftime(day, '%Y-%m-%d') AS bucket, n AS total_alerts FROM d WHERE epoch_us(day) + 86400000000 <= (SELECT max(epoch_us(event_time)) - 600000000 FROM alerts)""")
+def late_data(t):
+    """The same events once more, two deliveries later: every one is behind the watermark, none is counted again."""
+    path = new_path(t.spark, "deliveries")
+    rows = t.alerts.select("alert_id", "event_time", "severity", "attack_type")
+    closed = rows.agg(F.max("event_time")).scalar()
+    rows.coalesce(1).write.parquet(path)
+    rows.orderBy(F.desc("event_time")).limit(1).write.mode("append").parquet(path)
+    rows.where(F.to_date("event_time") < F.to_date(closed - F.expr("INTERVAL 10 MINUTES"))).coalesce(1).write.mode("append").parquet(path)
+    feed = T.flow_stream(t.spark, path, rows.schema)
+    out = ST.run_available(ST.stream_trends(feed, "7d"), "late")
+    return out.select(day_text("bucket").alias("bucket"), "total_alerts")
+
+
+@query("alerts", "SELECT count(*) AS input_rows, true AS numbered FROM alerts")
+def stream_progress(t):
+    path = new_path(t.spark, "progress")
+    query = events_stream(t, "alerts").writeStream.format("noop").option("checkpointLocation", path).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return ST.stream_progress(query).agg(F.sum("input_rows").alias("input_rows"), (F.count_distinct("batch") == F.count("*")).alias("numbered"))
+
+
+@query("flows", f"""SELECT count(*) AS support, 3 AS time_features FROM flows WHERE {_TEST} AND IsAttack = 1""")
+def leakage_report(t):
+    """Weighted classifier with time features, judged on unseen attacks: what its time features weigh, and its averages."""
+    rows = model_rows(t).where("IsAttack = 1")
+    names = ["Hour", "DayOfWeek", "IsWeekend", "Tot_Fwd_Pkts", "Flow_Duration"]
+    rows = rows.withColumn("IsWeekend", F.col("DayOfWeek").isin(1.0, 7.0).cast("double")).withColumn("Hour", F.col("Hour").cast("double"))
+    train, test = S.split_by_hash(rows, ["flow_id"])
+    sample = materialise(S.stratified_sample(train, "attack_label", ["flow_id"], target=TRAIN_ROWS), "sample")
+    model = M.train_classifier(sample, names, weighted=True, numTrees=30)
+    importance, averages = M.leakage_report(model, test, names)
+    weighed = importance.agg(F.count("*")).scalar()
+    return averages.agg(F.max("samples").cast("long").alias("support"), F.first(weighed).cast("int").alias("time_features"))

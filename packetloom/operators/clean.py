@@ -146,13 +146,26 @@ def validate_features(df: DataFrame, features: list[str] | None = None) -> DataF
     }).withColumn("schema_compatible", F.size("invalid_features") == 0)
 
 
+def route_invalid(df: DataFrame, features: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows fit for scoring, the others with what is wrong with them, and how many rows each feature spoils."""
+    checked = validate_features(df, features)
+    marks = ("missing_features", "invalid_features", "schema_compatible")
+    good = checked.where("schema_compatible").drop(*marks)
+    bad = checked.where("NOT schema_compatible").drop("schema_compatible")
+    counts = bad.select(F.explode("invalid_features").alias("feature")).groupBy("feature").agg(F.count("*").alias("rows"))
+    return good, bad, counts
+
+
 def default_fields(df: DataFrame, as_of, ts: str = "Timestamp") -> DataFrame:
-    """Delivery defaults: missing event time becomes `as_of`, port and protocol become numbers, NaN null."""
+    """Delivery defaults: missing event time becomes `as_of`, port and protocol become numbers, NaN null. Text that is no
+    number stays in `<column>_text`, which is null otherwise."""
     stamp = F.lit(as_of).cast("timestamp")
     out = {ts: F.coalesce(F.col(ts).try_cast("timestamp"), stamp)} if ts in df.columns else {ts: stamp}
     for f in df.schema:
         if f.name in ("Dst_Port", "Protocol"):
             out[f.name] = F.nullif(V.to_double(f.name), F.lit(float("nan")))
+            if f.dataType.typeName() == "string":
+                out[f"{f.name}_text"] = F.when(out[f.name].isNull(), F.nullif(F.trim(f.name), F.lit("")))
         elif _is_float(f):
             out[f.name] = F.when(~F.isnan(F.col(f"`{f.name}`")), F.col(f"`{f.name}`"))
     return df.withColumns(out)

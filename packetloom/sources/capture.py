@@ -8,6 +8,7 @@ block format that replaced it are read.
 from __future__ import annotations
 
 import ipaddress
+import itertools
 import struct
 from collections.abc import Iterator
 
@@ -110,40 +111,57 @@ def _parse(link: int, frame: bytes) -> dict | None:
     return row
 
 
+def _records(data: bytes) -> Iterator[tuple[int, dict | None, str | None]]:
+    """(number, packet fields, None) or (number, None, reason) of each record of a capture."""
+    if len(data) < 24:
+        yield 0, None, "file shorter than a header"
+        return
+    walk = _blocks if struct.unpack_from("<I", data)[0] == BLOCK_SECTION else _classic
+    for seq, (when, link, frame, length) in enumerate(walk(data)):
+        try:
+            row, reason = _parse(link, frame), "no IP packet"
+        except (struct.error, IndexError, ValueError) as e:
+            row, reason = None, f"damaged: {type(e).__name__}"
+        if row is None:
+            yield seq, None, reason
+        else:
+            yield seq, row | {"seq": seq, "packet_time": pd.Timestamp(when, unit="us"), "pkt_len": length}, None
+
+
 def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     columns = ["path", *[f.name for f in PACKET_SCHEMA]]
     for batch in batches:
         for path, data in zip(batch["path"], batch["content"]):
-            if len(data) < 24:
-                continue
-            walk = _blocks if struct.unpack_from("<I", data)[0] == BLOCK_SECTION else _classic
-            rows = []
-            for seq, (when, link, frame, length) in enumerate(walk(data)):
-                try:
-                    row = _parse(link, frame)
-                except (struct.error, IndexError, ValueError):
-                    row = None
-                if row is not None:
-                    rows.append(row | {"path": path, "seq": seq, "packet_time": pd.Timestamp(when, unit="us"),
-                                       "pkt_len": length})
-                if len(rows) == 20_000:
-                    yield pd.DataFrame(rows, columns=columns)
-                    rows = []
-            if rows:
+            packets = (row | {"path": path} for _, row, _ in _records(data) if row is not None)
+            while rows := list(itertools.islice(packets, 20_000)):
                 yield pd.DataFrame(rows, columns=columns)
 
 
+def _reject(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for path, data in zip(batch["path"], batch["content"]):
+            bad = ((path, seq, reason) for seq, row, reason in _records(data) if row is None)
+            while rows := list(itertools.islice(bad, 20_000)):
+                yield pd.DataFrame(rows, columns=["path", "seq", "reason"])
+
+
+def _files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path).select(
+        "path", "content")
+
+
 def decode_capture_files(spark: SparkSession, path: str, pattern: str = "*.pcap*") -> DataFrame:
     """Packet rows of every capture file below `path`, with the file name as `path`.
 
-    `seq` is the record number in its file. Frames without IP are skipped.
+    `seq` is the record number in its file. What gives no packet is listed by `rejected_records`.
     """
-    files = (
-        spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True)
-        .load(path).select("path", "content")
-    )
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in PACKET_SCHEMA)
-    return files.mapInPandas(_decode, f"path string, {fields}")
+    return _files(spark, path, pattern).mapInPandas(_decode, f"path string, {fields}")
+
+
+def rejected_records(spark: SparkSession, path: str, pattern: str = "*.pcap*") -> DataFrame:
+    """path, seq and reason of every record (or file) that gives no packet."""
+    return _files(spark, path, pattern).mapInPandas(_reject, "path string, seq long, reason string")
 
 
 def skipped_frames(packets: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
@@ -18,14 +20,18 @@ def read_flow_csv(spark: SparkSession, paths: str | list[str], infer: bool = Fal
 
 
 def read_flow_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Daily files whose headers may differ in order or carry extra columns: one header-driven
-    scan per distinct layout would be needed otherwise, so files are united strictly by name."""
-    parts = [
-        with_source_file(spark.read.option("header", True).option("mode", "PERMISSIVE").csv(p)) for p in paths
-    ]
-    out = canonicalise(parts[0])
-    for part in parts[1:]:
-        out = out.unionByName(canonicalise(part), allowMissingColumns=False)
+    """Daily files whose headers may differ in order or carry extra columns, united strictly by name: one multi-path scan
+    for each distinct header line, however many files share it."""
+    place = F.col("_metadata.file_path")
+    lines = spark.read.text(paths).where("_metadata.file_block_start = 0").select(
+        place.alias("path"), "value", F.monotonically_increasing_id().alias("n"))
+    layouts = lines.groupBy("path").agg(F.min_by("value", "n").alias("header")).groupBy("header").agg(
+        F.array_sort(F.collect_list("path")).alias("paths")).orderBy("header").collect()
+    out = None
+    for layout in layouts:
+        part = canonicalise(with_source_file(
+            spark.read.option("header", True).option("mode", "PERMISSIVE").csv([unquote(p) for p in layout["paths"]])))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=False)
     return out
 
 
@@ -47,16 +53,6 @@ def discover(spark: SparkSession, paths: list[str], expected: int | None = None,
     return files.orderBy("path")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores when the input is too small to be split that far by the scan itself
-    (a single row group, say). Inputs of that many full splits or more pass through unshuffled.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < cores * 128 * 1024 * 1024 else df
-
-
 def with_source_file(df: DataFrame, column: str = "source_file") -> DataFrame:
     return df.withColumn(column, F.col("_metadata.file_name"))
 
@@ -105,7 +101,8 @@ def table_check(df: DataFrame, label: str = "Label", source: str = "source_file"
 def verify_table(spark: SparkSession, path: str, label: str = "Label", rows: int | None = None,
                  columns: int | None = None) -> DataFrame:
     """Re-reads a written table and raises when a hard check fails."""
-    facts = table_check(spark.read.parquet(path), label)
+    table = spark.read.parquet(path)
+    facts = table_check(table, label)
     seen = facts.first()
     problems = []
     if rows is not None and seen["rows"] != rows:
@@ -118,7 +115,14 @@ def verify_table(spark: SparkSession, path: str, label: str = "Label", rows: int
         problems.append(f"{seen['unlabelled']} unlabelled rows")
     if problems:
         raise ValueError("; ".join(problems))
-    return facts
+    return spark.createDataFrame([seen], facts.schema)
+
+
+def label_shares(spark: SparkSession, path: str, label: str = "Label") -> DataFrame:
+    """Label distribution of a written table: rows and percentage of each label, most frequent first."""
+    counts = spark.read.parquet(path).groupBy(F.trim(F.col(f"`{label}`")).alias("label")).agg(F.count("*").alias("rows"))
+    total = counts.agg(F.sum("rows")).scalar()
+    return counts.withColumn("percentage", F.round(F.col("rows") * 100.0 / total, 4)).orderBy(F.desc("rows"), "label")
 
 
 def flow_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int = 1,
