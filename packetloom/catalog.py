@@ -898,8 +898,8 @@ def correlate(t):
 
 
 @query_on_fold(f"""SELECT incident_id, concat(fl, ' Incident: ', fk, CASE WHEN coalesce(fp, 0) <> 0 THEN concat(' on Port ', CAST(fp AS VARCHAR)) ELSE '' END) AS title, 'NEW' AS status, severity,
- CAST(round(CAST(least(100.0, CASE severity WHEN 'CRITICAL' THEN 80 WHEN 'HIGH' THEN 60 WHEN 'MEDIUM' THEN 40 ELSE 20 END + least(20.0, (n - 1) * 3.0) + least(15.0, (kinds - 1) * 5.0) + round(CAST(conf * 10 AS DECIMAL(12, 6)), 2)
- + CASE WHEN lu - fu >= 60000000 THEN 5 ELSE 0 END) AS DECIMAL(12, 4)), 1) AS DOUBLE) AS risk_score, {_STAMP.format('ft')} AS first_seen, {_STAMP.format('lt')} AS last_seen, n AS alert_count, fk AS primary_attack_type,
+ CAST(CASE severity WHEN 'CRITICAL' THEN 80 WHEN 'HIGH' THEN 60 WHEN 'MEDIUM' THEN 40 ELSE 20 END + least(20.0, (n - 1) * 3.0) + least(15.0, (kinds - 1) * 5.0)
+ + CASE WHEN lu - fu >= 60000000 THEN 5 ELSE 0 END AS DOUBLE) AS points, round(conf, 6) AS confidence, {_STAMP.format('ft')} AS first_seen, {_STAMP.format('lt')} AS last_seen, n AS alert_count, fk AS primary_attack_type,
  src AS source_entities, dst AS destination_entities, ports AS destination_ports, protocols, 'Unassigned' AS assigned_to,
  CASE WHEN n > 1 THEN concat('Incident correlated ', CAST(n AS VARCHAR), ' alerts covering ', CAST(kinds AS VARCHAR), ' attack types.')
  ELSE concat('Security Incident created for ', fk, ' alert on interface/port ', CASE WHEN coalesce(fp, 0) <> 0 THEN CAST(fp AS VARCHAR) ELSE 'N/A' END, '.') END AS summary FROM g""", more=""",
@@ -909,7 +909,11 @@ def correlate(t):
  coalesce(string_agg(DISTINCT source_ip, ',' ORDER BY source_ip), '') AS src, string_agg(DISTINCT destination_ip, ',' ORDER BY destination_ip) AS dst, string_agg(DISTINCT protocol, ',' ORDER BY protocol) AS protocols,
  coalesce(array_to_string(list_sort(list_distinct(list(destination_port) FILTER (destination_port IS NOT NULL))), ','), '') AS ports FROM linked GROUP BY incident_id)""")
 def build_incidents(t):
-    out = I.build_incidents(_correlated(t)).drop("risk_factors", "created_at", "updated_at")
+    """The points of the score without its rounded share for confidence, which `risk_score` compares."""
+    part = F.col("risk_factors")
+    out = I.build_incidents(_correlated(t)).withColumns({
+        "points": part.base_score + part.volume_bonus + part.diversity_bonus + part.duration_bonus,
+        "confidence": F.round(part.confidence, 6)}).drop("risk_factors", "risk_score", "created_at", "updated_at")
     sets = ("source_entities", "destination_entities", "destination_ports", "protocols")
     return out.withColumns({c: time_text(c) for c in ("first_seen", "last_seen")} | {c: joined(c) for c in sets})
 
