@@ -123,6 +123,36 @@ def test_changes_close_and_reopen(spark):
     assert found(I.correlate(frame(spark, rows), changes=log)) == groups(sequential(rows, 300, changes))
 
 
+def test_an_unknown_state_reopens_nothing(spark):
+    """RESOLVED closes the incident; a change to a state that does not exist is no change."""
+    rows = [alert(f"a{k}", 10.0 * k, "Bot", "HIGH", 0.5, 22, "10.0.0.1", "d1") for k in range(6)]
+    df = frame(spark, rows)
+    first = I.correlate(df.limit(1)).first()["incident_id"]
+    at = df.where("alert_id = 'a1'").first()["event_time"]
+    log = [(first, "RESOLVED", 1), (first, "LOST", 2)]
+    changes = spark.createDataFrame(log, "incident_id string, status string, s int").withColumn(
+        "changed_at", F.lit(at).cast("timestamp") + F.make_dt_interval(secs=F.col("s")))
+    for part in (changes, changes.where("s = 1")):
+        got = I.correlate(df, changes=part.drop("s"))
+        assert sorted(r["n"] for r in got.groupBy("incident_id").agg(F.count("*").alias("n")).collect()) == [2, 4]
+
+
+def test_fold_state_survives_a_round(spark):
+    from packetloom.plans.folding import OpenIncidents
+
+    rnd = random.Random(8)
+    whole = OpenIncidents(100)
+    cut, ids, again = OpenIncidents(100), [], []
+    for k in range(400):
+        t, args = 7 * k, (f"a{k}", rnd.choice("xyz"), rnd.choice(["s1", "s2", None]), rnd.choice(["d1", "d2", None]), rnd.choice([1, 2, 0, None]))
+        for state, out in ((whole, ids), (cut, again)):
+            state.forget(t - 100)
+            out.append(state.take(t, t, *args))
+        if k % 37 == 0:
+            cut = OpenIncidents(100, cut.dump())
+    assert ids == again and len(whole.by_id) < 60 and len(whole.pairs) < 400
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rows = random_alerts(200, 8)
     path = str(tmp_path / "in")

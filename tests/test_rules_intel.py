@@ -118,3 +118,43 @@ def test_limits(spark):
             A.newest_alerts(df, bad)
     changes = spark.createDataFrame([("a0", "nonsense"), ("a0", None), ("a0", "new")], "alert_id string, status string")
     assert A.rejected_changes(changes).count() == 2
+
+
+def test_supplied_id_in_two_months_is_one_alert(spark, tmp_path):
+    path = str(tmp_path / "alerts")
+    first = spark.createDataFrame([("X1", "2024-01-31 10:00:00", "NEW"), ("X2", "2024-01-31 10:00:00", "NEW")], "alert_id string, event_time string, status string")
+    again = spark.createDataFrame([("X1", "2024-02-01 10:00:00", "RESOLVED"), ("X3", "2024-02-01 10:00:00", "NEW"), ("X3", "2024-03-01 10:00:00", "NEW")],
+                                  "alert_id string, event_time string, status string")
+    assert A.append_alerts(first, path, only_count=True) == 2
+    assert A.append_alerts(again, path, only_count=True) == 1
+    assert sorted((r.alert_id, r.status) for r in spark.read.parquet(path).collect()) == [("X1", "NEW"), ("X2", "NEW"), ("X3", "NEW")]
+
+
+def test_alerts_with_equal_printed_ids_are_told_apart(spark, tmp_path):
+    path, rows = str(tmp_path / "alerts"), [("same", "d1", "2024-01-31 10:00:00"), ("same", "d2", "2024-01-31 10:00:00")]
+    df = spark.createDataFrame(rows, "alert_id string, alert_digest string, event_time string")
+    assert A.append_alerts(df.limit(1), path, only_count=True) == 1
+    assert A.append_alerts(df, path, only_count=True, derived=True) == 1 and spark.read.parquet(path).count() == 2
+
+
+def test_keys_are_whole_digests(spark):
+    from packetloom.operators.incidents import incident_id, incident_label
+    from packetloom.operators.intel import indicator_id
+
+    row = spark.range(1).select(incident_id(F.lit(T0).cast("timestamp"), F.lit("a")).alias("i"), indicator_id(F.lit("IP"), F.lit("10.0.0.1")).alias("n"))
+    row = row.withColumn("short", incident_label(F.col("i"))).first()
+    assert len(row["i"]) == len("INC-20240101-") + 32 and len(row["n"]) == len("IND-") + 32 and row["i"].startswith(row["short"])
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from packetloom.session import shared_dir
+
+    conf = SimpleNamespace(get=lambda *a: None)
+    cluster = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077", getConf=lambda: conf))
+    with pytest.raises(RuntimeError):
+        shared_dir(cluster)
+    cluster.sparkContext.master = "local-cluster[2,1,1024]"
+    with pytest.raises(RuntimeError):
+        shared_dir(cluster)
