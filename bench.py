@@ -1,7 +1,8 @@
 """Seconds per headline operator on the provided tables; prints one JSON line.
 
 Each query is run once to warm up, then timed (median of BENCH_RUNS runs, default 3). Every
-result row is produced (no-op sink). Training is timed apart from scoring.
+result row is produced (no-op sink). Training is timed apart from scoring. Shuffle bytes written and tasks are those of the
+last run of a query.
 """
 
 from __future__ import annotations
@@ -46,15 +47,21 @@ def main() -> None:
         "assign_flows": lambda: FL.assign_flows(t.packets, 10_800),
         "evaluate_rules": lambda: D.evaluate_rules(t.alerts, t.indicators, {"correlation_window_seconds": 86_400}),
         "correlate": lambda: I.build_incidents(I.correlate(t.alerts, 21_600)),
-        "score_two_stage": lambda: M.score_two_stage(catalog.model_rows(t), detector, classifier),
+        "score_two_stage": lambda: M.score_two_stage(catalog.model_rows(t), detector, classifier, partitions=int(CPUS)),
     }
-    seconds = {}
+    def spent() -> tuple[int, int]:
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        one = spark.sparkContext._jsc.sc().statusStore().executorList(False).head()
+        return one.totalShuffleWrite(), one.totalTasks()
+
+    seconds, shuffled, tasks = {}, {}, {}
     for name, plan in plans.items():
         times = []
         for _ in range(RUNS + 1):
-            started = time.perf_counter()
+            before, started = spent(), time.perf_counter()
             plan().write.format("noop").mode("overwrite").save()
             times.append(time.perf_counter() - started)
+        shuffled[name], tasks[name] = (b - a for a, b in zip(before, spent()))
         seconds[name] = round(statistics.median(times[1:]), 3)
         print(f"{name}: {seconds[name]}", file=sys.stderr, flush=True)
     rows = t.lineitem.count()
@@ -62,7 +69,9 @@ def main() -> None:
         "metric": "total seconds of the headline queries, warm, median",
         "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds, "sf": os.path.basename(SF_DIR.rstrip("/")),
         "training_sec": round(training, 3), "scored_flows": rows,
-        "scored_flows_per_sec": round(rows / seconds["score_two_stage"], 1),
+        "scored_flows_per_sec": round(rows / seconds["score_two_stage"], 1), "shuffle_bytes": shuffled, "tasks": tasks,
+        "forests": {k: {"trees": m["numTrees"], "depth": m["maxDepth"], "features": len(catalog._MODEL_FEATURES)}
+                    for k, m in (("detector", M.DETECTOR), ("classifier", M.CLASSIFIER))},
     }))
     spark.stop()
 

@@ -1091,6 +1091,7 @@ def number_rows_in_large_groups(t):
 _MODEL_FEATURES = ["Dst_Port", "Protocol", "Hour", "Flow_Duration", "Tot_Fwd_Pkts", "Tot_Bwd_Pkts", "TotLen_Fwd_Pkts", "TotLen_Bwd_Pkts", "Flow_Byts_per_s", "Flow_Pkts_per_s",
                    "Year", "Month", "DayOfWeek"]
 TRAIN_ROWS, TRAIN_FLOOR = 20_000, 500  # bound on labelled rows a forest is trained on, and the least of a class
+TRAIN_PARTITIONS = 8  # bags are drawn per partition: a fixed layout trains the same forest on any cluster
 _TRAINED: dict[tuple[str, str], tuple] = {}
 
 
@@ -1112,7 +1113,7 @@ def trained(t):
     if key not in _TRAINED:
         train, _ = S.split_by_hash(model_rows(t), ["flow_id"])
         sample = S.stratified_sample(train, "attack_label", ["flow_id"], target=TRAIN_ROWS, floor=TRAIN_FLOOR)
-        sample = materialise(sample, "training-sample")
+        sample = materialise(sample.repartition(TRAIN_PARTITIONS, "flow_id").sortWithinPartitions("flow_id"), "training-sample")
         _TRAINED[key] = M.train_detector(sample, _MODEL_FEATURES), M.train_classifier(sample, _MODEL_FEATURES)
     return _TRAINED[key]
 
@@ -1125,7 +1126,7 @@ def score_two_stage(t):
     """Flows that neither forest has seen. What SQL cannot know is checked by the rules that bind a verdict: a benign one has
     no class and no second confidence, an attack a known class and the product of both confidences; severity follows."""
     detector, classifier = trained(t)
-    out = M.score_two_stage(held_out(t), detector, classifier)
+    out = M.score_two_stage(held_out(t), detector, classifier, partitions=t.spark.sparkContext.defaultParallelism)
     known = F.col("attack_type").isin(*M.class_labels(classifier), "Unknown") & (F.col("attack_type") != "Benign")
     attack = known & (F.abs(F.col("confidence") - F.col("stage1_confidence") * F.col("stage2_confidence")) < 1e-9) & F.col("severity").isin(*scoring.LEVELS)
     benign = (F.col("attack_type") == "Benign") & (F.col("stage2_confidence") == 0) & (F.col("confidence") == F.col("stage1_confidence")) & (F.col("severity") == "NONE")

@@ -103,12 +103,15 @@ def detect(df: DataFrame, detector: PipelineModel, threshold: float = ALERT_THRE
 
 
 def score_two_stage(df: DataFrame, detector: PipelineModel, classifier: PipelineModel,
-                    policy: str = "family_confidence") -> DataFrame:
+                    policy: str = "family_confidence", partitions: int | None = None) -> DataFrame:
     """Adds the verdict of both stages; every input column, truth included, rides along.
 
     The first forest's verdicts are stored, so that the second one sees the detected rows only: with mostly benign traffic
-    that is a small part. Nothing is collected or joined back by position.
+    that is a small part. Nothing is collected or joined back by position. `partitions` deals the rows anew first, for a scan
+    that cannot be split as far as there are cores (a single row group).
     """
+    if partitions:
+        df = df.repartition(partitions)
     labels = class_labels(classifier)
     first = materialise(detector.transform(df).withColumn("_p1", vector_to_array("stage1_probability")).drop(
         "stage1_features", "stage1_raw", "stage1_probability"), "stage1")
