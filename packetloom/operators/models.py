@@ -113,22 +113,19 @@ def score_two_stage(df: DataFrame, detector: PipelineModel, classifier: Pipeline
     if partitions:
         df = df.repartition(partitions)
     labels = class_labels(classifier)
-    first = materialise(detector.transform(df).withColumn("_p1", vector_to_array("stage1_probability")).drop(
-        "stage1_features", "stage1_raw", "stage1_probability"), "stage1")
-    second = _scoring_part(classifier).transform(first.where("stage1_prediction = 1")).withColumn(
-        "_p2", vector_to_array("stage2_probability")).drop("stage2_features", "stage2_raw", "stage2_probability")
-    none = {"_p2": F.lit(None).cast("array<double>"), "stage2_prediction": F.lit(None).cast("double")}
-    scored = second.unionByName(first.where("stage1_prediction <> 1").withColumns(none))
-    attack = F.col("stage1_prediction") == 1.0
-    one = F.when(attack, F.col("_p1")[1]).otherwise(F.col("_p1")[0])
-    two = F.when(attack, F.element_at("_p2", F.col("stage2_prediction").cast("int") + 1)).otherwise(0.0)
-    scored = scored.withColumns({
-        "is_attack": attack, "stage1_confidence": one, "stage2_confidence": two,
-        "attack_type": F.when(attack, decode_class(F.col("stage2_prediction"), labels)).otherwise("Benign"),
-    })
-    scored = scored.withColumn("confidence", F.when(attack, one * two).otherwise(one))
+    p1, attack = vector_to_array("stage1_probability"), F.col("stage1_prediction") == 1.0
+    first = materialise(detector.transform(df).select(
+        *df.columns, attack.alias("is_attack"), F.when(attack, p1[1]).otherwise(p1[0]).alias("stage1_confidence")), "stage1")
+    index = F.col("stage2_prediction").cast("int")
+    second = _scoring_part(classifier).transform(first.where("is_attack")).select(
+        *first.columns, F.get(vector_to_array("stage2_probability"), index).alias("stage2_confidence"),
+        decode_class(index, labels).alias("attack_type"))
+    scored = second.unionByName(first.where("NOT is_attack").withColumns({
+        "stage2_confidence": F.lit(0.0), "attack_type": F.lit("Benign")}))
+    one, two = F.col("stage1_confidence"), F.col("stage2_confidence")
+    scored = scored.withColumn("confidence", F.when(F.col("is_attack"), one * two).otherwise(one))
     level = severity("attack_type", "confidence", policy)
-    return scored.withColumn("severity", level).drop("_p1", "_p2", "stage1_prediction", "stage2_prediction")
+    return scored.withColumn("severity", level)
 
 
 def detected_only(scored: DataFrame) -> DataFrame:
