@@ -77,3 +77,21 @@ def op9_surrogates(spark, sf_dir):
 def op10_quality_rules(spark, sf_dir):
     found = boosted_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.select("doc_id", *boosted_rules.COUNTS, "base_failed", "score", "kept")
+
+
+# The least id reachable over links (a, b), for the rows of `base` (id, n).
+_REACH = """reach(id, root) AS (SELECT a, a FROM links UNION SELECT l.b, r.root FROM reach r JOIN links l ON r.id = l.a),
+ least_root AS (SELECT id, min(root) AS root FROM reach GROUP BY id)"""
+
+ORACLES["op2_minhash"] = rf"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+ s AS (SELECT DISTINCT doc_id, hash(ws[k], ws[k + 1], ws[k + 2]) AS g FROM w, unnest(range(1, len(ws) - 1)) t(k) WHERE len(ws) >= 3 UNION ALL SELECT doc_id, hash(ws) FROM w WHERE len(ws) IN (1, 2)),
+ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+ p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+ links AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 85 * (na.n + nb.n - c)), {_REACH}
+ SELECT doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(root, doc_id) AS component_id, doc_id = coalesce(root, doc_id) AS kept
+ FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN least_root ON id = doc_id"""
+
+ORACLES["op4_lattice"] = f"""WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id <> y.vec_id WHERE list_cosine_similarity(x.e, y.e) >= 0.95), {_REACH}
+ SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links, coalesce(root, vec_id) AS component_id, vec_id = coalesce(root, vec_id) AS kept
+ FROM v LEFT JOIN least_root ON id = vec_id"""

@@ -328,3 +328,12 @@ def test_stages_take_odd_rows(spark, sf_dir):
         assert name == "packing" or out.schema == df.schema
         out.collect()
     assert [r.doc_id for r in corpus_pipeline.near_dedup(spark, df, sf_dir).filter("text like 'word0%'").orderBy("doc_id").collect()] == [None, 1]
+
+
+def test_queries_with_sql(spark, sf_dir):
+    from packetloom.llm.queries import ORACLES
+    from tests.oracle import compare, connect
+
+    con = connect(sf_dir)
+    for name, sql in ORACLES.items():
+        assert compare(QUERIES[name](spark, sf_dir), con, sql) is None
