@@ -166,8 +166,24 @@ def packed(vectors: DataFrame, key: str, vector: str) -> tuple[DataFrame, bool]:
     return chosen.mapInArrow(pack, "vec_id long, v binary"), wide
 
 
+def least_linked(ids: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The least id that each row reaches over the links between the rows x and y."""
+    order = np.argsort(ids, kind="stable")
+    place = np.empty(len(ids), np.int64)
+    place[order] = np.arange(len(ids))
+    x, y, root = place[x], place[y], np.arange(len(ids))
+    while len(x):
+        a, b = root[x], root[y]
+        apart = a != b
+        x, y, a, b = x[apart], y[apart], a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root = root[root]
+    return ids[order][root][place]
+
+
 def _compare(rows: DataFrame, wide: bool, least: float) -> DataFrame:
-    """(id, links, low) from rows (g, cell, part, id, copies, v) sorted by group g: copies linked, and a smaller id of the class."""
+    """(id, links, low) from rows (g, cell, part, id, copies, v) sorted by group g: copies linked, and the least id that the group's links reach."""
     def run(batches):
         for t in _runs(batches, "g"):
             t = t.combine_chunks()
@@ -202,14 +218,15 @@ def _compare(rows: DataFrame, wide: bool, least: float) -> DataFrame:
                     right.append(j)
                 i, j = np.concatenate(left), np.concatenate(right)
                 parts = block_cells(unit) if len(i) else None
+                counted = np.zeros(len(i), bool)
                 for k in range(0, len(i), 20_000):
                     x, y = i[k:k + 20_000], j[k:k + 20_000]
                     first = _first_shared(parts[place[x]], parts[place[y]]).view(np.int64) == cell[x]
+                    counted[k:k + 20_000] = first
                     x, y = x[first], y[first]
                     np.add.at(links, x, copies[y])
                     np.add.at(links, y, copies[x])
-                    np.minimum.at(low, x, ids[y])
-                    np.minimum.at(low, y, ids[x])
+                low = np.minimum(low, least_linked(ids, i[counted], j[counted]))
             some = np.flatnonzero(links)
             yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(links[some]), pa.array(low[some])], names=["id", "links", "low"])
 

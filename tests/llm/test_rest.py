@@ -56,6 +56,23 @@ def test_vectors(spark, monkeypatch):
     assert {r.vec_id: r.n_links for r in L.near_vectors(wide).collect() if r.vec_id is not None} == {i: links[i] for i in root}
 
 
+def test_chains_of_vectors_in_one_cell(spark):
+    """Links a-c and b-c without a-b, c the largest id, and clusters spread about the limit: every link reaches the classes."""
+    ids = np.array([7, 2, 9, 4, 5, 6, 30, 31, 29])
+    assert L.least_linked(ids, np.array([0, 1, 3, 4, 6, 8]), np.array([2, 2, 4, 5, 7, 7])).tolist() == [2, 2, 2, 4, 4, 4, 29, 29, 29]
+    rng, angle, rows = np.random.default_rng(12), np.radians(12), []
+    for k in range(40):
+        u, v = np.linalg.qr(rng.normal(size=(64, 2)))[0].T
+        rows += [(10 * k + i, (np.cos(a) * u + np.sin(a) * v).tolist()) for i, a in ((1, -angle), (2, angle), (3, 0.0))]
+    for k in range(20):
+        center = rng.normal(size=64)
+        rows += [(1000 * (k + 1) + i, (center + rng.normal(size=64) * 0.235).tolist()) for i in range(25)]
+    links, root = brute_links(rows)
+    df = ready(spark).createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in L.near_vectors(df).collect()}
+    assert got == {i: (links[i], root[i], root[i] == i) for i in root}
+
+
 def test_decoder_finds_the_nearest_lattice_point():
     rng = np.random.default_rng(4)
     x = rng.normal(size=(300, 8)) * 2
