@@ -4,7 +4,9 @@ numbers, and names after a form of address.
 Every distinct entity gets a replacement drawn from a keyed digest of its canonical form: the same entity, however it is
 written, gets the same replacement in the way it is written there; digits become digits and letters letters, check digits
 are valid again, names keep gender and script. Collision checks repeat the draw until no two entities of a kind share a
-replacement and none is itself an entity of the texts. Detection, drawing and replacing are DataFrame functions.
+replacement and none is itself an entity of the texts. From the attempt WIDER on, kinds with few values of one shape draw
+from more: addresses from all lengths of their parts, local parts and names grow. Detection, drawing and replacing are
+DataFrame functions.
 
 A null text stays null, an empty one empty. Rows that repeat are replaced alike. A null id is allowed. All columns are
 kept whatever their names; only the text changes. An empty table stays empty.
@@ -41,6 +43,8 @@ GIVEN = {
 }
 SYLLABLES = {"latin": "ba den fa gor hal ke lin mo nar pel rin sa tor ul ver wen".split(),
              "cyrillic": "ба ве го дар ел жу зор ил ка лен ми нор пет ра со тур".split()}
+#: Draws in an entity's own shape before its replacement may be of another length.
+WIDER = 4
 
 
 def kind_of(entity: Column) -> Column:
@@ -103,7 +107,7 @@ def _name(canonical: Column, stream: Column, attempt: Column) -> Column:
 
     def of(script):
         part = SYLLABLES[script]
-        family = F.array_join(F.transform(F.sequence(F.lit(2), F.lit(4) + (attempt / 4).cast("int")), lambda k: F.element_at(
+        family = F.array_join(F.transform(F.sequence(F.lit(2), F.lit(4) + (attempt / WIDER).cast("int")), lambda k: F.element_at(
             F.array(*map(F.lit, part)), _byte(stream, k) % len(part) + 1)), "")
         f, m = (F.array(*map(F.lit, GIVEN[script][g])) for g in "fm")
         female = (gender == "f") | ((gender == "n") & (_byte(stream, F.lit(1)) % 2 == 0))
@@ -120,11 +124,15 @@ def draw(kind: Column, canonical: Column, attempt: Column, key: str) -> Column:
     local, domain = F.split_part(canonical, F.lit("@"), F.lit(1)), F.split_part(canonical, F.lit("@"), F.lit(2))
     ending = F.regexp_extract(domain, r"\.[a-z]+$", 0)
     host = _substitute(F.regexp_replace(domain, r"\.[a-z]+$", ""), _stream(key, F.lit("domain"), domain))
-    email = F.concat(_substitute(local, stream), F.lit("@"), host, ending)
+    # A letter more every WIDER attempts, within the 64 characters of a local part.
+    more = F.substr(_substitute(F.lit("a" * 63), _stream(key, F.lit("longer"), canonical, attempt.cast("string"))), F.lit(1), (attempt / WIDER).cast("int"))
+    name = _substitute(local, stream)
+    name = F.when(attempt < WIDER, name).otherwise(F.concat(F.substr(name, F.lit(1), 64 - F.length(more)), more))
+    email = F.concat(name, F.lit("@"), host, ending)
 
     def octet(o, k):
         n = _byte(stream, k)
-        return F.when(F.length(o) == 3, 100 + n % 155).when(F.length(o) == 2, 10 + n % 90).otherwise(1 + n % 9).cast("string")
+        return F.when(attempt >= WIDER, 1 + n % 254).when(F.length(o) == 3, 100 + n % 155).when(F.length(o) == 2, 10 + n % 90).otherwise(1 + n % 9).cast("string")
 
     ip = F.array_join(F.transform(F.split(canonical, r"\."), octet), ".")
     size = F.length(canonical)
@@ -142,7 +150,12 @@ def written(kind: Column, entity: Column, surrogate: Column) -> Column:
     plain = F.regexp_replace(entity, "[^0-9A-Za-z]", "")
     poured = _map_chars(entity, lambda c, k: F.when(F.regexp_like(c, F.lit("[0-9A-Za-z]")), F.substr(
         surrogate, F.length(F.regexp_replace(F.substr(entity, F.lit(1), k + 1), "[^0-9A-Za-z]", "")), F.lit(1))).otherwise(c))
-    capitals = _map_chars(surrogate, lambda c, k: F.when(F.regexp_like(F.substr(entity, k + 1, F.lit(1)), F.lit("[A-Z]")), F.upper(c)).otherwise(c))
+
+    def capitals_of(part):
+        drawn, own = (F.split_part(x, F.lit("@"), F.lit(part)) for x in (surrogate, entity))
+        return _map_chars(drawn, lambda c, k: F.when(F.regexp_like(F.substr(own, k + 1, F.lit(1)), F.lit("[A-Z]")), F.upper(c)).otherwise(c))
+
+    capitals = F.concat(capitals_of(1), F.lit("@"), capitals_of(2))
     name = F.substr(surrogate, F.lit(3))
     given = F.regexp_extract(entity, r"^\S+ (.*)$", 1)
     name = F.concat(F.regexp_extract(entity, r"^\S+ ", 0), F.when(given == F.upper(given), F.upper(name)).otherwise(F.initcap(name)))

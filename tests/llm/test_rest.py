@@ -240,6 +240,19 @@ def test_surrogates_stay_distinct(spark):
     assert len(set(phones)) == 300 and len(set(names)) == 300 and not set(phones) & {t.split(" and ")[0] for _, t in rows}
 
 
+def test_crowded_shapes_get_longer_replacements(spark):
+    """More addresses and mailboxes of one shape than the shape has free values."""
+    ips = [f"{a}.{b}.{c}.{d}" for a in range(1, 9) for b in range(1, 9) for c in range(1, 9) for d in range(1, 10)]
+    mails = [f"{k}@one.org" for k in range(10, 100)] + [f"{chr(97 + k)}@two.org" for k in range(26)] + ["_@-.org", "Ab@Three.org"]
+    rows = [(k, f"from {x} to") for k, x in enumerate(ips + mails)]
+    got = {r.doc_id: r.text for r in G.surrogates(ready(spark).createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    instead = [re.fullmatch(r"from (\S+) to", got[k]).group(1) for k in range(len(rows))]
+    assert len(set(instead)) == len(rows) and not set(instead) & set(ips + mails)
+    assert all(len(x.split(".")) == 4 and all(0 < int(o) < 255 for o in x.split(".")) for x in instead[:len(ips)])
+    assert all(re.fullmatch(G.PATTERNS["email"], x) for x in instead[len(ips):])
+    assert re.fullmatch(r"[A-Z][a-z]+@[A-Z][a-z]{4}\.org", instead[-1])
+
+
 def test_colliding_draws_are_repeated(spark, monkeypatch):
     plain = G.draw
     monkeypatch.setattr(G, "draw", lambda kind, canonical, attempt, key: F.when(
