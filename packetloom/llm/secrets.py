@@ -1,7 +1,8 @@
 """Secret scan: candidate strings, and a random forest that removes false positives.
 
-Candidates are words that hold a digit, or that are assigned to something, and whose core has at least MIN_LENGTH of the
-characters of keys and tokens. The forest sees their length and make-up, how likely their character transitions are in the
+Candidates are runs of at least MIN_LENGTH of the characters of keys and tokens that hold a digit or are assigned to
+something. A word may have several, as compact JSON, lists and URLs do: each is assigned to the nearest name before it, a
+URL's password to "password", and the parts of a URL's path are runs of their own. The forest sees their length and make-up, how likely their character transitions are in the
 corpus (counted over all documents), how much of them is covered by words frequent in the corpus, the names in the document's
 path, and the words beside them.
 
@@ -35,7 +36,11 @@ SECRET_NAMES = "password passwd pwd secret token apikey api_key key auth credent
 EXAMPLE_NAMES = "test tests example examples sample samples doc docs demo fixture fixtures mock".split()
 ISSUED = re.compile(r"AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|xox[abprs]-[0-9A-Za-z-]{10,}|AIza[0-9A-Za-z_-]{35}|sk_live_[0-9A-Za-z]{24,}")
 HARMLESS = re.compile(r"[^@\s]+@[^@\s]+\.[a-z]+|\+?[\d().,:/ -]+|(?:\d{1,3}\.){3}\d{1,3}|https?://.*|v?\d+(?:\.\d+)+|[^\W\d_]+")
-_ASSIGNED = re.compile(r"([\w.-]*)\s*[=:]\s*[\"'`]?")
+#: Between two runs: what assigns the second to the first, parts a list, and shows that the first is a name.
+_ASSIGNS = re.compile(r"[=:]>?[\"'`\[({\\]*$")
+_LISTS = re.compile(r"[\"'`\\]*[,|][\"'`\\]*")
+_NAMES = re.compile(r"[\"'`\])\\]*[=:]")
+_URL = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://(?:([^\s/?#\"'`<>]*)@)?([^\s/?#\"'`<>@]*)([^\s?#\"'`<>]*)")
 _CORE = re.compile(r"[A-Za-z0-9+/_.@~-]+(?:=(?=[\"'`;,.]*$))*")
 
 FEATURES = (
@@ -123,7 +128,7 @@ def _describe(value: str, name: str, assigned: bool, quoted: bool, left: list[st
     lower = ((data >= 97) & (data < 123)).sum()
 
     def named(words, names):
-        return float(any(part in names for w in words for part in re.split(r"[^a-z_]+", w.lower())))
+        return float(any(part in names for w in words for part in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1_\2", w).lower())))
 
     return [
         n, digits / n, upper / n, lower / n, (n - digits - upper - lower) / n, len(set(value)) / n, (group[1:] != group[:-1]).mean() if n > 1 else 0,
@@ -133,6 +138,37 @@ def _describe(value: str, name: str, assigned: bool, quoted: bool, left: list[st
     ]
 
 
+def runs_of(raw: str, name: str, assigned: bool):
+    """(first character, run, name, whether assigned, whether a name itself, whether a URL's host) of each run of a word.
+    `name` and `assigned` say what the words before assign the first one to."""
+    passwords, hosts = [], []
+    for m in _URL.finditer(raw) if "://" in raw else ():
+        parts = list(raw)
+        parts[m.start():m.start() + m.group().index("://") + 3] = " " * (m.group().index("://") + 3)
+        if m.group(1) is not None:
+            parts[m.end(1)] = " "
+            if ":" in m.group(1):
+                passwords.append((m.start(1) + m.group(1).index(":"), m.end(1)))
+        hosts.append(m.span(2))
+        parts[m.start(3):m.end(3)] = m.group(3).replace("/", " ")
+        raw = "".join(parts)
+    cores, before = list(_CORE.finditer(raw)), ""
+    for k, core in enumerate(cores):
+        start, end = core.span()
+        is_name = _NAMES.match(raw, end) is not None
+        if k:
+            gap = raw[cores[k - 1].end():start]
+            if _ASSIGNS.search(gap.rstrip(" ")):
+                name, assigned = before, True
+            elif is_name or not _LISTS.fullmatch(gap):
+                name, assigned = "", False
+        elif _ASSIGNS.search(raw[:start]) and not assigned:
+            assigned = True
+        before = core.group()
+        own = ("password", True) if any(a <= start < b for a, b in passwords) else (name, assigned)
+        yield start, core.group().rstrip(".-"), *own, is_name, any(a <= start < b for a, b in hosts)
+
+
 def findings(data: np.ndarray, offsets: np.ndarray, paths: list[str], own: Corpus):
     """(text, first byte, end byte, value, silver label or -1, features) of each candidate of a batch."""
     starts, ends, bounds = X.runs(~X.SPACE[data], offsets)
@@ -155,26 +191,26 @@ def findings(data: np.ndarray, offsets: np.ndarray, paths: list[str], own: Corpu
         raw = word(k)
         left = [word(j) for j in range(max(first, k - 3), k)]
         right = [word(j) for j in range(k + 1, min(last, k + 3))]
-        name, skip, assigned = "", 0, False
-        if (m := _ASSIGNED.match(raw)) and m.group(1) and not raw.startswith("http"):
-            name, skip, assigned = m.group(1), m.end(), True
-        elif left and left[-1][-1] in "=:":
+        name, assigned = "", False
+        if left and left[-1][-1] in "=:":
             name, assigned = (left[-1][:-1] or (left[-2] if len(left) > 1 else "")), True
-        core = _CORE.search(raw, skip)
-        if not core or len(core.group().rstrip(".-")) < MIN_LENGTH:
-            continue
-        value = core.group().rstrip(".-")
-        quoted = core.start() > 0 and raw[core.start() - 1] in "\"'`"
-        begin = int(starts[k]) + len(raw[:core.start()].encode())
-        x = _describe(value, name, assigned, quoted, left, right, paths[text] or "", own)
-        secret = dict(zip(FEATURES, x))
-        if secret["issued"] or (assigned and secret["secret_left"] and secret["digit_share"] > 0 and len(value) >= 10 and not HARMLESS.fullmatch(value)):
-            label = 1
-        elif HARMLESS.fullmatch(value) or (not assigned and secret["dictionary"] > 0.8):
-            label = 0
-        else:
-            label = -1
-        yield text, begin, begin + len(value.encode()), value, label, x
+        for start, value, name, assigned, is_name, host in list(runs_of(raw, name, assigned)):
+            if len(value) < MIN_LENGTH or not (assigned or any(c in "0123456789" for c in value) or named[k] and not is_name and "://" not in raw):
+                continue
+            if host and not ISSUED.search(value):  # an address
+                continue
+            quoted = start > 0 and raw[start - 1] in "\"'`"
+            begin = int(starts[k]) + len(raw[:start].encode())
+            x = _describe(value, name, assigned, quoted, left, right, paths[text] or "", own)
+            secret = dict(zip(FEATURES, x))
+            harmless = HARMLESS.fullmatch(value)
+            if secret["issued"] or (assigned and secret["secret_left"] and secret["digit_share"] > 0 and len(value) >= 10 and not harmless):
+                label = 1
+            elif harmless or (not assigned and secret["dictionary"] > 0.8):
+                label = 0
+            else:
+                label = -1
+            yield text, begin, begin + len(value.encode()), value, label, x
 
 
 @dataclasses.dataclass
