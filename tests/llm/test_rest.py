@@ -137,6 +137,17 @@ def test_hosts_decide_pages_without_article(spark):
     assert P.main_text(df.limit(0)).count() == 0
 
 
+def test_hosts_of_teasers_are_the_same_at_any_size(spark):
+    """Every page has an article element, but only in a comment, in an aside or as a related one: the host decides, in parts too."""
+    marks = ["<!-- <article> -->", "<aside><article>see more</article></aside>", "<article class='related'>other</article>"]
+    shared = " ".join(f"twice{k}" for k in range(10))
+    rows = [(i, u, h.replace("<body>", "<body>" + marks[i % 3]).replace("</body>", f"<p>{shared}</p></body>" if i in (4, 17) else "</body>"))
+            for i, u, h in host_pages(30)]
+    df = ready(spark).createDataFrame(rows, "page_id long, url string, html string")
+    whole, cut = ({r.page_id: r.text for r in P.main_text(df, c).collect()} for c in (P.CHUNK, 700))
+    assert whole == cut == {i: story(i) for i in range(30)}
+
+
 def test_repeats_equal_a_plain_search():
     rng = np.random.default_rng(6)
     for _ in range(40):
