@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from packetloom.llm import boosted_rules, byte_bpe, lattice, minhash, packing, pages, resampling, secrets, slots, surrogates
+from packetloom.llm import (
+    boosted_rules, byte_bpe, lattice, manifest, minhash, packing, pages, resampling, secrets, slots, surrogates,
+)
 from packetloom.llm.shared import ready, table
 from packetloom.session import new_path
 
@@ -79,6 +81,11 @@ def op10_quality_rules(spark, sf_dir):
     return found.select("doc_id", *boosted_rules.COUNTS, "base_failed", "score", "kept")
 
 
+@query
+def op13_manifest(spark, sf_dir):
+    return manifest.checked_by_id(table(spark, sf_dir, "documents"))
+
+
 # The least id reachable over links (a, b), for the rows of `base` (id, n).
 _REACH = """reach(id, root) AS (SELECT a, a FROM links UNION SELECT l.b, r.root FROM reach r JOIN links l ON r.id = l.a),
  least_root AS (SELECT id, min(root) AS root FROM reach GROUP BY id)"""
@@ -95,3 +102,52 @@ ORACLES["op4_lattice"] = f"""WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding
  links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id <> y.vec_id WHERE list_cosine_similarity(x.e, y.e) >= 0.95), {_REACH}
  SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links, coalesce(root, vec_id) AS component_id, vec_id = coalesce(root, vec_id) AS kept
  FROM v LEFT JOIN least_root ON id = vec_id"""
+
+# Unsigned CRC-32 in SQL: `tab` holds the table of a byte, `t` is its only column.
+_CRC_TABLE = """tab AS (SELECT list(v ORDER BY n) AS t FROM (SELECT n, list_reduce([n] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(n)))"""
+
+
+def _crc(text: str) -> str:
+    return (f"xor(list_reduce([4294967295] || list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT), "
+            "lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295)")
+
+
+def _field(c: str) -> str:
+    return f"coalesce(octet_length(encode({c}::VARCHAR)) || ':' || {c}::VARCHAR, '-')"
+
+
+_LEAF = "sha256(" + " || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars", "{text}")) + ")"
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _tree(name: str, nodes: str) -> str:
+    """Nodes (g, pos, h) level by level up to each group's only one, as `name` (g, lev, pos, h)."""
+    return (f"{name}(g, lev, pos, h) AS (SELECT g, 0, pos, h FROM {nodes} UNION ALL SELECT g, lev + 1, pos // 8, sha256(string_agg(h, '' ORDER BY pos)) "
+            f"FROM (SELECT *, count(*) OVER (PARTITION BY g) AS c FROM {name}) WHERE c > 1 GROUP BY g, lev + 1, pos // 8)")
+
+
+def _walk(name: str, tree: str, start: str) -> str:
+    """From `start` (n, g, pos, digest, proof) up the tree, one level a step: the siblings, and the digest that they give."""
+    run = f"FROM {tree} s WHERE s.g = w.g AND s.lev = w.lev AND s.pos // 8 = w.pos // 8"
+    before = f"coalesce((SELECT string_agg(s.h, '' ORDER BY s.pos) {run} AND s.pos < w.pos), '')"
+    after = f"coalesce((SELECT string_agg(s.h, '' ORDER BY s.pos) {run} AND s.pos > w.pos), '')"
+    return (f"{name}(n, g, lev, pos, digest, proof) AS (SELECT n, g, 0, pos, digest, proof FROM {start} UNION ALL "
+            f"SELECT n, g, lev + 1, pos // 8, sha256(b || digest || a), proof || b || a FROM (SELECT *, {before} AS b, {after} AS a FROM {name} w "
+            f"WHERE EXISTS (SELECT 1 FROM {tree} u WHERE u.g = w.g AND u.lev = w.lev + 1)))")
+
+
+ORACLES["op13_manifest"] = f"""WITH RECURSIVE {_CRC_TABLE},
+ leaves AS (SELECT doc_id, coalesce('=' || lang, '') AS g, {_LEAF.format(text="text")} AS h, CASE WHEN {_crc("doc_id::VARCHAR")} % 3 = 0 THEN {_LEAF.format(text=_LOWER)} END AS found FROM documents, tab),
+ placed AS (SELECT *, row_number() OVER (ORDER BY g, doc_id NULLS FIRST, h) AS n, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, h) - 1 AS pos FROM leaves),
+ {_tree("tree", "placed")},
+ subroots AS (SELECT g AS lang_key, max_by(h, lev) AS h FROM tree GROUP BY g),
+ ranked AS (SELECT '' AS g, lang_key, row_number() OVER (ORDER BY lang_key) - 1 AS pos, h FROM subroots),
+ {_tree("above", "ranked")},
+ started AS (SELECT n, g, pos, coalesce(found, h) AS digest, '' AS proof FROM placed),
+ {_walk("low", "tree", "started")},
+ ends AS (SELECT n, max_by(digest, lev) AS digest, max_by(proof, lev) AS proof FROM low GROUP BY n),
+ over AS (SELECT e.n, '' AS g, r.pos, e.digest, e.proof FROM ends e JOIN placed p ON p.n = e.n JOIN ranked r ON r.lang_key = p.g),
+ {_walk("high", "above", "over")},
+ done AS (SELECT n, max_by(digest, lev) AS folded_root, sha256(max_by(proof, lev)) AS proof_sha256 FROM high GROUP BY n)
+ SELECT doc_id, p.h AS leaf, s.h AS subroot, root, proof_sha256, folded_root, folded_root = root AS verified
+ FROM placed p JOIN done USING (n) JOIN subroots s ON s.lang_key = p.g, (SELECT max_by(h, lev) AS root FROM above)"""
