@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from packetloom.llm import (
-    boosted_rules, byte_bpe, lattice, manifest, minhash, packing, pages, resampling, secrets, slots, surrogates,
+    boosted_rules, byte_bpe, chat, lattice, manifest, minhash, packing, pages, resampling, secrets, slots, surrogates,
 )
 from packetloom.llm.shared import ready, table
 from packetloom.session import new_path
@@ -81,6 +81,14 @@ def op10_quality_rules(spark, sf_dir):
     return found.select("doc_id", *boosted_rules.COUNTS, "base_failed", "score", "kept")
 
 
+@query
+def op11_chat_format(spark, sf_dir):
+    own = spark.createDataFrame([(-7, k, role, "\\### Assistant: </turn> ok") for k, role in enumerate(("user", "assistant"))],
+                                "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(own)
+    return chat.conversation_digests(chat.read_back(chat.format_conversations(rows, public_tokenizers.path("byte_bpe_50k.json"))))
+
+
 @query
 def op13_manifest(spark, sf_dir):
     return manifest.checked_by_id(table(spark, sf_dir, "documents"))
@@ -151,3 +159,13 @@ ORACLES["op13_manifest"] = f"""WITH RECURSIVE {_CRC_TABLE},
  done AS (SELECT n, max_by(digest, lev) AS folded_root, sha256(max_by(proof, lev)) AS proof_sha256 FROM high GROUP BY n)
  SELECT doc_id, p.h AS leaf, s.h AS subroot, root, proof_sha256, folded_root, folded_root = root AS verified
  FROM placed p JOIN done USING (n) JOIN subroots s ON s.lang_key = p.g, (SELECT max_by(h, lev) AS root FROM above)"""
+
+_ESCAPED = r"regexp_replace({c}, '<(\\*)\|', '<\\\1|', 'g')"
+
+ORACLES["op11_chat_format"] = rf"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+ UNION ALL SELECT -7, k, r, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(k, r))
+ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role)) AS turns_sha256,
+ CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+ sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+ CAST(sum(length('<|turn|><|text|><|end|>') + length({_ESCAPED.format(c="role")}) + length({_ESCAPED.format(c="text")})) AS BIGINT) AS formatted_chars
+ FROM c GROUP BY conv_id"""
