@@ -18,12 +18,15 @@ table has an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 from collections.abc import Iterator
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame, functions as F
 
 from packetloom.llm import words as X
@@ -76,22 +79,31 @@ def masked_texts(text: str, starts: np.ndarray, ends: np.ndarray, mask: np.ndarr
     return [unescape(text[a:b]) for a, b in zip(s[first].tolist(), far[last].tolist())]
 
 
-_tokenizers: dict[str, object] = {}
+_vocabularies: dict[str, tuple[tiktoken.Encoding, np.ndarray]] = {}
 
 
-def tokenizer(path: str):
-    """The byte-level tokenizer of a file, once a worker, with the control strings and places that keep leading spaces."""
-    if path not in _tokenizers:
-        import os
+def vocabulary(path: str) -> tuple[tiktoken.Encoding, np.ndarray]:
+    """The tokenizer of a file of ranks with the control strings as further tokens, and the bytes of each token; once a worker."""
+    if path not in _vocabularies:
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+        free = max(ranks.values()) + 2  # the next id is the end of a text in the files of this vocabulary
+        control = {c: free + k for k, c in enumerate(CONTROL)}
+        sizes = np.zeros(free + len(CONTROL), np.int32)
+        for token, rank in (ranks | {c.encode(): k for c, k in control.items()}).items():
+            sizes[rank] = len(token)
+        own = tiktoken.Encoding("chat", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=control)
+        _vocabularies[path] = own, sizes
+    return _vocabularies[path]
 
-        from tokenizers import Tokenizer, processors
 
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark deals the work out
-        found = Tokenizer.from_file(path)
-        found.post_processor = processors.ByteLevel(trim_offsets=False)
-        found.add_special_tokens(list(CONTROL))
-        _tokenizers[path] = found
-    return _tokenizers[path]
+def encode(text: str, path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, and the code points at which each token begins and ends. Tokens that share a character's bytes share its place."""
+    encoding, sizes = vocabulary(path)
+    ids = encoding.encode_to_numpy(text, allowed_special=set(CONTROL), disallowed_special=()).astype(np.int32)
+    ends = np.cumsum(sizes[ids])
+    begun = np.cumsum(X.code_points(np.frombuffer(text.encode(), np.uint8)), dtype=np.int32)  # characters begun up to a byte
+    return ids, begun[ends - sizes[ids]] - 1, begun[ends - 1]
 
 
 _SEGMENT = pa.schema([
@@ -122,14 +134,8 @@ def _segments(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple]:
 
 def _encoded(rows: list[tuple], path: str) -> pa.RecordBatch:
     rendered = [render(turns) for *_, turns in rows]
-    found = tokenizer(path).encode_batch([text for text, _ in rendered], add_special_tokens=False)
-    ids, starts, ends, masks = [], [], [], []
-    for (_, spans), one in zip(rendered, found):
-        places = np.array(one.offsets, np.int32).reshape(-1, 2)
-        ids.append(np.array(one.ids, np.int32))
-        starts.append(np.ascontiguousarray(places[:, 0]))
-        ends.append(np.ascontiguousarray(places[:, 1]))
-        masks.append(loss_mask(starts[-1], ends[-1], np.array(spans, np.int32).reshape(-1, 2)))
+    ids, starts, ends = zip(*[encode(text, path) for text, _ in rendered])
+    masks = [loss_mask(s, e, np.array(spans, np.int64).reshape(-1, 2)) for s, e, (_, spans) in zip(starts, ends, rendered)]
     bounds = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32))
     lists = [pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(x))) for x in (ids, starts, ends, masks)]
     plain = [pa.array([r[k] for r in rows], _SEGMENT.field(k).type) for k in range(4)]

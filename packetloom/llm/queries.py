@@ -86,7 +86,7 @@ def op11_chat_format(spark, sf_dir):
     own = spark.createDataFrame([(-7, k, role, "\\### Assistant: </turn> ok") for k, role in enumerate(("user", "assistant"))],
                                 "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(own)
-    return chat.conversation_digests(chat.read_back(chat.format_conversations(rows, public_tokenizers.path("byte_bpe_50k.json"))))
+    return chat.conversation_digests(chat.read_back(chat.format_conversations(rows, public_tokenizers.path("byte_bpe_50k.tiktoken"))))
 
 
 @query
