@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from packetloom.llm import (
     boosted_rules, byte_bpe, chat, lattice, manifest, minhash, packing, pages, resampling, secrets, slots, surrogates,
+    turns,
 )
 from packetloom.llm.shared import ready, table
 from packetloom.session import new_path
@@ -89,6 +90,11 @@ def op11_chat_format(spark, sf_dir):
     return chat.conversation_digests(chat.read_back(chat.format_conversations(rows, public_tokenizers.path("byte_bpe_50k.tiktoken"))))
 
 
+@query
+def op12_viterbi_repair(spark, sf_dir):
+    return turns.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
 @query
 def op13_manifest(spark, sf_dir):
     return manifest.checked_by_id(table(spark, sf_dir, "documents"))
