@@ -175,3 +175,34 @@ ORACLES["op11_chat_format"] = rf"""WITH c AS (SELECT conv_id, turn, coalesce(rol
  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
  CAST(sum(length('<|turn|><|text|><|end|>') + length({_ESCAPED.format(c="role")}) + length({_ESCAPED.format(c="text")})) AS BIGINT) AS formatted_chars
  FROM c GROUP BY conv_id"""
+
+# Faults planted, numbered rows, costs from the end backwards, then the least audit forwards, row by row.
+ORACLES["op12_viterbi_repair"] = rf"""WITH RECURSIVE {_CRC_TABLE},
+ d AS (SELECT coalesce(conv_id::VARCHAR, ' ') AS conv, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  {_crc("(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")} % 20 AS kind FROM conversations, tab),
+ e AS (SELECT conv, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+  CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS again FROM d WHERE kind <> 0),
+ p AS (SELECT *, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, text, again) - 1 AS pos, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body FROM e),
+ r AS (SELECT conv, turn, pos, role, text, left(role, 1) AS i, CASE WHEN body = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv, role, text ORDER BY pos) > 1 THEN 'd'
+  WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 't' ELSE 'k' END AS f FROM p),
+ x AS (SELECT *, f IN ('b', 'd') AS gone, CASE f WHEN 't' THEN 3 ELSE 0 END AS m FROM r),
+ back(conv, pos, c) AS (SELECT conv, max(pos) + 1, [0, 6, 3, 0] FROM x GROUP BY conv
+  UNION ALL SELECT conv, pos, [least(b[1], 3 + u), least(b[2], 3 + u), u, a] FROM (SELECT *, least(b[3], 3 + b[4]) AS u, least(b[4], 3 + b[3]) AS a FROM (
+   SELECT x.conv, x.pos, CASE WHEN gone THEN [4 + c[1], 4 + c[2], 4 + c[3], 4 + c[4]] ELSE [
+    least(4 + c[1], 3 + m + c[3], CASE i WHEN 's' THEN m + c[2] WHEN 'u' THEN m + c[3] END), least(4 + c[2], 3 + m + c[3], CASE i WHEN 'u' THEN m + c[3] END),
+    least(4 + c[3], 3 + m + c[4], CASE i WHEN 'a' THEN m + c[4] END), least(4 + c[4], 3 + m + c[3], CASE i WHEN 'u' THEN m + c[3] END)] END AS b
+   FROM back JOIN x ON x.conv = back.conv AND x.pos = back.pos - 1))),
+ walk(conv, pos, s, audit, said) AS (SELECT conv, 0, 1, '', CAST([] AS VARCHAR[]) FROM back WHERE pos = 0
+  UNION ALL SELECT conv, CASE WHEN edit = 'I' THEN pos ELSE pos + 1 END, CASE edit WHEN 'D' THEN s WHEN 'K' THEN keeps ELSE follow END, audit || edit,
+   CASE edit WHEN 'D' THEN said WHEN 'K' THEN said || [role || ':' || text] ELSE said || [CASE follow WHEN 3 THEN 'user' ELSE 'assistant' END || ':' || CASE edit WHEN 'I' THEN '' ELSE text END] END
+  FROM (SELECT *, CASE WHEN 4 + after[s] = c[s] THEN 'D' WHEN 3 + c[follow] = c[s] THEN 'I' WHEN NOT gone AND m + after[keeps] = c[s] THEN 'K' ELSE 'R' END AS edit
+   FROM (SELECT w.*, x.* EXCLUDE (conv, pos), b.c, n.c AS after, CASE s WHEN 3 THEN 4 ELSE 3 END AS follow,
+     CASE WHEN s = 1 AND i = 's' THEN 2 WHEN s <> 3 AND i = 'u' THEN 3 WHEN s = 3 AND i = 'a' THEN 4 END AS keeps
+    FROM walk w JOIN back b ON b.conv = w.conv AND b.pos = w.pos LEFT JOIN back n ON n.conv = w.conv AND n.pos = w.pos + 1 LEFT JOIN x ON x.conv = w.conv AND x.pos = w.pos
+    WHERE b.c[w.s] > 0 OR x.pos IS NOT NULL))),
+ repaired AS (SELECT conv, max_by(audit, length(audit)) AS audit, max_by(said, length(audit)) AS said FROM walk GROUP BY conv),
+ sums AS (SELECT conv, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (WHERE f = 'b') AS blank, count(*) FILTER (WHERE f = 'd') AS duplicate,
+  count(*) FILTER (WHERE f = 't') AS truncated, count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal FROM (SELECT *, lag(i) OVER (PARTITION BY conv ORDER BY pos) || i AS pair FROM x) GROUP BY conv)
+ SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+ CAST(coalesce(c[1], 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(said, chr(10)), '')) AS repaired_sha256
+ FROM (SELECT DISTINCT conv_id, coalesce(conv_id::VARCHAR, ' ') AS conv FROM conversations) LEFT JOIN sums USING (conv) LEFT JOIN repaired USING (conv) LEFT JOIN back ON back.conv = sums.conv AND back.pos = 0"""
