@@ -46,7 +46,7 @@ def main() -> None:
         "flow_features": lambda: FL.flow_features(t.packets, 10_800),
         "assign_flows": lambda: FL.assign_flows(t.packets, 10_800),
         "evaluate_rules": lambda: D.evaluate_rules(t.alerts, t.indicators, {"correlation_window_seconds": 86_400}),
-        "correlate": lambda: I.build_incidents(I.correlate(t.alerts, 21_600)),
+        "correlate": lambda: I.build_incidents(I.correlate(t.alerts, 21_600, strict=False)),
         "score_two_stage": lambda: M.score_two_stage(catalog.model_rows(t), detector, classifier, partitions=int(CPUS)),
     }
     def spent() -> tuple[int, int]:

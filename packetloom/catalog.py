@@ -855,7 +855,7 @@ def incident_alerts(t):
 
 
 def _correlated(t, hours: int = 6) -> DataFrame:
-    return I.correlate(t.alerts, hours * 3600)
+    return I.correlate(t.alerts, hours * 3600, strict=False)
 
 
 # Sequential correlation in SQL: the i-th alert of every population meets the incidents left open by the one before, a list
@@ -875,14 +875,18 @@ _FOLD = """e AS (SELECT *, coalesce(source_ip, '') AS pop, epoch_us(event_time)
  linked AS (SELECT f.incident_id, a.*, epoch_us(a.event_time) AS us FROM fold f JOIN alerts a ON a.alert_id = f.alert_id)"""
 
 
-def _folded(sql: str, views: str = "alerts", more: str = "") -> str:
-    return oracle(views, f"WITH {_FOLD}{more} {sql}").replace("WITH ", "WITH RECURSIVE ", 1)
+# The same over one population: an alert without a source may join any incident, an incident without one any alert.
+_STRICT_FOLD = _FOLD.replace("coalesce(source_ip, '') AS pop", "'' AS pop").replace("PARTITION BY coalesce(source_ip, '') ORDER", "ORDER")
 
 
-def query_on_fold(sql: str, views: str = "alerts", more: str = ""):
+def _folded(sql: str, views: str = "alerts", more: str = "", fold: str = _FOLD) -> str:
+    return oracle(views, f"WITH {fold}{more} {sql}").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def query_on_fold(sql: str, views: str = "alerts", more: str = "", fold: str = _FOLD):
     def add(fn):
         fn = query()(fn)
-        ORACLES[fn.__name__] = _folded(sql, views, more)
+        ORACLES[fn.__name__] = _folded(sql, views, more, fold)
         return fn
 
     return add
@@ -897,6 +901,12 @@ def correlate(t):
     return I.incident_links(_correlated(t)).withColumn("added_at", time_text("added_at"))
 
 
+@query_on_fold(f"SELECT incident_id, alert_id, {_STAMP.format('event_time')} AS added_at FROM linked", fold=_STRICT_FOLD)
+def correlate_strict(t):
+    """All alerts as one population, in slices of 1,000 bursts folded at once."""
+    return I.incident_links(I.correlate(t.alerts, 21_600, max_group=1_000)).withColumn("added_at", time_text("added_at"))
+
+
 @query_on_fold(f"""SELECT incident_id, concat(fl, ' Incident: ', fk, CASE WHEN coalesce(fp, 0) <> 0 THEN concat(' on Port ', CAST(fp AS VARCHAR)) ELSE '' END) AS title, 'NEW' AS status, severity,
  CAST(CASE severity WHEN 'CRITICAL' THEN 80 WHEN 'HIGH' THEN 60 WHEN 'MEDIUM' THEN 40 ELSE 20 END + least(20.0, (n - 1) * 3.0) + least(15.0, (kinds - 1) * 5.0)
  + CASE WHEN lu - fu >= 60000000 THEN 5 ELSE 0 END AS DOUBLE) AS points, round(conf, 6) AS confidence, {_STAMP.format('ft')} AS first_seen, {_STAMP.format('lt')} AS last_seen, n AS alert_count, fk AS primary_attack_type,
@@ -928,7 +938,7 @@ def correlate_without_addresses(t):
     """Alerts as the scoring path makes them, without addresses: sessions per type and port."""
     none = F.lit(None).cast("string")
     rows = t.alerts.withColumns({"source_ip": none, "destination_ip": none})
-    return I.correlate(rows, 21_600).select("alert_id", "incident_id")
+    return I.correlate(rows, 21_600, strict=False).select("alert_id", "incident_id")
 
 
 @query("alerts", """WITH a AS (SELECT *, epoch_us(event_time) AS us FROM alerts WHERE attack_type <> 'BENIGN' AND source_ip IS NOT NULL),

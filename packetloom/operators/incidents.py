@@ -13,6 +13,7 @@ from packetloom.operators.intel import map_techniques
 from packetloom.plans.folding import OpenIncidents
 from packetloom.plans.numbering import number_rows
 from packetloom.plans.sessions import assign_sessions
+from packetloom.plans.speculation import ROW, speculative_fold
 from packetloom.session import materialise
 
 # Correlation window, and the states a workflow change may ask for.
@@ -27,7 +28,7 @@ CORRELATED_TEXT = "Correlated alert %s (%s) to incident %s."
 STATUS_TEXT = "Analyst %s changed status from %s to %s."
 ASSIGNED_TEXT = "Incident assigned to %s."
 
-MAX_GROUP = 2_000_000  # bursts of one key folded by one task in one round
+MAX_GROUP = 20_000  # bursts of one key folded in one go; longer histories are cut into slices
 
 
 def incident_id(first: Column, alert_id: Column) -> Column:
@@ -40,7 +41,7 @@ def incident_label(incident: Column) -> Column:
     return F.substring(incident, 1, len("INC-yyyymmdd-") + 12)
 
 
-def _fold(window_us: int, carry: bool):
+def _fold(window_us: int):
     """Streams bursts, sorted by key and time, through the open incidents of the current key.
 
     Memory holds one key's open incidents and one Arrow batch, never a group.
@@ -55,57 +56,42 @@ def _fold(window_us: int, carry: bool):
                 batch["source_ip"], batch["destination_ip"], batch["destination_port"], batch["_note"],
             ):
                 if k != key:
-                    if carry and key is not None:
-                        out.append((key, None, None, state.dump()))
-                    key, state = k, OpenIncidents(window_us, note if what == 0 else None)
+                    key, state = k, OpenIncidents(window_us)
                 if what == 1:
                     state.forget(t0 - window_us)
                     port = None if pd.isna(port) else int(port)
-                    out.append((k, aid, state.take(t0, t1, aid, kind, src, dst, port), None))
-                elif what == 2:
+                    out.append((aid, state.take(t0, t1, aid, kind, src, dst, port)))
+                else:
                     state.set_active(aid, note != "RESOLVED")
-            yield pd.DataFrame(out, columns=["_key", "_aid", "incident_id", "_note"])
-        if carry and key is not None:
-            yield pd.DataFrame([(key, None, None, state.dump())], columns=["_key", "_aid", "incident_id", "_note"])
+            yield pd.DataFrame(out, columns=["_aid", "incident_id"])
 
     return run
 
 
-_FOLD_IN = ["_key", "_what", "_t0", "_t1", "_aid", "attack_type", "source_ip", "destination_ip",
-            "destination_port", "_note"]
+_FOLD_IN = [c for c in ROW if c != "_no"]
 
 
-def _folded(bursts: DataFrame, window_us: int, carry: bool = False) -> DataFrame:
+def _folded(bursts: DataFrame, window_us: int) -> DataFrame:
     # an explicit number: AQE would merge partitions by bytes, but the cost here is per row
     tasks = int(bursts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = bursts.select(*_FOLD_IN).repartition(tasks, "_key").sortWithinPartitions("_key", "_t0", "_what", "_aid")
-    return rows.mapInPandas(_fold(window_us, carry), "_key string, _aid string, incident_id string, _note string")
+    return rows.mapInPandas(_fold(window_us), "_aid string, incident_id string")
 
 
-def _fold_all(bursts: DataFrame, most: int, window_us: int, max_group: int) -> DataFrame:
+def _fold_all(bursts: DataFrame, most: int, window_us: int, max_group: int, named: bool) -> DataFrame:
     """(burst, incident) for every burst; `most` is the largest number of bursts of one key.
 
-    Keys with more than `max_group` bursts are folded in rounds: round c takes the c-th chunk of
-    each such key together with the incidents left open by round c-1, which are kept as a
-    written table. No task ever gets more than one chunk of a key.
+    Keys with up to `max_group` bursts are folded whole, many in a task. Larger ones are cut into slices of that many, which
+    are folded at once from guessed states (`plans/speculation.py`): no task waits for another key's history.
     """
     if most <= max_group:
-        return _folded(bursts, window_us).select("_aid", "incident_id")
+        return _folded(bursts, window_us)
     sizes = bursts.groupBy("_key").agg(F.count("*").alias("_n"))
-    large = sizes.where(F.col("_n") > max_group).select("_key")
-    done = _folded(bursts.join(large, "_key", "left_anti"), window_us).select("_aid", "incident_id")
+    large = materialise(sizes.where(F.col("_n") > max_group).select("_key"), "correlate-large")
+    small = _folded(bursts.join(large, "_key", "left_anti"), window_us)
     hot = number_rows(bursts.join(large, "_key", "left_semi"), ["_key"], "_t0", "_nth", ("_what", "_aid"))
-    hot = materialise(hot.withColumn("_round", F.floor((F.col("_nth") - 1) / max_group)), "correlate-hot")
-    left = None
-    for number in range(-(-most // max_group)):
-        part = hot.where(F.col("_round") == number).select(*_FOLD_IN)
-        if left is not None:
-            part = part.unionByName(left, allowMissingColumns=True)
-        result = materialise(_folded(part, window_us, carry=True), f"correlate-round-{number}")
-        done = done.unionByName(result.where("_aid IS NOT NULL").select("_aid", "incident_id"))
-        left = result.where("_aid IS NULL").select(
-            "_key", F.lit(0).alias("_what"), F.lit(-(2**62)).cast("long").alias("_t0"), "_note")
-    return done
+    hot = materialise(hot.withColumn("_no", F.floor((F.col("_nth") - 1) / max_group)).select(*ROW), "correlate-hot")
+    return small.unionByName(speculative_fold(hot, window_us, named))
 
 
 def _mark_bursts(rows: DataFrame, key: str, window_us: int) -> DataFrame:
@@ -153,7 +139,7 @@ def _correlate_by_fold(rows: DataFrame, window_us: int, changes: DataFrame | Non
         bursts = bursts.unionByName(marks, allowMissingColumns=True)
         counted = bursts
     most = counted.groupBy("_key").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    found = _fold_all(bursts, most, window_us, max_group)
+    found = _fold_all(bursts, most, window_us, max_group, changes is not None)
     return rows.join(found, "_aid").drop("_key", "_aid", "_slice")
 
 
@@ -169,13 +155,13 @@ def _correlate_by_port(rows: DataFrame, window_us: int) -> DataFrame:
     return grouped.unionByName(alone)
 
 
-def correlate(alerts: DataFrame, window_seconds: int = WINDOW_SECONDS, strict: bool = False,
+def correlate(alerts: DataFrame, window_seconds: int = WINDOW_SECONDS, strict: bool = True,
               changes: DataFrame | None = None, ts: str = "event_time", max_group: int = MAX_GROUP) -> DataFrame:
     """Adds the `incident_id` of every attack alert; benign alerts are dropped.
 
-    Alerts are taken in order of (time, alert id). Alerts with and without a source are
-    correlated apart unless `strict`, which folds both together along time islands of the whole
-    input. `changes` (`incident_id, status, changed_at`) closes and reopens incidents on the way.
+    Alerts are taken in order of (time, alert id), all of them as one population: only a known source that differs keeps an
+    alert out of an incident. With `strict=False` every source, and the alerts without one, are populations of their own:
+    cheaper, and the same wherever every alert has a source. `changes` (`incident_id, status, changed_at`) closes and reopens incidents on the way.
     """
     window_us = int(window_seconds) * 1_000_000
     blank = F.lit("")

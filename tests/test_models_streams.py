@@ -89,7 +89,7 @@ def test_session_stream_and_progress(spark, sf_dir):
     from packetloom.operators import incidents as I
 
     none = F.lit(None).cast("string")
-    batch = I.correlate(t.alerts.withColumns({"source_ip": none, "destination_ip": none}), 21_600)
+    batch = I.correlate(t.alerts.withColumns({"source_ip": none, "destination_ip": none}), 21_600, strict=False)
     closed = {r["incident_id"]: r["alert_count"] for r in spark.table("sessions").collect()}
     counts = {r["incident_id"]: r["count"] for r in batch.groupBy("incident_id").count().collect()}
     assert closed and all(counts[k] == n for k, n in closed.items())
