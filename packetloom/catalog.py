@@ -1230,6 +1230,18 @@ def stream_correlate(t):
     return ST.run_available(ST.stream_correlate(events_stream(t, "alerts"), 21_600), "correlated")
 
 
+@query_on_fold("SELECT alert_id, incident_id FROM linked")
+def stream_correlate_continued(t):
+    """The first half of the time in batch, the second as a stream that begins with the incidents still open."""
+    span = t.alerts.agg(F.min("event_time"), F.max("event_time")).first()
+    middle = F.lit(span[0] + (span[1] - span[0]) / 2)
+    batch = materialise(I.correlate(t.alerts.where(F.col("event_time") <= middle), 21_600, strict=False), "first-half")
+    initial = ST.open_incidents(batch, 21_600)
+    later = events_stream(t, "alerts").where(F.col("event_time") > middle)
+    stream = ST.run_available(ST.stream_correlate(later, 21_600, initial=initial), "second-half")
+    return batch.select("alert_id", "incident_id").unionByName(stream)
+
+
 @query()
 def stream_correlate_without_addresses(t):
     none = F.lit(None).cast("string")

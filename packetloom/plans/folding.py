@@ -72,8 +72,9 @@ class OpenIncidents:
                     if held and held.pop(one.id, None) and not held:
                         del self.pairs[pair]
 
-    def take(self, first: int, last: int, alert_id: str, kind: str, src, dst, port) -> str:
-        """Incident of an alert, or of a burst of equal alerts from `first` to `last`."""
+    @staticmethod
+    def _wanted(kind: str, src, dst, port) -> list[tuple]:
+        """The pairs of which an alert must share one with an incident."""
         wanted = []
         if src:
             wanted += [("sk", src, kind), ("sd", src, dst), ("sp", src, port)]
@@ -81,8 +82,12 @@ class OpenIncidents:
             wanted += [("dk", dst, kind), ("dp", dst, port)]
         if port:
             wanted.append(("kp", kind, port))
+        return wanted
+
+    def take(self, first: int, last: int, alert_id: str, kind: str, src, dst, port) -> str:
+        """Incident of an alert, or of a burst of equal alerts from `first` to `last`."""
         best = None
-        for pair in wanted:
+        for pair in self._wanted(kind, src, dst, port):
             for one in self.pairs.get(pair, {}).values():
                 if not one.active or abs(first - one.last) > self.window or (src and one.sources and src not in one.sources):
                     continue

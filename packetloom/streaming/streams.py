@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from packetloom.functions import values as V
@@ -15,10 +16,11 @@ from packetloom.operators.flows import KEY, _timeout_us, flow_key
 from packetloom.operators.incidents import incident_id
 from packetloom.operators.models import score_two_stage
 from packetloom.operators.soc import BUCKETS, _name, batch_scorecard, stream_telemetry
-from packetloom.plans.folding import OpenIncidents
+from packetloom.plans.folding import Incident
 from packetloom.schemas import NETWORK_FEATURES, TCP_FLAGS
-from packetloom.session import new_path
+from packetloom.session import materialise, new_path
 from packetloom.streaming.flow_state import OpenFlow
+from packetloom.streaming.held_incidents import HeldIncidents
 
 
 def with_event_time(stream: DataFrame, ts: str = "event_time", delay: str = "10 minutes") -> DataFrame:
@@ -170,65 +172,127 @@ def stream_flows(packets: DataFrame, timeout: float = 10.0, ts: str = "packet_ti
 # ---------------------------------------------------------------- incidents
 
 class _Correlator(StatefulProcessor):
-    """Open incidents of one source; forgotten once the watermark rules out further alerts."""
+    """Open incidents of one key in map states; each is forgotten once the watermark rules out further alerts."""
 
     def __init__(self, window_us: int):
         self.window_us = window_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.saved = handle.getValueState("open", "incidents string, due long")
+        self.heads = handle.getMapState("heads", "id string", "kind string, last long, turn long, active boolean")
+        self.sets = handle.getMapState("sets", "id string", "entities string")
+        self.pairs = handle.getMapState("pairs", "pair string", "ids string")
+        self.dues = handle.getMapState("dues", "due long", "ids string")
+        self.turn = handle.getValueState("turn", "turn long")
+
+    def _held(self) -> HeldIncidents:
+        turn = self.turn.get()
+        return HeldIncidents(self.window_us, self.heads, self.sets, self.pairs, turn[0] if turn else 0)
+
+    def _due(self, last: int) -> int:
+        """Milliseconds at which an incident is surely over, in steps of the window: few timers serve many incidents."""
+        step = max(self.window_us, 1000)
+        return ((last + self.window_us) // step + 1) * step // 1000
+
+    def _watch(self, last: dict[str, int]) -> None:
+        """One timer for each time at which incidents may be over."""
+        dues: dict[int, list[str]] = {}
+        for name, us in last.items():
+            dues.setdefault(self._due(us), []).append(name)
+        for due, names in dues.items():
+            held = self.dues.getValue((due,))
+            if held is None:
+                self.handle.registerTimer(due)
+            self.dues.updateValue((due,), (json.dumps((json.loads(held[0]) if held else []) + names),))
+
+    def _save(self, state: HeldIncidents) -> None:
+        state.save()
+        self.turn.update((state.turn,))
+        self._watch({one.id: one.last for one in state.born})
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        state = self._held()
+        for r in initialState.sort_values(["last_us", "last_alert"], kind="stable").to_dict("records"):
+            ports = [int(p) for p in r["ports"]]
+            state.add(Incident(r["incident_id"], r["kind"], int(r["last_us"]), r["sources"], r["targets"], ports, bool(r["active"])))
+        self._save(state)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         alerts = pd.concat(list(rows), ignore_index=True).sort_values(["us", "alert_id"], kind="stable")
-        old = self.saved.get()
-        state = OpenIncidents(self.window_us, old[0] if old else None)
-        seen = timerValues.getCurrentWatermarkInMs() * 1000
-        out = []
+        state, out = self._held(), []
         for us, aid, kind, src, dst, port in zip(alerts["us"], alerts["alert_id"], alerts["attack_type"],
                                                  alerts["source_ip"], alerts["destination_ip"],
                                                  alerts["destination_port"]):
             port = None if pd.isna(port) else int(port)
             out.append((aid, state.take(int(us), int(us), aid, kind, src, dst, port)))
-        if seen > 0:
-            state.forget(seen - self.window_us)
-        if old:
-            self.handle.deleteTimer(old[1])
-        if state.by_id:
-            due = (max(x.last for x in state.by_id.values()) + self.window_us) // 1000 + 1
-            self.handle.registerTimer(due)
-            self.saved.update((state.dump(), due))
-        else:
-            self.saved.clear()
+        self._save(state)
         yield pd.DataFrame(out, columns=["alert_id", "incident_id"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.saved.clear()
+        due = expiredTimerInfo.getExpiryTimeInMs()
+        held = self.dues.getValue((due,))
+        self.dues.removeKey((due,))
+        state, later = self._held(), {}
+        for name in json.loads(held[0]) if held else ():
+            head = self.heads.getValue((name,))
+            if head and self._due(head[1]) > due:  # it took alerts meanwhile
+                later[name] = head[1]
+            else:
+                state.remove(name)
+        self._watch(later)
         yield pd.DataFrame({"alert_id": pd.Series(dtype="object"), "incident_id": pd.Series(dtype="object")})
 
     def close(self) -> None:
         pass
 
 
+def _population(strict: bool, addresses: bool = True) -> Column:
+    if strict:
+        return F.lit("")
+    port = F.coalesce(F.col("destination_port").cast("int"), F.lit(0))
+    return F.coalesce("source_ip", F.lit("")) if addresses else F.when(
+        port != 0, F.concat_ws("|", "attack_type", port)).otherwise(F.concat(F.lit("alert "), "alert_id"))
+
+
+def open_incidents(correlated: DataFrame, window_seconds: int = 300, ts: str = "event_time", strict: bool = False,
+                   incidents: DataFrame | None = None) -> DataFrame:
+    """State for `stream_correlate` from alerts correlated in batch: the incidents that later alerts can still join.
+
+    `incidents` (incident_id, status) says which are resolved; without it all are open. `strict` as in the stream."""
+    blank, us = F.lit(""), F.unix_micros(F.col(ts).cast("timestamp"))
+    at = F.struct(us, "alert_id")
+    newest = correlated.agg(F.max(us)).scalar()
+    out = correlated.withColumn("pop", _population(strict)).groupBy("incident_id").agg(
+        F.first("pop").alias("pop"), F.min_by("attack_type", at).alias("kind"), F.max(F.struct(us.alias("us"), "alert_id")).alias("_last"),
+        *[F.collect_set(F.nullif(c, blank)).alias(n) for c, n in (("source_ip", "sources"), ("destination_ip", "targets"))],
+        F.collect_set(F.col("destination_port").cast("int")).alias("ports"))
+    out = out.select("pop", "incident_id", "kind", F.col("_last.us").alias("last_us"), F.col("_last.alert_id").alias("last_alert"), "sources", "targets", "ports")
+    out = out.where(F.col("last_us") >= newest - int(window_seconds) * 1_000_000)
+    if incidents is None:
+        return out.withColumn("active", F.lit(True))
+    state = incidents.select("incident_id", (F.upper("status") != "RESOLVED").alias("_active"))
+    return out.join(state, "incident_id", "left").withColumn("active", F.coalesce("_active", F.lit(True))).drop("_active")
+
+
 def stream_correlate(alerts: DataFrame, window_seconds: int = 300, ts: str = "event_time",
-                     delay: str = "10 minutes", addresses: bool = True) -> DataFrame:
+                     delay: str = "10 minutes", addresses: bool = True, strict: bool = False,
+                     initial: DataFrame | None = None) -> DataFrame:
     """Stream of (alert_id, incident_id); alerts with and without a source are kept apart.
 
     With `addresses=False` no alert has an address, as the scoring path makes them. Then only equal type and port can join,
-    and every type and port is a state key of its own, without a port every alert."""
+    and every type and port is a state key of its own, without a port every alert. With `strict` all alerts are one
+    population, and so one state key, which is one task: for streams whose source-less alerts must meet the others.
+    `initial` (from `open_incidents`, with the same `strict`) continues incidents of a batch."""
     rows = with_event_time(alerts, ts, delay).where(F.upper("attack_type") != "BENIGN")
-    port = F.coalesce(F.col("destination_port").cast("int"), F.lit(0))
-    population = F.coalesce("source_ip", F.lit("")) if addresses else F.when(
-        port != 0, F.concat_ws("|", "attack_type", port)).otherwise(F.concat(F.lit("alert "), "alert_id"))
     rows = rows.select(
-        population.alias("pop"), ts, F.unix_micros(ts).alias("us"), "alert_id", "attack_type",
+        _population(strict, addresses).alias("pop"), ts, F.unix_micros(ts).alias("us"), "alert_id", "attack_type",
         F.nullif("source_ip", F.lit("")).alias("source_ip"),
         F.nullif("destination_ip", F.lit("")).alias("destination_ip"),
         F.col("destination_port").cast("int").alias("destination_port"),
     )
     return rows.groupBy("pop").transformWithStateInPandas(
         _Correlator(int(window_seconds) * 1_000_000), "alert_id string, incident_id string",
-        outputMode="Append", timeMode="EventTime")
+        outputMode="Append", timeMode="EventTime", initialState=None if initial is None else materialise(initial, "open-incidents").groupBy("pop"))
 
 
 def stream_sessions(alerts: DataFrame, window_seconds: int = 300, ts: str = "event_time",

@@ -10,6 +10,7 @@ from packetloom.functions import scoring
 from packetloom.operators import incidents as I
 from packetloom.plans import speculation
 from packetloom.streaming import streams as ST
+from packetloom.streaming.held_incidents import HeldIncidents
 
 T0 = dt.datetime(2024, 3, 2, 12, 0, 0)
 SCHEMA = ("alert_id string, event_time timestamp, attack_type string, severity string, confidence double, "
@@ -219,6 +220,62 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got == want
 
 
+@pytest.mark.parametrize("strict", [True, False])
+def test_stream_continues_a_batch(spark, tmp_path, strict):
+    rows = random_alerts(160, 11)
+    batch = I.correlate(frame(spark, rows[:80]), strict=strict)
+    for i in (80, 120):
+        frame(spark, rows[i:i + 40]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    initial = ST.open_incidents(batch, 300, strict=strict)
+    later = ST.run_available(ST.stream_correlate(stream, delay="1 day", strict=strict, initial=initial), "continued")
+    got = {tuple(r) for r in batch.select("alert_id", "incident_id").unionByName(later).collect()}
+    assert got == {tuple(r) for r in I.correlate(frame(spark, rows), strict=strict).select("alert_id", "incident_id").collect()}
+
+
+def test_resolved_incidents_are_not_continued(spark):
+    batch = I.correlate(frame(spark, [alert("a", 0), alert("b", 5, src="10.0.0.9", dst="x", port=1)]))
+    done = batch.where("alert_id = 'a'").first()["incident_id"]
+    status = spark.createDataFrame([(done, "RESOLVED")], "incident_id string, status string")
+    got = {r["incident_id"]: r["active"] for r in ST.open_incidents(batch, incidents=status).collect()}
+    assert len(got) == 2 and [i for i, open_ in got.items() if not open_] == [done]
+
+
+class _Map(dict):
+    """Stands in for a map state and counts what is written."""
+
+    writes = 0
+
+    def getValue(self, key):
+        return self.get(key)
+
+    def updateValue(self, key, value):
+        self.writes += 1
+        self[key] = value
+
+    def removeKey(self, key):
+        self.pop(key, None)
+
+
+def test_a_batch_writes_only_what_it_touches():
+    heads, sets, pairs = _Map(), _Map(), _Map()
+    first = HeldIncidents(300, heads, sets, pairs, 0)
+    names = [first.take(k, k, f"a{k}", f"kind{k}", "s", f"d{k}", 1000 + k) for k in range(200)]
+    first.save()
+    assert len(set(names)) == 200 and len(heads) == 200
+    heads.writes = sets.writes = pairs.writes = 0
+    again = HeldIncidents(300, heads, sets, pairs, first.turn)
+    assert again.take(250, 250, "b", "kind7", "s", "d7", 1007) == names[7]
+    again.save()
+    assert (heads.writes, sets.writes, pairs.writes) == (1, 0, 0)
+    again.take(251, 251, "c", "kind7", "s", "d7", 5)
+    again.save()
+    assert sets.writes == 1 and pairs.writes <= 3
+    for name in set(names):
+        HeldIncidents(300, heads, sets, pairs, 0).remove(name)
+    assert not heads and not sets and not pairs
+
+
 def test_hand_cases(spark):
     def n(*rows):
         return I.build_incidents(I.correlate(frame(spark, list(rows)))).collect()
