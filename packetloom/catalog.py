@@ -18,6 +18,7 @@ from packetloom.plans.views import oracle, table, view
 from packetloom.schemas import RAW_COLUMNS, feature_name
 from packetloom.session import materialise, new_path, ship
 from packetloom.sources import tables as T
+from packetloom.sources.capture import decode_capture_files as decode_captures, write_captures
 from packetloom.streaming import streams as ST
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1408,6 +1409,17 @@ def timeline_of(t):
     return rows.select(time_text("timestamp").alias("timestamp"), "event_type", place.alias("place"))
 
 
+@query("packets", f"""SELECT {_STAMP.format('packet_time')} AS packet_time, src_ip, dst_ip, src_port, dst_port, protocol, pkt_len, payload_len, header_len, fin, syn, psh, false AS rst, false AS ack,
+ CAST(win_bytes % 65536 AS INT) AS win_bytes, row_number() OVER (ORDER BY packet_time, seq) - 1 AS place FROM packets""")
+def decode_capture_files(t):
+    """The packets written as one capture file and decoded from byte ranges, each with its record number."""
+    folder = new_path(t.spark, "captures")
+    write_captures(t.packets, folder, files=1).collect()
+    out = decode_captures(t.spark, folder, range_bytes=1 << 16)
+    return out.select(time_text("packet_time").alias("packet_time"), "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "pkt_len", "payload_len", "header_len",
+                      "fin", "syn", "psh", "rst", "ack", "win_bytes", F.col("seq").alias("place"))
+
+
 @query("alerts", """WITH d AS (SELECT date_trunc('day', event_time) AS day, count(*) AS n FROM alerts GROUP BY 1)
  SELECT strftime(day, '%Y-%m-%d') AS bucket, n AS total_alerts FROM d WHERE epoch_us(day) + 86400000000 <= (SELECT max(epoch_us(event_time)) - 600000000 FROM alerts)""")
 def late_data(t):

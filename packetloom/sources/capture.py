@@ -1,40 +1,36 @@
-"""Packet capture files to packet rows.
+"""Packet capture files to packet rows, and packet rows to capture files.
 
-Spark lists the files and hands them out; the decoder below only walks the record headers of
-one file. Both classic capture files (either byte order, micro- or nanosecond stamps) and the
-block format that replaced it are read.
+Spark lists the files, `capture_ranges.py` cuts them into byte ranges, and each range is decoded by its own task. Both classic
+capture files (either byte order, micro- or nanosecond stamps) and the block format that replaced it are read; the latter
+whole, mapped into memory page by page.
 """
 
 from __future__ import annotations
 
+import io
 import ipaddress
 import itertools
+import mmap
+import os
 import struct
 from collections.abc import Iterator
+from urllib.parse import unquote, urlparse
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from packetloom.schemas import PACKET_SCHEMA, TCP_FLAGS
+from packetloom.session import materialise
+from packetloom.sources import capture_ranges as R
 
-# File magics, link types, EtherTypes and IPv6 extension header numbers.
-MAGIC_MICRO, MAGIC_NANO, BLOCK_SECTION = 0xA1B2C3D4, 0xA1B23C4D, 0x0A0D0D0A
+# A file magic, link types, EtherTypes and IPv6 extension header numbers.
+BLOCK_SECTION = 0x0A0D0D0A
 LINK_ETHERNET, LINK_RAW = 1, (12, 14, 101)
 ETHER_IPV4, ETHER_IPV6, ETHER_VLAN = 0x0800, 0x86DD, (0x8100, 0x88A8)
 TCP, UDP, ICMP = 6, 17, 1
 
 
-def _classic(data: bytes) -> Iterator[tuple[int, int, bytes, int]]:
-    order = "<" if struct.unpack_from("<I", data)[0] in (MAGIC_MICRO, MAGIC_NANO) else ">"
-    nano = struct.unpack_from(order + "I", data)[0] == MAGIC_NANO
-    link = struct.unpack_from(order + "I", data, 20)[0] & 0x0FFFFFFF
-    at = 24
-    while at + 16 <= len(data):
-        sec, frac, kept, length = struct.unpack_from(order + "IIII", data, at)
-        yield sec * 1_000_000 + (frac // 1000 if nano else frac), link, data[at + 16 : at + 16 + kept], length
-        at += 16 + kept
-
-
 def _blocks(data: bytes) -> Iterator[tuple[int, int, bytes, int]]:
     order, links, at = "<", [], 0
     while at + 12 <= len(data):
@@ -111,57 +107,119 @@ def _parse(link: int, frame: bytes) -> dict | None:
     return row
 
 
-def _records(data: bytes) -> Iterator[tuple[int, dict | None, str | None]]:
-    """(number, packet fields, None) or (number, None, reason) of each record of a capture."""
-    if len(data) < 24:
+def parsed(link: int, frame: bytes, seq: int, when: int, length: int) -> tuple[dict | None, str | None]:
+    """The packet row of a frame, or the reason why there is none."""
+    try:
+        row, reason = _parse(link, frame), "no IP packet"
+    except (struct.error, IndexError, ValueError) as e:
+        row, reason = None, f"damaged: {type(e).__name__}"
+    if row is None:
+        return None, reason
+    return row | {"seq": seq, "packet_time": pd.Timestamp(when, unit="us"), "pkt_len": length}, None
+
+
+def _range_records(path: str, begin: int, stop: int, size: int, cut: bool, base: int) -> Iterator[tuple[int, dict | None, str | None]]:
+    """(number, packet row, None) or (number, None, reason) of the records of a range."""
+    if size < R.HEAD:
         yield 0, None, "file shorter than a header"
         return
-    walk = _blocks if struct.unpack_from("<I", data)[0] == BLOCK_SECTION else _classic
-    for seq, (when, link, frame, length) in enumerate(walk(data)):
-        try:
-            row, reason = _parse(link, frame), "no IP packet"
-        except (struct.error, IndexError, ValueError) as e:
-            row, reason = None, f"damaged: {type(e).__name__}"
-        if row is None:
-            yield seq, None, reason
+    with R.open_file(path) as f:
+        if cut:
+            layout = R.read_layout(f)
+            found = ((us, layout.link, frame, length) for _, us, _, length, frame in R.records(f, layout, begin, stop))
         else:
-            yield seq, row | {"seq": seq, "packet_time": pd.Timestamp(when, unit="us"), "pkt_len": length}, None
+            try:
+                data = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+            except (OSError, AttributeError, ValueError, io.UnsupportedOperation):
+                data = f.read()
+            if struct.unpack_from("<I", data)[0] != BLOCK_SECTION:
+                yield 0, None, "unknown layout"
+                return
+            found = _blocks(data)
+        for seq, (when, link, frame, length) in enumerate(found, base):
+            yield seq, *parsed(link, frame, seq, when, length)
+
+
+_WHERE = ("path", "begin", "stop", "size", "cut", "base")
 
 
 def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = ["path", *[f.name for f in PACKET_SCHEMA]]
+    columns = ["path", *[f.name for f in PACKET_SCHEMA if f.name != "path"]]
     for batch in batches:
-        for path, data in zip(batch["path"], batch["content"]):
-            packets = (row | {"path": path} for _, row, _ in _records(data) if row is not None)
+        for place in zip(*(batch[c] for c in _WHERE)):
+            packets = (row | {"path": place[0]} for _, row, _ in _range_records(*place) if row is not None)
             while rows := list(itertools.islice(packets, 20_000)):
                 yield pd.DataFrame(rows, columns=columns)
 
 
 def _reject(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        for path, data in zip(batch["path"], batch["content"]):
-            bad = ((path, seq, reason) for seq, row, reason in _records(data) if row is None)
+        for place in zip(*(batch[c] for c in _WHERE)):
+            bad = ((place[0], seq, reason) for seq, row, reason in _range_records(*place) if row is None)
             while rows := list(itertools.islice(bad, 20_000)):
                 yield pd.DataFrame(rows, columns=["path", "seq", "reason"])
 
 
-def _files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path).select(
-        "path", "content")
+def _dealt(spark: SparkSession, path: str, pattern: str, range_bytes: int) -> DataFrame:
+    ranges = materialise(R.file_ranges(spark, path, pattern, range_bytes), "ranges")
+    return ranges.repartition(max(1, min(4096, ranges.count())), "path", "number").select(*_WHERE)
 
 
-def decode_capture_files(spark: SparkSession, path: str, pattern: str = "*.pcap*") -> DataFrame:
+def decode_capture_files(spark: SparkSession, path: str, pattern: str = "*.pcap*", range_bytes: int = R.RANGE_BYTES) -> DataFrame:
     """Packet rows of every capture file below `path`, with the file name as `path`.
 
     `seq` is the record number in its file. What gives no packet is listed by `rejected_records`.
     """
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in PACKET_SCHEMA)
-    return _files(spark, path, pattern).mapInPandas(_decode, f"path string, {fields}")
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in PACKET_SCHEMA if f.name != "path")
+    return _dealt(spark, path, pattern, range_bytes).mapInPandas(_decode, f"path string, {fields}")
 
 
-def rejected_records(spark: SparkSession, path: str, pattern: str = "*.pcap*") -> DataFrame:
+def rejected_records(spark: SparkSession, path: str, pattern: str = "*.pcap*", range_bytes: int = R.RANGE_BYTES) -> DataFrame:
     """path, seq and reason of every record (or file) that gives no packet."""
-    return _files(spark, path, pattern).mapInPandas(_reject, "path string, seq long, reason string")
+    return _dealt(spark, path, pattern, range_bytes).mapInPandas(_reject, "path string, seq long, reason string")
+
+
+def write_captures(packets: DataFrame, folder: str, files: int | None = None) -> DataFrame:
+    """Writes packet rows as classic capture files of bare IPv4 packets, one a task, and lists them (path, packets).
+
+    Rows go by (packet_time, seq). Payloads are zeros; fields wider than on the wire are cut to their low bits. A file appears
+    under its name only when it is whole, so a task that runs twice leaves one."""
+    def run(batches):
+        number = TaskContext.get().partitionId()
+        path, n = os.path.join(folder, f"part-{number:05d}.pcap"), 0
+        held = f"{path}.{TaskContext.get().taskAttemptId()}.tmp"
+        with open(held, "wb") as f:
+            f.write(struct.pack("<IHHiIII", R.MAGIC_MICRO, 2, 4, 0, 0, 65_535, LINK_RAW[-1]))
+            for b in batches:
+                for p in b.to_dict("records"):
+                    frame = _frame(p)
+                    us = int(p["us"])
+                    f.write(struct.pack("<IIII", us // 10**6, us % 10**6, len(frame), int(p["pkt_len"])) + frame)
+                    n += 1
+        os.replace(held, path)
+        yield pd.DataFrame({"path": [path], "packets": [n]})
+
+    folder = unquote(urlparse(folder).path)
+    os.makedirs(folder, exist_ok=True)
+    flags = [F.coalesce(F.col(c), F.lit(False)).alias(c) if c in packets.columns else F.lit(False).alias(c) for c in TCP_FLAGS]
+    rows = packets.select(F.unix_micros(F.col("packet_time").cast("timestamp")).alias("us"), "seq", "src_ip", "dst_ip", "src_port", "dst_port", "protocol",
+                          "pkt_len", "payload_len", "win_bytes", *flags)
+    parts = files or int(packets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartitionByRange(parts, "us", "seq").sortWithinPartitions("us", "seq").mapInPandas(run, "path string, packets long")
+
+
+def _frame(p: dict) -> bytes:
+    flags = sum(bool(p[name]) << bit for bit, name in enumerate(TCP_FLAGS))
+    sport, dport = int(p["src_port"]) & 0xFFFF, int(p["dst_port"]) & 0xFFFF
+    if p["protocol"] == TCP:
+        body = struct.pack(">HHIIBBHHH", sport, dport, 0, 0, 5 << 4, flags, int(p["win_bytes"]) & 0xFFFF, 0, 0)
+    elif p["protocol"] == UDP:
+        body = struct.pack(">HHHH", sport, dport, (8 + int(p["payload_len"])) & 0xFFFF, 0)
+    else:
+        body = bytes(8)
+    body += bytes(int(p["payload_len"]))
+    ends = b"".join(ipaddress.IPv4Address(p[c]).packed for c in ("src_ip", "dst_ip"))
+    return struct.pack(">BBHHHBBH", 0x45, 0, (20 + len(body)) & 0xFFFF, 1, 0, 64, int(p["protocol"]), 0) + ends + body
 
 
 def skipped_frames(packets: DataFrame) -> DataFrame:

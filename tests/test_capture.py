@@ -3,7 +3,8 @@
 import struct
 
 from packetloom.operators import flows as FL
-from packetloom.sources.capture import decode_capture_files, skipped_frames
+from packetloom.sources import capture_ranges as R
+from packetloom.sources.capture import decode_capture_files, skipped_frames, write_captures
 
 
 def ip4(src, dst, proto, body):
@@ -76,3 +77,71 @@ def test_all_layouts_decode_alike(spark, tmp_path):
     assert one[1]["pkt_len"] == 54 and str(one[1]["packet_time"]) == "2023-11-14 22:13:20.010000"
     assert skipped_frames(rows).where("kept = 5").count() == 4
     assert FL.flow_features(rows.where("path LIKE '%a.pcap'")).count() == 3
+
+
+def many(path, n, payload=lambda k: b"p" * (k * 37 % 900), order="<"):
+    with open(path, "wb") as f:
+        f.write(struct.pack(order + "IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 2000, 101))
+        for k in range(n):
+            frame = ip4("10.0.0.1", "10.0.0.2", 6, tcp(1000 + k % 5000, 80, 0x18, k % 65536, payload(k)))
+            f.write(struct.pack(order + "IIII", 1_700_000_000 + k // 100, k % 100, len(frame), len(frame)) + frame)
+
+
+def test_ranges_number_records_through(spark, tmp_path):
+    many(tmp_path / "a.pcap", 3000)
+    many(tmp_path / "b.pcap", 1, order=">")
+    whole = decode_capture_files(spark, str(tmp_path), range_bytes=1 << 30)
+    parts = decode_capture_files(spark, str(tmp_path), range_bytes=40_000)
+    assert parts.exceptAll(whole).isEmpty() and parts.count() == 3001
+    seqs = sorted(r["seq"] for r in parts.where("path LIKE '%a.pcap'").collect())
+    assert seqs == list(range(3000))
+    assert R.file_ranges(spark, str(tmp_path), "*.pcap", 40_000).where("path LIKE '%a.pcap'").count() > 30
+
+
+def test_a_capture_inside_a_capture(spark, tmp_path):
+    """Payloads that hold whole record chains of another capture must not pass for records."""
+    inner = ip4("9.9.9.9", "8.8.8.8", 17, udp(1, 2, b"z"))
+    chain = struct.pack("<IIII", 1_700_000_000, 5, len(inner), len(inner)) + inner
+    many(tmp_path / "a.pcap", 800, payload=lambda k: chain * 30 if k % 3 else b"x" * 50)
+    got = decode_capture_files(spark, str(tmp_path), range_bytes=20_000)
+    assert got.count() == 800 and got.where("src_ip = '9.9.9.9'").isEmpty()
+
+
+def test_a_sparse_file_above_two_gigabytes(spark, tmp_path):
+    path, last = tmp_path / "big.pcap", 40_000
+    with open(path, "wb") as f:
+        f.write(struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 101))
+        for k in range(last):
+            frame = ip4("10.0.0.1", "10.0.0.2", 17, udp(k % 60000, 53, b"q"))
+            f.write(struct.pack("<IIII", 1_700_000_000 + k, 0, 60_000, 60_000) + frame)
+            f.seek(60_000 - len(frame), 1)
+        f.truncate(f.tell())
+    assert path.stat().st_size > 2**31
+    ranges = R.file_ranges(spark, str(tmp_path), "*.pcap", 256 << 20).collect()
+    assert len(ranges) == 9 and sum(r["stop"] > r["begin"] for r in ranges) == 9
+    got = decode_capture_files(spark, str(tmp_path), range_bytes=256 << 20).agg({"seq": "max", "src_port": "count"}).first()
+    assert tuple(sorted(got)) == (last - 1, last)
+
+
+def test_packets_written_are_read_again(spark, tmp_path):
+    many(tmp_path / "a.pcap", 500)
+    packets = decode_capture_files(spark, str(tmp_path))
+    listed = write_captures(packets, str(tmp_path / "out"), files=3).collect()
+    assert sum(r["packets"] for r in listed) == 500 and not list((tmp_path / "out").glob("*.tmp"))
+    again = decode_capture_files(spark, str(tmp_path / "out"))
+    columns = [c for c in packets.columns if c not in ("seq", "path")]
+    assert again.select(*columns).exceptAll(packets.select(*columns)).isEmpty()
+
+
+def test_a_growing_capture_as_a_stream(spark, tmp_path):
+    folder, out, state = tmp_path / "live", str(tmp_path / "out"), str(tmp_path / "state")
+    folder.mkdir()
+    many(tmp_path / "all.pcap", 300)
+    data = (tmp_path / "all.pcap").read_bytes()
+    spark.dataSource.register(R.CaptureStream)
+    for cut in (len(data) // 3, len(data) - 5, len(data)):
+        (folder / "a.pcap").write_bytes(data[:cut])
+        rows = spark.readStream.format("capture").option("range_bytes", "20000").load(str(folder))
+        rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.parquet(out)
+    assert got.count() == 300 and got.select("seq").distinct().count() == 300
