@@ -1,7 +1,7 @@
 """Near-duplicate documents by b-bit MinHash over word shingles.
 
 1. Each text's distinct shingles give K minima. Their bands are the candidate keys; of each minimum only the low BITS bits
-   stay, packed into 64-bit words. Texts with equal sets (copies) become one node, the least id.
+   stay, packed into 64-bit words. Texts with equal sets (copies) become one node.
 2. Nodes that share a band key are compared by their packed signatures: exclusive or, a bit count of the differing groups,
    and the similarity corrected for chance agreement of the low bits. Pairs above a cut far below the wanted similarity
    join a family. A bucket with more than LARGE nodes joins one family as it is: comparing all its pairs would grow with
@@ -12,8 +12,9 @@
 4. Components of the stars give every node, and so every document, its class.
 
 ROWS and BANDS miss a pair at the wanted similarity with probability 2e-7. Shingles are compared by 64-bit hashes. Texts
-without words have an empty set and link with nothing. A row without id links with nothing, has no component and is kept.
-Rows that repeat an id are copies of one document. Only the id and the text are read; keep_one() keeps all columns.
+without words have an empty set and link with nothing, very long ones are read whole. A row without id links with nothing, has
+no component and is kept. Nodes are sets, not ids: an id that repeats with other texts has several nodes, each is searched, and
+they have one component, as they are one document to the links. Only the id and the text are read; keep_one() keeps all columns.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ ROWS, BANDS, BITS = 7, 40, 4
 LARGE = 256
 BLOCK_NODES, BLOCK_SHINGLES, ANCHORS = 64, 100_000, 8
 
+WHO, NAMED = ["doc_id", "t1", "t2"], ["n_shingles", "print1", "print2"]  # a row's text, and its set
+
 _K = ROWS * BANDS
 _FACTORS = X.mix(np.arange(1, _K + 1, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019)) | np.uint64(1)
 _PER_WORD = 64 // BITS
@@ -100,7 +103,7 @@ def _longs(values: np.ndarray) -> pa.Array:
 
 
 def sketch(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, print1, print2 (together naming the set), keys, low of every document."""
+    """doc_id, t1, t2, n_shingles, print1, print2 (together naming the set), keys, low of every document."""
     def run(batches):
         for part in X.pieces(batches, "t"):
             g, bounds = shingles(*X.text_bytes(part.column("t")), width)
@@ -115,11 +118,17 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
             if some.any():
                 keys[some], low[some] = signatures(g, np.append(bounds[:-1][some], len(g)))
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(n.astype(np.int64)), *map(pa.array, prints), _longs(keys), _longs(low)],
-                names=["doc_id", "n_shingles", "print1", "print2", "keys", "low"])
+                [*map(part.column, WHO), pa.array(n.astype(np.int64)), *map(pa.array, prints), _longs(keys), _longs(low)],
+                names=[*WHO, *NAMED, "keys", "low"])
+
+    fields = "doc_id long, t1 long, t2 long, n_shingles long, print1 long, print2 long, keys array<long>, low array<long>"
+    return named_texts(docs).mapInArrow(run, fields)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("t"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, print1 long, print2 long, keys array<long>, low array<long>")
+
+def named_texts(docs: DataFrame) -> DataFrame:
+    """doc_id, t1, t2 (together naming the text) and t, the text."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"), text.alias("t"))
 
 
 def _runs(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
@@ -191,8 +200,8 @@ def families(nodes: DataFrame, similarity: float) -> DataFrame:
     return classes(ends, edges).withColumnRenamed("root", "family").join(nodes.select("id", "n_shingles"), "id")
 
 
-def shingle_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """(id, hashes): the sorted distinct shingles, as bytes, of the documents with the given ids."""
+def shingle_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """(id, hashes): the sorted distinct shingles, as bytes, of the nodes (id, doc_id, t1, t2, twins), from one row each."""
     def run(batches):
         for part in X.pieces(batches, "t"):
             g, bounds = shingles(*X.text_bytes(part.column("t")), width)
@@ -200,8 +209,15 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
                 [part.column("id"), pa.array([np.unique(g[a:b]).tobytes() for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())],
                 names=["id", "hashes"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("t")).join(ids.select("id").hint("merge"), "id")
-    return rows.mapInArrow(run, "id long, hashes binary")
+    def held(wanted: DataFrame) -> DataFrame:
+        return named_texts(docs).join(wanted.select("id", *WHO).hint("merge"), WHO).select("id", "t")
+
+    fields = "id long, hashes binary"
+    repeated = nodes.filter("twins > 1")  # rows that repeat both id and text
+    if repeated.isEmpty():
+        return held(nodes).mapInArrow(run, fields)
+    once = held(repeated).dropDuplicates(["id"])
+    return held(nodes.filter("twins = 1")).mapInArrow(run, fields).union(once.mapInArrow(run, fields))
 
 
 def links_in_block(ids: np.ndarray, sets: list[np.ndarray], percent: int, apart: np.ndarray | None = None):
@@ -241,9 +257,9 @@ def _confirm(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
     return rows.groupBy(*keys).applyInArrow(run, "a long, b long")
 
 
-def confirmed(docs: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
+def confirmed(docs: DataFrame, nodes: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
     """Stars (a, b) of the links between the members of each family."""
-    sets = materialise(shingle_sets(docs, members, width), "sets")
+    sets = materialise(shingle_sets(docs, materialise(nodes.join(members.select("id"), "id"), "wanted"), width), "sets")
     size = members.groupBy("family").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s")).select(
         "family", F.greatest(F.ceil(F.col("n") / BLOCK_NODES), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     size = materialise(size, "sizes")
@@ -279,36 +295,62 @@ def confirmed(docs: DataFrame, members: DataFrame, width: int, percent: int) ->
     return materialise(first.union(second), "stars")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id (the least id reachable over links), kept (doc_id = component_id).
-
-    Documents are linked if their sets of `width`-word shingles have 100 * intersection >= percent * union."""
+def linked_sets(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The sketched rows; texts (WHO, NAMED, twins: rows that hold them); nodes (id, NAMED and the least of its WHO); stars (a, b)."""
     rows = materialise(sketch(docs, width), "sketches")
-    named = ["n_shingles", "print1", "print2"]
     full = rows.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    nodes = materialise(full.groupBy(*named).agg(F.min("doc_id").alias("id")), "nodes")
-    detailed = materialise(nodes.join(full.select(F.col("doc_id").alias("id"), *named, "keys", "low"), ["id", *named]).dropDuplicates(["id"]), "nodes")
+    texts = materialise(full.groupBy(*WHO, *NAMED).agg(F.count("*").alias("twins")), "texts")
+    nodes = texts.groupBy(*NAMED).agg(F.min(F.struct(*WHO, "twins")).alias("w")).select(
+        F.monotonically_increasing_id().alias("id"), *NAMED, "w.*")
+    nodes = materialise(nodes, "nodes")
+    detailed = nodes.join(full.select(*WHO, *NAMED, "keys", "low"), [*WHO, *NAMED]).dropDuplicates(["id"])
+    detailed = materialise(detailed.select("id", "n_shingles", "keys", "low"), "nodes")
     members = materialise(families(detailed, percent / 100), "families")
-    found = classes(nodes, confirmed(docs, members, width, percent))
-    # Rows of one id with different texts are one document: their nodes hang together.
-    rooted = materialise(nodes.join(found, "id").select(*named, "root"), "rooted")
-    joined = rows.select("doc_id", *named).join(rooted, named, "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
+    return rows, texts, nodes, confirmed(docs, nodes, members, width, percent)
+
+
+def _ties(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b): the nodes of an id that repeats with other sets, each with the least of them."""
+    several = texts.groupBy("doc_id").agg(F.min(F.struct(*NAMED)).alias("x"), F.max(F.struct(*NAMED)).alias("y")).filter("x <> y").select("doc_id")
+    mine = materialise(texts.join(several, "doc_id").join(nodes.select(*NAMED, "id"), NAMED).select("doc_id", "id").distinct(), "ties")
+    least = mine.groupBy("doc_id").agg(F.min("id").alias("b"))
+    return mine.join(least, "doc_id").filter("id <> b").select(F.col("id").alias("a"), "b")
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id (the least id reachable over links), kept (doc_id = component_id) of every row.
+
+    Documents are linked if their sets of `width`-word shingles have 100 * intersection >= percent * union."""
+    rows, texts, nodes, links = linked_sets(docs, width, percent)
+    rooted = nodes.join(classes(nodes, links.union(_ties(texts, nodes))), "id")
+    least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    found = materialise(rooted.join(least, "root").select(*NAMED, "component_id"), "rooted")
+    joined = rows.select("doc_id", *NAMED).join(found, NAMED, "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id"),
                          F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of `docs` whose document is the least of its class, with all their columns; of rows that repeat an id one
-    stays. Rows without id stay."""
+    """One row of each class of linked texts, that of the least id, with all its columns. Rows without id or without words stay, and so
+    does a text whose id repeats with other texts: only copies go."""
     spark, path = docs.sparkSession, new_path(docs.sparkSession, "classes")
     with released(spark):
-        near_duplicates(docs, width, percent).select("doc_id", "kept").write.parquet(path)
+        _, texts, nodes, links = linked_sets(docs, width, percent)
+        rooted = nodes.join(classes(nodes, links), "id")
+        best = rooted.groupBy("root").agg(F.min(F.struct(*WHO)).alias("best"))
+        judged = texts.join(materialise(rooted.join(best, "root").select(*NAMED, "best"), "rooted"), NAMED)
+        judged.select(*WHO, "twins", (F.struct(*WHO) != F.col("best")).alias("goes")).filter("goes OR twins > 1").write.parquet(path)
     found = spark.read.parquet(path)
-    # The ids grow with the texts: the same plan at every size.
-    left = docs.join(found.filter(~F.col("kept")).select("doc_id").distinct().hint("merge"), "doc_id", "left_anti").select(*docs.columns)
-    twice = materialise(found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "twice")
-    if twice.isEmpty():
-        return left
-    single = left.join(twice, "doc_id", "left_anti").select(*docs.columns)
-    return single.union(left.join(twice, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
+    text = F.col("text").cast("string")
+    marked = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_t1": F.xxhash64(text), "_t2": F.xxhash64(F.lit(1), text)})
+    place = {k: f"_{k}" if k != "doc_id" else "_id" for k in WHO}
+    names = [F.col(k).alias(v) for k, v in place.items()]
+    # The table grows with the texts: the same plan at every size.
+    left = marked.join(found.filter("goes").select(*names).hint("merge"), list(place.values()), "left_anti")
+    twins = found.filter("NOT goes").select(*names)
+    if not twins.isEmpty():
+        keys = list(place.values())
+        single = left.join(twins, keys, "left_anti").select(*left.columns)
+        left = single.union(left.join(twins, keys, "left_semi").select(*left.columns).dropDuplicates(keys))
+    return left.select(*docs.columns)
