@@ -5,12 +5,12 @@ decodes each eight numbers to the nearest point of the E8 lattice. Besides that
 nearest to the vector count as its cells, on both sides of a comparison. Vectors that share a cell are candidates, and the
 cosine decides. At a cosine of 0.95 a table misses a pair with probability 0.39, all nine with 2e-4; above 0.97, 2e-6.
 
-Equal vectors become one node first. Cells with many nodes are dealt to blocks, and blocks are compared by matrix products:
+Equal vectors become one node first, whatever their ids. Cells with many nodes are dealt to blocks, and blocks are compared by matrix products:
 no pairs are emitted, only sums and a star of each class. A pair that shares several cells counts in the first of them.
 
 Vectors that are null, empty, zero or hold null or non-finite components link with nothing; vectors of different lengths do
-not link. A row without id links with nothing and is kept. Rows that repeat an id and vector are copies of it. An empty
-table has an empty result; other columns are not read.
+not link. A row without id links with nothing and is kept. Rows that repeat an id and vector are copies of it; an id that repeats
+with other vectors has several nodes with links of their own and one component. Very long vectors are read whole. An empty table has an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -240,8 +240,8 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, key: str = "vec_id", v
     rows = materialise(rows.withColumns({"print1": prints[0], "print2": prints[1]}), "vectors")
     named = ["print1", "print2"]
     nodes = rows.filter(F.col("v").isNotNull() & F.col("vec_id").isNotNull()).groupBy(*named).agg(
-        F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.first("v").alias("v"))
-    nodes = materialise(nodes, "nodes")
+        F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"), F.first("v").alias("v"))
+    nodes = materialise(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
 
     def spread(batches):
         for b in batches:
@@ -259,10 +259,18 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, key: str = "vec_id", v
         F.when(F.col("own") == F.col("other"), -1).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("part"))
     grouped = dealt.join(nodes.select("id", "copies", "v"), "id").select("g", "cell", "part", "id", "copies", "v")
     found = materialise(_compare(grouped.repartition("g").sortWithinPartitions("g"), wide, least), "found")
-    rooted = classes(nodes, found.select(F.col("id").alias("a"), F.col("low").alias("b")))
+    # Nodes of an id that repeats with other vectors hang together.
+    known = rows.filter(F.col("v").isNotNull() & F.col("vec_id").isNotNull()).select("vec_id", *named)
+    several = known.groupBy("vec_id").agg(F.min(F.struct(*named)).alias("x"), F.max(F.struct(*named)).alias("y")).filter("x <> y").select("vec_id")
+    mine = materialise(known.join(several, "vec_id").join(nodes.select(*named, "id"), named).select("vec_id", "id").distinct(), "ties")
+    ties = mine.join(mine.groupBy("vec_id").agg(F.min("id").alias("b")), "vec_id").filter("id <> b").select(F.col("id").alias("a"), "b")
+    rooted = classes(nodes, found.select(F.col("id").alias("a"), F.col("low").alias("b")).union(ties))
     counted = nodes.join(found.groupBy("id").agg(F.sum("links").alias("links")), "id", "left").join(rooted, "id")
-    counted = materialise(counted.select(*named, (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), "root"), "counted")
-    out = rows.select("vec_id", F.when(F.col("v").isNotNull() & F.col("vec_id").isNotNull(), F.col("print1")).alias("print1"), "print2").join(counted, named, "left")
-    component = F.coalesce("root", "vec_id")
+    counted = materialise(counted.select(*named, (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), "root", "vec_id"), "counted")
+    least = counted.groupBy("root").agg(F.min("vec_id").alias("least"))
+    counted = counted.drop("vec_id").join(least, "root")
+    out = rows.select("vec_id", F.when(F.col("v").isNotNull() & F.col("vec_id").isNotNull(), F.col("print1")).alias("print1"), "print2").join(
+        counted.select(*named, "links", "least"), named, "left")
+    component = F.coalesce("least", "vec_id")
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
                       F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
