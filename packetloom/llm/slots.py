@@ -1,12 +1,13 @@
 """Sharding over fixed virtual slots.
 
-A document's id is hashed to one of SLOTS slots; that never changes. A small versioned table maps slots to shards: version
+A document's id, size and checksum are hashed to one of SLOTS slots; that never changes. A small versioned table maps slots to shards: version
 1 deals the slots round, and each rebalancing reads the bytes of every slot and writes the next version, in which overfull
 shards give slots away to the emptiest ones; all other slots stay where they are. Everything here is DataFrame functions;
 the tables of slots have SLOTS rows whatever the input.
 
-A null text has no bytes and the checksum of the empty string. A null id is hashed like a value. Rows that repeat
-(doc_id, text) are counted first and share a slot, each with its own place in the shard. An empty table has an empty
+A null text has no bytes and the checksum of the empty string. A null id is hashed like a value, with its text. Rows that repeat
+(doc_id, text) are counted first and dealt to slots in parts of at most PART copies, each with its own place in the shard, so
+no id, text or row weighs on one slot, however often it comes. An empty table has an empty
 result. Other columns are not read.
 """
 
@@ -17,19 +18,23 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from packetloom.session import materialise
 
 SLOTS = 4096
+PART = 64
 
 
-def slot_of(key: Column, slots: int = SLOTS) -> Column:
-    return F.pmod(F.xxhash64(key, F.lit("slot")), F.lit(slots)).cast("int")
+def slot_of(*key: Column, slots: int = SLOTS) -> Column:
+    return F.pmod(F.xxhash64(*key, F.lit("slot")), F.lit(slots)).cast("int")
 
 
 def measured(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """(doc_id, size, text_crc32, virtual_slot, copies): equal rows are counted before the shuffle."""
+    """(doc_id, size, text_crc32, part, virtual_slot, copies): equal rows are counted before the shuffle."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"),
                        F.crc32(text).alias("text_crc32"))
-    return rows.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("copies")).withColumn(
-        "virtual_slot", slot_of(F.col("doc_id"), slots))
+    counted = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("n"))
+    parts = counted.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {PART}"))))
+    copies = F.least(F.lit(PART).cast("long"), F.col("n") - F.col("part") * PART)
+    return parts.select("doc_id", "size", "text_crc32", copies.alias("copies"), "part").withColumn(
+        "virtual_slot", slot_of(*map(F.col, ("doc_id", "size", "text_crc32", "part")), slots=slots))
 
 
 def slot_bytes(rows: DataFrame, slots: int = SLOTS) -> DataFrame:
@@ -97,7 +102,7 @@ def place(rows: DataFrame, slot_map: DataFrame) -> DataFrame:
     counted = rows.groupBy("virtual_slot").agg(F.sum("copies").alias("n")).join(slot_map.drop("version"), "virtual_slot")
     earlier = W.partitionBy("shard").orderBy("virtual_slot").rowsBetween(W.unboundedPreceding, -1)
     base = counted.select("virtual_slot", "shard", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
-    inner = W.partitionBy("virtual_slot").orderBy("doc_id", "size", "text_crc32").rowsBetween(W.unboundedPreceding, -1)
+    inner = W.partitionBy("virtual_slot").orderBy("doc_id", "size", "text_crc32", "part").rowsBetween(W.unboundedPreceding, -1)
     own = rows.withColumn("before", F.coalesce(F.sum("copies").over(inner), F.lit(0))).join(base, "virtual_slot")
     return own.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))).select(
         "doc_id", "size", "text_crc32", "virtual_slot", "shard", (F.col("base") + F.col("before") + F.col("copy")).alias("slot"))
