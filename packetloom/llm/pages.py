@@ -41,6 +41,9 @@ PARTS = frozenset(
     "ad ads advert advertisement advertising adverts banner sponsor sponsored promo promotion notice notices cookie cookies consent gdpr alert popup "
     "modal overlay newsletter subscribe signup login comment comments disqus respond replies reply sidebar menu navbar navigation breadcrumb "
     "breadcrumbs pagination pager related recommended share sharing social footer header masthead skip toolbar widget".split())
+#: Fixed lists: words that make such a word a remark on the layout ("with-sidebar", "header-offset").
+BEFORE = frozenset("with has have no not without is below above under after before hide hides show shows near".split())
+BEHIND = frozenset("offset enabled disabled layout open closed fixed sticky padding margin visible hidden free less".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
@@ -51,7 +54,13 @@ _IMPLIED = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",
 OUT, IN, OPEN = 0, 1, 2
 
 
-def _is_part(attributes: str) -> bool:
+def _names_part(token: str) -> bool:
+    words = [w for w in re.split(r"[^a-z]+", token) if w]
+    return bool(words) and words[0] not in BEFORE and words[-1] not in BEHIND and any(w in PARTS for w in words)
+
+
+def _is_part(attributes: str, content: bool = False) -> bool:
+    """Whether an element says it is a part outside. `content`: of the main element only its role and visibility count."""
     for name, value in _NAMED.findall(attributes) if "=" in attributes else ():
         value = value.strip("\"'").lower()
         if name.lower() == "role":
@@ -60,7 +69,7 @@ def _is_part(attributes: str) -> bool:
         elif name.lower() == "aria-hidden":
             if value == "true":
                 return True
-        elif any(w in PARTS for w in re.split(r"[^a-z]+", value)):
+        elif not content and any(map(_names_part, value.split())):
             return True
     return False
 
@@ -119,7 +128,7 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
                 leave(depth)
         if name in _IMPLIED and stack and stack[-1][0] in _IMPLIED[name]:
             leave(len(stack) - 1)
-        part = name in OUTSIDE or name not in ("html", "body") and _is_part(attributes)
+        part = name in OUTSIDE or name not in ("html", "body") and _is_part(attributes, name == "main")
         state = (name, part, name in CONTENT and not part, name in HEADINGS)
         stack.append(state)
         outside += part
