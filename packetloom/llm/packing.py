@@ -60,7 +60,6 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.chunks, self.parts = Remembered(self.HELD), Remembered(self.HELD)
         (self.mark,) = self._library([self.SIGN])[0]
 
