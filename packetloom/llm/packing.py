@@ -83,7 +83,7 @@ class ChunkTokenizer:
 
     def _split(self, chunk: str) -> tuple[str, str]:
         core = chunk.rstrip(self.POINTS)
-        if core.isalpha() and max(core) < "\u0130":  # below it, case is the same to every library
+        if core.isalpha() and (core.isascii() or max(core) < "\u0130"):  # below it, case is the same to every library
             return core.lower(), chunk[len(core):]
         return chunk, ""
 
