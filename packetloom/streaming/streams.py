@@ -18,7 +18,7 @@ from packetloom.operators.models import score_two_stage
 from packetloom.operators.soc import BUCKETS, _name, batch_scorecard, stream_telemetry
 from packetloom.plans.folding import Incident
 from packetloom.schemas import NETWORK_FEATURES, TCP_FLAGS
-from packetloom.session import materialise, new_path
+from packetloom.session import materialise, new_path, released
 from packetloom.streaming.flow_state import OpenFlow
 from packetloom.streaming.held_incidents import HeldIncidents
 
@@ -57,16 +57,14 @@ def score_batch(detector, classifier, alerts_path: str, cards_path: str, truth:
     scorecard of a batch number is overwritten.
     """
     def run(df: DataFrame, number: int) -> None:
-        scored = score_two_stage(df, detector, classifier).persist()
-        try:
+        with released(df.sparkSession):  # what a batch has stored on its way goes once its sinks are written
+            scored = score_two_stage(df, detector, classifier)
             hits = scored.where("is_attack").withColumn("attack_probability", F.col("confidence"))
             alerts = stored_alerts(hits, order, F.current_timestamp(), ties=(time,))
             stored = append_alerts(alerts, alerts_path, only_count=True)
             card = batch_scorecard(truth_flag(scored) if truth else scored.withColumn("gt_is_attack", F.lit(False)))
             card.withColumns({"alerts_inserted": F.lit(stored), "batch": F.lit(number)}).write.mode(
                 "overwrite").parquet(f"{cards_path}/batch_id={number}")
-        finally:
-            scored.unpersist()
 
     return run
 
