@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from packetloom.functions.scoring import severity, severity_by_probability
 from packetloom.operators.evaluate import averaged_metrics, class_weights, feature_importance, per_class_metrics
+from packetloom.operators.forests import attack_probability, verdict
 from packetloom.schemas import DETECTOR_FEATURES, NETWORK_FEATURES, TEMPORAL_FEATURES
-from packetloom.session import materialise, new_path
+from packetloom.session import new_path
 from packetloom.sources.tables import load_model, save_model
 
 # Forest settings per model, and the alerting threshold of the one-stage detector.
@@ -95,33 +95,24 @@ def _scoring_part(model: PipelineModel) -> PipelineModel:
 
 def detect(df: DataFrame, detector: PipelineModel, threshold: float = ALERT_THRESHOLD) -> DataFrame:
     """Adds `attack_probability` and `is_attack` at a probability threshold."""
-    scored = detector.transform(df)
-    p = vector_to_array("stage1_probability")[1]
-    return scored.withColumn("attack_probability", p).withColumn(
-        "is_attack", F.col("attack_probability") >= threshold
-    ).drop("stage1_features", "stage1_raw", "stage1_probability", "stage1_prediction")
+    return df.withColumn("attack_probability", attack_probability(detector, df.sparkSession)).withColumn(
+        "is_attack", F.col("attack_probability") >= threshold)
 
 
 def score_two_stage(df: DataFrame, detector: PipelineModel, classifier: PipelineModel,
                     policy: str = "family_confidence", partitions: int | None = None) -> DataFrame:
     """Adds the verdict of both stages; every input column, truth included, rides along.
 
-    The first forest's verdicts are stored, so that the second one sees the detected rows only: with mostly benign traffic
-    that is a small part. Nothing is collected or joined back by position. `partitions` deals the rows anew first, for a scan
-    that cannot be split as far as there are cores (a single row group).
+    Both forests are flat arrays, walked for whole batches in one pass: the second one by detected rows only. Only the features
+    leave the JVM; nothing is stored, shuffled, collected or joined back. `partitions` deals the rows anew first, for a scan that
+    cannot be split as far as there are cores (a single row group).
     """
     if partitions:
         df = df.repartition(partitions)
-    labels = class_labels(classifier)
-    p1, attack = vector_to_array("stage1_probability"), F.col("stage1_prediction") == 1.0
-    first = materialise(detector.transform(df).select(
-        *df.columns, attack.alias("is_attack"), F.when(attack, p1[1]).otherwise(p1[0]).alias("stage1_confidence")), "stage1")
-    index = F.col("stage2_prediction").cast("int")
-    second = _scoring_part(classifier).transform(first.where("is_attack")).select(
-        *first.columns, F.get(vector_to_array("stage2_probability"), index).alias("stage2_confidence"),
-        decode_class(index, labels).alias("attack_type"))
-    scored = second.unionByName(first.where("NOT is_attack").withColumns({
-        "stage2_confidence": F.lit(0.0), "attack_type": F.lit("Benign")}))
+    kind = decode_class(F.col("_verdict.kind"), class_labels(classifier))
+    scored = df.withColumn("_verdict", verdict(detector, classifier, df.sparkSession)).select(
+        *df.columns, "_verdict.is_attack", "_verdict.stage1_confidence", "_verdict.stage2_confidence",
+        F.when(F.col("_verdict.is_attack"), kind).otherwise("Benign").alias("attack_type"))
     one, two = F.col("stage1_confidence"), F.col("stage2_confidence")
     scored = scored.withColumn("confidence", F.when(F.col("is_attack"), one * two).otherwise(one))
     level = severity("attack_type", "confidence", policy)

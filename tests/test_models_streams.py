@@ -40,6 +40,42 @@ def test_forests_learn_what_there_is_to_learn(spark, inputs):
     assert hits.where("attack_type = Label").count() / hits.count() > 0.97
 
 
+def test_flat_forests_equal_a_plain_walk(spark, inputs):
+    """Against the stored nodes followed one by one, with missing, infinite and boundary values."""
+    import numpy as np
+
+    from packetloom.operators.forests import FlatForest, flat, node_table
+
+    path = catalog.new_path(spark, "forest")
+    inputs[1].stages[-1].write().save(path)
+    nodes = {(n["tree"], n["id"]): n for n in node_table(spark, path).collect()}
+    names, forest = flat(inputs[1], spark)
+    rng = np.random.default_rng(1)
+    limits = [n["limit"] for n in nodes.values() if n["feature"] >= 0]
+    x = rng.choice(np.array([*limits, np.nan, np.inf, -np.inf, 0.0]), (300, len(names)))
+
+    def plain(row):
+        total = np.zeros(2)
+        for tree in range(1 + max(k for k, _ in nodes)):
+            n = nodes[tree, 0]
+            while n["feature"] >= 0:
+                n = nodes[tree, n["left"] if row[n["feature"]] <= n["limit"] else n["right"]]
+            total += np.array(n["counts"]) / sum(n["counts"])
+        return total
+
+    assert np.allclose(forest.value.raw(x), [plain(r) for r in x], rtol=0, atol=1e-12)
+    assert forest.value.raw(x[:0]).shape == (0, 2)
+    lone = FlatForest.of_nodes([(0, 0, -1, None, -1, -1, [3.0])])
+    assert lone.depth == 0 and lone.shares(lone.raw(x[:2])).tolist() == [[1.0, 0.0]] * 2
+
+
+def test_scoring_stores_and_shuffles_nothing(inputs):
+    """One pass: no exchange, and only features reach Python."""
+    t, detector, classifier = inputs
+    plan = M.score_two_stage(catalog.model_rows(t), detector, classifier)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("ArrowEvalPython") == 1
+
+
 def test_detect_and_summary(inputs):
     t, detector, _ = inputs
     found = M.detect(catalog.model_rows(t), detector, 0.7)
