@@ -1,14 +1,16 @@
 """Secret scan: candidate strings, and a random forest that removes false positives.
 
-Candidates are runs of at least MIN_LENGTH of the characters of keys and tokens that hold a digit or are assigned to
-something. A word may have several, as compact JSON, lists and URLs do: each is assigned to the nearest name before it, a
+Candidates are, first, the values assigned to a secret's name or given as a URL's password: up to the closing quote or the
+word's end, whatever their signs and length. Besides, they are runs of at least MIN_LENGTH of the characters of keys and tokens
+that hold a digit or are assigned to something. A word may have several, as compact JSON, lists and URLs do: each is assigned to the nearest name before it, a
 URL's password to "password", and the parts of a URL's path are runs of their own. The forest sees their length and make-up, how likely their character transitions are in the
 corpus (counted over all documents), how much of them is covered by words frequent in the corpus, the names in the document's
 path, and the words beside them.
 
 Labelled findings can be given. Without them, findings that strict rules decide serve as labels: issued key formats and
-values assigned to a secret's name are secrets; addresses, telephone numbers, card numbers, network addresses, plain
-words and numbers are not. The bounded sample `rows` holds the findings of least hash; half of the rest measures accuracy.
+values assigned to a secret's name that hold a digit or a sign are secrets; such values of letters alone are harmless where
+they are words frequent in the corpus, and else undecided. Of the other runs addresses, telephone numbers, card numbers, network addresses, plain
+words and numbers are harmless. The bounded sample `rows` holds the findings of least hash; half of the rest measures accuracy.
 
 Null and empty texts have no findings; a null path has no names. Repeated rows are scanned alike, each giving its findings.
 A null id is carried through. Other columns are not read, or kept when secrets are masked. Without labels of both kinds the
@@ -41,6 +43,10 @@ _ASSIGNS = re.compile(r"[=:]>?[\"'`\[({\\]*$")
 _LISTS = re.compile(r"[\"'`\\]*[,|][\"'`\\]*")
 _NAMES = re.compile(r"[\"'`\])\\]*[=:]")
 _URL = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://(?:([^\s/?#\"'`<>]*)@)?([^\s/?#\"'`<>@]*)([^\s?#\"'`<>]*)")
+#: A name and what assigns to it; the value that follows a quote or not; where the value of a list or of settings ends.
+_NAMED = re.compile(r"([A-Za-z_][\w.-]*)[\"'`\])\\]*(?:=>|:=|==?|:)(?=[^=:])")
+_OPENS = re.compile(r"[\[({\\]*([\"'`]?)")
+_VALUE = re.compile(r"(?:(?![,;&|](?:[\"'{]*[A-Za-z_][\w.-]*[\"']?[=:]|[A-Za-z0-9+/_.@~-]{8}))[^\"'`])*")
 _CORE = re.compile(r"[A-Za-z0-9+/_.@~-]+(?:=(?=[\"'`;,.]*$))*")
 
 FEATURES = (
@@ -128,7 +134,7 @@ def _describe(value: str, name: str, assigned: bool, quoted: bool, left: list[st
     lower = ((data >= 97) & (data < 123)).sum()
 
     def named(words, names):
-        return float(any(part in names for w in words for part in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1_\2", w).lower())))
+        return float(any(part in names for w in words for part in parts_of(w)))
 
     return [
         n, digits / n, upper / n, lower / n, (n - digits - upper - lower) / n, len(set(value)) / n, (group[1:] != group[:-1]).mean() if n > 1 else 0,
@@ -138,6 +144,40 @@ def _describe(value: str, name: str, assigned: bool, quoted: bool, left: list[st
     ]
 
 
+def parts_of(word: str) -> list[str]:
+    """Lower-case parts of a name in any of the usual spellings."""
+    return re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1_\2", word).lower())
+
+
+def _secret_name(word: str) -> bool:
+    return any(part in SECRET_NAMES for part in parts_of(word))
+
+
+def values_of(raw: str, name: str, assigned: bool):
+    """(first character, value, name) of what a word assigns to a secret's name, URLs' passwords included. `name` and `assigned`
+    say what the words before assign its beginning to. URLs as values are left to `runs_of`, as is what is a name itself."""
+    begins = [(0, name)] if assigned and _secret_name(name) else []
+    begins += [(m.end(), m.group(1)) for m in _NAMED.finditer(raw) if _secret_name(m.group(1))]
+    found, end = [], 0
+    for m in _URL.finditer(raw) if "://" in raw else ():
+        user, sign, password = (m.group(1) or "").partition(":")
+        if password:
+            found.append((m.start(1) + len(user) + 1, password, "password"))
+    for at, own in begins:
+        opened = _OPENS.match(raw, at)
+        start, quote = opened.end(), opened.group(1)
+        if quote:
+            close = raw.find(quote, start)
+            value = raw[start:] if close < 0 else raw[start:close]
+            value = value.rstrip("\\") if close >= 0 else value.rstrip(",;.)]}")
+        else:
+            value = _VALUE.match(raw, start).group().rstrip(",;.)]}:\\")
+        if value.strip("=:-*._~") and start >= end and "://" not in value and not value.startswith("//") and not _NAMES.match(raw, start + len(value)):
+            found.append((start, value, own))
+            end = start + len(value)
+    return sorted(found)
+
+
 def runs_of(raw: str, name: str, assigned: bool):
     """(first character, run, name, whether assigned, whether a name itself, whether a URL's host) of each run of a word.
     `name` and `assigned` say what the words before assign the first one to."""
@@ -169,7 +209,7 @@ def runs_of(raw: str, name: str, assigned: bool):
         yield start, core.group().rstrip(".-"), *own, is_name, any(a <= start < b for a, b in hosts)
 
 
-def findings(data: np.ndarray, offsets: np.ndarray, paths: list[str], own: Corpus):
+def findings(data: np.ndarray, offsets: np.ndarray, paths: list[str], corpus: Corpus):
     """(text, first byte, end byte, value, silver label or -1, features) of each candidate of a batch."""
     starts, ends, bounds = X.runs(~X.SPACE[data], offsets)
     owner, size = X.owners(bounds), ends - starts
@@ -181,7 +221,11 @@ def findings(data: np.ndarray, offsets: np.ndarray, paths: list[str], own: Corpu
     after = np.zeros(len(starts), bool)
     after[1:] = has_sign[:-1] & (owner[1:] == owner[:-1])
     named = has_sign | after
-    chosen = np.flatnonzero((size >= MIN_LENGTH) & ((digits[ends] > digits[starts]) | named))
+    # a value may be short, and so may its word: the word assigns, or the one before ends so
+    last_byte = data[ends - 1] if len(ends) else data[:0]
+    before = np.zeros(len(starts), bool)
+    before[1:] = ((last_byte[:-1] == 61) | (last_byte[:-1] == 58)) & (owner[1:] == owner[:-1])
+    chosen = np.flatnonzero((size >= MIN_LENGTH) & ((digits[ends] > digits[starts]) | named) | has_sign | before)
 
     def word(k):
         return data[starts[k]:ends[k]].tobytes().decode(errors="replace")
@@ -194,23 +238,37 @@ def findings(data: np.ndarray, offsets: np.ndarray, paths: list[str], own: Corpu
         name, assigned = "", False
         if left and left[-1][-1] in "=:":
             name, assigned = (left[-1][:-1] or (left[-2] if len(left) > 1 else "")), True
-        for start, value, name, assigned, is_name, host in list(runs_of(raw, name, assigned)):
-            if len(value) < MIN_LENGTH or not (assigned or any(c in "0123456789" for c in value) or named[k] and not is_name and "://" not in raw):
+        direct = values_of(raw, name, assigned) if has_sign[k] or before[k] else []
+        if size[k] < MIN_LENGTH and not direct:
+            continue
+        found = [(start, value, own, True) for start, value, own in direct]
+        for start, value, own, given, is_name, host in runs_of(raw, name, assigned):
+            if len(value) < MIN_LENGTH or not (given or any(c in "0123456789" for c in value) or named[k] and not is_name and "://" not in raw):
                 continue
             if host and not ISSUED.search(value):  # an address
                 continue
+            if any(start < a + len(v) and a < start + len(value) for a, v, _ in direct):
+                continue
+            found.append((start, value, own, given))
+        for start, value, own, given in sorted(found):
             quoted = start > 0 and raw[start - 1] in "\"'`"
             begin = int(starts[k]) + len(raw[:start].encode())
-            x = _describe(value, name, assigned, quoted, left, right, paths[text] or "", own)
-            secret = dict(zip(FEATURES, x))
-            harmless = HARMLESS.fullmatch(value)
-            if secret["issued"] or (assigned and secret["secret_left"] and secret["digit_share"] > 0 and len(value) >= 10 and not harmless):
-                label = 1
-            elif harmless or (not assigned and secret["dictionary"] > 0.8):
-                label = 0
-            else:
-                label = -1
-            yield text, begin, begin + len(value.encode()), value, label, x
+            x = _describe(value, own, given, quoted, left, right, paths[text] or "", corpus)
+            yield text, begin, begin + len(value.encode()), value, silver(value, dict(zip(FEATURES, x)), (start, value, own) in direct), x
+
+
+def silver(value: str, x: dict, direct: bool) -> int:
+    """What the strict rules say of a candidate: 1 secret, 0 harmless, -1 undecided. What is assigned to a secret's name (`direct`)
+    is never harmless by its form, only as a word frequent in the corpus."""
+    if x["issued"]:
+        return 1
+    harmless = HARMLESS.fullmatch(value) is not None
+    if direct:
+        odd = x["digit_share"] > 0 or x["sign_share"] > 0
+        return 1 if odd and len(value) >= 6 and x["dictionary"] <= 0.8 and not harmless else 0 if x["dictionary"] > 0.8 else -1
+    if x["assigned"] and x["secret_left"] and x["digit_share"] > 0 and len(value) >= 10 and not harmless:
+        return 1
+    return 0 if harmless or (not x["assigned"] and x["dictionary"] > 0.8) else -1
 
 
 @dataclasses.dataclass
@@ -336,10 +394,38 @@ def _fit(docs, labels, rows, path):
     train = np.arange(len(y)) % 2 == 0
     if len(set(y[train])) < 2:
         train[:] = True
-    forest = grow_forest(x[train], y[train])
     test = ~train if (~train).any() else train
+    (more, label), (hard, truth) = varied(x[train], y[train]), varied(x[test], y[test])
+    forest = grow_forest(np.concatenate([x[train], more]), np.concatenate([y[train], label]))
     right = (forest.score(x[test]) >= 0.5) == (y[test] == 1)
-    return Scanner(own, forest), {"findings": len(got), "held_out": int(test.sum()), "accuracy": float(right.mean())}
+    return Scanner(own, forest), {"findings": len(got), "held_out": int(test.sum()), "accuracy": float(right.mean()),
+                                  "hard": len(hard), "hard_accuracy": float(((forest.score(hard) >= 0.5) == (truth == 1)).mean()) if len(hard) else None}
+
+
+def varied(x: np.ndarray, y: np.ndarray, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+    """Harder findings and their labels: the rows of secrets assigned to a secret's name, once shorter, once of letters alone, once with more signs
+    and other characters' transitions. The labelled findings of a corpus may hold few forms, all long; the name is what makes
+    these values secrets, and the forest has to learn that; but a word frequent in the corpus beside such a name is prose."""
+    at, rng = {n: k for k, n in enumerate(FEATURES)}, np.random.default_rng(seed)
+    rows = x[(y == 1) & (x[:, at["assigned"]] > 0) & (x[:, at["secret_left"]] > 0) & (x[:, at["issued"]] == 0)]
+    out = []
+    for digits, signs in ((None, None), (0.0, 0.0), (None, 0.3)):
+        some = rows.copy()
+        some[:, at["length"]] = np.floor(rng.uniform(5, np.maximum(rows[:, at["length"]], 6)))
+        some[:, [at["transition"], at["worst_transition"]]] *= rng.uniform(0.4, 1.2, (len(rows), 2))
+        some[:, at["is_hex"]] = 0
+        some[:, at["quoted"]] = rng.integers(0, 2, len(rows))
+        if digits is not None:
+            some[:, at["digit_share"]], some[:, at["kind_changes"]] = 0, 0
+            some[:, at["lower_share"]] = 1 - some[:, at["upper_share"]]
+        if signs is not None:
+            some[:, at["sign_share"]] = signs
+            some[:, at["lower_share"]] = np.maximum(0, 1 - some[:, at["upper_share"]] - some[:, at["digit_share"]] - signs)
+        out.append(some)
+    prose = out[1].copy()
+    prose[:, at["dictionary"]] = rng.uniform(0.8, 1, len(rows))
+    prose[:, at["quoted"]] = 0
+    return np.concatenate([*out, prose]), np.repeat([1.0, 0.0], [3 * len(rows), len(rows)])
 
 
 def scan(docs: DataFrame, scanner: Scanner, path: str = "source") -> DataFrame:

@@ -335,6 +335,58 @@ def test_every_run_of_a_word_is_scanned(spark):
     assert all(r.text == "some words before " + texts[r.doc_id % 4].replace(value, S.MASK) for r in S.mask_secrets(df).collect())
 
 
+def test_values_of_secret_names_are_whole(spark):
+    """What a secret's name is given is a candidate whatever its signs and length; its form alone never makes it harmless."""
+    flat = S.Corpus(np.full((S._KINDS, S._KINDS), -3.0), np.zeros(S.BUCKETS))
+    cases = [("password=abc1234", ["abc1234"]), ("password=p@ss!w0rd#9", ["p@ss!w0rd#9"]), ("token = xK9-!qq$12345678", ["xK9-!qq$12345678"]),
+             ("pwd: correcthorsebattery", ["correcthorsebattery"]), ("pwd=!a", ["!a"]), ("https://u:p!x@host.org/a", ["p!x"]), ("secret=a,b;user=c", ["a,b"]),
+             ("{'api_key':'k#1','token':'é!ü1'}", ["k#1", "é!ü1"]), ("password: \"two words1\"", ["two"]), ("password:", []), ("key: = -", []), ("", [])]
+    for text, want in cases:
+        data, offsets = X.text_bytes(pa.array([text]))
+        found = list(S.findings(data, offsets, ["s"], flat))
+        assert [r[3] for r in found] == want and all(text.encode()[r[1]:r[2]].decode() == r[3] for r in found)
+        assert all(r[4] != 0 for r in found)
+    docs = table(ready(spark), "/root/testdata/sf0.01", "documents")
+    scanner, report = S.fit(docs)
+    assert report["hard"] > 10 and report["hard_accuracy"] > 0.9
+    words = collections.Counter(w for r in docs.collect() for w in re.findall("[a-z]{4,}", r.text))
+    common = [w for w, _ in words.most_common(3)]
+    rows = [f"before {c[0]} after" for c in cases[:4]] + [f"{common[0]} key: {common[1]} and secret: {common[2]}, {common[0]}"]
+    odd = ready(spark).createDataFrame([(k, x, "en", "src", 9) for k, x in enumerate(rows)], DOCUMENT)
+    assert {r.doc_id for r in S.scan(odd, scanner).filter("secret").collect()} == {0, 1, 2, 3}
+
+
+def test_features_and_forest_by_plain_loops():
+    rng = np.random.default_rng(5)
+    own = S.Corpus(rng.normal(-3, 1, (S._KINDS, S._KINDS)), np.zeros(S.BUCKETS))
+
+    def kind(b):
+        c = chr(b).lower()
+        return 28 if b >= 128 else ord(c) - 97 if c.isascii() and c.isalpha() else 26 if c.isdigit() else 27
+
+    for value in ("aB3$é", "x", "DEADBEEF00", "a.b.c@d"):
+        x = dict(zip(S.FEATURES, S._describe(value, "my_token", True, False, [], ["x"], "docs/a.py", own)))
+        kinds = [kind(b) for b in value.encode()]
+        steps = [own.transitions[a, b] for a, b in zip(kinds, kinds[1:])] or [0.0]
+        assert x["length"] == len(kinds) and x["digit_share"] == sum(k == 26 for k in kinds) / len(kinds)
+        assert x["upper_share"] == sum(c.isascii() and c.isupper() for c in value) / len(kinds)
+        assert np.isclose(x["transition"], sum(steps) / len(steps)) and x["worst_transition"] == min(steps)
+        assert (x["secret_left"], x["secret_right"], x["example_path"], x["dots"], x["has_at"]) == (1, 0, 1, value.count("."), float("@" in value))
+        assert x["is_hex"] == float(all(c in "0123456789abcdefABCDEF" for c in value))
+    x, y = rng.random((400, 5)), rng.integers(0, 2, 400).astype(float)
+    forest = S.grow_forest(x, y, trees=7, depth=5)
+
+    def walk(row):
+        total = 0.0
+        for at in forest.roots.tolist():
+            while forest.left[at] != at:
+                at = int(forest.left[at] if row[forest.feature[at]] <= forest.limit[at] else forest.right[at])
+            total += forest.value[at]
+        return total / len(forest.roots)
+
+    assert np.allclose(forest.score(x), [walk(r) for r in x], rtol=0, atol=1e-12)
+
+
 def test_forest_learns():
     rng = np.random.default_rng(2)
     x = rng.random((1500, 4))
