@@ -1494,23 +1494,44 @@ def decode_capture_files(t):
  SELECT strftime(day, '%Y-%m-%d') AS bucket, n AS total_alerts FROM d WHERE epoch_us(day) + 86400000000 <= (SELECT max(epoch_us(event_time)) - 600000000 FROM alerts)""")
 def late_data(t):
     """The same events once more, two deliveries later: every one is behind the watermark, none is counted again."""
+    at = new_path(t.spark, "late"), new_path(t.spark, "late-checkpoint")
+    for feed in _deliveries(t):
+        out = ST.run_available(ST.stream_trends(feed, "7d"), "late", at=at)
+    return out.select(day_text("bucket").alias("bucket"), "total_alerts")
+
+
+def _deliveries(t):
+    """A stream before each of three deliveries: all alerts, the newest again, those of the days that are closed again."""
     path = new_path(t.spark, "deliveries")
     rows = t.alerts.select("alert_id", "event_time", "severity", "attack_type")
-    closed = rows.agg(F.max("event_time")).scalar()
-    rows.coalesce(1).write.parquet(path)
-    rows.orderBy(F.desc("event_time")).limit(1).write.mode("append").parquet(path)
-    rows.where(F.to_date("event_time") < F.to_date(closed - F.expr("INTERVAL 10 MINUTES"))).coalesce(1).write.mode("append").parquet(path)
-    feed = T.flow_stream(t.spark, path, rows.schema)
-    out = ST.run_available(ST.stream_trends(feed, "7d"), "late")
-    return out.select(day_text("bucket").alias("bucket"), "total_alerts")
+    newest = rows.agg(F.max("event_time")).scalar()
+    closed = F.to_date("event_time") < F.to_date(newest - F.expr("INTERVAL 10 MINUTES"))
+    for part in (rows, rows.orderBy(F.desc("event_time")).limit(1), rows.where(closed)):
+        part.write.mode("append").parquet(path)
+        yield T.flow_stream(t.spark, path, rows.schema, files_per_trigger=2**31 - 1)  # one batch a delivery, however many files
+
+
+@query("alerts", """WITH d AS (SELECT event_time, false AS late FROM alerts UNION ALL SELECT max(event_time), false FROM alerts UNION ALL
+ SELECT event_time, true FROM alerts WHERE CAST(event_time AS DATE) < (SELECT CAST(max(event_time) - INTERVAL 10 MINUTE AS DATE) FROM alerts))
+ SELECT strftime(event_time, '%Y-%m-%d') AS bucket, late, count(*) AS n,
+ CAST(sum(CASE WHEN late THEN (SELECT max(epoch_us(event_time)) FROM alerts) - 600000000 - epoch_us(event_time) END) AS BIGINT) AS behind_us FROM d GROUP BY 1, 2""")
+def late_rows(t):
+    """The same deliveries with every row kept: those behind the watermark are marked, with their distance from it."""
+    at = new_path(t.spark, "kept"), new_path(t.spark, "kept-checkpoint")
+    for feed in _deliveries(t):
+        out = ST.late_rows(feed, at=at)
+    return out.groupBy(day_text("event_time").alias("bucket"), "late").agg(
+        F.count("*").alias("n"), F.sum(F.round(F.col("behind_seconds") * 1_000_000).cast("long")).alias("behind_us"))
 
 
 @query("alerts", "SELECT count(*) AS input_rows, true AS numbered FROM alerts")
 def stream_progress(t):
-    path = new_path(t.spark, "progress")
-    query = events_stream(t, "alerts").writeStream.format("noop").option("checkpointLocation", path).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return ST.stream_progress(query).agg(F.sum("input_rows").alias("input_rows"), (F.count_distinct("batch") == F.count("*")).alias("numbered"))
+    with ST.ProgressLog(t.spark, new_path(t.spark, "progress")) as log:
+        query = events_stream(t, "alerts").writeStream.format("noop").option(
+            "checkpointLocation", new_path(t.spark, "progress-checkpoint")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        rows = ST.stream_progress(log, query)
+    return rows.agg(F.sum("input_rows").alias("input_rows"), (F.count_distinct("batch") == F.count("*")).alias("numbered"))
 
 
 @query("flows", f"""SELECT count(*) AS support, 3 AS time_features FROM flows WHERE {_TEST} AND IsAttack = 1""")

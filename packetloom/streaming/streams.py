@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import json
+import threading
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 
 from packetloom.functions import values as V
 from packetloom.operators.alerts import append_alerts, stored_alerts
@@ -29,10 +30,11 @@ def with_event_time(stream: DataFrame, ts: str = "event_time", delay: str = "10
     return stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
 
 
-def run_available(stream: DataFrame, name: str, mode: str = "append", batch=None) -> DataFrame:
-    """Processes all data that is there now and returns the table written."""
+def run_available(stream: DataFrame, name: str, mode: str = "append", batch=None, at: tuple[str, str] | None = None) -> DataFrame:
+    """Processes all data that is there now and returns the table written. `at` names table and checkpoint of a stream that
+    is to be continued, as a scheduled job does."""
     spark = stream.sparkSession
-    path, checkpoint = new_path(spark, name), new_path(spark, f"{name}-checkpoint")
+    path, checkpoint = at or (new_path(spark, name), new_path(spark, f"{name}-checkpoint"))
     writer = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", checkpoint)
     if batch is not None:
         writer = writer.foreachBatch(lambda df, number: batch(df, number, path))
@@ -326,13 +328,83 @@ def stream_trends(alerts: DataFrame, window: str = "1h", ts: str = "event_time",
     return out.select(F.col("w.start").alias("bucket"), *out.columns[1:])
 
 
-def stream_progress(query) -> DataFrame:
-    """Batch number, rows and rates of the recent batches of a query."""
-    rows = [
-        (int(p["batchId"]), int(p["numInputRows"]), float(p.get("inputRowsPerSecond") or 0.0),
-         float(p.get("processedRowsPerSecond") or 0.0), str(p["timestamp"]))
-        for p in query.recentProgress
-    ]
-    spark = SparkSession.active()
-    return spark.createDataFrame(rows, "batch long, input_rows long, input_rate double, processed_rate double, at string")
+def late_rows(stream: DataFrame, ts: str = "event_time", delay: str = "10 minutes", at: tuple[str, str] | None = None) -> DataFrame:
+    """Every row delivered, with `late` and `behind_seconds` (how far behind the watermark); none is dropped.
 
+    The watermark of a batch is the newest event time of all earlier batches less `delay`, as the engine's own; each batch
+    stores its newest time beside its rows. A batch that runs again replaces what it wrote. Rows without a time are on time."""
+    spark = stream.sparkSession
+    path, checkpoint = at or (new_path(spark, "deliveries"), new_path(spark, "deliveries-checkpoint"))
+    schema = "newest timestamp, batch_id long"
+
+    def run(df: DataFrame, number: int) -> None:
+        spark = df.sparkSession
+        spark.range(0).select(F.lit(None).cast("timestamp").alias("newest")).write.mode("ignore").parquet(f"{path}/newest/batch_id=-1")
+        seen = spark.read.schema(schema).parquet(f"{path}/newest").where(F.col("batch_id") < number)
+        mark = (F.max("newest") - F.expr(f"INTERVAL {delay}")).alias("mark")
+        time = F.col(ts).cast("timestamp")
+        behind = (F.unix_micros(F.lit(seen.agg(mark).first().mark).cast("timestamp")) - F.unix_micros(time)) / 1_000_000
+        late = F.coalesce(behind > 0, F.lit(False))
+        df.withColumns({"late": late, "behind_seconds": F.when(late, behind)}).write.mode("overwrite").parquet(f"{path}/rows/batch_id={number}")
+        written = spark.read.parquet(f"{path}/rows/batch_id={number}")
+        written.agg(F.max(time).alias("newest")).write.mode("overwrite").parquet(f"{path}/newest/batch_id={number}")
+
+    stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}/rows")
+
+
+class ProgressLog(StreamingQueryListener):
+    """Appends the progress of every batch of every query to a table; the engine itself keeps the recent ones only.
+    It writes after `every` batches and at a query's end, so a lost driver loses the last few reports at most."""
+
+    def __init__(self, spark: SparkSession, path: str, every: int = 20):
+        self.spark, self.path, self.every, self.ended, self.held = spark, path, every, {}, []
+
+    def __enter__(self) -> ProgressLog:
+        self.spark.streams.addListener(self)
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.spark.streams.removeListener(self)
+
+    def onQueryStarted(self, event) -> None:
+        self.ended.setdefault(str(event.runId), threading.Event())
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self._write()
+        self.ended.setdefault(str(event.runId), threading.Event()).set()
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        states, mark = p.stateOperators, p.eventTime.get("watermark")
+        row = (str(p.id), int(p.batchId), int(p.numInputRows), float(p.inputRowsPerSecond or 0), float(p.processedRowsPerSecond or 0), p.timestamp,
+               mark, sum(s.numRowsTotal for s in states), sum(s.numRowsDroppedByWatermark for s in states))
+        self.held.append(row)
+        if len(self.held) >= self.every:
+            self._write()
+
+    def _write(self) -> None:
+        if self.held:
+            self.spark.createDataFrame(self.held, PROGRESS).coalesce(1).write.mode("append").json(self.path)
+            self.held = []
+
+    def settled(self, query, seconds: float = 60) -> None:
+        """Waits for the events of a query that has ended: they arrive in order, its end last."""
+        if not self.ended.setdefault(str(query.runId), threading.Event()).wait(seconds):
+            raise TimeoutError(f"no end of query {query.id} was reported within {seconds} seconds")
+
+
+PROGRESS = ("query string, batch long, input_rows long, input_rate double, processed_rate double, at string, watermark string, "
+            "state_rows long, dropped_late long")
+
+
+def stream_progress(log: ProgressLog, query) -> DataFrame:
+    """Every batch of a query that has ended: rows, rates, watermark, rows in state, rows dropped as late. A batch number that
+    was reported more than once (a trigger without data repeats the next number) has the row with most input."""
+    log.settled(query)
+    rows = log.spark.read.schema(PROGRESS).json(log.path).where(F.col("query") == str(query.id))
+    best = F.max_by(F.struct(*[c for c in rows.columns if c not in ("query", "batch")]), F.struct("input_rows", "at")).alias("_r")
+    return rows.groupBy("query", "batch").agg(best).select("query", "batch", "_r.*")

@@ -120,8 +120,10 @@ def test_scoring_stream(inputs, spark, tmp_path):
 def test_session_stream_and_progress(spark, sf_dir):
     t = catalog.Inputs(spark, sf_dir)
     out = ST.stream_sessions(catalog.events_stream(t, "alerts"), 21_600)
-    query = out.writeStream.format("memory").queryName("sessions").trigger(availableNow=True).start()
-    query.awaitTermination()
+    with ST.ProgressLog(spark, catalog.new_path(spark, "progress")) as log:
+        query = out.writeStream.format("memory").queryName("sessions").trigger(availableNow=True).start()
+        query.awaitTermination()
+        progress = ST.stream_progress(log, query).collect()
     from packetloom.operators import incidents as I
 
     none = F.lit(None).cast("string")
@@ -129,4 +131,25 @@ def test_session_stream_and_progress(spark, sf_dir):
     closed = {r["incident_id"]: r["alert_count"] for r in spark.table("sessions").collect()}
     counts = {r["incident_id"]: r["count"] for r in batch.groupBy("incident_id").count().collect()}
     assert closed and all(counts[k] == n for k, n in closed.items())
-    assert ST.stream_progress(query).agg(F.sum("input_rows")).first()[0] == t.events.count()
+    assert sum(r["input_rows"] for r in progress) == t.events.count() and any(r["state_rows"] for r in progress)
+
+
+def test_progress_of_more_batches_than_the_engine_keeps(spark, tmp_path):
+    spark.range(0, 105, 1, 105).write.parquet(f"{tmp_path}/in")
+    files = spark.read.parquet(f"{tmp_path}/in").select("_metadata.file_path").distinct().count()
+    feed = T.flow_stream(spark, f"{tmp_path}/in", spark.range(1).schema, 1)
+    with ST.ProgressLog(spark, f"{tmp_path}/log") as log:
+        query = feed.writeStream.format("noop").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+        query.awaitTermination()
+        rows = ST.stream_progress(log, query).collect()
+    assert files > 100 and sorted(r["batch"] for r in rows if r["input_rows"]) == list(range(files))
+    assert sum(r["input_rows"] for r in rows) == 105 and len(query.recentProgress) <= 100 < len(rows)
+
+
+def test_late_rows_are_kept_and_a_batch_can_run_again(spark, tmp_path):
+    at = f"{tmp_path}/rows", f"{tmp_path}/c"
+    for rows in ([("2024-01-01 12:00:00", 1), (None, 2)], [("2024-01-01 11:50:00", 3), ("2024-01-01 11:49:59", 4)], []):
+        df = spark.createDataFrame(rows, "event_time string, k int").select(F.to_timestamp("event_time").alias("event_time"), "k")
+        df.write.mode("append").parquet(f"{tmp_path}/in")
+        out = ST.late_rows(T.flow_stream(spark, f"{tmp_path}/in", df.schema, 100), at=at)
+    assert sorted((r["k"], r["late"], r["behind_seconds"]) for r in out.collect()) == [(1, False, None), (2, False, None), (3, False, None), (4, True, 1.0)]
