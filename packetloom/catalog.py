@@ -4,6 +4,7 @@ plain SQL wherever SQL can express it."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
@@ -13,6 +14,7 @@ from packetloom.operators import (
     alerts as A, clean as C, evaluate as E, flows as FL, incidents as I, intel as N, models as M, reports as R,
     rules as D, sampling as S, soc as O,
 )
+from packetloom.operators.rollup import DISTINCT_ERROR, RANK_ERROR, Rollup
 from packetloom.operators.forests import FlatForest, class_share
 from packetloom.plans.numbering import number_rows
 from packetloom.plans.quantiles import exact_percentiles
@@ -632,13 +634,16 @@ def lookup(t):
 _WIN = "(SELECT max(created_at) FROM alerts) - INTERVAL 7 DAY"
 
 
-@query("alerts cases", f"""WITH a AS (SELECT * FROM alerts WHERE created_at >= {_WIN}), i AS (SELECT * FROM cases WHERE created_at >= (SELECT max(created_at) FROM alerts) - INTERVAL 7 DAY),
+SOC_SUMMARY_SQL = f"""WITH a AS (SELECT * FROM alerts WHERE created_at >= {_WIN}), i AS (SELECT * FROM cases WHERE created_at >= (SELECT max(created_at) FROM alerts) - INTERVAL 7 DAY),
  s AS (SELECT count(*) FILTER (status <> 'RESOLVED') AS o, count(*) FILTER (status = 'RESOLVED') AS r, round(avg(CASE WHEN status = 'RESOLVED' THEN (epoch_us(updated_at) - epoch_us(first_seen)) / 1000000.0 END), 1) AS m FROM i)
  SELECT '7d' AS "window", count(*) AS total_alerts, count(*) FILTER (status = 'NEW') AS active_alerts, count(*) FILTER (severity = 'CRITICAL') AS critical_alerts,
  count(*) FILTER (severity = 'HIGH') AS high_alerts, count(*) FILTER (severity = 'MEDIUM') AS medium_alerts, count(*) FILTER (severity = 'LOW') AS low_alerts,
  (SELECT o FROM s) AS open_incidents, (SELECT r FROM s) AS resolved_incidents, round(avg(CASE WHEN attack_type <> 'BENIGN' THEN confidence END), 4) AS mean_confidence,
  round(count(*) / 10080.0, 2) AS alert_rate_per_min, round((SELECT o + r FROM s) / 10080.0, 2) AS incident_rate_per_min, round(count(*) / nullif((SELECT o + r FROM s), 0), 2) AS alert_to_incident_ratio,
- round(count(*) FILTER (attack_type <> 'BENIGN') / count(*), 4) AS attack_rate, (SELECT m FROM s) AS mttr_seconds FROM a""")
+ round(count(*) FILTER (attack_type <> 'BENIGN') / count(*), 4) AS attack_rate, (SELECT m FROM s) AS mttr_seconds FROM a"""
+
+
+@query("alerts cases", SOC_SUMMARY_SQL)
 def soc_summary(t):
     return O.soc_summary(t.alerts, t.cases, "7d")
 
@@ -719,6 +724,67 @@ def model_monitor(t):
     return out.withColumn("kinds", F.concat_ws(",", text)).drop("attack_type_distribution")
 
 
+# ---------------------------------------------------------------- the same from a rollup
+
+def _rollup(t) -> Rollup:
+    """All alerts rolled up by a stream, a part a batch; a third of them first came as NEW and were restated."""
+    first = F.when(F.pmod("seq", F.lit(3)) == 0, "NEW").otherwise(F.col("status"))
+    rows = t.alerts.withColumn("status", first)
+    path = new_path(t.spark, "alerts")
+    rows.repartition(3).write.parquet(path)
+    out = Rollup(t.spark, new_path(t.spark, "rollup"))
+    feed = T.flow_stream(t.spark, path, rows.schema, files_per_trigger=1)
+    ST.stream_rollup(feed, out, new_path(t.spark, "rollup-checkpoint"))
+    changed = F.pmod("seq", F.lit(3)) == 0
+    out.restate(rows.where(changed), t.alerts.where(changed), "restated")
+    return out
+
+
+@query("alerts cases", SOC_SUMMARY_SQL)
+def rollup_soc_summary(t):
+    return _rollup(t).window(t.alerts, "7d").soc_summary(t.cases)
+
+
+@query("alerts", """SELECT 'severity' AS kind, severity AS name, count(*) AS count FROM alerts WHERE created_at >= (SELECT max(created_at) FROM alerts) - INTERVAL 7 DAY GROUP BY 2
+ UNION ALL SELECT 'attack_type', attack_type, count(*) FROM alerts WHERE created_at >= (SELECT max(created_at) FROM alerts) - INTERVAL 24 HOUR GROUP BY 2
+ UNION ALL SELECT 'protocol', CASE WHEN upper(protocol) IN ('TCP', 'UDP', 'ICMP') THEN upper(protocol) ELSE 'OTHER' END, count(*) FROM alerts GROUP BY 2
+ UNION ALL SELECT 'bucket', strftime(date_trunc('hour', event_time), '%Y-%m-%d %H'), count(*) FROM alerts WHERE created_at >= (SELECT max(created_at) FROM alerts) - INTERVAL 24 HOUR GROUP BY 2""")
+def rollup_distributions(t):
+    """Four distributions over three windows, from the batches merged per day."""
+    merged = _rollup(t).compact(new_path(t.spark, "merged"))
+    day = merged.window(t.alerts, "24h")
+
+    def part(kind, df, name):
+        return df.where("count > 0").select(F.lit(kind).alias("kind"), F.col(name).alias("name"), "count")
+
+    trends = day.activity_trends().select(F.date_format("bucket", "yyyy-MM-dd HH").alias("bucket"), F.col("total_alerts").alias("count"))
+    return (part("severity", merged.window(t.alerts, "7d").severity_distribution(), "severity")
+            .unionAll(part("attack_type", day.attack_distribution(), "attack_type"))
+            .unionAll(part("protocol", merged.window(t.alerts, "all").protocol_distribution(), "protocol"))
+            .unionAll(part("bucket", trends, "bucket")))
+
+
+@query("alerts", f"""WITH a AS (SELECT * FROM alerts WHERE created_at >= {_WIN}) SELECT count(*) AS inference_volume, count(*) FILTER (attack_type <> 'BENIGN') AS classification_volume,
+ count(*) FILTER (confidence < 0.6) AS low_confidence_count, round(avg(confidence), 4) AS mean_confidence, true AS ranks_within, true AS distinct_within FROM a""")
+def rollup_model_monitor(t):
+    """The monitor from sketches; each percentile's true rank and the true number of sources are held against the stated errors."""
+    window = _rollup(t).window(t.alerts, "7d")
+    rows = O.in_window(t.alerts, "7d")
+    found = materialise(window.model_monitor(), "monitor")
+    seen = materialise(window.distinct_addresses(), "addresses")
+    # A percentile is rounded to four digits, and equal values share a range of ranks.
+    checks = []
+    for name, p in O.PERCENTILES.items():
+        value = found.select(name).scalar()
+        below, upto = F.avg((F.col("confidence") < value - 0.0001).cast("double")), F.avg((F.col("confidence") <= value + 0.0001).cast("double"))
+        checks.append((below - RANK_ERROR <= p) & (upto + RANK_ERROR >= p))
+    true_sources = F.count_distinct(F.coalesce("source_ip", F.lit("")))
+    near = F.abs(seen.select("sources").scalar() - true_sources) <= F.greatest(F.lit(1.0), true_sources * DISTINCT_ERROR)
+    held = rows.agg(reduce(lambda a, b: a & b, checks).alias("ranks_within"), near.alias("distinct_within"))
+    return found.select("inference_volume", "classification_volume", "low_confidence_count", "mean_confidence",
+                        held.select("ranks_within").scalar().alias("ranks_within"), held.select("distinct_within").scalar().alias("distinct_within"))
+
+
 def _cards(t) -> DataFrame:
     rows = t.scored.select(
         F.pmod("event_id", F.lit(20)).alias("batch"), (F.col("label") == 1).alias("gt_is_attack"), (F.col("prediction") == 1).alias("is_attack"),

@@ -19,6 +19,7 @@ BUCKETS = {"15m": "minute", "1h": "minute", "24h": "hour"}
 BASELINE_CONFIDENCE, BASELINE_ATTACK_RATE = 0.945, 0.312
 CONFIDENCE_SHIFT_LIMIT, ATTACK_RATE_SHIFT_LIMIT = 0.15, 0.25
 LOW_CONFIDENCE = 0.60
+PERCENTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9, "p99": 0.99}
 PROTOCOLS = ("TCP", "UDP", "ICMP", "OTHER")
 OPEN_STATES = ("NEW", "INVESTIGATING", "ESCALATED")
 
@@ -72,14 +73,6 @@ def _time_to_resolve() -> Column:
 
 def soc_summary(alerts: DataFrame, incidents: DataFrame, window: str = "24h", as_of=None) -> DataFrame:
     """Headline numbers of the window in one row."""
-    stamp = as_of_time(alerts, as_of)
-    status = F.upper("status")
-    cases = in_window(incidents, window, as_of if as_of is not None else None) if _name(window) == "all" else \
-        incidents.where(F.col("created_at").cast("timestamp") >= window_cutoff(window, stamp)[0])
-    cases = cases.agg(F.struct(
-        F.count_if(status.isin(*OPEN_STATES)).alias("open"), F.count_if(status == "RESOLVED").alias("resolved"),
-        _time_to_resolve().alias("mttr"),
-    ).alias("c")).scalar()
     facts = in_window(alerts, window, as_of).agg(
         F.count("*").alias("total_alerts"),
         F.count_if(F.col("status") == "NEW").alias("active_alerts"),
@@ -87,6 +80,18 @@ def soc_summary(alerts: DataFrame, incidents: DataFrame, window: str = "24h", as
         F.count_if(_is_attack()).alias("_attacks"),
         F.round(F.avg(F.when(_is_attack(), F.col("confidence"))), 4).alias("mean_confidence"),
     )
+    return headline(facts, incidents, window, as_of_time(alerts, as_of))
+
+
+def headline(facts: DataFrame, incidents: DataFrame, window: str, stamp: Column) -> DataFrame:
+    """The summary of a window's alert counts (one row) and its incidents."""
+    status = F.upper("status")
+    cases = incidents.where(F.col("created_at").isNotNull()) if _name(window) == "all" else \
+        incidents.where(F.col("created_at").cast("timestamp") >= window_cutoff(window, stamp)[0])
+    cases = cases.agg(F.struct(
+        F.count_if(status.isin(*OPEN_STATES)).alias("open"), F.count_if(status == "RESOLVED").alias("resolved"),
+        _time_to_resolve().alias("mttr"),
+    ).alias("c")).scalar()
     minutes = F.greatest(F.lit(1.0), window_cutoff(window, stamp)[1])
     facts = facts.withColumns({"_c": cases, "_minutes": minutes})
     both = F.col("_c.open") + F.col("_c.resolved")
@@ -209,16 +214,20 @@ def model_monitor(alerts: DataFrame, window: str = "24h", as_of=None) -> DataFra
     as_of = newest if as_of is None else as_of
     rows = in_window(alerts, window, as_of).select("attack_type", conf.alias("c"))
     attack = _is_attack()
-    probs = {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9, "p99": 0.99}
     kinds = rows.where(attack).groupBy("attack_type").agg(F.count("*").alias("count"))
     facts = rows.agg(
         F.count("*").alias("n"), F.count_if(attack).alias("attacks"), F.avg("c").alias("mean"),
         F.count_if(F.col("c") < LOW_CONFIDENCE).alias("low"), F.avg(F.when(attack, F.col("c"))).alias("mean2"),
-        percentile_array(rows, "c", list(probs.values()), total if total <= LIMIT else rows.count()).alias("p"),
+        percentile_array(rows, "c", list(PERCENTILES.values()), total if total <= LIMIT else rows.count()).alias("p"),
     )
     dist = kinds.agg(F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("o"), "attack_type", "count")))
                      .alias("d")).scalar()
     facts = facts.withColumns({"d": dist, "minutes": _minutes(alerts, window, as_of)})
+    return monitored(facts, window)
+
+
+def monitored(facts: DataFrame, window: str) -> DataFrame:
+    """Rates, shifts and status of a window's facts: n, attacks, mean, low, mean2, percentiles p, kinds d, minutes (one row)."""
     n = F.col("n")
     out = facts.select(
         F.lit(window).alias("window"),
@@ -228,7 +237,7 @@ def model_monitor(alerts: DataFrame, window: str = "24h", as_of=None) -> DataFra
         F.round(V.ratio(n - F.col("attacks"), n), 4).alias("benign_rate"),
         F.round("mean", 4).alias("mean_confidence"),
         F.col("low").alias("low_confidence_count"),
-        *[F.round(F.col("p")[k], 4).alias(name) for k, name in enumerate(probs)],
+        *[F.round(F.col("p")[k], 4).alias(name) for k, name in enumerate(PERCENTILES)],
         F.col("attacks").alias("classification_volume"),
         F.round("mean2", 4).alias("classification_mean_confidence"),
         F.transform(F.coalesce("d", F.array()), lambda x: x.dropFields("o")).alias("attack_type_distribution"),

@@ -408,3 +408,9 @@ def stream_progress(log: ProgressLog, query) -> DataFrame:
     rows = log.spark.read.schema(PROGRESS).json(log.path).where(F.col("query") == str(query.id))
     best = F.max_by(F.struct(*[c for c in rows.columns if c not in ("query", "batch")]), F.struct("input_rows", "at")).alias("_r")
     return rows.groupBy("query", "batch").agg(best).select("query", "batch", "_r.*")
+
+
+def stream_rollup(alerts: DataFrame, rollup, checkpoint: str) -> None:
+    """Extends a rollup by all alerts that are there now; a batch that is run again replaces what it wrote before."""
+    alerts.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(
+        lambda df, number: rollup.extend(df, f"stream-{number}")).start().awaitTermination()
