@@ -8,7 +8,14 @@ replacement and none is itself an entity of the texts. From the attempt WIDER on
 from more: addresses from all lengths of their parts, local parts and names grow. Detection, drawing and replacing are
 DataFrame functions.
 
-A null text stays null, an empty one empty. Rows that repeat are replaced alike. A null id is allowed. All columns are
+Persons keep their coreference. A name is replaced by its parts, the family name and the given name, each with a
+replacement of its own that no other part of its gender shares: so Mr John Smith, Mr Smith and Dr Smith get one family name,
+and Mrs Smith another. A form of address of either gender takes the gender that the document gives the same person, or to
+a family name alone that of all its bearers. In a document with an addressed person, the bare full name and the bare family name are replaced too (as written, capitalised, or in capitals). A person who
+is never addressed, and a given name alone, are not found; a family name that is also a word is replaced where that word is
+capitalised, in such a document; a bare family name with bearers of both genders goes to the first replacement by spelling.
+
+A null text stays null, an empty one empty; very long texts are read whole. Rows that repeat are replaced alike. A null id is allowed. All columns are
 kept whatever their names; only the text changes. An empty table stays empty.
 """
 
@@ -16,7 +23,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from packetloom.session import materialise
 
@@ -40,9 +47,16 @@ ENTITY = "|".join(PATTERNS.values())
 GIVEN = {
     "latin": {"f": "Anna Clara Elena Laura Maria Nora Paula Sofia".split(), "m": "Adam David Felix Jonas Lucas Martin Oscar Simon".split()},
     "cyrillic": {"f": "Анна Вера Елена Ирина Мария Нина Ольга Софья".split(), "m": "Антон Борис Иван Лев Максим Олег Павел Роман".split()},
+    "greek": {"f": "Άννα Ελένη Ειρήνη Μαρία".split(), "m": "Ανδρέας Γιώργος Νίκος Πέτρος".split()},
 }
 SYLLABLES = {"latin": "ba den fa gor hal ke lin mo nar pel rin sa tor ul ver wen".split(),
-             "cyrillic": "ба ве го дар ел жу зор ил ка лен ми нор пет ра со тур".split()}
+             "cyrillic": "ба ве го дар ел жу зор ил ка лен ми нор пет ра со тур".split(),
+             "greek": "βα γο δε ζα θε κα λι μο νε πα ρι σο τα φι χα ψε".split()}
+#: How given names end that are built of syllables, and endings of family names that a replacement keeps.
+ENDINGS = {"latin": {"f": "a ina ella ia".split(), "m": "us in o ard".split()},
+           "cyrillic": {"f": "а ина ия".split(), "m": "ий ан ей".split()}, "greek": {"f": "α η".split(), "m": "ος ης".split()}}
+KEPT_ENDING = "(?:ова|ева|ина|ская|ский|ов|ев|ин|ου|ος|ης)$"
+TITLED = rf"^(?:{'|'.join(ADDRESS.values())})\.? "
 #: Draws in an entity's own shape before its replacement may be of another length.
 WIDER = 4
 
@@ -53,11 +67,8 @@ def kind_of(entity: Column) -> Column:
 
 
 def canonical_of(kind: Column, entity: Column) -> Column:
-    """What the ways to write one entity have in common."""
-    gender = F.when(F.regexp_like(entity, F.lit(f"^(?:{ADDRESS['f']})\\b")), "f").when(
-        F.regexp_like(entity, F.lit(f"^(?:{ADDRESS['m']})\\b")), "m").otherwise("n")
-    name = F.concat(gender, F.lit(":"), F.lower(F.regexp_extract(entity, f"^\\S+ (.*)$", 1)))
-    return F.when(kind == "email", F.lower(entity)).when(kind == "ip", entity).when(kind == "name", name).otherwise(
+    """What the ways to write one entity have in common; names have parts instead (`persons`)."""
+    return F.when(kind == "email", F.lower(entity)).when(kind == "ip", entity).otherwise(
         F.regexp_replace(entity, "[^0-9A-Za-z]", ""))
 
 
@@ -101,20 +112,36 @@ def _iban(country: Column, body: Column) -> Column:
     return F.concat(country, F.lpad((98 - rest).cast("string"), 2, "0"), body)
 
 
-def _name(canonical: Column, stream: Column, attempt: Column) -> Column:
-    """`gender:given family` or `gender:family` with the same gender, script and number of words; longer as attempts fail."""
-    gender, words = F.substr(canonical, F.lit(1), F.lit(1)), F.split(F.substr(canonical, F.lit(3)), " ")
+def _of_script(text: Column, make) -> Column:
+    return F.when(F.regexp_like(text, F.lit(r"\p{IsCyrillic}")), make("cyrillic")).when(
+        F.regexp_like(text, F.lit(r"\p{IsGreek}")), make("greek")).otherwise(make("latin"))
+
+
+def _pick(words: list[str], n: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, words)), n % len(words) + 1)
+
+
+def _stem(script: str, stream: Column, least: int, attempt: Column) -> Column:
+    """Syllables, one more every WIDER attempts."""
+    return F.array_join(F.transform(F.sequence(F.lit(2), F.lit(1 + least) + (attempt / WIDER).cast("int")),
+                                    lambda k: _pick(SYLLABLES[script], _byte(stream, k))), "")
+
+
+def _family(canonical: Column, stream: Column, attempt: Column) -> Column:
+    return F.concat(_of_script(canonical, lambda script: _stem(script, stream, 3, attempt)), F.regexp_extract(canonical, KEPT_ENDING, 0))
+
+
+def _given(canonical: Column, stream: Column, attempt: Column) -> Column:
+    """For `gender:name`: a usual name of the gender and script, and after a clash one of syllables with the gender's ending."""
+    gender = F.substr(canonical, F.lit(1), F.lit(1))
+    female = (gender == "f") | ((gender == "n") & (_byte(stream, F.lit(1)) % 2 == 0))
 
     def of(script):
-        part = SYLLABLES[script]
-        family = F.array_join(F.transform(F.sequence(F.lit(2), F.lit(4) + (attempt / WIDER).cast("int")), lambda k: F.element_at(
-            F.array(*map(F.lit, part)), _byte(stream, k) % len(part) + 1)), "")
-        f, m = (F.array(*map(F.lit, GIVEN[script][g])) for g in "fm")
-        female = (gender == "f") | ((gender == "n") & (_byte(stream, F.lit(1)) % 2 == 0))
-        given = F.lower(F.element_at(F.when(female, f).otherwise(m), _byte(stream, F.lit(0)) % F.size(f) + 1))
-        return F.concat(gender, F.lit(":"), F.when(F.size(words) > 1, F.concat(given, F.lit(" "), family)).otherwise(family))
+        def by_gender(lists):
+            return F.when(female, _pick(lists["f"], _byte(stream, F.lit(0)))).otherwise(_pick(lists["m"], _byte(stream, F.lit(0))))
+        return F.when(attempt == 0, F.lower(by_gender(GIVEN[script]))).otherwise(F.concat(_stem(script, stream, 2, attempt), by_gender(ENDINGS[script])))
 
-    return F.when(F.regexp_like(canonical, F.lit(r"\p{IsCyrillic}")), of("cyrillic")).otherwise(of("latin"))
+    return _of_script(canonical, of)
 
 
 def draw(kind: Column, canonical: Column, attempt: Column, key: str) -> Column:
@@ -142,11 +169,12 @@ def draw(kind: Column, canonical: Column, attempt: Column, key: str) -> Column:
     phone = F.concat(F.substr(canonical, F.lit(1), area), _substitute(F.substr(canonical, area + 1), stream))
     iban = _iban(F.substr(canonical, F.lit(1), F.lit(2)), F.substr(changed, F.lit(5)))
     return (F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "phone", phone)
-            .when(kind == "iban", iban).when(kind == "name", _name(canonical, stream, attempt)).otherwise(changed))
+            .when(kind == "iban", iban).when(kind == "family", _family(canonical, stream, attempt))
+            .when(kind == "given", _given(canonical, stream, attempt)).otherwise(changed))
 
 
 def written(kind: Column, entity: Column, surrogate: Column) -> Column:
-    """The surrogate in the way the entity is written: its separators, its capitals, its form of address."""
+    """The surrogate in the way the entity is written: its separators, its capitals."""
     plain = F.regexp_replace(entity, "[^0-9A-Za-z]", "")
     poured = _map_chars(entity, lambda c, k: F.when(F.regexp_like(c, F.lit("[0-9A-Za-z]")), F.substr(
         surrogate, F.length(F.regexp_replace(F.substr(entity, F.lit(1), k + 1), "[^0-9A-Za-z]", "")), F.lit(1))).otherwise(c))
@@ -156,10 +184,7 @@ def written(kind: Column, entity: Column, surrogate: Column) -> Column:
         return _map_chars(drawn, lambda c, k: F.when(F.regexp_like(F.substr(own, k + 1, F.lit(1)), F.lit("[A-Z]")), F.upper(c)).otherwise(c))
 
     capitals = F.concat(capitals_of(1), F.lit("@"), capitals_of(2))
-    name = F.substr(surrogate, F.lit(3))
-    given = F.regexp_extract(entity, r"^\S+ (.*)$", 1)
-    name = F.concat(F.regexp_extract(entity, r"^\S+ ", 0), F.when(given == F.upper(given), F.upper(name)).otherwise(F.initcap(name)))
-    return F.when(kind == "ip", surrogate).when(kind == "name", name).when(kind == "email", capitals).when(
+    return F.when(kind == "ip", surrogate).when(kind == "email", capitals).when(
         plain == "", surrogate).otherwise(poured)
 
 
@@ -167,7 +192,12 @@ def assign(entities: DataFrame, key: str, limit: int = 64) -> DataFrame:
     """(kind, canonical, surrogate) for the distinct (kind, canonical): drawn anew until no two of a kind are alike and none
     is one of the originals. A draw that clashes is repeated for all but the least original."""
     pending = materialise(entities.select("kind", "canonical").distinct().withColumn("attempt", F.lit(0)), "pending")
-    originals, settled = pending.select("kind", F.col("canonical").alias("surrogate")), None
+    # A part of a name may be no original part of either kind, so that no replaced mention holds another original.
+    parts = F.col("kind").isin("given", "family")
+    kinds = F.when(parts, F.array(F.lit("given"), F.lit("family"))).otherwise(F.array("kind"))
+    originals = pending.select(F.explode(kinds).alias("kind"), F.when(parts, F.substr("canonical", F.lit(3)))
+                               .otherwise(F.col("canonical")).alias("surrogate")).distinct()
+    settled = None
     for _ in range(limit):
         drawn = pending.withColumn("surrogate", draw(F.col("kind"), F.col("canonical"), F.col("attempt"), key))
         drawn = materialise(drawn, "drawn")
@@ -183,26 +213,79 @@ def assign(entities: DataFrame, key: str, limit: int = 64) -> DataFrame:
     raise ValueError(f"no distinct replacements for all entities after {limit} draws")
 
 
+def persons(entities: DataFrame) -> DataFrame:
+    """The parts of the names among (row, entity): family and given, each with the gender before it (given is null where there
+    is none), and as they are written: title, given_text, family_text and the ending of a genitive."""
+    entity = F.col("entity")
+    name = F.regexp_replace(entity, TITLED, "")
+    ending = F.regexp_extract(name, "['’]s?$", 0)
+    words = F.split(F.regexp_replace(name, "['’]s?$", ""), " ")
+    own = F.when(F.regexp_like(entity, F.lit(f"^(?:{ADDRESS['f']})\\b")), "f").when(
+        F.regexp_like(entity, F.lit(f"^(?:{ADDRESS['m']})\\b")), "m").otherwise("n")
+    parts = entities.filter(F.regexp_like(entity, F.lit(TITLED))).select(
+        "row", "entity", F.regexp_extract(entity, TITLED, 0).alias("title"), own.alias("own"), ending.alias("ending"),
+        F.when(F.size(words) > 1, words[0]).alias("given_text"), F.element_at(words, -1).alias("family_text"))
+    parts = parts.withColumns({"family": F.lower("family_text"), "first": F.lower("given_text")})
+    family, person = W.partitionBy("row", "family"), W.partitionBy("row", "family", "first")
+
+    def said(gender):  # of the same person, or of this family where one of both has no given name
+        return F.when(F.col("first").isNull(), F.max(F.col("own") == gender).over(family)).otherwise(
+            F.max(F.col("own") == gender).over(person) | F.max((F.col("own") == gender) & F.col("first").isNull()).over(family))
+
+    men, women = said("m"), said("f")
+    gender = F.when(F.col("own") != "n", F.col("own")).when(men & ~women, "m").when(women & ~men, "f").otherwise("n")
+    parts = parts.withColumn("gender", gender)  # before the family takes it
+    return parts.withColumns({k: F.concat("gender", F.lit(":"), c) for k, c in (("given", "first"), ("family", "family"))}).drop("own", "first", "gender")
+
+
+def _mentions(named: DataFrame, drawn: DataFrame) -> DataFrame:
+    """(row, entity, instead, bare) of the names and of the ways in which a text may name the same persons without a title."""
+    def of(kind):
+        return drawn.filter(F.col("kind") == kind).select(F.col("canonical").alias(kind), F.col("surrogate").alias(f"new_{kind}"))
+
+    found = named.join(of("family"), "family").join(of("given"), "given", "left")
+    new = F.concat_ws(" ", F.initcap("new_given"), F.initcap("new_family"))
+    old = F.concat_ws(" ", "given_text", "family_text")
+    loud = (F.upper("family_text") == F.col("family_text"))
+    whole = F.struct(F.col("entity").alias("entity"), F.concat("title", F.when(loud, F.upper(new)).otherwise(new), "ending").alias("instead"), F.lit(False).alias("bare"))
+
+    def forms(text, instead):
+        return [F.struct(c.alias("entity"), i.alias("instead"), F.lit(True).alias("bare")) for c, i in (
+            (text, F.when(loud, F.upper(instead)).otherwise(instead)), (F.upper(text), F.upper(instead)), (F.initcap(F.lower(text)), instead))]
+
+    out = found.select("row", F.inline(F.array(whole, *forms(old, new), *forms(F.col("family_text"), F.initcap("new_family")))))
+    return out.groupBy("row", "entity").agg(F.min("instead").alias("instead"), F.max("bare").alias("bare"))
+
+
 def surrogates(docs: DataFrame, key: str, text: str = "text", id_column: str = "doc_id") -> DataFrame:
     """The rows of `docs` with the entities of the text replaced; other columns as they are."""
-    m, r = "m", "r"
-    while m in docs.columns or r in docs.columns:
-        m, r = m + "_", r + "_"
+    m, r, p = "m", "r", "p"
+    while {m, r, p} & {c.lower() for c in docs.columns}:
+        m, r, p = m + "_", r + "_", p + "_"
     text_of = F.col(f"`{text}`").cast("string")
     some = F.regexp_like(text_of, F.lit(ENTITY))
     row = F.coalesce(F.col(f"`{id_column}`").cast("string"), F.concat(F.lit("text "), F.sha2(text_of, 256)))
     found = F.array_distinct(F.regexp_extract_all(text_of, F.lit(ENTITY), F.lit(0)))
     entities = materialise(docs.filter(some).select(row.alias("row"), F.explode(found).alias("entity")), "entities")
-    known = entities.select("entity").distinct().withColumn("kind", kind_of(F.col("entity")))
+    named = materialise(persons(entities.distinct()), "persons")
+    known = entities.filter(~F.regexp_like("entity", F.lit(TITLED))).select("entity").distinct().withColumn("kind", kind_of(F.col("entity")))
     known = materialise(known.withColumn("canonical", canonical_of(F.col("kind"), F.col("entity"))), "known")
-    drawn = known.join(assign(known, key), ["kind", "canonical"])
-    drawn = materialise(drawn.select("entity", written(F.col("kind"), F.col("entity"), F.col("surrogate")).alias("instead")), "surrogates")
+    parts = named.select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("canonical")) for k in ("family", "given")])).alias("p"))
+    drawn = assign(known.select("kind", "canonical").unionByName(parts.select("p.*").filter("canonical IS NOT NULL")), key)
+    instead = known.join(drawn, ["kind", "canonical"]).select("entity", written(F.col("kind"), F.col("entity"), F.col("surrogate")).alias("instead"))
+    instead = materialise(instead, "surrogates")
+    plain = entities.distinct().join(instead, "entity").select("row", "entity", "instead", F.lit(False).alias("bare"))
     # A document's own entities and their replacements: as many as its text holds.
-    lists = entities.distinct().join(drawn, "entity").groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("entity", "instead"))).alias(m))
-    between = F.split(text_of, ENTITY, -1)
-    within = F.regexp_extract_all(text_of, F.lit(ENTITY), F.lit(0))
-    rebuilt = F.array_join(F.transform(between, lambda s, k: F.concat(s, F.coalesce(F.element_at(
-        F.col(m), F.get(within, k)), F.get(within, k), F.lit("")))), "")
+    bare = F.collect_list(F.when(F.col("bare"), F.struct((-F.length("entity")).alias("n"), "entity")))
+    bare = F.array_join(F.transform(F.array_sort(bare), lambda x: x.entity), "|")
+    # Bare names are looked for behind all entities, the longest first.
+    pattern = F.when(bare == "", F.lit(ENTITY)).otherwise(F.concat(F.lit(ENTITY + r"|(?<![\p{L}\p{N}_])(?:"), bare, F.lit(r")(?![\p{L}\p{N}_])")))
+    lists = plain.unionByName(_mentions(named, drawn)).groupBy("row").agg(
+        F.map_from_entries(F.collect_list(F.struct("entity", "instead"))).alias(m), pattern.alias(p))
+    between = F.split(text_of, F.col(p), -1)
+    within = F.regexp_extract_all(text_of, F.col(p), F.lit(0))
+    # Zipped, so that neither list is computed again for each piece.
+    rebuilt = F.array_join(F.zip_with(between, within, lambda s, w: F.concat(s, F.coalesce(F.element_at(F.col(m), w), w, F.lit("")))), "")
     touched = docs.filter(some).withColumn(r, row).join(lists.withColumnRenamed("row", r), r)
     columns = [F.when(F.lit(True), rebuilt).alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns]
     rest = docs.filter(F.coalesce(~some, F.lit(True)))

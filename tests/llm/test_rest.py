@@ -450,3 +450,35 @@ def test_queries_with_sql(spark, sf_dir):
     con = connect(sf_dir)
     for name, sql in ORACLES.items():
         assert compare(QUERIES[name](spark, sf_dir), con, sql) is None
+
+
+def test_surrogates_keep_coreference(spark):
+    texts = [
+        "Mr John Smith came. Later Smith left; Mr Smith, Dr Smith and John Smith, SMITH and Dr. John Smith's friend, Mr Smith's too.",
+        "Dr Jane Doe met Mrs Doe and Mr Adam Doe. Jane Doe and Adam Doe left, Doering and McDoe stayed, doe too.",
+        "John Smith and Smith are never addressed here.",
+        "Mrs Anna Sidorova, г-жа Анна Сидорова и Сидорова; Mr Νίκος Παππάς und Παππάς.",
+        "Mr O'Brien-Jones, O'Brien-Jones and MR. Mr JONES, Jones, JONES",
+        " ".join(["Mr John Smith and Smith"] * 3000),
+    ]
+    got = [r.text for r in G.surrogates(ready(spark).createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").orderBy("doc_id").collect()]
+    given, family = re.match(r"Mr (\w+) (\w+) came", got[0]).groups()
+    assert {given, family}.isdisjoint({"John", "Smith"}) and given in G.GIVEN["latin"]["m"]
+    assert got[0] == texts[0].replace("John", given).replace("Smith", family).replace("SMITH", family.upper())
+    jane, doe, adam, his = re.match(r"Dr (\w+) (\w+) met Mrs \2 and Mr (\w+) (\w+)\.", got[1]).groups()
+    assert len({jane, adam, given, "Jane", "Adam"}) == 5 and len({doe, his, family, "Doe"}) == 4
+    assert got[1] == f"Dr {jane} {doe} met Mrs {doe} and Mr {adam} {his}. {jane} {doe} and {adam} {his} left, Doering and McDoe stayed, doe too."
+    assert got[2] == texts[2]
+    first, last = re.search(r"г-жа (\w+) (\w+) и \2;", got[3]).groups()
+    assert re.fullmatch("[а-яА-Я]+ова", last) and re.fullmatch("[А-Яа-я]+", first) and last != "Сидорова"
+    assert re.search(r"Mr ([Ͱ-Ͽἀ-῿]+) ([Ͱ-Ͽ]+) und \2\.$", got[3]) and "Παππ" not in got[3]
+    x, y = re.fullmatch(r"Mr (\S+), \1 and MR\. Mr ([A-Z]+), \w+, \2", got[4]).groups()
+    assert "Jones" not in got[4] and "JONES" not in got[4] and x.lower() != y.lower()
+    assert got[5] == " ".join([f"Mr {given} {family} and {family}"] * 3000)
+
+
+def test_gender_of_neutral_forms(spark):
+    rows = [(0, "Dr Kim Lee"), (0, "Mrs Lee"), (1, "Dr Kim Lee"), (1, "Mr Kim Lee"), (2, "Dr Kim Lee"), (3, "Prof Kim Lee"), (3, "Mr Lee"), (3, "Mrs Lee"), (3, "a@b.org")]
+    got = {(r.row, r.entity): (r.given, r.family) for r in G.persons(ready(spark).createDataFrame(rows, "row int, entity string")).collect()}
+    assert got == {(0, "Dr Kim Lee"): ("f:kim", "f:lee"), (0, "Mrs Lee"): (None, "f:lee"), (1, "Dr Kim Lee"): ("m:kim", "m:lee"), (1, "Mr Kim Lee"): ("m:kim", "m:lee"),
+                   (2, "Dr Kim Lee"): ("n:kim", "n:lee"), (3, "Prof Kim Lee"): ("n:kim", "n:lee"), (3, "Mr Lee"): (None, "m:lee"), (3, "Mrs Lee"): (None, "f:lee")}
