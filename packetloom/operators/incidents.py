@@ -82,15 +82,19 @@ def _fold_all(bursts: DataFrame, most: int, window_us: int, max_group: int, name
     """(burst, incident) for every burst; `most` is the largest number of bursts of one key.
 
     Keys with up to `max_group` bursts are folded whole, many in a task. Larger ones are cut into slices of that many, which
-    are folded at once from guessed states (`plans/speculation.py`): no task waits for another key's history.
+    are folded at once from guessed states (`plans/speculation.py`): no task waits for another key's history. What is open at
+    a slice's end is at most what came within a window, so a slice has at least a window's share of the bursts: the
+    states at all borders together are then no larger than the bursts, however dense these are.
     """
     if most <= max_group:
         return _folded(bursts, window_us)
-    sizes = bursts.groupBy("_key").agg(F.count("*").alias("_n"))
-    large = materialise(sizes.where(F.col("_n") > max_group).select("_key"), "correlate-large")
+    sizes = bursts.groupBy("_key").agg(F.count("*").alias("_n"), (F.max("_t0") - F.min("_t0")).alias("_span"))
+    share = F.ceil(F.col("_n") * F.least(F.lit(1.0), F.try_divide(F.lit(float(window_us)), F.col("_span"))))
+    large = materialise(sizes.where(F.col("_n") > max_group).select(
+        "_key", F.greatest(F.lit(max_group), F.coalesce(share, "_n")).cast("long").alias("_size")), "correlate-large")
     small = _folded(bursts.join(large, "_key", "left_anti"), window_us)
-    hot = number_rows(bursts.join(large, "_key", "left_semi"), ["_key"], "_t0", "_nth", ("_what", "_aid"))
-    hot = materialise(hot.withColumn("_no", F.floor((F.col("_nth") - 1) / max_group)).select(*ROW), "correlate-hot")
+    hot = number_rows(bursts.join(large, "_key"), ["_key"], "_t0", "_nth", ("_what", "_aid"))
+    hot = materialise(hot.withColumn("_no", F.expr("(_nth - 1) div _size")).select(*ROW), "correlate-hot")
     return small.unionByName(speculative_fold(hot, window_us, named))
 
 

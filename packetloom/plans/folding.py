@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections import deque
+from collections import OrderedDict, deque
 from datetime import datetime, timezone
 
 EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
@@ -31,12 +31,20 @@ class OpenIncidents:
 
     An alert joins an incident with which it shares its source and one of type, destination and port, or its destination
     and type or port, or its type and port. So every incident is filed under such pairs, and an alert looks up at most six.
+
+    What an alert looks at does not grow with the other sources' incidents. One with a source finds incidents of that source under the
+    pairs that name it; under the other pairs it can only join incidents that have no source yet, which are filed once more in
+    `plain`. One without a source may join any: where many are filed under its pairs, all incidents are walked from the last touched
+    backwards, and the first that fits is the one wanted.
     """
 
     def __init__(self, window_us: int, saved: str | None = None):
         self.window, self.turn = window_us, 0
         self.pairs: dict[tuple, dict[str, Incident]] = {}
+        self.plain: dict[tuple, dict[str, Incident]] = {}  # of those the incidents without a source
         self.by_id: dict[str, Incident] = {}
+        self.recent: OrderedDict[str, Incident] = OrderedDict()  # as touched
+        self.newest, self.ordered = None, True  # as long as times do not fall, the last touched is the newest
         self.touched: deque[tuple[int, Incident]] = deque()  # time and incident of each alert, oldest first
         for record in json.loads(saved) if saved else ():
             self._file(Incident(*record))
@@ -49,9 +57,29 @@ class OpenIncidents:
         self.turn += 1
         one.turn = self.turn
         self.by_id[one.id] = one
-        self.touched.append((one.last, one))
+        self._touch(one)
         for pair in self._pairs_of(one):
-            self.pairs.setdefault(pair, {})[one.id] = one
+            self._put(pair, one)
+
+    def _touch(self, one: Incident) -> None:
+        if self.newest is not None and one.last < self.newest:
+            self.ordered = False
+        self.newest = one.last if self.newest is None else max(self.newest, one.last)
+        self.touched.append((one.last, one))
+        self.recent[one.id] = one
+        self.recent.move_to_end(one.id)
+
+    def _put(self, pair: tuple, one: Incident) -> None:
+        self.pairs.setdefault(pair, {})[one.id] = one
+        if not one.sources:
+            self.plain.setdefault(pair, {})[one.id] = one
+
+    @staticmethod
+    def _drop(filed: dict[tuple, dict[str, Incident]], pairs, name: str) -> None:
+        for pair in pairs:
+            held = filed.get(pair)
+            if held and held.pop(name, None) and not held:
+                del filed[pair]
 
     @staticmethod
     def _pairs_of(one: Incident):
@@ -67,10 +95,10 @@ class OpenIncidents:
         while self.touched and self.touched[0][0] < before:
             _, one = self.touched.popleft()
             if one.last < before and self.by_id.pop(one.id, None):
-                for pair in self._pairs_of(one):
-                    held = self.pairs.get(pair)
-                    if held and held.pop(one.id, None) and not held:
-                        del self.pairs[pair]
+                self.recent.pop(one.id, None)
+                self._drop(self.pairs, self._pairs_of(one), one.id)
+                if not one.sources:
+                    self._drop(self.plain, self._pairs_of(one), one.id)
 
     @staticmethod
     def _wanted(kind: str, src, dst, port) -> list[tuple]:
@@ -84,19 +112,36 @@ class OpenIncidents:
             wanted.append(("kp", kind, port))
         return wanted
 
-    def take(self, first: int, last: int, alert_id: str, kind: str, src, dst, port) -> str:
-        """Incident of an alert, or of a burst of equal alerts from `first` to `last`."""
+    def _best(self, first: int, kind: str, src, dst, port) -> Incident | None:
+        """The incident last touched of those that an alert at `first` can join."""
+        wanted = self._wanted(kind, src, dst, port)
+        filed = [self.pairs.get(p) if not src or p[0] in ("sk", "sd", "sp") else self.plain.get(p) for p in wanted]
+        filed = [x for x in filed if x]
+        if not src and self.ordered and sum(map(len, filed)) ** 2 > len(self.recent):
+            for one in reversed(self.recent.values()):
+                if one.last < first - self.window:
+                    return None
+                if one.active and one.last - first <= self.window and any(one.id in x for x in filed):
+                    return one
+            return None
         best = None
-        for pair in self._wanted(kind, src, dst, port):
-            for one in self.pairs.get(pair, {}).values():
+        for held in filed:
+            for one in held.values():
                 if not one.active or abs(first - one.last) > self.window or (src and one.sources and src not in one.sources):
                     continue
                 if best is None or (one.last, one.turn) > (best.last, best.turn):
                     best = one
+        return best
+
+    def take(self, first: int, last: int, alert_id: str, kind: str, src, dst, port) -> str:
+        """Incident of an alert, or of a burst of equal alerts from `first` to `last`."""
+        best = self._best(first, kind, src, dst, port)
         one = best or Incident(incident_id(first, alert_id), kind, last)
         one.last = last
         known = best is not None and (not src or src in one.sources) and (not dst or dst in one.targets) and (
             port is None or port in one.ports)
+        if src and not one.sources and best is not None:
+            self._drop(self.plain, list(self._pairs_of(one)), one.id)
         if src:
             one.sources.add(src)
         if dst:
@@ -106,7 +151,7 @@ class OpenIncidents:
         if known:  # filed under all its pairs already
             self.turn += 1
             one.turn = self.turn
-            self.touched.append((last, one))
+            self._touch(one)
         else:
             self._file(one)
         return one.id

@@ -319,3 +319,84 @@ def test_workflow_and_timeline(spark):
     links = I.incident_links(correlated)
     alerts = correlated.withColumn("created_at", F.col("event_time"))
     assert [r["alert_id"] for r in I.incident_alerts(alerts, links, iid).collect()] == ["b", "a"]
+
+
+@pytest.mark.parametrize("src", ["new", None])
+def test_an_alert_looks_at_few_of_other_sources_incidents(monkeypatch, src):
+    from packetloom.plans import folding
+
+    looked = []
+
+    class Counted(folding.Incident):
+        __slots__ = ()
+
+        def __getattribute__(self, name):
+            if name == "active":
+                looked.append(1)
+            return super().__getattribute__(name)
+
+    monkeypatch.setattr(folding, "Incident", Counted)
+    state = folding.OpenIncidents(10_000)
+    names = [state.take(k, k, f"a{k}", "Bot", f"s{k}", "d", 22) for k in range(2000)]
+    assert len(set(names)) == 2000
+    looked.clear()
+    got = state.take(2000, 2000, "b", "Bot", src, "d", 22)
+    assert (got == names[-1] if src is None else got not in names) and len(looked) < 100
+
+
+def test_the_fold_finds_what_a_full_search_finds():
+    from packetloom.plans.folding import OpenIncidents
+
+    class Plain(OpenIncidents):
+        def _best(self, first, kind, src, dst, port):
+            found = [x for p in self._wanted(kind, src, dst, port) for x in self.pairs.get(p, {}).values()
+                     if x.active and abs(first - x.last) <= self.window and not (src and x.sources and src not in x.sources)]
+            return max(found, key=lambda x: (x.last, x.turn), default=None)
+
+    rnd = random.Random(5)
+    one, two, t = OpenIncidents(100), Plain(100), 0
+    for k in range(4000):
+        t += rnd.choice([0, 1, 3, -2 if k > 3000 else 2])  # times that fall are searched in full
+        args = f"a{k}", rnd.choice("xyz"), rnd.choice([None, *"abcdefgh"]), rnd.choice([None, "d1", "d2", "d3"]), rnd.choice([1, 2, 0, None])
+        for state in (one, two):
+            state.forget(t - 100)
+        got, want = (state.take(t, t, *args) for state in (one, two))
+        assert got == want
+        if k % 50 == 0:
+            one.set_active(got, False), two.set_active(got, False)
+
+
+def test_incidents_that_are_over_are_listed_not_filed():
+    heads, sets, pairs = _Map(), _Map(), _Map()
+    first = HeldIncidents(300, heads, sets, pairs, 0, True)
+    names = [first.take(1000 * k, 1000 * k, f"a{k}", "Bot", "s", "d", 22) for k in range(200)]
+    first.save()
+    listed = first.listed()
+    assert len(set(names)) == 200 and len(listed) == 199 and set(heads) == {(names[-1],)} and len(first.pairs) == 6
+    late = HeldIncidents(300, heads, sets, pairs, first.turn)
+    late.reopen(listed)
+    assert late.take(5200, 5200, "b", "Bot", "s", "d", 22) == names[5]
+    assert len(late.listed(100_000)) < len(late.listed()) == 199
+
+
+def test_older_rows_join_incidents_that_were_over(spark, tmp_path):
+    rows = random_alerts(240, 13)
+    path = str(tmp_path / "in")
+    for part in (rows[60:180], rows[:60] + rows[180:]):
+        frame(spark, part).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(path)
+    out = ST.run_available(ST.stream_correlate(stream, 60, delay="1 day"), "correlated")
+    assert out.count() == out.select("alert_id").distinct().count() == frame(spark, rows).where("upper(attack_type) <> 'BENIGN'").count()
+
+
+def test_slices_hold_at_least_a_windows_share(spark):
+    rows = [alert(f"a{k:04d}", k, src=f"10.0.0.{k}", dst=f"d{k}", port=k + 1) for k in range(1200)]
+    df = frame(spark, rows)
+    stored = []
+    real = I.speculative_fold
+    try:
+        I.speculative_fold = lambda hot, *a: stored.append(hot.groupBy("_no").count().collect()) or real(hot, *a)
+        got = I.correlate(df, 300, max_group=10).count()
+    finally:
+        I.speculative_fold = real
+    assert got == 1200 and max(r["count"] for r in stored[0]) >= 300 and len(stored[0]) >= 4
