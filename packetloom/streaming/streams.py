@@ -171,6 +171,10 @@ def stream_flows(packets: DataFrame, timeout: float = 10.0, ts: str = "packet_ti
 
 # ---------------------------------------------------------------- incidents
 
+_LISTED = "id string, kind string, last long, entities string, active boolean, turn long"
+_FEW = 64  # open incidents of a key that are kept in one list
+
+
 class _Correlator(StatefulProcessor):
     """Open incidents of one key in map states; each is forgotten once the watermark rules out further alerts."""
 
@@ -184,10 +188,13 @@ class _Correlator(StatefulProcessor):
         self.pairs = handle.getMapState("pairs", "pair string", "ids string")
         self.dues = handle.getMapState("dues", "due long", "ids string")
         self.turn = handle.getValueState("turn", "turn long")
+        # incidents that were over when their batch ended, or few: written and read in bulk, dropped by one timer
+        self.listed = handle.getListState("listed", _LISTED)
+        self.listed_last = handle.getValueState("listed_last", "last long")
 
     def _held(self) -> HeldIncidents:
         turn = self.turn.get()
-        return HeldIncidents(self.window_us, self.heads, self.sets, self.pairs, turn[0] if turn else 0)
+        return HeldIncidents(self.window_us, self.heads, self.sets, self.pairs, turn[0] if turn else 0, turn is None, _FEW)
 
     def _due(self, last: int) -> int:
         """Milliseconds at which an incident is surely over, in steps of the window: few timers serve many incidents."""
@@ -205,35 +212,60 @@ class _Correlator(StatefulProcessor):
                 self.handle.registerTimer(due)
             self.dues.updateValue((due,), (json.dumps((json.loads(held[0]) if held else []) + names),))
 
-    def _save(self, state: HeldIncidents) -> None:
+    def _save(self, state: HeldIncidents, timerValues) -> None:
         state.save()
         self.turn.update((state.turn,))
-        self._watch({one.id: one.last for one in state.born})
+        self._watch({one.id: one.last for one in state.lasting()})
+        # rows of later batches are not behind the watermark of this one
+        listed = state.listed(timerValues.getCurrentWatermarkInMs() * 1000 - self.window_us)
+        if listed:
+            held = None if state.blank else self.listed_last.get()
+            last = max([r[2] for r in listed] + ([held[0]] if held else []))
+            for begin in range(0, len(listed), 10_000):
+                self.listed.appendList([(*r[:3], json.dumps(r[3:6]), *r[6:]) for r in listed[begin:begin + 10_000]])
+            self.listed_last.update((last,))
+            self.handle.registerTimer(self._due(last))
+
+    def _reopen(self, state: HeldIncidents, first: int) -> None:
+        held = self.listed_last.get()
+        if held and held[0] >= first - self.window_us:
+            state.reopen([(*r[:3], *json.loads(r[3]), *r[4:]) for r in self.listed.get()])
+            self.listed.clear()
+            self.listed_last.clear()
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
         state = self._held()
         for r in initialState.sort_values(["last_us", "last_alert"], kind="stable").to_dict("records"):
             ports = [int(p) for p in r["ports"]]
             state.add(Incident(r["incident_id"], r["kind"], int(r["last_us"]), r["sources"], r["targets"], ports, bool(r["active"])))
-        self._save(state)
+        self._save(state, timerValues)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         alerts = pd.concat(list(rows), ignore_index=True).sort_values(["us", "alert_id"], kind="stable")
         state, out = self._held(), []
+        if not state.blank:
+            self._reopen(state, int(alerts["us"].iloc[0]))
         for us, aid, kind, src, dst, port in zip(alerts["us"], alerts["alert_id"], alerts["attack_type"],
                                                  alerts["source_ip"], alerts["destination_ip"],
                                                  alerts["destination_port"]):
             port = None if pd.isna(port) else int(port)
             out.append((aid, state.take(int(us), int(us), aid, kind, src, dst, port)))
-        self._save(state)
+        self._save(state, timerValues)
         yield pd.DataFrame(out, columns=["alert_id", "incident_id"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         due = expiredTimerInfo.getExpiryTimeInMs()
+        last = self.listed_last.get()
+        if last and self._due(last[0]) <= due:
+            self.listed.clear()
+            self.listed_last.clear()
         held = self.dues.getValue((due,))
-        self.dues.removeKey((due,))
+        if held is not None:
+            self.dues.removeKey((due,))
+        if held is None:
+            return
         state, later = self._held(), {}
-        for name in json.loads(held[0]) if held else ():
+        for name in json.loads(held[0]):
             head = self.heads.getValue((name,))
             if head and self._due(head[1]) > due:  # it took alerts meanwhile
                 later[name] = head[1]
@@ -246,12 +278,15 @@ class _Correlator(StatefulProcessor):
         pass
 
 
+_ALONE = 1024  # state keys over which alerts that can join nothing are dealt
+
+
 def _population(strict: bool, addresses: bool = True) -> Column:
     if strict:
         return F.lit("")
     port = F.coalesce(F.col("destination_port").cast("int"), F.lit(0))
     return F.coalesce("source_ip", F.lit("")) if addresses else F.when(
-        port != 0, F.concat_ws("|", "attack_type", port)).otherwise(F.concat(F.lit("alert "), "alert_id"))
+        port != 0, F.concat_ws("|", "attack_type", port)).otherwise(F.concat(F.lit("alone "), F.pmod(F.xxhash64("alert_id"), F.lit(_ALONE))))
 
 
 def open_incidents(correlated: DataFrame, window_seconds: int = 300, ts: str = "event_time", strict: bool = False,
@@ -280,7 +315,8 @@ def stream_correlate(alerts: DataFrame, window_seconds: int = 300, ts: str = "ev
     """Stream of (alert_id, incident_id); alerts with and without a source are kept apart.
 
     With `addresses=False` no alert has an address, as the scoring path makes them. Then only equal type and port can join,
-    and every type and port is a state key of its own, without a port every alert. With `strict` all alerts are one
+    and every type and port is a state key of its own; alerts without a port join nothing and are dealt over a fixed number of keys,
+    which hold no state of them. With `strict` all alerts are one
     population, and so one state key, which is one task: for streams whose source-less alerts must meet the others.
     `initial` (from `open_incidents`, with the same `strict`) continues incidents of a batch."""
     rows = with_event_time(alerts, ts, delay).where(F.upper("attack_type") != "BENIGN")
