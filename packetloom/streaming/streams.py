@@ -88,6 +88,10 @@ def telemetry(spark: SparkSession, cards_path: str) -> DataFrame:
 
 # ---------------------------------------------------------------- flows
 
+_PIECE = 2_000  # packets or flows held as records
+_ENDS = [c for c in KEY if c != "protocol"]
+
+
 class _FlowAssembler(StatefulProcessor):
     """One open flow per endpoint pair; closed by a terminator, a gap, or an event-time timer."""
 
@@ -99,11 +103,16 @@ class _FlowAssembler(StatefulProcessor):
         self.flow = handle.getValueState("flow", "saved string, due long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        packets = pd.concat(list(rows), ignore_index=True).sort_values(["us", "seq"], kind="stable")
+        packets = pd.concat((part.drop(columns=[c for c in _ENDS if c in part]) for part in rows), ignore_index=True)
+        order = packets[["us", "seq"]].sort_values(["us", "seq"], kind="stable").index
         old = self.flow.get()
         flow, due = (OpenFlow(old[0]), old[1]) if old else (None, None)
         out = []
-        for p in packets.to_dict("records"):
+        # rows become records, and records rows, a piece at a time
+        for p in (p for begin in range(0, len(order), _PIECE) for p in packets.loc[order[begin:begin + _PIECE]].to_dict("records")):
+            if len(out) >= _PIECE:
+                yield _records(out)
+                out = []
             if flow is not None and p["us"] - flow.last > self.timeout_us:
                 out.append(flow.record())
                 flow = None

@@ -185,3 +185,21 @@ def test_stream_equals_batch(spark, tmp_path):
     check(out.where("flow_seq < 10000"), expected(rows, 10))
     batch = FL.flow_features(frame(spark, rows))
     assert set(out.columns) == set(batch.columns)
+
+
+def test_finished_flows_leave_in_pieces():
+    import pandas as pd
+
+    class State:
+        def get(self):
+            return None
+
+        def clear(self):
+            pass
+
+    rows = pd.DataFrame([{"us": k, "seq": k, "ip_a": "a", "src_ip": "a", "dst_ip": "b", "src_port": 1, "dst_port": 2, "protocol": 6, "pkt_len": 60, "payload_len": 0,
+                          "header_len": 40, "win_bytes": 1, **{f: f == "fin" for f in ST.TCP_FLAGS}} for k in reversed(range(5000))])
+    one = ST._FlowAssembler(1_000_000)
+    one.flow = State()
+    out = list(one.handleInputRows(("a",), iter([rows[:2500], rows[2500:]]), None))
+    assert [n for part in out for n in part["flow_seq"]] == list(range(5000)) and max(map(len, out)) <= ST._PIECE
