@@ -12,7 +12,9 @@ import ipaddress
 import itertools
 import mmap
 import os
+import shutil
 import struct
+import tempfile
 from collections.abc import Iterator
 from urllib.parse import unquote, urlparse
 
@@ -183,29 +185,89 @@ def write_captures(packets: DataFrame, folder: str, files: int | None = None) ->
     """Writes packet rows as classic capture files of bare IPv4 packets, one a task, and lists them (path, packets).
 
     Rows go by (packet_time, seq). Payloads are zeros; fields wider than on the wire are cut to their low bits. A file appears
-    under its name only when it is whole, so a task that runs twice leaves one."""
+    under its name only when it is whole, so a task that runs twice leaves one. With fewer `files` than tasks, the tasks sort and
+    write pieces of a file, which are then copied to their places in it, all at once.
+    """
+    folder = unquote(urlparse(folder).path)
+    os.makedirs(folder, exist_ok=True)
+    flags = [F.coalesce(F.col(c), F.lit(False)).alias(c) if c in packets.columns else F.lit(False).alias(c) for c in TCP_FLAGS]
+    rows = packets.select(F.unix_micros(F.col("packet_time").cast("timestamp")).alias("us"), "seq", "src_ip", "dst_ip", "src_port", "dst_port", "protocol",
+                          "pkt_len", "payload_len", "win_bytes", *flags)
+    tasks = int(packets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if files and files < tasks:
+        return _written_in_pieces(rows, folder, files, tasks)
+
     def run(batches):
-        number = TaskContext.get().partitionId()
-        path, n = os.path.join(folder, f"part-{number:05d}.pcap"), 0
+        path = os.path.join(folder, f"part-{TaskContext.get().partitionId():05d}.pcap")
         held = f"{path}.{TaskContext.get().taskAttemptId()}.tmp"
         with open(held, "wb") as f:
-            f.write(struct.pack("<IHHiIII", R.MAGIC_MICRO, 2, 4, 0, 0, 65_535, LINK_RAW[-1]))
-            for b in batches:
-                for p in b.to_dict("records"):
-                    frame = _frame(p)
-                    us = int(p["us"])
-                    f.write(struct.pack("<IIII", us // 10**6, us % 10**6, len(frame), int(p["pkt_len"])) + frame)
-                    n += 1
+            f.write(_HEADER)
+            n = _append(batches, f)
         os.replace(held, path)
         yield pd.DataFrame({"path": [path], "packets": [n]})
 
-    folder = unquote(urlparse(folder).path)
-    os.makedirs(folder, exist_ok=True)
-    flags = [F.coalesce(F.col(c), F.lit(False)).alias(c) if c in packets.columns else F.lit(False).alias(c) for c in TCP_FLAGS]
-    rows = packets.select(F.unix_micros(F.col("packet_time").cast("timestamp")).alias("us"), "seq", "src_ip", "dst_ip", "src_port", "dst_port", "protocol",
-                          "pkt_len", "payload_len", "win_bytes", *flags)
-    parts = files or int(packets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartitionByRange(parts, "us", "seq").sortWithinPartitions("us", "seq").mapInPandas(run, "path string, packets long")
+    return rows.repartitionByRange(files or tasks, "us", "seq").sortWithinPartitions("us", "seq").mapInPandas(run, "path string, packets long")
+
+
+_HEADER = struct.pack("<IHHiIII", R.MAGIC_MICRO, 2, 4, 0, 0, 65_535, LINK_RAW[-1])
+
+
+def _append(batches: Iterator[pd.DataFrame], f) -> int:
+    """Writes the records of packet rows and returns their number."""
+    n = 0
+    for b in batches:
+        for p in b.to_dict("records"):
+            frame = _frame(p)
+            us = int(p["us"])
+            f.write(struct.pack("<IIII", us // 10**6, us % 10**6, len(frame), int(p["pkt_len"])) + frame)
+            n += 1
+    return n
+
+
+def _written_in_pieces(rows: DataFrame, folder: str, files: int, tasks: int) -> DataFrame:
+    spark = rows.sparkSession
+    pieces = tempfile.mkdtemp(prefix="_pieces-", dir=folder)
+    os.chmod(pieces, 0o777)  # executors may run as another user
+
+    def write(batches):
+        number = TaskContext.get().partitionId()
+        path = os.path.join(pieces, f"{number:05d}-{TaskContext.get().taskAttemptId()}")
+        with open(path, "wb") as f:
+            n = _append(batches, f)
+            size = f.tell()
+        yield pd.DataFrame({"number": [number], "piece": [path], "size": [size], "packets": [n]})
+
+    def copy(batches):
+        for b in batches:
+            for piece, target, place in zip(b["piece"], b["target"], b["place"]):
+                with open(piece, "rb") as source, open(target, "r+b") as f:
+                    f.seek(place)
+                    shutil.copyfileobj(source, f, 1 << 20)
+            yield b[["piece"]]
+
+    written = sorted(rows.repartitionByRange(tasks, "us", "seq").sortWithinPartitions("us", "seq").mapInPandas(
+        write, "number int, piece string, size long, packets long").collect())  # a row a task
+    held = [os.path.join(pieces, f"{k:05d}.whole") for k in range(files)]
+    sizes, packets, places = [len(_HEADER)] * files, [0] * files, []
+    for number, piece, size, n in written:
+        k = number * files // tasks
+        places.append((piece, held[k], sizes[k]))
+        sizes[k] += size
+        packets[k] += n
+    for path, size in zip(held, sizes):
+        with open(path, "wb") as f:
+            f.write(_HEADER)
+            f.truncate(size)
+    if places:
+        spark.createDataFrame(places, "piece string, target string, place long").repartition(len(places), "piece").mapInPandas(
+            copy, "piece string").write.format("noop").mode("overwrite").save()
+    out = []
+    for k, path in enumerate(held):
+        whole = os.path.join(folder, f"part-{k:05d}.pcap")
+        os.replace(path, whole)
+        out.append((whole, packets[k]))
+    shutil.rmtree(pieces)
+    return spark.createDataFrame(out, "path string, packets long")
 
 
 def _frame(p: dict) -> bytes:

@@ -145,3 +145,21 @@ def test_a_growing_capture_as_a_stream(spark, tmp_path):
         rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
     got = spark.read.parquet(out)
     assert got.count() == 300 and got.select("seq").distinct().count() == 300
+
+
+def test_one_file_is_written_by_many_tasks(spark, tmp_path):
+    many(tmp_path / "a.pcap", 500)
+    packets = decode_capture_files(spark, str(tmp_path))
+    sc = spark.sparkContext
+    sc.setJobGroup("one-file", "")
+    try:
+        listed = write_captures(packets, str(tmp_path / "one"), files=1).collect()
+    finally:
+        sc.setJobGroup("", "")
+    assert [r["packets"] for r in listed] == [500] and [p.name for p in (tmp_path / "one").iterdir()] == ["part-00000.pcap"]
+    write_captures(packets, str(tmp_path / "many"), files=4).collect()
+    parts = [p.read_bytes() for p in sorted((tmp_path / "many").iterdir())]
+    assert len(parts) == 4 and parts[0] + b"".join(p[R.HEAD:] for p in parts[1:]) == (tmp_path / "one" / "part-00000.pcap").read_bytes()
+    tracker = sc.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("one-file") for s in tracker.getJobInfo(j).stageIds]
+    assert max(s.numTasks for s in stages if s) == 4
