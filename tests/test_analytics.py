@@ -134,3 +134,12 @@ def test_comparison_and_scores(spark):
     assert not E.comparison_flag(E.compare_predictions(a, a.where("id = 1"), "id")).first()["passed"]
     none = E.binary_metrics(spark.createDataFrame([(0.0, 0.0)], "label double, prediction double")).first()
     assert none["precision"] == 0 and none["f1"] == 0 and none["accuracy"] == 1
+
+
+def test_flow_files_are_compressed(spark, sf_dir):
+    from packetloom import catalog
+
+    t = catalog.Inputs(spark, sf_dir)
+    rows = t.lineitem.count()
+    files = T.discover(spark, [catalog._four_files(t)], expected=4).collect()
+    assert all(f["path"].endswith(".csv.gz") for f in files) and sum(f["length"] for f in files) < 100 * rows
