@@ -100,7 +100,7 @@ class HeldIncidents(OpenIncidents):
             one = Incident(name, kind, last, sources, targets, ports, active, turn)
             self.by_id[name] = one
             self.born.append(one)
-            self.touched.append((last, one))
+            self._touch(one)
             self._file_pairs(one)
 
     def lasting(self) -> list[Incident]:
