@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window as W, functions as F
 
 from packetloom.functions import values as V
 from packetloom.plans.numbering import number_rows
@@ -81,16 +81,47 @@ def alert_key(time: str = "Timestamp", attack_type: str = "attack_type", severit
     )
 
 
+_GROUPS = 4096  # of keys, by hash: keys in a group that is far larger than the others are numbered in chunks
+_PART = 500_000  # rows of a month that are numbered, and stored, by one task
+_MONTH = "yyyy-MM"
+
+
+def _month(c: str | Column) -> Column:
+    return F.coalesce(F.date_format(F.col(c) if isinstance(c, str) else c, _MONTH), F.lit("none"))
+
+
+def _nth_of_key(df: DataFrame, key: Column, order: str, ties: tuple[str, ...], month: Column) -> DataFrame:
+    """Adds `_key` and `_nth`, the 1-based position among rows of equal key, in one shuffle of the rows without their keys.
+
+    Rows of a month, which must follow from the key, meet in as few tasks as they need. A key that may have too many rows for
+    one task is found by counts of key groups and numbered in chunks of `order`.
+    """
+    group = F.pmod(F.xxhash64(key), F.lit(_GROUPS))
+    sizes = df.groupBy(group.alias("g")).agg(F.count("*").alias("n")).collect()
+    most = max(_PART, 4 * sum(r["n"] for r in sizes) // _GROUPS)
+    large = [r["g"] for r in sizes if r["n"] > most]
+    months = df.groupBy(month.alias("_month")).agg(F.ceil(F.count("*") / _PART).cast("long").alias("_parts"))
+    part = F.pmod(F.xxhash64(key), F.col("_parts"))
+    rows = (df.where(~group.isin(large)) if large else df).withColumn("_month", month)
+    rows = rows.join(F.broadcast(months), "_month", "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+    rows = rows.repartition(F.col("_month"), part).withColumns({"_part": part, "_key": key})
+    nth = F.row_number().over(W.partitionBy("_month", "_part", "_key").orderBy(order, *ties))
+    rows = rows.withColumn("_nth", nth).drop("_month", "_parts", "_part")
+    if large:
+        rows = rows.unionByName(number_rows(df.where(group.isin(large)).withColumn("_key", key), ["_key"], order, "_nth", ties))
+    return rows
+
+
 def with_alert_ids(df: DataFrame, order: str, ties: tuple[str, ...] = (), supplied: str | None = None,
                    key: Column | None = None) -> DataFrame:
     """Adds `occurrence` (0-based, among equal keys, in `order`) and `alert_id`.
 
-    Equal alerts may be any share of the input: they are numbered in chunks of `order`.
+    Equal alerts may be any share of the input: many of them are numbered in chunks of `order`.
     A supplied non-blank id wins. The printed id has 16 digits; `alert_digest` has the whole digest (of a supplied id,
     the id itself) and is what alerts are compared by.
     """
-    rows = df.withColumn("_key", alert_key() if key is None else key)
-    rows = number_rows(rows, ["_key"], order, "_nth", ties)
+    month = _month(F.col("Timestamp").cast("timestamp")) if key is None else F.lit("any")
+    rows = _nth_of_key(df, alert_key() if key is None else key, order, ties, month)
     whole = F.sha2(F.concat_ws("|", F.col("_key"), (F.col("_nth") - 1).cast("string")), 256)
     made = F.substring(whole, 1, 16)
     if supplied:
@@ -99,6 +130,12 @@ def with_alert_ids(df: DataFrame, order: str, ties: tuple[str, ...] = (), suppli
     return rows.withColumns({"occurrence": F.col("_nth") - 1, "alert_id": made, "alert_digest": whole}).drop("_key", "_nth")
 
 
+def alert_inputs(df: DataFrame, *more: str) -> list[str]:
+    """The columns of `df` that alert records are made of, and `more`."""
+    names = {n.lower() for names in SPELLINGS.values() for n in names} | {n.lower() for n in more}
+    return [c for c in df.columns if c.lower() in names]
+
+
 def stored_alerts(scored: DataFrame, order: str, now, ties: tuple[str, ...] = ()) -> DataFrame:
     """Scored rows as alert records with status NEW, in the stored schema."""
     stamp = F.lit(now).cast("timestamp")
@@ -116,31 +153,64 @@ def new_alerts_only(alerts: DataFrame, known: DataFrame, key: str = "alert_id")
     return alerts.dropDuplicates([key]).join(known.select(key), key, "left_anti")
 
 
-def append_alerts(alerts: DataFrame, path: str, only_count: bool = False, derived: bool = False):
+_BITMAP = 32_768  # bits of one bitmap
+_MOST_BITMAPS = 8192  # 32 MB
+
+
+def _likely_stored(stored: DataFrame, fresh: DataFrame, key: str, expected: int | None) -> DataFrame:
+    """Keys of `stored` that may be in `fresh`: all that are, and few others. Bits of the new keys travel to the stored ones, so
+    that these, which grow with each batch, are read but not shuffled. With more keys than the bitmaps are for, more pass."""
+    wanted = _MOST_BITMAPS if expected is None else -(-16 * expected // _BITMAP)
+    h = F.xxhash64(key)
+    place = F.pmod(h, F.lit(max(1, min(_MOST_BITMAPS, wanted)))).alias("_place")
+    spots = [F.pmod(F.shiftright(h, n), F.lit(_BITMAP)) for n in (20, 40)]
+    bits = fresh.select(place, F.explode(F.array(*spots)).alias("_spot")).groupBy("_place").agg(
+        F.bitmap_construct_agg("_spot").alias("_bits"))
+    found = F.lit(True)
+    for spot in spots:
+        byte = F.substring("_bits", (F.floor(spot / 8) + 1).cast("int"), F.lit(1))
+        found = found & (F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), F.pmod(spot, F.lit(8)).cast("int")) == 1)
+    return stored.select(key, place).join(F.broadcast(bits), "_place").where(found).select(key)
+
+
+_FEW = 200_000  # keys that are sent to all tasks instead of dealing both sides anew
+
+
+def append_alerts(alerts: DataFrame, path: str, only_count: bool = False, derived: bool = False, numbered: bool = False,
+                  expected: int | None = None):
     """Appends unseen alerts to the table at `path`; stored ones keep their status.
 
     Alerts are compared by `alert_digest` where both sides have it, else by `alert_id`, whatever their time: a supplied id
     delivered again in another month is the same alert. With `derived` ids, which imply their time, only the months of the
-    new alerts are read. The batch is written once to the shared folder; counting reads that copy. Returns the table, or
-    the number of inserted alerts.
+    new alerts are read. `numbered` alerts are those of `stored_alerts` without supplied ids: none comes twice and a month's lie
+    together, so they are neither compared with each other nor dealt anew; they are made twice, from rows that should be stored.
+    `expected` is about how many they are. Returns the table, or the number of inserted alerts.
     """
     spark = alerts.sparkSession
     exists = table_exists(spark, path)
     key = "alert_digest" if "alert_digest" in alerts.columns else "alert_id"
     if exists and key not in spark.read.parquet(path).columns:
-        key = "alert_id"
-    month = F.coalesce(F.date_format("event_time", "yyyy-MM"), F.lit("none"))
-    fresh = alerts.withColumn("event_month", month).dropDuplicates([key])
+        key, numbered = "alert_id", False
+    fresh = alerts.withColumn("event_month", _month("event_time"))
+    if not numbered:
+        fresh = fresh.dropDuplicates([key])
     if exists:
-        fresh = materialise(fresh, "batch")
+        if not numbered:
+            fresh = materialise(fresh, "batch")
+            expected = fresh.count()
         stored = spark.read.parquet(path)
         if derived:  # the months prune the stored table's folders
             stored = stored.join(F.broadcast(fresh.select("event_month").distinct()), "event_month", "left_semi")
-        fresh = fresh.join(stored.select(key), key, "left_anti")
-    fresh = materialise(fresh, "inserted")
-    # few files per month; AQE splits a month that is too large for one task
-    fresh.hint("rebalance", "event_month").write.mode("append").partitionBy("event_month").parquet(path)
-    return fresh.count() if only_count else spark.read.parquet(path)
+        known = materialise(_likely_stored(stored, fresh, key, expected), "known")
+        seen = known.count()
+        if seen:
+            fresh = fresh.join(F.broadcast(known) if seen <= _FEW else known, key, "left_anti")
+    if not numbered:  # few files per month; AQE splits a month that is too large for one task
+        fresh = fresh.hint("rebalance", "event_month")
+    inserted = Observation()
+    fresh.observe(inserted, F.count("*").alias("n")).write.mode("append").option("compression", "zstd").partitionBy(
+        "event_month").parquet(path)
+    return inserted.get["n"] if only_count else spark.read.parquet(path)
 
 
 def table_exists(spark, path: str) -> bool:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 
 from packetloom.functions import values as V
-from packetloom.operators.alerts import append_alerts, stored_alerts
+from packetloom.operators.alerts import alert_inputs, append_alerts, stored_alerts
 from packetloom.operators.clean import truth_flag
 from packetloom.operators.flows import KEY, _timeout_us, flow_key
 from packetloom.operators.incidents import incident_id
@@ -55,16 +55,20 @@ def score_batch(detector, classifier, alerts_path: str, cards_path: str, truth:
                 order: str = "flow_id"):
     """`foreachBatch` function: both stages, new alerts appended, one scorecard per batch.
 
-    A batch that runs again after a failure adds nothing: alert ids are deterministic and the
-    scorecard of a batch number is overwritten.
+    A batch is scored once; of its verdicts only what alerts and scorecard are made of is stored. A batch that runs again after a
+    failure adds nothing: alert ids are deterministic and the scorecard of a batch number is overwritten.
     """
     def run(df: DataFrame, number: int) -> None:
         with released(df.sparkSession):  # what a batch has stored on its way goes once its sinks are written
             scored = score_two_stage(df, detector, classifier)
-            hits = scored.where("is_attack").withColumn("attack_probability", F.col("confidence"))
+            scored = truth_flag(scored) if truth else scored.withColumn("gt_is_attack", F.lit(False))
+            scored = scored.select(*alert_inputs(scored, "gt_is_attack", "is_attack", order, time))
+            scored = materialise(scored, "scored", compression="zstd")
+            card = materialise(batch_scorecard(scored), "scorecard")
+            hits = scored.where("is_attack").drop("attack_probability").withColumnRenamed("confidence", "attack_probability")
             alerts = stored_alerts(hits, order, F.current_timestamp(), ties=(time,))
-            stored = append_alerts(alerts, alerts_path, only_count=True)
-            card = batch_scorecard(truth_flag(scored) if truth else scored.withColumn("gt_is_attack", F.lit(False)))
+            stored = append_alerts(alerts, alerts_path, only_count=True, numbered="alert_id" not in hits.columns,
+                                   expected=card.first()["attack_count"])
             card.withColumns({"alerts_inserted": F.lit(stored), "batch": F.lit(number)}).write.mode(
                 "overwrite").parquet(f"{cards_path}/batch_id={number}")
 

@@ -110,6 +110,71 @@ def test_same_alerts_stored_twice(spark, tmp_path):
     assert (row["protocol"], row["destination_port"], row["status"], row["confidence"]) == ("TCP", 22, "NEW", 0.9)
 
 
+def flows_with_copies(spark, n):
+    """Scored flows, most in groups of equal alerts, a seventh of them in one group, some without a time."""
+    i = F.col("id")
+    kind = F.when(i % 7 == 0, 0).otherwise(i % 50)
+    return spark.range(n).select(
+        i.alias("flow_id"), F.when(kind != 3, F.timestamp_seconds(F.lit(1_700_000_000) + kind * 900_000)).alias("Timestamp"), F.lit("Bot").alias("attack_type"),
+        F.lit("HIGH").alias("severity"), F.lit(22.0).alias("Dst_Port"), F.lit("6").alias("Protocol"), F.lit(0.5).alias("attack_probability"))
+
+
+@pytest.mark.parametrize("part,groups", [(500_000, 4096), (40, 8), (1, 1)])
+def test_many_equal_alerts_are_numbered_in_chunks(spark, monkeypatch, part, groups):
+    rows = flows_with_copies(spark, 700)
+    monkeypatch.setattr(A, "_PART", part)
+    monkeypatch.setattr(A, "_GROUPS", groups)
+    got = A.with_alert_ids(rows, "flow_id").collect()
+    seen, whole = {}, {}
+    for r in sorted(got, key=lambda r: r["flow_id"]):
+        key = r["Timestamp"]
+        assert r["occurrence"] == seen.get(key, 0)
+        seen[key] = r["occurrence"] + 1
+        whole.setdefault(r["alert_digest"], r)
+    assert len(got) == len(whole) == 700 and seen[dt.datetime(2023, 11, 14, 22, 13, 20)] >= 100
+
+
+def test_stored_alerts_are_not_shuffled_for_a_batch(spark, tmp_path):
+    """What a batch moves follows from the batch, not from the table it is compared with."""
+    path, no_broadcast = str(tmp_path / "alerts"), "spark.sql.autoBroadcastJoinThreshold"
+    all_rows = flows_with_copies(spark, 40_000).withColumn("Dst_Port", F.col("flow_id") + 0.0)
+    all_rows.write.parquet(f"{path}-flows")
+    flows = spark.read.parquet(f"{path}-flows")
+
+    def moved():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        return spark.sparkContext._jsc.sc().statusStore().executorList(False).head().totalShuffleWrite()
+
+    def append(where):
+        return A.append_alerts(A.stored_alerts(flows.where(where), "flow_id", T0), path, only_count=True)
+
+    assert append("flow_id < 39800") == 39_800
+    before = spark.conf.get(no_broadcast)
+    spark.conf.set(no_broadcast, "-1")
+    try:
+        begun = moved()
+        assert append("flow_id >= 39700") == 200
+        assert moved() - begun < 300_000  # the digests alone have 2.5 MB
+    finally:
+        spark.conf.set(no_broadcast, before)
+
+
+@pytest.mark.parametrize("few,bitmaps,numbered", [(0, 1, True), (200_000, 8192, True), (0, 1, False)])
+def test_alerts_delivered_again_are_all_known(spark, tmp_path, monkeypatch, few, bitmaps, numbered):
+    monkeypatch.setattr(A, "_FEW", few)
+    monkeypatch.setattr(A, "_MOST_BITMAPS", bitmaps)
+    flows, path = flows_with_copies(spark, 3_000), str(tmp_path / "alerts")
+
+    def append(where):
+        return A.append_alerts(A.stored_alerts(flows.where(where), "flow_id", T0), path, only_count=True, numbered=numbered)
+
+    assert append("flow_id < 2000") == 2_000
+    wanted = {r["alert_digest"] for r in A.stored_alerts(flows, "flow_id", T0).collect()}
+    assert append("flow_id < 3000") == 1_000 and append("flow_id < 3000") == 0 and append("flow_id < 0") == 0
+    got = [r["alert_digest"] for r in spark.read.parquet(path).collect()]
+    assert len(got) == 3_000 and set(got) == wanted
+
+
 def test_limits(spark):
     df = alerts(spark, (0, "Bot", "LOW", None)).withColumns({"status": F.lit("NEW"), "created_at": F.col("event_time")})
     assert A.newest_alerts(df, 1, severity="low").count() == 1 and A.lookup(df, "alert_id", "a0").count() == 1
