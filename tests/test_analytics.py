@@ -1,6 +1,8 @@
 """Analytics on small cases, cleaning errors, sampling properties, sinks."""
 
 import datetime as dt
+import gzip
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -143,3 +145,33 @@ def test_flow_files_are_compressed(spark, sf_dir):
     rows = t.lineitem.count()
     files = T.discover(spark, [catalog._four_files(t)], expected=4).collect()
     assert all(f["path"].endswith(".csv.gz") for f in files) and sum(f["length"] for f in files) < 100 * rows
+
+
+def test_flow_files_are_packed_in_pieces(spark, sf_dir):
+    from packetloom import catalog
+
+    t, tasks = catalog.Inputs(spark, sf_dir), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        files = [r.path.removeprefix("file:") for r in T.discover(spark, [catalog._four_files(t)], expected=4).collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", tasks)
+    lines = []
+    for path in files:
+        data, members = open(path, "rb").read(), 0
+        while data:  # a gzip file is members one after the other: here the header and a piece of each of two tasks
+            one = zlib.decompressobj(31)
+            text = one.decompress(data).decode().splitlines()
+            lines += text if members else []
+            members, data = members + 1, one.unused_data
+        assert members == 3 and gzip.open(path, "rt").readline() == ",".join(RAW_COLUMNS) + "\n"
+    assert sorted(lines) == sorted(",".join(x or "" for x in r) for r in catalog.raw_file(t).collect())
+
+
+def test_headers_are_found_without_reading_the_files(spark, tmp_path):
+    """Of a file that breaks off the first lines are there all the same."""
+    path = tmp_path / "a.csv.gz"
+    body = "".join(",".join([str(hash((i, k))) for k in range(79)] + ["Bot"]) + "\n" for i in range(5_000))
+    path.write_bytes(gzip.compress((",".join(RAW_COLUMNS) + "\n" + body).encode())[:-200_000])
+    df = T.read_flow_files(spark, [str(path)])
+    assert df.columns == [*RAW_COLUMNS, "source_file"] and df.first()["Label"] == "Bot"
