@@ -19,7 +19,7 @@ class HeldIncidents(OpenIncidents):
     """
 
     def __init__(self, window_us: int, heads, sets, pairs, turn: int, blank: bool = False, few: int = 0):
-        super().__init__(window_us)
+        super().__init__(window_us, few=0)
         self.few = few
         self.ordered, self.blank = False, blank  # incidents come from the state as they are asked for, not as they were touched
         self.turn, self.heads, self.sets, self.stored = turn, heads, sets, pairs

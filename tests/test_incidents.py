@@ -401,3 +401,53 @@ def test_slices_hold_at_least_a_windows_share(spark):
     finally:
         I.speculative_fold = real
     assert got == 1200 and max(r["count"] for r in stored[0]) >= 300 and len(stored[0]) >= 4
+
+
+def test_a_state_at_a_border_is_rows(spark, monkeypatch):
+    """No stored row grows with what is open: 600 incidents are open at every border."""
+    rows = [alert(f"a{k:05d}", k // 2, src=f"10.0.{k // 250}.{k % 250}", dst=f"d{k}", port=k + 1) for k in range(2400)]
+    stored, widest = speculation.materialise, {}
+
+    def measured(part, name):
+        out = stored(part, name)
+        widest[name] = max(widest.get(name, 0), out.select(F.max(F.length(F.to_json(F.struct("*"))))).first()[0] or 0)
+        return out
+
+    monkeypatch.setattr(speculation, "materialise", measured)
+    df = frame(spark, rows)
+    got = I.correlate(df, 300, max_group=10)
+    assert found(got) == groups(sequential(rows, 300))
+    assert widest and max(widest.values()) < 2_000
+
+
+def test_open_incidents_take_little_memory():
+    import tracemalloc
+
+    from packetloom.plans.folding import OpenIncidents
+
+    tracemalloc.start()
+    try:
+        state = OpenIncidents(100_000)
+        for k in range(20_000):
+            state.take(k, k, f"a{k}", ("Bot", "SSH")[k % 2], f"10.0.0.{k}", f"d{k % 8}", (22, 80, None)[k % 3])
+        held = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    assert len(state.by_id) == 20_000 and held < 1_300 * 20_000
+
+
+def test_sources_with_many_incidents():
+    """Incidents of a source are searched as a list or, if there are many, by pair: the same are found."""
+    from packetloom.plans.folding import OpenIncidents
+
+    rnd = random.Random(6)
+    one, two, most = OpenIncidents(200), OpenIncidents(200, few=0), 0
+    for k in range(5000):
+        args = f"a{k}", f"k{rnd.randrange(60)}", rnd.choice(["s1", "s1", "s2", None]), rnd.choice([None, *(f"d{i}" for i in range(80))]), rnd.choice([0, None, *range(1, 90)])
+        for state in (one, two):
+            state.forget(k - 200)
+        assert one.take(k, k, *args) == two.take(k, k, *args)
+        most = max(most, sum(x.sources == ("s1",) for x in one.by_id.values()) if k % 50 == 0 else 0)
+    assert one.dump() == two.dump() and most > 16 and len(one.pairs) > 0
+    one.forget(10_000)
+    assert not one.pairs and not one.by_id and one.last_touched is None
